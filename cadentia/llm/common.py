@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words a worker keeps hashed; past it the memo starts anew.
 MEMO_WORDS = 400_000
 #: Bytes of text that a worker takes on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.array([len(x) if x is not None else 0 for x in texts(batch, column)], np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(lengths) // SLICE_BYTES
         edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
         for start, end in zip(edges, [*edges[1:], batch.num_rows], strict=True):

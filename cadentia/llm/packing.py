@@ -23,18 +23,82 @@ from pyspark.sql.window import Window
 
 from cadentia.llm.common import settle, slices, texts
 
-#: Words a worker keeps encoded.
-MEMO_WORDS = 400_000
+#: Words, and word stems, that a worker keeps encoded.
+MEMO_WORDS = 200_000
+#: ASCII signs that end a stem: the tokenizer splits letters from signs anyway.
+SIGNS = b".,;:!?)]}%$#&*|\""
 #: Rows of one size that one task ranks.
 RANK_ROWS = 200_000
 
 
-def _encoder(path: str):
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Ids of white-space-free chunks as little-endian bytes, memoised.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    Chunks of letters and closing signs are cut in two, and stems not yet known
+    are encoded many at a time: each is one word to the tokenizer, and a word's last token
+    is marked in its vocabulary. Where the marks don't tally, chunks are encoded singly.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.memo: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+
+    def _single(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        parts = [stems[at : at + 500] for at in range(0, len(stems), 500)]
+        joined = self.tokenizer.encode_batch_fast([b" ".join(part).decode() for part in parts], add_special_tokens=False)
+        for part, found in zip(parts, joined, strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for stem, end in zip(part, (4 * ends).tolist(), strict=True):
+                    self.stems[stem] = raw[at:end]
+                    at = end
+            else:
+                self.stems |= {stem: self._single(stem) for stem in part}
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        if len(self.stems) > MEMO_WORDS:
+            self.stems = {b"": b""}
+        missing = {word for words in texts for word in words}.difference(self.memo)
+        cut, odd = {}, []
+        for word in missing:
+            stem = word.rstrip(SIGNS)
+            if stem.isalpha():
+                cut[word] = stem.lower(), word[len(stem) :]
+            elif stem and not stem.isascii() and (text := stem.decode()).isalpha():
+                cut[word] = text.encode(), word[len(stem) :]
+            else:
+                odd.append(word)
+        self._learn_stems([x for x in {stem for stem, _ in cut.values()} if x not in self.stems])
+        for tail in {tail for _, tail in cut.values()}.difference(self.stems):
+            self.stems[tail] = self._single(tail)
+        for word, (stem, tail) in cut.items():
+            self.memo[word] = self.stems[stem] + self.stems[tail]
+        for word in odd:
+            self.memo[word] = self._single(word)
+        return [b"".join(map(self.memo.__getitem__, words)) for words in texts]
+
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """One for each worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenize_pieces(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
@@ -46,21 +110,12 @@ def tokenize_pieces(docs: DataFrame, path: str, length: int, end_id: int) -> Dat
     """
 
     def cut(batches):
-        encoder, memo = _encoder(path), {}
-        end = int(end_id).to_bytes(4, "little")
+        encoder, end = _encoder(path), int(end_id).to_bytes(4, "little")
         for batch in slices(batches):
-            split = [(text or b"").split() for text in texts(batch)]
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            missing = list({word for words in split for word in words if word not in memo})
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                found = encoder.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-                for word, ids in zip(part, found, strict=True):
-                    memo[word] = np.array(ids.ids, "<u4").tobytes()
+            encoded = encoder.encode([(text or b"").split() for text in texts(batch)])
             rows = ([], [], [], [], [])
-            for doc_id, words in zip(batch.column(0).to_pylist(), split, strict=True):
-                ids = b"".join(map(memo.__getitem__, words)) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[start : start + 4 * length]
                     for column, value in zip(rows, (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
