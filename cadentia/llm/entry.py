@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import langid, licenses, mixing, packing, pii, quality, urls
+from cadentia.llm import langid, licenses, mixing, neardup, packing, pii, quality, urls
 from cadentia.llm.common import documents, held_out
 
 #: The rules that op2 applies, (verdict, host, path).
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return urls.filter_urls(pages, urls.rules_table(spark, URL_RULES))
@@ -54,6 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_url_filter": op2_url_filter,
     "op4_license_scan": op4_license_scan,
     "op6_pii": op6_pii,
