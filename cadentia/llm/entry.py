@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import langid, licenses, mixing, neardup, packing, pii, quality, urls
+from cadentia.llm import langid, licenses, lm, mixing, neardup, packing, pii, quality, search, urls
 from cadentia.llm.common import documents, held_out
 
 #: The rules that op2 applies, (verdict, host, path).
@@ -29,10 +29,20 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.rules_table(spark, URL_RULES))
 
 
+def op3_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return search.search(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("blocks")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 7, 2)
+    return lm.score(documents(spark, sf_dir), ~out, {"held_out": out})
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir), ["doc_id"]))
 
@@ -60,7 +70,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_url_filter": op2_url_filter,
+    "op3_exact_search": op3_exact_search,
     "op4_license_scan": op4_license_scan,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_pii": op6_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
