@@ -18,16 +18,21 @@ MEMO_WORDS = 400_000
 SLICE_BYTES = 1 << 20
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of this
-    process is set only where none is configured, as in tests.
+    A folder of this process is set only where none is configured, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cadentia-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cadentia-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -79,3 +84,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
+
+
+def one_for_each(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows joined to keys (key, _copies, ...), one row a key; only keys with several equal rows are deduplicated."""
+    joined = rows.join(keys, key)
+    return joined.where("_copies = 1").unionByName(joined.where("_copies > 1").dropDuplicates([key])).drop("_copies")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadentia.llm.common import settle
+from cadentia.llm.common import one_for_each, settle
 
 #: Words as the mix counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,9 +71,9 @@ def mix_documents(
 ) -> DataFrame:
     """Take words of every source until its target; one row per document of the input.
 
-    Columns: doc_id, size, source, source_size, target, taken, and draws, an array
+    Columns: doc_id, lot, size, source, source_size, target, taken, and draws, an array
     of (pass, shard, position, words): the output shard that gets this copy, its
-    shuffled position there, and how many of its words. A source is cut by hash into
+    shuffled position there, and how many of its words. lot is xxhash64(seed, doc_id, text), to join by. A source is cut by hash into
     ``blocks`` permuted blocks; whole passes take all of them, the last pass takes
     blocks in permuted order and the block at the edge document by document, the last one in
     part, so the sum meets the rounded target. No document gives more than ``most`` (a whole number) times its words.
@@ -138,4 +138,19 @@ def mix_documents(
     )
     return every.withColumn("taken", F.col("size") * F.col("passes") + F.col("part")).withColumn(
         "draws", F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), draw), lambda d: d["words"] > 0)
-    ).select("doc_id", "size", "source", "source_size", "target", "taken", "draws")
+    ).select("doc_id", "lot", "size", "source", "source_size", "target", "taken", "draws")
+
+
+def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 20_240_501, **options) -> DataFrame:
+    """The mix itself: a row for each draw with all of docs' columns, and _shard; within a shard shuffled.
+
+    The one document that a source's target cuts is drawn whole if at least half of it is taken, else not.
+    Otherwise as mix_documents.
+    """
+    drawn = mix_documents(docs, shards=shards, seed=seed, **options)
+    whole = F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))
+    drawn = drawn.select(F.col("lot").alias("_lot"), whole.alias("_draws")).where(F.size("_draws") > 0)
+    drawn = drawn.groupBy("_lot").agg(F.flatten(F.collect_list("_draws")).alias("_draws"), F.count("*").alias("_copies"))  # more than one for repeated rows only
+    found = one_for_each(docs.withColumn("_lot", F.xxhash64(F.lit(seed), "doc_id", "text")), drawn, "_lot")
+    rows = found.select(*docs.columns, F.explode("_draws").alias("_d")).select(*docs.columns, F.col("_d.shard").alias("_shard"), F.col("_d.position").alias("_position"))
+    return rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_position").drop("_position")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import WordHashes, mix64, settle, slices, texts
+from cadentia.llm.common import WordHashes, mix64, one_for_each, settle, slices, texts
 
 #: 25 bands of 5: a pair at 0.85 shares none with probability (1 - 0.85 ** 5) ** 25, below 1e-6; at 0.8, 5e-5.
 BANDS, ROWS = 25, 5
@@ -293,3 +293,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return whole.join(first.join(lead, "label"), "label").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("lead")).alias("chosen")
     )
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates chooses, one of each component, with all columns."""
+    found = near_duplicates(docs, words, percent)
+    keys = found.groupBy(F.col("key").alias("_key")).agg(F.max("chosen").alias("_chosen"), F.count("*").alias("_copies")).where("_chosen").drop("_chosen")
+    return one_for_each(docs.withColumn("_key", F.xxhash64("doc_id", "text")), keys, "_key").select(*docs.columns)

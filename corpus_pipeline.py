@@ -1,4 +1,70 @@
-STAGES = []
+"""A corpus pipeline: documents in, packed token sequences out.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadentia.llm import langid, mixing, neardup, packing, pii
+from cadentia.llm.common import shared_folder
+from cadentia.llm.entry import tokenizer_path
+
+#: A language's regression value below which a text is in none that was learned.
+LEAST_SCORE = 0.2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in no known language go, nulls and texts without a letter too; lang becomes the language found."""
+    model = langid.train(docs, F.lit(True))
+    found = langid.identify(docs, model, docs.columns)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at 0.8 or more, the document with the smallest id stays."""
+    return neardup.deduplicated(docs)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that disclose it are masked; n_chars follows."""
+    found = pii.find(docs, [c for c in docs.columns if c not in ("text", "n_chars")], text=True).withColumnRenamed("sanitised", "text")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at weights 3, 1, 2, repeating, and 150 % of the words; a document drawn twice has two rows."""
+    return mixing.mixed_documents(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", sanitise),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Models, hashes and the tokenizer have no SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what they hand on lies in the cluster's shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
+        docs = spark.read.parquet(f"{folder}/{number}-{name}")
+    return docs
