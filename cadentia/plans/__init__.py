@@ -1,0 +1,9 @@
+"""Registered queries by subject, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from cadentia.plans import load, power
+
+_MODULES = (power, load)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: q for m in _MODULES for name, q in m.ORACLES.items()}
