@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cadentia.plans import load, power
+from cadentia.plans import body, load, power
 
-_MODULES = (power, load)
+_MODULES = (power, load, body)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: q for m in _MODULES for name, q in m.ORACLES.items()}
