@@ -35,6 +35,10 @@ def sport_like(workouts: DataFrame, text: str, minutes: int = 0) -> DataFrame:
     return workouts.where(F.contains(F.lower("sport"), F.lit(text.lower())) & (F.col("duration_seconds") >= minutes * 60))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.where(" and ".join(f"{c} is not null" for c in NATURAL_KEY))
+
+
 def duplicate_counts(rows: DataFrame) -> DataFrame:
     """(id, athlete_id, n_later): rows of the same natural key with a larger id; null athletes never match.
 
@@ -43,14 +47,14 @@ def duplicate_counts(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy(*NATURAL_KEY).orderBy(F.desc("id"))
     # rows with an equal id see the same count
     later = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(Window.partitionBy(*NATURAL_KEY, "id"))
-    return rows.where(" and ".join(f"{c} is not null" for c in NATURAL_KEY)).select("id", "athlete_id", later.alias("n_later")).where("n_later > 0")
+    return _keyed(rows).select("id", "athlete_id", later.alias("n_later")).where("n_later > 0")
 
 
 def duplicates_to_remove(rows: DataFrame) -> DataFrame:
     """(id, n_earlier) of rows with an earlier twin by creation; ties of creation survive."""
     w = Window.partitionBy(*NATURAL_KEY).orderBy("created_at")
     earlier = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(Window.partitionBy(*NATURAL_KEY, "created_at"))
-    return rows.where(" and ".join(f"{c} is not null" for c in NATURAL_KEY)).select("id", earlier.alias("n_earlier")).where("n_earlier > 0")
+    return _keyed(rows).select("id", earlier.alias("n_earlier")).where("n_earlier > 0")
 
 
 def without_duplicates(rows: DataFrame) -> DataFrame:
@@ -63,7 +67,10 @@ def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def duplicates_by_sport(rows: DataFrame) -> DataFrame:
-    return duplicate_counts(rows).join(rows.select("id", "sport"), "id").groupBy("sport").agg(F.sum("n_later").alias("n"))
+    """Pairs of duplicates by sport, from the sizes of equal keys: n * (n - 1) / 2, equal ids apart."""
+    same = _keyed(rows).groupBy(*NATURAL_KEY, "id").agg(F.count("*").alias("m"))
+    keys = same.groupBy(*NATURAL_KEY).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    return keys.groupBy("sport").agg(F.expr("sum(n * n - q) div 2").alias("n")).where("n > 0")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], version: str) -> DataFrame:
