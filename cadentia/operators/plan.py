@@ -20,32 +20,38 @@ SHARES = {
 #: Which phases share a table, and the quality days' type and intensity.
 FAMILY = {"Accumulation": "Base", "Volume": "Base", "Intensification": "Build", "Intensity": "Build", "Realization": "Peak", "Race Prep": "Peak"}
 QUALITY = {"Base": ("Tempo", 0.85), "Accumulation": ("Tempo", 0.85), "Build": ("Threshold", 0.90), "Intensification": ("Threshold", 0.90), "Peak": ("Race", 0.95), "Realization": ("Race", 0.95)}
-#: Phases of each model with their share of the weeks (the last takes the rest) and stress multipliers from, to.
+#: Phases of each model with their share of the weeks (the last takes the rest) and stress multipliers from, to (not reached).
 MODELS = {
     "traditional": [("Base", 0.4, 1.0, 1.3), ("Build", 0.3, 1.3, 1.5), ("Peak", 0.2, 1.5, 1.4), ("Taper", None, 1.0, 0.5)],
-    "reverse": [("Intensity", 0.3, 1.3, 1.5), ("Volume", 0.5, 1.0, 1.3), ("Race Prep", None, 1.5, 1.4)],
+    "reverse": [("Intensity", 0.3, 0.8, 0.8), ("Volume", 0.5, 1.3, 1.43), ("Race Prep", None, 1.0, 0.8)],
 }
+#: Blocks of four weeks in turn, their multiplier and what it gains with each block.
+BLOCKS = [("Accumulation", 1.2, 0.1), ("Intensification", 1.0, 0.05), ("Realization", 0.9, 0.02)]
 
 
 def _weeks(model: str, weeks: int) -> list[tuple[int, str, float, bool]]:
-    """(week from 1, phase, multiplier, taper) in order; shares are cut in single precision."""
+    """(week from 1, phase, multiplier, without recovery weeks) in order; shares are cut in single precision."""
+    out: list[tuple[int, str, float, bool]] = []
     if model == "block":
-        out, whole = [], weeks // 4 * 4
-        names = ("Accumulation", "Intensification", "Realization")
-        for i in range(whole):
-            out.append((i + 1, names[i // 4 % 3], (1.0, 1.2, 1.1)[i // 4 % 3], False))
-        return out + [(i + 1, "Taper", 0.7, True) for i in range(whole, weeks)]
-    out, left = [], weeks
+        for i in range(weeks):
+            block = i // 4
+            if block < weeks // 4:
+                phase, base, gain = BLOCKS[block % 3]
+                out.append((i + 1, phase, base + gain * block, False))
+            else:
+                out.append((i + 1, "Taper", 0.7, True))
+        return out
+    left = weeks
     for phase, share, low, high in MODELS[model]:
         n = left if share is None else int(np.float32(weeks) * np.float32(share))
         left -= n
-        out += [(len(out) + 1 + i, phase, low + (high - low) * i / max(n, 1), phase == "Taper") for i in range(n)]
+        out += [(len(out) + 1 + i, phase, low + (high - low) * i / max(n, 1), phase in ("Taper", "Race Prep")) for i in range(n)]
     return out
 
 
 def plan_weeks(spark: SparkSession, model: str, weeks: int, start: str, weekly_tss: float, cycle: int = 4) -> DataFrame:
-    """(week, week_start, phase, recovery, planned_tss, planned_hours); every ``cycle``-th week is at 60 % except in a taper."""
-    rows = [(w, date.fromisoformat(start) + timedelta(weeks=w - 1), phase, w % cycle == 0 and not taper, m) for w, phase, m, taper in _weeks(model, weeks)]
+    """(week, week_start, phase, recovery, planned_tss, planned_hours); every ``cycle``-th week is at 60 % except in a taper or race preparation."""
+    rows = [(w, date.fromisoformat(start) + timedelta(weeks=w - 1), phase, w % cycle == 0 and not calm, m) for w, phase, m, calm in _weeks(model, weeks)]
     df = spark.createDataFrame(rows, "week int, week_start date, phase string, recovery boolean, multiplier double")
     tss = F.col("multiplier") * weekly_tss * F.when(F.col("recovery"), 0.6).otherwise(1.0)
     return df.select("week", "week_start", "phase", "recovery", tss.alias("planned_tss"), (tss / 100 * 1.5).alias("planned_hours"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Race distances in km.
-RACES = [("800m", 0.8), ("1500m", 1.5), ("mile", 1.609344), ("3000m", 3.0), ("5k", 5.0), ("10k", 10.0), ("half_marathon", 21.0975), ("marathon", 42.195), ("50k", 50.0)]
+RACES = [("1500m", 1.5), ("1_mile", 1.60934), ("3000m", 3.0), ("2_miles", 3.21869), ("5000m", 5.0), ("10000m", 10.0), ("15k", 15.0), ("half_marathon", 21.0975), ("marathon", 42.195)]
 #: Paces by name as multiples of threshold pace.
 TRAINING_PACES = [("easy", 1.25), ("marathon", 1.07), ("threshold", 1.0), ("interval", 0.94), ("repetition", 0.88)]
 

@@ -138,7 +138,7 @@ RATE = "24 * CASE WHEN acwr > 1.3 THEN 0.8 ELSE 1 END * CASE WHEN night_id % 3 =
 WEEKS = """weeks AS (SELECT w AS week, DATE '1995-01-02' + CAST((w - 1) * 7 AS INT) AS week_start, CASE WHEN w <= 7 THEN 'Base' WHEN w <= 12 THEN 'Build' WHEN w <= 15 THEN 'Peak' ELSE 'Taper' END AS phase, w % 4 = 0 AND w <= 15 AS recovery,
   350::DOUBLE * CASE WHEN w <= 7 THEN 1 + 0.3::DOUBLE * (w - 1) / 7 WHEN w <= 12 THEN 1.3 + 0.2::DOUBLE * (w - 8) / 5 WHEN w <= 15 THEN 1.5 - 0.1::DOUBLE * (w - 13) / 3 ELSE 1 - 0.5::DOUBLE * (w - 16) / 3 END * CASE WHEN w % 4 = 0 AND w <= 15 THEN 0.6 ELSE 1 END AS planned_tss FROM range(1, 19) r(w))"""
 BLOCKS = """weeks AS (SELECT w AS week, DATE '1995-01-02' + CAST((w - 1) * 7 AS INT) AS week_start, CASE WHEN w > 16 THEN 'Taper' ELSE ['Accumulation', 'Intensification', 'Realization'][CAST((w - 1) // 4 % 3 + 1 AS INT)] END AS phase, w % 4 = 0 AND w <= 16 AS recovery,
-  350::DOUBLE * CASE WHEN w > 16 THEN 0.7 ELSE [1.0, 1.2, 1.1][CAST((w - 1) // 4 % 3 + 1 AS INT)] END * CASE WHEN w % 4 = 0 AND w <= 16 THEN 0.6 ELSE 1 END AS planned_tss FROM range(1, 19) r(w))"""
+  350::DOUBLE * CASE WHEN w > 16 THEN 0.7 WHEN (w - 1) // 4 % 3 = 0 THEN 1.2 + 0.1::DOUBLE * ((w - 1) // 4) WHEN (w - 1) // 4 % 3 = 1 THEN 1 + 0.05::DOUBLE * ((w - 1) // 4) ELSE 0.9 + 0.02::DOUBLE * ((w - 1) // 4) END * CASE WHEN w % 4 = 0 AND w <= 16 THEN 0.6 ELSE 1 END AS planned_tss FROM range(1, 19) r(w))"""
 SHARES = "shares(family, d, share) AS (VALUES " + ", ".join(f"('{p}', {d}, {s}::DOUBLE)" for p, f in [("Recovery", "Recovery"), ("Base", "Base"), ("Build", "Build"), ("Peak", "Peak"), ("Taper", "Taper"), ("Accumulation", "Base"), ("Intensification", "Build"), ("Realization", "Peak")] for d, s in enumerate(plan.SHARES[f]) if s) + ")"
 DAYS = """days AS (SELECT week, week_start + d AS date, CASE WHEN recovery THEN 'Recovery' WHEN d IN (1, 3) THEN CASE WHEN phase IN ('Base', 'Accumulation') THEN 'Tempo' WHEN phase IN ('Build', 'Intensification') THEN 'Threshold' WHEN phase IN ('Peak', 'Realization') THEN 'Race' ELSE 'Endurance' END WHEN d = 6 THEN 'Recovery' ELSE 'Endurance' END AS workout_type,
   CASE WHEN recovery THEN 0.65 WHEN d IN (1, 3) THEN CASE WHEN phase IN ('Base', 'Accumulation') THEN 0.85 WHEN phase IN ('Build', 'Intensification') THEN 0.90 WHEN phase IN ('Peak', 'Realization') THEN 0.95 ELSE 0.75 END WHEN d = 5 THEN 0.70 WHEN d = 6 THEN 0.65 ELSE 0.75 END::DOUBLE AS intensity, planned_tss * share AS planned_tss
@@ -146,8 +146,8 @@ DAYS = """days AS (SELECT week, week_start + d AS date, CASE WHEN recovery THEN
 DONE = "cmp AS (SELECT date, p AS planned_tss, coalesce(a, 0) AS actual_tss FROM (SELECT date, max_by(planned_tss, week) AS p FROM days GROUP BY 1) LEFT JOIN (SELECT date, sum(tss) AS a FROM workouts GROUP BY 1) USING (date))"
 DAY_ROWS = f"SELECT {i8('week', 'week')}, date, workout_type, {r4('intensity', 'intensity')}, {r4('planned_tss', 'planned_tss')}, {i8('floor(round(planned_tss / intensity / 100 * 60, 9))', 'minutes')} FROM days"
 # 18 weeks in reverse: 5 intensity, 9 volume, 4 race preparation
-REVERSE = """weeks AS (SELECT w AS week, DATE '1995-01-02' + CAST((w - 1) * 7 AS INT) AS week_start, CASE WHEN w <= 5 THEN 'Intensity' WHEN w <= 14 THEN 'Volume' ELSE 'Race Prep' END AS phase, w % 4 = 0 AS recovery,
-  350::DOUBLE * CASE WHEN w <= 5 THEN 1.3 + 0.2::DOUBLE * (w - 1) / 5 WHEN w <= 14 THEN 1 + 0.3::DOUBLE * (w - 6) / 9 ELSE 1.5 - 0.1::DOUBLE * (w - 15) / 4 END * CASE WHEN w % 4 = 0 THEN 0.6 ELSE 1 END AS t FROM range(1, 19) r(w))"""
+REVERSE = """weeks AS (SELECT w AS week, DATE '1995-01-02' + CAST((w - 1) * 7 AS INT) AS week_start, CASE WHEN w <= 5 THEN 'Intensity' WHEN w <= 14 THEN 'Volume' ELSE 'Race Prep' END AS phase, w % 4 = 0 AND w <= 14 AS recovery,
+  350::DOUBLE * CASE WHEN w <= 5 THEN 0.8 WHEN w <= 14 THEN 1.3 * (1 + 0.1::DOUBLE * (w - 6) / 9) ELSE 1 - 0.2::DOUBLE * (w - 15) / 4 END * CASE WHEN w % 4 = 0 AND w <= 14 THEN 0.6 ELSE 1 END AS t FROM range(1, 19) r(w))"""
 
 ORACLES = {
     "hrv_status": sql(f"SELECT status, count(*) AS n, {i8('sum(score)', 'score')} FROM scored GROUP BY 1", *N),

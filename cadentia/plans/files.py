@@ -29,7 +29,7 @@ QUERIES = {
     "summarise": points_query(files.summarise),
     "data_source": points_query(lambda p: files.data_source(sporty(p))),
     "power_split": points_query(lambda p: files.power_split(p).groupBy("workout_id").agg(F.sum("left_power").alias("l"), F.sum("right_power").alias("r"))),
-    "metric_kinds": lambda spark, d: rounded(spark.read.parquet(f"{d}/part.parquet").select(F.concat_ws("_", F.element_at(F.array(*map(F.lit, ("Running_Power", "SmO2", "Core_Temp", "Other", "Respiration"))), (c("p_partkey") % 5 + 1).cast("int")), c("p_partkey")).alias("name")).groupBy(files.metric_kind(c("name")).alias("kind")).agg(F.count("*").alias("n"))),
+    "metric_kinds": lambda spark, d: rounded(spark.read.parquet(f"{d}/part.parquet").select(F.concat_ws("_", F.element_at(F.array(*map(F.lit, ("Running_Power", "SmO2", "Core_Temperature", "Other", "Skin Temperature"))), (c("p_partkey") % 5 + 1).cast("int")), c("p_partkey")).alias("name")).groupBy(files.metric_kind(c("name")).alias("kind")).agg(F.count("*").alias("n"))),
     "platform_rows": workouts_query(files.platform_rows),
     "zone_columns": points_query(lambda p: files.zone_rows(p.select("workout_id", zones.by_ends(c("power"), [F.lit(float(x)) for x in (10, 20, 30, 40, 50, 60)], False).alias("zone")).where("zone is not null").groupBy("workout_id", "zone").agg(F.count("*").alias("value")))),
     "downsampled": points_query(lambda p: files.downsampled(p, 20).select("workout_id", "seq", "power")),
@@ -39,10 +39,10 @@ QUERIES = {
 Z7 = "CASE WHEN power < 10 THEN 1 WHEN power < 20 THEN 2 WHEN power < 30 THEN 3 WHEN power < 40 THEN 4 WHEN power < 50 THEN 5 WHEN power < 60 THEN 6 ELSE 7 END"
 ORACLES = {
     "summarise": sql("SELECT workout_id, " + ", ".join(i8(f"sum({x}) // nullif(count({x}), 0)", f"avg_{x}") for x in ("heart_rate", "power", "cadence")) + f", {i8('max(heart_rate)', 'max_heart_rate')}, {r4('arg_max(distance, seq)', 'total_distance')}, {i8('max(ts_s) - min(ts_s)', 'duration_seconds')}, {r4('avg(pace)', 'avg_pace')}, {i8('coalesce(sum(u) FILTER (u > 0), 0)', 'elevation_gain')} FROM (SELECT *, elevation - lag(elevation) OVER (PARTITION BY workout_id ORDER BY seq) AS u FROM points) GROUP BY 1", POINTS),
-    "data_source": sql("SELECT workout_id, CASE WHEN sport = 'Cycling' AND count(power) > 0 THEN 'Power' WHEN sport IN ('Running', 'Swimming') AND count(pace) > 0 THEN 'Pace' WHEN count(heart_rate) > 0 THEN 'HeartRate' ELSE 'Rpe' END AS source FROM sp GROUP BY workout_id, sport", POINTS, SPORTY),
+    "data_source": sql("SELECT workout_id, CASE WHEN sport IN ('Cycling', 'Rowing', 'Triathlon') AND count(power) > 0 THEN 'Power' WHEN sport = 'Running' AND count(speed) + count(stride_length) > 0 OR sport IN ('Swimming', 'Triathlon') AND count(stroke_count) > 0 THEN 'Pace' ELSE 'HeartRate' END AS source FROM sp GROUP BY workout_id, sport", POINTS, SPORTY),
     "power_split": sql(f"SELECT workout_id, {i8('sum(power * balance // 200)', 'l')}, {i8('sum(power - power * balance // 200)', 'r')} FROM points GROUP BY 1", POINTS),
-    "metric_kinds": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'RunningPower' WHEN 1 THEN 'MuscleOxygen' WHEN 2 THEN 'CoreTemperature' WHEN 4 THEN 'RespirationRate' ELSE 'Custom' END AS kind, count(*) AS n FROM part GROUP BY 1",
-    "platform_rows": sql(f"SELECT workout_id, strftime(date, '%m/%d/%Y') AS date, CASE sport WHEN 'Cycling' THEN 'Bike' WHEN 'Running' THEN 'Run' WHEN 'Swimming' THEN 'Swim' WHEN 'Triathlon' THEN 'Multisport' ELSE 'Row' END AS sport, printf('%02d:%02d:%02d', duration_seconds // 3600, duration_seconds % 3600 // 60, duration_seconds % 60) AS duration, {r4('coalesce(total_distance / 1000, 0)', 'km')}, {r4('coalesce(avg_power * duration_seconds / 1000.0::DOUBLE, 0)', 'work_kj')}, {r4('coalesce(tss, 0)', 'tss')} FROM workouts", WORKOUTS),
+    "metric_kinds": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'RunningPower' WHEN 1 THEN 'MuscleOxygen' WHEN 2 THEN 'CoreTemperature' WHEN 4 THEN 'Environmental' ELSE 'Custom' END AS kind, count(*) AS n FROM part GROUP BY 1",
+    "platform_rows": sql(f"SELECT workout_id, strftime(date, '%m/%d/%Y') AS date, CASE sport WHEN 'Cycling' THEN 'Bike' WHEN 'Running' THEN 'Run' WHEN 'Swimming' THEN 'Swim' WHEN 'Triathlon' THEN 'Brick' ELSE 'Row' END AS sport, printf('%02d:%02d:%02d', duration_seconds // 3600, duration_seconds % 3600 // 60, duration_seconds % 60) AS duration, {r4('coalesce(total_distance / 1000, 0)', 'km')}, {r4('coalesce(avg_power * duration_seconds / 1000.0::DOUBLE, 0)', 'work_kj')}, {r4('coalesce(tss, 0)', 'tss')} FROM workouts", WORKOUTS),
     "zone_columns": sql("SELECT workout_id, " + ", ".join(i8(f"nullif(count(*) FILTER ({Z7} = {i}), 0)", f"zone{i}") for i in range(1, 8)) + " FROM points WHERE power IS NOT NULL GROUP BY 1", POINTS),
     "downsampled": sql("SELECT workout_id, seq, CAST(power AS BIGINT) AS power FROM (SELECT *, count(*) OVER (PARTITION BY workout_id) AS n FROM points) WHERE seq % greatest(n // 20, 1) = 0 OR seq = n - 1", POINTS),
     "stream_counters": "SELECT user_id, CAST(ts AS DATE) AS start, CAST(CASE WHEN value < 10 THEN 1 WHEN value < 50 THEN 2 ELSE 3 END AS BIGINT) AS zone, count(*) AS n, round(avg(value), 4) + 0.0 AS mean FROM events GROUP BY 1, 2, 3",

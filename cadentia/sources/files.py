@@ -17,16 +17,27 @@ ALIASES = {
     "cadence": ("cadence", "rpm", "steps_per_minute", "spm"),
     "distance": ("distance", "dist", "total_distance", "cumulative_distance"),
 }
-#: Date and time formats, in the order they are tried.
-FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "MM/dd/yyyy HH:mm")
+#: Date and time formats, in the order they are tried; fractions of a second are optional.
+FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'", "yyyy-MM-dd'T'HH:mm:ss[.SSS]'Z'", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
 WHOLE = ("heart_rate", "power", "elevation", "cadence")
-#: Developer metrics by what a lower-cased field name contains, first match wins.
+#: Developer metrics by what a lower-cased field name contains (one of each group), first match wins.
 METRICS = [
-    ("running_power", "RunningPower"), ("form_power", "FormPower"), ("leg_spring", "LegSpringStiffness"), ("air_power", "AirPower"), ("smo2", "MuscleOxygen"), ("thb", "TotalHemoglobin"),
-    ("core_temp", "CoreTemperature"), ("skin_temp", "SkinTemperature"), ("respiration", "RespirationRate"), ("aero", "Aerodynamic"),
-]
+    ((("power",), ("balance",)), "PowerBalance"),
+    ((("pedal",), ("smooth",)), "PedalSmoothness"),
+    ((("leg",), ("spring",)), "LegSpringStiffness"),
+    ((("form",), ("power",)), "FormPower"),
+    ((("running",), ("power",)), "RunningPower"),
+    ((("ground", "gct"), ("balance",)), "GroundContactBalance"),
+    ((("cda", "drag"),), "AerodynamicCdA"),
+    ((("core",), ("temp",)), "CoreTemperature"),
+    ((("smo2",),), "MuscleOxygen"),
+    ((("muscle",), ("oxygen",)), "MuscleOxygen"),
+    ((("temperature",),), "Environmental"),
+    ((("humidity",),), "Environmental"),
+    ((("air",), ("quality",)), "Environmental"),
+]
 #: Sports as another platform's CSV names them.
-EXPORT_SPORTS = {"Cycling": "Bike", "Running": "Run", "Swimming": "Swim", "Triathlon": "Multisport", "Rowing": "Row"}
+EXPORT_SPORTS = {"Cycling": "Bike", "Running": "Run", "Swimming": "Swim", "Triathlon": "Brick", "Rowing": "Row"}
 
 
 def normalised(header: str) -> str:
@@ -83,10 +94,14 @@ def summarise(points: DataFrame) -> DataFrame:
 
 
 def data_source(points: DataFrame) -> DataFrame:
-    """What a workout's stress rests on: power, pace, heart rate or nothing but time, by sport and channels present."""
+    """What a workout's stress rests on, by sport and channels present; heart rate where nothing better is."""
     has = lambda c: F.bool_or(F.col(c).isNotNull())
-    g = points.groupBy("workout_id", "sport").agg(has("power").alias("p"), has("pace").alias("v"), has("heart_rate").alias("h"))
-    return g.select("workout_id", F.when((F.col("sport") == "Cycling") & F.col("p"), "Power").when(F.col("sport").isin("Running", "Swimming") & F.col("v"), "Pace").when(F.col("h"), "HeartRate").otherwise("Rpe").alias("source"))
+    dynamics = has("ground_contact_time") | has("vertical_oscillation") | has("stride_length")
+    g = points.groupBy("workout_id", "sport").agg(has("power").alias("p"), has("speed").alias("v"), dynamics.alias("d"), has("stroke_count").alias("s"))
+    s = F.col("sport")
+    power = s.isin("Cycling", "Rowing", "Triathlon") & F.col("p")
+    pace = ((s == "Running") & (F.col("d") | F.col("v"))) | ((s == "Swimming") & F.col("s")) | ((s == "Triathlon") & (F.col("d") | F.col("s")))
+    return g.select("workout_id", F.when(power, "Power").when(pace, "Pace").otherwise("HeartRate").alias("source"))
 
 
 def power_split(points: DataFrame) -> DataFrame:
@@ -96,10 +111,19 @@ def power_split(points: DataFrame) -> DataFrame:
 
 
 def metric_kind(name: Column) -> Column:
-    """The developer metric that a field name stands for."""
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for part, kind in METRICS:
-        out = out.when(F.contains(F.lower(name), F.lit(part)), kind)
+    """The developer metric that a field name stands for; a core temperature is never environmental."""
+    lower = F.lower(name)
+    out = F.when(name.isNull(), F.lit(None).cast("string"))
+    for groups, kind in METRICS:
+        fits = F.lit(True)
+        for group in groups:
+            one = F.lit(False)
+            for part in group:
+                one = one | F.contains(lower, F.lit(part))
+            fits = fits & one
+        if groups == (("temperature",),):
+            fits = fits & ~F.contains(lower, F.lit("core"))
+        out = out.when(fits, kind)
     return out.otherwise("Custom")
 
 
