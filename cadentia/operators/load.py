@@ -120,13 +120,19 @@ def pmc(daily: DataFrame, key: str, ctl_days: int = 42, atl_days: int = 7, ramp_
     first = F.lit(start).cast("date") if start else F.min("date").over(Window.partitionBy(key))
     last = F.lit(end).cast("date") if end else F.col("date")
     gaps = known.select(
-        key, "tss", F.col("date").alias("on"), first.alias("first"), F.row_number().over(w).alias("i"),
+        key, "tss", F.col("date").alias("on"), first.alias("first"), F.row_number().over(w).alias("i"), F.min("date").over(Window.partitionBy(key)).alias("oldest"),
         F.coalesce(F.date_sub(F.lead("date").over(w), 1), last).alias("to"),
     )
-    begin = F.when(F.col("i") == 1, F.least(F.col("on"), F.date_sub("first", ctl_days))).otherwise(F.col("on"))
-    days = gaps.select(key, "first", "on", "tss", F.explode(F.sequence(begin, F.col("to"))).alias("date"))
-    days = days.select(key, "first", "date", F.when(F.col("date") == F.col("on"), F.col("tss")).otherwise(0.0).alias("tss"), (F.row_number().over(w) - 1).alias("pos"))
-    days = days.withColumn("block", F.expr(f"pos div {BLOCK_DAYS}")).withColumn("j", (F.col("pos") % BLOCK_DAYS).cast("double"))
+    origin = F.least(F.col("oldest"), F.date_sub("first", ctl_days))
+    begin = F.when(F.col("i") == 1, origin).otherwise(F.col("on"))
+    days = gaps.select(key, "first", "on", "tss", origin.alias("origin"), F.explode(F.sequence(begin, F.col("to"))).alias("date"))
+    pos = F.datediff("date", "origin")
+    days = days.select(
+        key, "first", "date", F.when(F.col("date") == F.col("on"), F.col("tss")).otherwise(0.0).alias("tss"),
+        F.floor(pos / BLOCK_DAYS).cast("int").alias("block"), (pos % BLOCK_DAYS).cast("double").alias("j"),
+    )
+    # every window below reads rows by key, block, day: one sort
+    w = Window.partitionBy(key).orderBy("block", "j")
     inside = Window.partitionBy(key, "block").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     keep = {"ctl": 1 - 1 / ctl_days, "atl": 1 - 1 / atl_days}
     local = {c: F.pow(F.lit(d), "j") * F.sum(F.col("tss") * F.pow(F.lit(d), -F.col("j"))).over(inside) * (1 - d) for c, d in keep.items()}
@@ -136,7 +142,7 @@ def pmc(daily: DataFrame, key: str, ctl_days: int = 42, atl_days: int = 7, ramp_
     days = days.withColumn("ends", before)
     carry = lambda c, d: F.aggregate("ends", F.lit(0.0), lambda a, e: a * d**BLOCK_DAYS + e[f"{c}_in"])
     days = days.withColumns({c: F.col(f"{c}_in") + F.pow(F.lit(d), F.col("j") + 1) * carry(c, d) for c, d in keep.items()})
-    rows = days.select(key, "first", "date", "tss", "ctl", "atl").withColumn("tsb", F.coalesce(F.lag("ctl").over(w), F.col("ctl")) - F.col("atl")).withColumn("ramp", F.col("ctl") - F.lag("ctl", ramp_days - 1).over(w))
+    rows = days.select(key, "first", "date", "block", "j", "tss", "ctl", "atl").withColumn("tsb", F.coalesce(F.lag("ctl").over(w), F.col("ctl")) - F.col("atl")).withColumn("ramp", F.col("ctl") - F.lag("ctl", ramp_days - 1).over(w))
     out = rows.where("date >= first")
     recent = F.avg("atl").over(w.rowsBetween(-7, -1))
     return out.select(
