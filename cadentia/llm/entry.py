@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import langid, licenses, lm, mixing, neardup, packing, pii, quality, search, urls
+from cadentia.llm import langid, licenses, lm, mixing, neardup, oracles, packing, pii, quality, search, urls
 from cadentia.llm.common import documents, held_out
 
 #: The rules that op2 applies, (verdict, host, path).
@@ -31,7 +31,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return search.search(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    return search.search(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score")
+    )
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
