@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cadentia.plans.common import i8, points_query, r4, rounded, sql, workouts_query
-from cadentia.plans.care import SPORTY, sporty
-from cadentia.operators import zones
+from cadentia.operators import admin, load, recovery, zones
+from cadentia.plans.care import SCORED, SPORTY, sporty
+from cadentia.plans.common import i8, nights_query, points_query, r4, rounded, sql, workouts_query
+from cadentia.plans.load import S, by_sport
 from cadentia.sources import files, views
-from cadentia.sources.views import POINTS, WORKOUTS
+from cadentia.sources.views import NIGHTS, POINTS, WORKOUTS
 from cadentia.streaming import daily
 
 
@@ -25,7 +26,27 @@ def stream_counters(spark, sf_dir):
 
 
 c = F.col
+
+
+def changes(w):
+    """Threshold changes: every seventh workout sets its athlete's FTP."""
+    return w.where("workout_id % 7 = 0").groupBy("athlete_id", "date").agg(F.max(150 + c("workout_id") % 150).alias("value"))
+
+
+def advice(n):
+    m = recovery.sleep_metrics(n)
+    both = recovery.sleep_pattern(m, "athlete_id").join(recovery.sleep_debt(m, "athlete_id"), "athlete_id")
+    return both.select("athlete_id", *[x.alias(k) for k, x in admin.sleep_advice(c("mean_minutes"), c("consistency"), c("mean_score"), c("debt_minutes"), c("athlete_id") % 300).items()])
+
+
 QUERIES = {
+    "threshold_history": workouts_query(lambda w: admin.threshold_history(changes(w), ["athlete_id"])),
+    "thresholds_as_of": workouts_query(lambda w: admin.thresholds_as_of(w.select("athlete_id", "date", "workout_id"), changes(w), ["athlete_id"])),
+    "latest_metrics": workouts_query(lambda w: admin.latest_metrics(by_sport(w), "sport", "1998-07-04")),
+    "import_log": lambda spark, d: rounded(admin.log_summary(admin.at_least(spark.read.parquet(f"{d}/events.parquet").select(c("user_id").alias("file"), F.element_at(F.array(*map(F.lit, ("Info", "Warning", "Error"))), (c("event_id") % 3 + 1).cast("int")).alias("severity")), "Warning"))),
+    "sleep_advice": nights_query(advice),
+    "valid_physiology": nights_query(lambda n: n.groupBy(admin.valid_physiology(c("rhr") + 50, F.lit(None).cast("double"), F.lit(None).cast("int"), c("stress")).alias("ok")).agg(F.count("*").alias("n"))),
+    "text_report": lambda spark, d: admin.text_report(load.report_totals(views.workouts(spark, d), "athlete_id"), "athlete_id"),
     "summarise": points_query(files.summarise),
     "data_source": points_query(lambda p: files.data_source(sporty(p))),
     "power_split": points_query(lambda p: files.power_split(p).groupBy("workout_id").agg(F.sum("left_power").alias("l"), F.sum("right_power").alias("r"))),
@@ -37,7 +58,17 @@ QUERIES = {
 }
 
 Z7 = "CASE WHEN power < 10 THEN 1 WHEN power < 20 THEN 2 WHEN power < 30 THEN 3 WHEN power < 40 THEN 4 WHEN power < 50 THEN 5 WHEN power < 60 THEN 6 ELSE 7 END"
+CHANGES = "changes AS (SELECT athlete_id, date, max(150 + workout_id % 150) AS value FROM workouts WHERE workout_id % 7 = 0 GROUP BY 1, 2)"
 ORACLES = {
+    "threshold_history": sql("SELECT athlete_id, date, value, row_number() OVER w AS age, lead(value) OVER w AS before FROM changes WINDOW w AS (PARTITION BY athlete_id ORDER BY date DESC)", WORKOUTS, CHANGES),
+    "thresholds_as_of": sql("SELECT w.athlete_id, w.date, w.workout_id, max_by(c.value, c.date) AS value FROM workouts w LEFT JOIN changes c ON c.athlete_id = w.athlete_id AND c.date <= w.date GROUP BY 1, 2, 3", WORKOUTS, CHANGES),
+    "latest_metrics": sql(f"SELECT sport, max(date) AS date, {r4('max_by(ctl, date)', 'ctl')}, {r4('max_by(atl, date)', 'atl')}, {r4('max_by(tsb, date)', 'tsb')} FROM pmc WHERE date <= '1998-07-04' GROUP BY 1", *S),
+    "import_log": "SELECT CASE event_id % 3 WHEN 1 THEN 'Warning' ELSE 'Error' END AS severity, count(*) AS entries, count(DISTINCT user_id) AS files FROM events WHERE event_id % 3 > 0 GROUP BY 1",
+    "sleep_advice": sql(f"""SELECT athlete_id, array_to_string(list_filter([CASE WHEN m < 420 THEN 'duration' WHEN m > 600 THEN 'efficiency' END, CASE WHEN greatest(100 - least(s / 120 * 100, 100), 0) < 50 THEN 'consistency' END, CASE WHEN ms < 70 THEN 'quality' END], lambda x: x IS NOT NULL), ',') AS areas,
+        {i8('CASE WHEN d > 0 THEN ceil(d / 45.0::DOUBLE) END', 'payback_days')}, {i8('CASE WHEN athlete_id % 300 > 150 THEN 570 ELSE 480 END', 'target_minutes')}, CASE WHEN athlete_id % 300 > 150 THEN '21:30' ELSE '22:00' END AS bedtime, {i8('CASE WHEN m < 420 OR m > 600 OR greatest(100 - least(s / 120 * 100, 100), 0) < 50 OR ms < 70 THEN 7 ELSE 0 END', 'review_days')}
+        FROM (SELECT athlete_id, avg(total_sleep) AS m, stddev_pop(total_sleep) AS s, avg(sleep_score) AS ms, coalesce(sum(480 - total_sleep) FILTER (total_sleep < 480), 0) AS d FROM scored GROUP BY 1)""", NIGHTS, SCORED),
+    "valid_physiology": sql("SELECT rhr + 50 BETWEEN 30 AND 120 AND coalesce(stress BETWEEN 0 AND 100, true) AS ok, count(*) AS n FROM nights GROUP BY 1", NIGHTS),
+    "text_report": sql("SELECT athlete_id, printf('%d: %d workouts in %d days, %d minutes, TSS %d, mostly %s', athlete_id, n, span, h, CAST(floor(round(t, 6)) AS BIGINT), sport) AS line FROM (SELECT athlete_id, count(*) AS n, max(date) - min(date) + 1 AS span, CAST(sum(duration_seconds) // 60 AS BIGINT) AS h, sum(coalesce(tss, 0)) AS t FROM workouts GROUP BY 1) JOIN (SELECT athlete_id, sport FROM (SELECT athlete_id, sport, row_number() OVER (PARTITION BY athlete_id ORDER BY count(*) DESC, sport DESC) AS k FROM workouts GROUP BY 1, 2) WHERE k = 1) USING (athlete_id)", WORKOUTS),
     "summarise": sql("SELECT workout_id, " + ", ".join(i8(f"sum({x}) // nullif(count({x}), 0)", f"avg_{x}") for x in ("heart_rate", "power", "cadence")) + f", {i8('max(heart_rate)', 'max_heart_rate')}, {r4('arg_max(distance, seq)', 'total_distance')}, {i8('max(ts_s) - min(ts_s)', 'duration_seconds')}, {r4('avg(pace)', 'avg_pace')}, {i8('coalesce(sum(u) FILTER (u > 0), 0)', 'elevation_gain')} FROM (SELECT *, elevation - lag(elevation) OVER (PARTITION BY workout_id ORDER BY seq) AS u FROM points) GROUP BY 1", POINTS),
     "data_source": sql("SELECT workout_id, CASE WHEN sport IN ('Cycling', 'Rowing', 'Triathlon') AND count(power) > 0 THEN 'Power' WHEN sport = 'Running' AND count(speed) + count(stride_length) > 0 OR sport IN ('Swimming', 'Triathlon') AND count(stroke_count) > 0 THEN 'Pace' ELSE 'HeartRate' END AS source FROM sp GROUP BY workout_id, sport", POINTS, SPORTY),
     "power_split": sql(f"SELECT workout_id, {i8('sum(power * balance // 200)', 'l')}, {i8('sum(power - power * balance // 200)', 'r')} FROM points GROUP BY 1", POINTS),
