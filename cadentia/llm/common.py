@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words a worker keeps hashed; past it the memo starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Bytes of text that a worker takes on at once.
 SLICE_BYTES = 1 << 20
 
@@ -61,6 +63,21 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
 
 
+def tidied(work: Callable) -> Callable:
+    """The work of a task on Arrow batches; when it is done, its memory goes back to the system, as workers are kept."""
+
+    def run(batches):
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of about SLICE_BYTES of text, one row at least."""
     for batch in batches:
@@ -90,3 +107,19 @@ def one_for_each(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows joined to keys (key, _copies, ...), one row a key; only keys with several equal rows are deduplicated."""
     joined = rows.join(keys, key)
     return joined.where("_copies = 1").unionByName(joined.where("_copies > 1").dropDuplicates([key])).drop("_copies")
+
+
+#: Keys that hold more than this share of the rows are few enough to broadcast, whatever the corpus.
+HEAVY_KEYS = 20_000
+
+
+def join_uneven(rows: DataFrame, keys: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows to unique keys whose column ``size`` tells how many rows each has.
+
+    Rows of heavy keys stay where they are and meet a broadcast of at most HEAVY_KEYS
+    keys; the others meet by shuffle, where no key has more than a small share.
+    """
+    limit = max(1000, total // HEAVY_KEYS)
+    heavy = F.broadcast(keys.where(F.col(size) > limit))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(keys.where(F.col(size) <= limit), on)
+    return rows.join(heavy, on).unionByName(light)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import slices, texts
+from cadentia.llm.common import slices, texts, tidied
 
 ORDERS, BITS = (1, 2, 3, 4), 16
 _SCRAMBLE = np.uint32(2654435761)
@@ -82,7 +82,7 @@ def fit(samples: list[tuple[bytes, str]], landmarks: int = 256, ridge: float = 1
     for k, i in enumerate(chosen):
         marks[k, rows[i]] = 1 / np.sqrt(len(rows[i]))
     kernel = np.stack([marks[:, r].sum(axis=1) / np.sqrt(max(len(r), 1)) for r in rows]).astype(np.float64)
-    values, vectors = np.linalg.eigh(marks.astype(np.float64) @ marks.T)
+    values, vectors = np.linalg.eigh(kernel[chosen])
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     features = kernel @ whiten
@@ -142,4 +142,4 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     columns = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*columns).mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return docs.select(*columns).mapInArrow(tidied(score), f"{schema}, lang_pred string, score double")

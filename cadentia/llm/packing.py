@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadentia.llm.common import settle, slices, texts
+from cadentia.llm.common import settle, slices, texts, tidied
 
 #: Words, and word stems, that a worker keeps encoded.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 #: ASCII signs that end a stem: the tokenizer splits letters from signs anyway.
 SIGNS = b".,;:!?)]}%$#&*|\""
 #: Rows of one size that one task ranks.
@@ -126,7 +126,7 @@ def tokenize_pieces(docs: DataFrame, path: str, length: int, end_id: int) -> Dat
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -222,7 +222,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     names = [*pieces.columns, "sequence_id", "offset"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(put, schema)
+    return ranked.mapInArrow(tidied(put), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1) -> DataFrame:

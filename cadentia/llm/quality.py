@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import WordHashes, slices, texts
+from cadentia.llm.common import WordHashes, slices, texts, tidied
 
 BITS = 17
 SYMBOLS = b"#*$%&|<>"
@@ -171,4 +171,4 @@ def judge(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, l
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    return docs.select("doc_id", "text").mapInArrow(score, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(score), schema)
