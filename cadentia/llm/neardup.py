@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import WordHashes, mix64, one_for_each, settle, slices, texts
+from cadentia.llm.common import WordHashes, join_uneven, mix64, one_for_each, settle, slices, texts, tidied
 
 #: 25 bands of 5: a pair at 0.85 shares none with probability (1 - 0.85 ** 5) ** 25, below 1e-6; at 0.8, 5e-5.
 BANDS, ROWS = 25, 5
@@ -35,8 +35,6 @@ SKETCH = 512
 SLACK = 5.0
 #: In buckets up to SMALL nodes, leftover pairs come from a join; in larger ones from blocks of BLOCK nodes.
 SMALL, BLOCK = 64, 512
-#: Buckets above this share of all entries are few enough to broadcast (under 1 MB).
-HEAVY = 20_000
 #: Nodes whose sets are looked up by a broadcast of their keys (about 16 bytes each); more go by shuffle.
 BROADCAST_NODES = 400_000
 
@@ -136,7 +134,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "key", "n", "digest", "bands", "sketch", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(sign, f"doc_id {kind}, key long, n long, digest binary, bands array<long>, sketch binary, parity binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(tidied(sign), f"doc_id {kind}, key long, n long, digest binary, bands array<long>, sketch binary, parity binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,7 +177,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = settle(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b", "p_a", "p_b").mapInArrow(close, "a long, b long"))
+    pairs = settle(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b", "p_a", "p_b").mapInArrow(tidied(close), "a long, b long"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = settle(nodes.join(ends, "node", "left_semi").select("key", "node"))
     if wanted.count() <= BROADCAST_NODES:
@@ -192,7 +190,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["node", "items"])
 
     held = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted, "key").select("node", "text")
-    held = held.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"])
+    held = held.mapInArrow(tidied(sets), "node long, items binary").dropDuplicates(["node"])
 
     def confirm(batches):
         for batch in batches:
@@ -204,7 +202,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda x: held.select(F.col("node").alias(x), F.col("items").alias(f"i_{x}"))
-    return settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "i_a", "i_b").mapInArrow(confirm, "a long, b long"))
+    return settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "i_a", "i_b").mapInArrow(tidied(confirm), "a long, b long"))
 
 
 def _across_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     an empty table gives no rows; columns besides doc_id and text are not read.
     """
     signed = settle(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()))
-    classes = signed.where("n > 0").groupBy("n", "digest").agg(F.min("row").alias("node"))
+    classes = signed.where("n > 0").groupBy("n", "digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     nodes = settle(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node").select("node", "key", "n", "bands", "sketch", "parity"))
 
     masks = F.array(*map(F.lit, _MASKS))
@@ -264,11 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # a bucket's leader is its smallest node under the band's mask: another order in each band
     buckets = settle(entries.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.col("mask"))).alias("code"), F.count("*").alias("size")).where("size > 1"))
     n_entries = nodes.count() * BANDS
-    limit = max(1000, n_entries // HEAVY)
-    heavy = F.broadcast(buckets.where(F.col("size") > limit))  # HEAVY rows at most
-    in_heavy = entries.join(heavy, "bucket")
-    in_light = entries.join(heavy.select("bucket"), "bucket", "left_anti").join(buckets.where(F.col("size") <= limit), "bucket")
-    held = in_heavy.unionByName(in_light).withColumn("leader", F.col("code").bitwiseXOR(F.col("mask")))
+    held = join_uneven(entries, buckets, ["bucket"], "size", n_entries).withColumn("leader", F.col("code").bitwiseXOR(F.col("mask")))
     pair = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     stars = settle(pair(held, "node", "leader"))
     edges = _linked(stars, nodes, docs, words, percent)
@@ -286,11 +280,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not found.isEmpty():
         labels = components(edges.union(found))
 
-    whole = signed.where("n > 0").select("row", "doc_id", "key", "n", "digest").join(classes, ["n", "digest"]).join(labels, "node", "left").select("row", "doc_id", "key", "n", F.coalesce("label", "node").alias("label"))
+    # labels meet classes before classes meet rows: a row for each distinct set, then one join for all rows
+    named = settle(classes.join(labels, "node", "left").select("n", "digest", "copies", F.coalesce("label", "node").alias("label")))
+    total = signed.count()
+    full = signed.where("n > 0").select("row", "doc_id", "key", "n", "digest")
+    whole = join_uneven(full, named, ["n", "digest"], "copies", total).select("row", "doc_id", "key", "n", "label")
     whole = settle(whole.unionByName(signed.where("n = 0").select("row", "doc_id", "key", "n", F.col("row").alias("label"))))
-    first = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    lead = whole.join(first, "label").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("row").alias("lead"))
-    return whole.join(first.join(lead, "label"), "label").select(
+    # ids in order, null last, then rows: the first names the component and is its chosen row
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = settle(whole.groupBy("label").agg(order.alias("first"), F.count("*").alias("rows")).select("label", "rows", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("lead")))
+    return join_uneven(whole, first, ["label"], "rows", total).select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("lead")).alias("chosen")
     )
 
