@@ -272,10 +272,8 @@ def sport_distribution(workouts: DataFrame, end: str, days: int) -> DataFrame:
     """Each sport's share of stress, time and workouts in the days up to ``end``."""
     inside = workouts.where(F.col("date").between(F.date_sub(F.lit(end).cast("date"), days), F.lit(end).cast("date")))
     g = inside.groupBy("sport").agg(F.sum(F.coalesce("tss", F.lit(0.0))).alias("tss"), F.sum("duration_seconds").alias("seconds"), F.count("*").alias("n"))
-    all_ = g.agg(F.sum("tss").alias("t"), F.sum("seconds").alias("s"), F.sum("n").alias("c"))
-    return g.crossJoin(F.broadcast(all_)).select(  # one row
-        "sport", F.try_divide(F.col("tss") * 100, "t").alias("tss_pct"), F.try_divide(F.col("seconds") * 100.0, "s").alias("time_pct"), F.try_divide(F.col("n") * 100.0, "c").alias("count_pct")
-    )
+    share = lambda c: F.try_divide(F.col(c) * 100.0, F.sum(c).over(Window.partitionBy()))  # noqa: E731  a row a sport
+    return g.select("sport", share("tss").alias("tss_pct"), share("seconds").alias("time_pct"), share("n").alias("count_pct"))
 
 
 def seven_day_bins(workouts: DataFrame, start: str, weeks: int) -> DataFrame:
