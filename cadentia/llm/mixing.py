@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 
 from cadentia.llm.common import one_for_each, settle
 
+#: Words in a block and in an output shard, about; blocks of a source and shards of the mix at least.
+BLOCK_WORDS, SHARD_WORDS, LEAST_BLOCKS, LEAST_SHARDS = 1_000_000, 8_000_000, 256, 16
+#: Leaves of the tree at most: they and the sources make the table that the driver holds. More shards split leaves by hash.
+LEAVES = 4096
 #: Words as the mix counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,41 +64,41 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_documents(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
-    share: float = 1.5,
-    most: float = 2.0,
-    shards: int = 16,
-    blocks: int = 256,
-    seed: int = 20_240_501,
-) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20_240_501) -> DataFrame:
     """Take words of every source until its target; one row per document of the input.
 
     Columns: doc_id, lot, size, source, source_size, target, taken, and draws, an array
     of (pass, shard, position, words): the output shard that gets this copy, its
     shuffled position there, and how many of its words. lot is xxhash64(seed, doc_id, text), to join by. A source is cut by hash into
-    ``blocks`` permuted blocks; whole passes take all of them, the last pass takes
+    permuted blocks; whole passes take all of them, the last pass takes
     blocks in permuted order and the block at the edge document by document, the last one in
     part, so the sum meets the rounded target. No document gives more than ``most`` (a whole number) times its words.
+    Blocks and shards grow in number with the corpus, not in size.
 
     A null text has size 0, a null source is a source of its own and comes last;
     repeated rows each count; equal rows may swap their draws. A source without words
     has target 0. An empty table gives no rows. Other columns are not read. The driver
-    holds a row for each source and, for the tree, shards x sources numbers.
+    holds a row for each source and, for the tree, leaves x sources numbers.
     """
+    return _mix(docs, weights, share, most, seed)[0]
+
+
+def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> tuple[DataFrame, int]:
+    """The drawn documents, and how many shards there are."""
     spark = docs.sparkSession
-    sized = docs.select(
+    sized = settle(docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("lot"),
-    ).withColumn("block", F.pmod("lot", F.lit(blocks)).cast("int"))
-    sized = settle(sized)
-    sums = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    totals = [(r[0], int(r[1])) for r in sums.groupBy("source").agg(F.sum("words")).collect()]
+    ))
+    totals = [(r[0], int(r[1])) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
     totals.sort(key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets(totals, list(weights), share, most)
+    blocks = max(LEAST_BLOCKS, max((n for _, n in totals), default=0) // BLOCK_WORDS)
+    shards = max(LEAST_SHARDS, -(-round(sum(goal)) // SHARD_WORDS))
+    leaves = min(shards, LEAVES)
+    each = -(-shards // leaves)
     rows = []
     for i, ((source, size), target) in enumerate(zip(totals, goal, strict=True)):
         whole = min(round(target), int(most * size))
@@ -102,52 +106,63 @@ def mix_documents(
     plan = spark.createDataFrame(rows, "number int, source string, source_size long, target double, passes long, rest long")
     plan = F.broadcast(plan)  # a row for each source
 
+    sized = sized.withColumn("block", F.pmod("lot", F.lit(blocks)).cast("long"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "block"), "block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
     turned = (
         sums.join(plan, sums["source"].eqNullSafe(plan["source"]))
         .select(sums["source"], "block", "number", "source_size", "target", "passes", "rest", "words")
         .withColumn("turn", F.row_number().over(order) - 1)
-        .withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        .withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("whole", F.col("before") + F.col("words") <= F.col("rest"))
         .withColumn("edge", ~F.col("whole") & (F.col("before") < F.col("rest")))
         .withColumn("filled", F.count("*").over(Window.partitionBy("source")))
+        .withColumn("times", F.col("passes") + (F.col("whole") | F.col("edge")).cast("int"))
     )
-    turned = settle(turned)  # at most blocks rows for each source
+    turned = settle(turned)  # a row for each block
 
     quota = [0] * len(totals)
-    for number, n in turned.groupBy("number").agg(F.sum(F.col("passes") + F.when(F.col("whole") | F.col("edge"), 1).otherwise(0))).collect():
+    for number, n in turned.groupBy("number").agg(F.sum("times")).collect():
         quota[number] = int(n)
-    dealt = split_quotas(np.array(quota, np.int64), shards, seed)
-    ends = np.cumsum(dealt, axis=0)
-    bounds = F.broadcast(spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(totals))], "number int, ends array<long>"))
-
-    joined = sized.alias("d").join(turned.join(bounds, "number").alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-    joined = joined.select("doc_id", "d.source", "size", "lot", "d.block", "source_size", "target", "passes", "rest", "turn", "filled", "before", "whole", "edge", "ends")
+    dealt = split_quotas(np.array(quota, np.int64), leaves, seed)
+    begins = np.cumsum(dealt, axis=0) - dealt
+    starts = [(i, int(begins[leaf, i]), leaf) for i in range(len(totals)) for leaf in np.flatnonzero(dealt[:, i]).tolist()]
+    starts = spark.createDataFrame(starts, "number int, at long, leaf int")
+    # a source's draws in order, pass by pass; the last start at or before a draw is its leaf
+    draws = turned.where("times > 0").select("number", "block", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("k"), "filled", "turn")
+    draws = draws.select("number", ((F.col("k") - 1) * F.col("filled") + F.col("turn")).alias("at"), "block", "k", F.lit(None).cast("int").alias("leaf"))
+    both = draws.unionByName(starts.select("number", "at", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("k"), "leaf"))
+    last = Window.partitionBy("number").orderBy("at", F.col("block").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("leaf", F.last("leaf", ignorenulls=True).over(last)).where("block is not null")
+    found = found.groupBy("number", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "leaf"))), lambda x: x["leaf"]).alias("leaves"))  # most + 1 passes
+
+    known = turned.join(found, ["number", "block"], "left").alias("b")
+    joined = sized.alias("d").join(known, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
+    joined = joined.select("doc_id", "d.source", "size", "lot", "d.block", "source_size", "target", "passes", "rest", "before", "whole", "edge", "leaves")
     # one block of each source is ranked document by document
     within = Window.partitionBy("source").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = joined.where("edge").withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0)))))
     rest = joined.where(~F.col("edge")).withColumn("part", F.when(F.col("whole"), F.col("size")).otherwise(F.lit(0)))
     every = rest.unionByName(edge.withColumn("part", F.col("part").cast("long")))
-    # draws of a source, in order: pass 0 of all its blocks, pass 1, ...; the tree's bounds say which shard gets the draw
     draw = lambda k: F.struct(
         k.cast("int").alias("pass"),
-        F.size(F.filter("ends", lambda e: e <= k * F.col("filled") + F.col("turn"))).alias("shard"),
+        (F.get("leaves", k.cast("int")) * each + F.pmod(F.xxhash64(F.lit(seed), k, "source", "block"), F.lit(each)).cast("int")).alias("shard"),
         F.xxhash64(F.lit(seed), k, "lot").alias("position"),
         F.when(k < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"),
     )
-    return every.withColumn("taken", F.col("size") * F.col("passes") + F.col("part")).withColumn(
+    out = every.withColumn("taken", F.col("size") * F.col("passes") + F.col("part")).withColumn(
         "draws", F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), draw), lambda d: d["words"] > 0)
-    ).select("doc_id", "lot", "size", "source", "source_size", "target", "taken", "draws")
+    )
+    return out.select("doc_id", "lot", "size", "source", "source_size", "target", "taken", "draws"), leaves * each
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 20_240_501, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20_240_501) -> DataFrame:
     """The mix itself: a row for each draw with all of docs' columns, and _shard; within a shard shuffled.
 
     The one document that a source's target cuts is drawn whole if at least half of it is taken, else not.
     Otherwise as mix_documents.
     """
-    drawn = mix_documents(docs, shards=shards, seed=seed, **options)
+    drawn, shards = _mix(docs, weights, share, most, seed)
     whole = F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))
     drawn = drawn.select(F.col("lot").alias("_lot"), whole.alias("_draws")).where(F.size("_draws") > 0)
     drawn = drawn.groupBy("_lot").agg(F.flatten(F.collect_list("_draws")).alias("_draws"), F.count("*").alias("_copies"))  # more than one for repeated rows only

@@ -165,6 +165,23 @@ def test_split_quotas():
     assert abs(out.sum(axis=1) - 310 / 7).max() <= 3
 
 
+def test_mixing_in_many_shards(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(mixing, "LEAVES", 32)
+    docs = cases.given(spark, sf_dir)[0]
+    plain = {r.doc_id: r for r in mixing.mix_documents(docs).collect()}
+    words = Counter()
+    for r in plain.values():
+        assert r.taken == sum(d["words"] for d in r.draws)
+        for d in r.draws:
+            words[d["shard"]] += d["words"]
+    total = sum(words.values())
+    assert len(words) > 32 and max(words.values()) < 0.25 * total
+    mixed = Counter(r.doc_id for r in mixing.mixed_documents(docs).select("doc_id").collect())
+    assert all(mixed[i] == sum(2 * d["words"] >= r.size for d in r.draws) for i, r in plain.items())
+
+
 def test_mixing(spark, sf_dir):
     for docs in (cases.frame(spark), cases.given(spark, sf_dir)[0]):
         rows = docs.select("doc_id", "text", "source").collect()
