@@ -49,13 +49,10 @@ def mean_max(points: DataFrame, durations: tuple[int, ...]) -> DataFrame:
 
 def mean_max_full(points: DataFrame, longest: int = 7200) -> DataFrame:
     """The whole mean-maximal curve, every duration up to ``longest``, from prefix sums: one pass per duration, nothing recomputed."""
-    ordered = points.where("power is not null").groupBy("workout_id").agg(F.array_sort(F.collect_list(F.struct("seq", "power"))).alias("xs"))
-    prefix = F.aggregate(
-        F.transform("xs", lambda x: x["power"].cast("long")),
-        F.array(F.lit(0).cast("long")),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p)),
-    )
-    sums = ordered.select("workout_id", prefix.alias("p"))
+    running = F.sum("power").over(_by_workout().rowsBetween(Window.unboundedPreceding, 0))
+    known = points.where("power is not null").select("workout_id", "seq", running.alias("s"))
+    ordered = known.groupBy("workout_id").agg(F.array_sort(F.collect_list(F.struct("seq", "s"))).alias("xs"))
+    sums = ordered.select("workout_id", F.concat(F.array(F.lit(0).cast("long")), F.transform("xs", lambda x: x["s"])).alias("p"))
     by_duration = sums.select("workout_id", "p", F.explode(F.sequence(F.lit(1), F.least(F.size("p") - 1, F.lit(longest)))).alias("duration_s"))
     best = F.expr("array_max(transform(sequence(0, size(p) - 1 - duration_s), i -> (p[i + duration_s] - p[i]) div duration_s))")
     return by_duration.select("workout_id", "duration_s", best.cast("int").alias("max_power"))
