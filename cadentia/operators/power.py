@@ -53,9 +53,10 @@ def mean_max_full(points: DataFrame, longest: int = 7200) -> DataFrame:
     known = points.where("power is not null").select("workout_id", "seq", running.alias("s"))
     ordered = known.groupBy("workout_id").agg(F.array_sort(F.collect_list(F.struct("seq", "s"))).alias("xs"))
     sums = ordered.select("workout_id", F.concat(F.array(F.lit(0).cast("long")), F.transform("xs", lambda x: x["s"])).alias("p"))
-    by_duration = sums.select("workout_id", "p", F.explode(F.sequence(F.lit(1), F.least(F.size("p") - 1, F.lit(longest)))).alias("duration_s"))
-    best = F.expr("array_max(transform(sequence(0, size(p) - 1 - duration_s), i -> (p[i + duration_s] - p[i]) div duration_s))")
-    return by_duration.select("workout_id", "duration_s", best.cast("int").alias("max_power"))
+    # the curve is made as an array, so that no duration's row carries the sums along
+    best = F.expr(f"transform(sequence(1, least(size(p) - 1, {longest})), d -> array_max(transform(sequence(0, size(p) - 1 - d), i -> (p[i + d] - p[i]) div d)))")
+    curve = sums.select("workout_id", F.posexplode(best).alias("i", "max_power"))
+    return curve.select("workout_id", (F.col("i") + 1).alias("duration_s"), F.col("max_power").cast("int").alias("max_power"))
 
 
 def aggregate_curves(curves: DataFrame) -> DataFrame:
