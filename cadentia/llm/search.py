@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cadentia.llm.common import WordHashes, settle, slices, texts
+from cadentia.llm.common import WordHashes, settle, slices, texts, tidied
 
 #: Documents in a block; postings in a shard, about; queries sent out at once.
-BLOCK, SHARD_POSTINGS, QUERIES = 64, 1_500_000, 4_000
+BLOCK, SHARD_POSTINGS, QUERIES = 64, 2_000_000, 4_000
+
+#: Covers sums in another order and scores that tie after rounding.
+SLACK = 1e-8
 
 
 @dataclass
@@ -68,8 +70,8 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), owner
 
 
-def top(shard: Shard, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the shard's k best documents that share a term with the query, ties by id."""
+def top(shard: Shard, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the shard's k best documents that share a term with the query, ties by id; none below ``least``."""
     n = len(shard.ids)
     at = np.minimum(np.searchsorted(shard.terms, terms), max(len(shard.terms) - 1, 0))
     there = shard.terms[at] == terms if len(shard.terms) else np.zeros(len(terms), bool)
@@ -83,10 +85,9 @@ def top(shard: Shard, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.nd
     scores = np.zeros(n)
     waiting = np.argsort(-bound, kind="stable")
     waiting = waiting[bound[waiting] > 0]
-    least, ahead = 0.0, max(1, -(-k // BLOCK))
+    ahead = max(2, -(-k // BLOCK))
     while len(waiting):
-        # the slack covers sums in another order
-        waiting = waiting[bound[waiting] >= least * (1 - 1e-12)]
+        waiting = waiting[bound[waiting] >= least - SLACK]
         if not len(waiting):
             break
         now, waiting = waiting[:ahead], waiting[ahead:]
@@ -96,15 +97,20 @@ def top(shard: Shard, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.nd
         postings, cell = _ranges(shard.starts[cells[mine]], shard.starts[cells[mine] + 1])
         scores += np.bincount(shard.docs[postings], shard.parts[postings] * weight[mine][cell], n)
         if n >= k:
-            least = np.partition(scores, n - k)[n - k]
-        ahead *= 8
-    found = np.flatnonzero(scores > 0)
+            least = max(least, np.partition(scores, n - k)[n - k])
+        ahead *= 64
+    found = np.flatnonzero((scores > 0) & (scores >= least - SLACK))
     if len(found) > k:
-        found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
-    found = found[np.lexsort((shard.ids[found], -scores[found]))][:k]
+        found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - SLACK]
+    found = found[ranked(shard.ids[found], scores[found], k)]
     return found, scores[found]
 
 
+def ranked(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The k best by score to nine decimals, ties by id."""
+    return np.lexsort((ids, -np.round(scores, 9)))[:k]
+
+
 def _counted(memo: WordHashes, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
     words = memo.of((text or b"").lower().split())
     terms, n = np.unique(words, return_counts=True)
@@ -145,14 +151,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
 
     fields = ["ids", "lengths", "terms", "ends", "docs", "tf"]
     kinds = [np.int64, np.int64, np.uint64, np.int64, np.uint32, np.uint32]
-    indexed = settle(docs.mapInArrow(index, ", ".join(f"{f} binary" for f in fields)))
+    indexed = settle(docs.mapInArrow(tidied(index), ", ".join(f"{f} binary" for f in fields)))
 
     def sized(batches):
         for batch in batches:
             lengths = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in lengths], pa.int64()), pa.array([int(x.sum()) for x in lengths], pa.int64())], names=["n", "words"])
 
-    n_docs, total = (x or 0 for x in indexed.mapInArrow(sized, "n long, words long").agg(F.sum("n"), F.sum("words")).first())
+    n_docs, total = (x or 0 for x in indexed.mapInArrow(tidied(sized), "n long, words long").agg(F.sum("n"), F.sum("words")).first())
     mean = max(total / n_docs if n_docs else 0.0, 1e-9)
 
     def measure(batches):
@@ -161,15 +167,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
             terms = [_counted(memo, t)[0].tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], names=["id", "terms"])
 
-    asked = settle(queries.select(F.col("query_id").cast("long"), "text").mapInArrow(measure, "id long, terms binary").withColumn("row", F.monotonically_increasing_id()))
+    asked = settle(queries.select(F.col("query_id").cast("long"), "text").mapInArrow(tidied(measure), "id long, terms binary").withColumn("row", F.monotonically_increasing_id()))
 
-    def frequencies(batches):
-        for batch in batches:
-            for terms, ends in zip(*(batch.column(fields.index(f)).to_pylist() for f in ("terms", "ends")), strict=True):
-                n = np.diff(np.frombuffer(ends, np.int64), prepend=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(n)], names=["term", "n"])
-
-    counts = indexed.mapInArrow(frequencies, "term long, n long")
     results = None
     width = max(1, -(-asked.count() // QUERIES))
     for part in range(width):
@@ -178,30 +177,43 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         vocabulary = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         asks = spark.sparkContext.broadcast(vocabulary)
 
-        def known(batches, asks=asks):
+        def frequencies(batches, asks=asks):
             for batch in batches:
-                yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy().view(np.uint64), asks.value)))
-
-        df = counts.mapInArrow(known, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # terms of the block's queries
+                for terms, ends in zip(*(batch.column(fields.index(f)).to_pylist() for f in ("terms", "ends")), strict=True):
+                    terms, n = np.frombuffer(terms, np.uint64), np.diff(np.frombuffer(ends, np.int64), prepend=0)
+                    if len(terms):
+                        at = np.minimum(np.searchsorted(terms, asks.value), len(terms) - 1)
+                        there = terms[at] == asks.value
+                        yield pa.RecordBatch.from_arrays([pa.array(asks.value[there].view(np.int64)), pa.array(n[at[there]])], names=["term", "n"])
+
+        df = indexed.mapInArrow(tidied(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # terms of the block's queries
         df_terms, df_n = df["term"].to_numpy(np.int64).view(np.uint64), df["n"].to_numpy(np.float64)
         idf = np.zeros(len(vocabulary))
         idf[np.searchsorted(vocabulary, df_terms)] = np.log(1 + (n_docs - df_n + 0.5) / (df_n + 0.5))
         plan = spark.sparkContext.broadcast([(r.row, r.id, t, idf[np.searchsorted(vocabulary, t)]) for r, t in zip(block, wanted, strict=True) if len(t)])
 
         def ask(batches, plan=plan):
+            none = np.zeros(0, np.int64), np.zeros(0)
+            best = [none] * len(plan.value)  # each query's k best of this task's shards
             for batch in batches:
-                for row in zip(*(batch.column(f).to_pylist() for f in fields), strict=True):  # a row is a shard
+                for i in range(batch.num_rows):  # a row is a shard
+                    row = [batch.column(f)[i].as_buffer() for f in fields]
                     shard = load([np.frombuffer(x, kind) for x, kind in zip(row, kinds, strict=True)], mean, k1, b)
-                    out = ([], [], [], [])
-                    for number, query, terms, weights in plan.value:
-                        places, scores = top(shard, terms, weights, k)
-                        for column, values in zip(out, ([number] * len(places), [query] * len(places), shard.ids[places].tolist(), scores.tolist()), strict=True):
-                            column.extend(values)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["row", "query_id", "doc_id", "score"])
-
-        found = indexed.mapInArrow(ask, "row long, query_id long, doc_id long, score double")
-        # at most k rows for each query and shard
-        best = Window.partitionBy("row").orderBy(F.desc(F.round("score", 9)), "doc_id")
-        merged = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+                    for q, (_, _, terms, weights) in enumerate(plan.value):
+                        ids, scores = best[q]
+                        places, more = top(shard, terms, weights, k, scores[-1] if len(scores) == k else 0.0)
+                        if len(places):
+                            ids, scores = np.concatenate([ids, shard.ids[places]]), np.concatenate([scores, more])
+                            keep = ranked(ids, scores, k)
+                            best[q] = ids[keep], scores[keep]
+            held = [(number, query, *found) for (number, query, _, _), found in zip(plan.value, best, strict=True) if len(found[0])]
+            columns = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array([x[2].tolist() for x in held], pa.list_(pa.int64())), pa.array([x[3].tolist() for x in held], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "query_id", "ids", "scores"])
+
+        found = indexed.mapInArrow(tidied(ask), "row long, query_id long, ids array<long>, scores array<double>")
+        # k entries at most from each task
+        entries = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-F.round(x["scores"], 9)).alias("by"), x["ids"].alias("doc_id"), x["scores"].alias("score")))
+        best = found.groupBy("row", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(entries))), 1, k).alias("best"))
+        merged = best.select("query_id", F.posexplode("best").alias("place", "x")).select("query_id", (F.col("place") + 1).alias("rank"), "x.doc_id", "x.score")
         results = merged if results is None else results.unionByName(merged)
     return results
