@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cadentia.llm.common import WordHashes, settle, slices, texts, tidied
 
 #: Documents in a block; postings in a shard, about; queries sent out at once.
-BLOCK, SHARD_POSTINGS, QUERIES = 64, 2_000_000, 4_000
+BLOCK, SHARD_POSTINGS, QUERIES = 64, 4_000_000, 4_000
 
 #: Covers sums in another order and scores that tie after rounding.
 SLACK = 1e-8
