@@ -6,11 +6,17 @@ normalised by the geometric mean of their counts. Nyström landmarks turn it int
 features, one-versus-rest kernel ridge regression into languages. The kernel is an
 inner product of presence vectors, so landmarks, whitening and regression fold
 into one matrix, and a batch of texts is scored by one sparse matrix product.
+
+The regression values of a text sum to one, so they tell languages apart but never
+that a text is in none of them. That is told by the kernel itself: a text's mean
+similarity to the landmarks of its language against what texts of that language have
+at that length, which needs no other language.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +27,8 @@ from cadentia.llm.common import slices, texts, tidied
 
 ORDERS, BITS = (1, 2, 3, 4), 16
 _SCRAMBLE = np.uint32(2654435761)
+#: A text is foreign below this part of the similarity that all but a hundredth of its language's texts reach.
+FLOOR, FLOOR_QUANTILE = 0.9, 0.01
 
 
 def grams(text: bytes, seen: np.ndarray) -> np.ndarray:
@@ -46,24 +54,67 @@ def has_letter(text: bytes) -> bool:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    weights: np.ndarray  # buckets x languages
+    weights: np.ndarray  # buckets x languages: regression
     bias: np.ndarray
+    centres: np.ndarray  # buckets x languages: mean of the landmarks' normalised presence vectors
+    floors: np.ndarray  # BITS + 1 x languages: least similarity of a text with 2^k n-grams
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        lengths = np.array([len(r) for r in rows])
-        sums = np.zeros((len(rows), len(self.languages)))
+    @cached_property
+    def _both(self) -> np.ndarray:
+        return np.hstack([self.weights, self.centres])
+
+    def judged(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Regression values, and similarities less the floors; texts x languages each."""
+        lengths, k = np.array([len(r) for r in rows]), len(self.languages)
+        sums = np.zeros((len(rows), 2 * k))
         filled = lengths > 0
         if filled.any():
             starts = np.cumsum(lengths[filled]) - lengths[filled]
-            sums[filled] = np.add.reduceat(self.weights[np.concatenate([r for r in rows if len(r)])], starts, axis=0)
-        return sums / np.sqrt(np.maximum(lengths, 1))[:, None] + self.bias
+            sums[filled] = np.add.reduceat(self._both[np.concatenate([r for r in rows if len(r)])], starts, axis=0)
+        sums /= np.sqrt(np.maximum(lengths, 1))[:, None]
+        size = np.log2(np.maximum(lengths, 1))
+        floors = np.stack([np.interp(size, np.arange(BITS + 1), f) for f in self.floors.T], axis=1) if k else sums[:, :0]
+        return sums[:, :k] + self.bias, sums[:, k:] - floors
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        return self.judged(rows)[0]
+
+
+def _unfitted(languages: list[str]) -> LanguageModel:
+    k = len(languages)
+    return LanguageModel(languages, np.zeros((1 << BITS, k)), np.full(k, 1 / max(k, 1)), np.zeros((1 << BITS, k)), np.zeros((BITS + 1, k)))
+
+
+def _floor(texts_of: list[tuple[bytes, np.ndarray, bool]], centre: np.ndarray, marks: int, seen: np.ndarray) -> np.ndarray:
+    """Least similarities of a language by number of n-grams, from (text, its n-grams, is a landmark).
+
+    Beginnings of 16 bytes, 32 and so on stand for short texts. A landmark is compared with the others only.
+    """
+    found: dict[int, list[float]] = {}
+    for text, row, mark in texts_of:
+        if mark and marks == 1 or not has_letter(text):
+            continue
+        begins = [grams(text[: 1 << k], seen) for k in range(4, max(4, (len(text) - 1).bit_length()))]
+        for part in [*begins, row]:
+            if len(part):
+                value = centre[part].sum() / np.sqrt(len(part))
+                if mark:  # the part lies wholly in its own landmark
+                    value = (marks * value - np.sqrt(len(part) / len(row))) / (marks - 1)
+                found.setdefault(round(np.log2(len(part))), []).append(value)
+    if not found:
+        return np.zeros(BITS + 1)  # nothing to compare with: no text is foreign
+    known = sorted(found)
+    least = [FLOOR * np.quantile(found[k], FLOOR_QUANTILE) for k in known]
+    at = np.arange(BITS + 1)
+    # similarity to others grows at most, and past the known lengths shrinks at most, as the root of the length
+    return np.interp(at, known, least) * 2.0 ** (-np.abs(at - np.clip(at, known[0], known[-1])) / 2)
 
 
 def fit(samples: list[tuple[bytes, str]], landmarks: int = 256, ridge: float = 1e-2, seed: int = 7) -> LanguageModel:
     """Kernel ridge regression on Nyström features of ``landmarks`` of the samples."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
-        return LanguageModel([], np.zeros((1 << BITS, 0)), np.zeros(0))
+        return _unfitted([])
     seen = np.zeros(1 << BITS, bool)
     rows = [grams(text, seen) for text, _ in samples]
     rng = np.random.default_rng(seed)
@@ -77,7 +128,7 @@ def fit(samples: list[tuple[bytes, str]], landmarks: int = 256, ridge: float = 1
                 if len(rows[i]):
                     chosen.append(i)
     if not chosen:
-        return LanguageModel(languages, np.zeros((1 << BITS, len(languages))), np.full(len(languages), 1 / len(languages)))
+        return _unfitted(languages)
     marks = np.zeros((len(chosen), 1 << BITS), np.float32)
     for k, i in enumerate(chosen):
         marks[k, rows[i]] = 1 / np.sqrt(len(rows[i]))
@@ -94,7 +145,13 @@ def fit(samples: list[tuple[bytes, str]], landmarks: int = 256, ridge: float = 1
     centre = weight @ features
     left = (features - centre) * weight[:, None]
     beta = np.linalg.solve(left.T @ (features - centre) + ridge / len(samples) * np.eye(features.shape[1]), left.T @ (wanted - bias))
-    return LanguageModel(languages, (marks.T @ (whiten @ beta).astype(np.float32)).astype(np.float64), bias - centre @ beta)
+    own = np.array([[samples[i][1] == x for x in languages] for i in chosen], np.float32)
+    centres = (marks.T @ (own / np.maximum(own.sum(axis=0), 1))).astype(np.float64)
+    is_mark = set(chosen)
+    floors = [
+        _floor([(text, rows[i], i in is_mark) for i, (text, x) in enumerate(samples) if x == lang], centres[:, k], int(own[:, k].sum()), seen) for k, lang in enumerate(languages)
+    ]
+    return LanguageModel(languages, (marks.T @ (whiten @ beta).astype(np.float32)).astype(np.float64), bias - centre @ beta, centres, np.stack(floors, axis=1))
 
 
 def train(docs: DataFrame, usable: Column, per_language: int = 500, **options) -> LanguageModel:
@@ -120,9 +177,11 @@ def train(docs: DataFrame, usable: Column, per_language: int = 500, **options) -
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score (0 to 1, the winner's regression value).
+    """The columns ``keep`` with lang_pred, score (0 to 1, the winner's regression value) and margin.
 
-    ``und`` with score 0 where the text is null or has no letter, or nothing was
+    margin is the similarity to the winner's landmarks less the least that the language's own
+    texts have at that length: below 0 the text is in no language that was learned.
+    ``und`` with score and margin 0 where the text is null or has no letter, or nothing was
     learned; ties go to the language first by name. Whole texts count, repeated rows
     give repeated rows, an empty table gives none; other columns are not read.
     """
@@ -133,13 +192,14 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
         for batch in slices(batches):
             found = texts(batch)
             lettered = [t is not None and bool(known.languages) and has_letter(t) for t in found]
-            values = known.scores([grams(t, seen) if ok else np.zeros(0, np.int64) for t, ok in zip(found, lettered, strict=True)])
+            values, margins = known.judged([grams(t, seen) if ok else np.zeros(0, np.int64) for t, ok in zip(found, lettered, strict=True)])
             best = values.argmax(axis=1) if known.languages else np.zeros(len(found), int)
             columns = {name: batch.column(batch.schema.get_field_index(name)) for name in keep}
             columns["lang_pred"] = pa.array([known.languages[i] if ok else "und" for i, ok in zip(best, lettered, strict=True)], pa.string())
             columns["score"] = pa.array([float(min(max(v[i], 0.0), 1.0)) if ok else 0.0 for v, i, ok in zip(values, best, lettered, strict=True)], pa.float64())
+            columns["margin"] = pa.array([float(m[i]) if ok else 0.0 for m, i, ok in zip(margins, best, lettered, strict=True)], pa.float64())
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     columns = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*columns).mapInArrow(tidied(score), f"{schema}, lang_pred string, score double")
+    return docs.select(*columns).mapInArrow(tidied(score), f"{schema}, lang_pred string, score double, margin double")

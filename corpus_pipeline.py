@@ -15,15 +15,12 @@ from cadentia.llm import langid, mixing, neardup, packing, pii
 from cadentia.llm.common import shared_folder
 from cadentia.llm.entry import tokenizer_path
 
-#: A language's regression value below which a text is in none that was learned.
-LEAST_SCORE = 0.2
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no known language go, nulls and texts without a letter too; lang becomes the language found."""
     model = langid.train(docs, F.lit(True))
     found = langid.identify(docs, model, docs.columns)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("margin") >= 0))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
