@@ -1,9 +1,9 @@
 """Finding and sanitising personal data, in DataFrame operations.
 
 Patterns find the protected entities (email, ip, card, phone). Then
-information theory finds the words that give an entity away: from contexts (the
-words around an entity's places, equal contexts counted once) and the word
-counts of the whole corpus,
+information theory finds the words that give an entity away: a term that stands in
+enough contexts of an entity (the words around its places, equal ones counted once) is
+weighed by how often it stands there and how often in the whole corpus, copies included in both,
 
     disclosure(t, e) = 1 - ln(n(t) / n(t, e)) / ln(T / (2 * WORDS * n(e)))
 
@@ -111,12 +111,16 @@ def disclosing(docs: DataFrame, marked: DataFrame, least_contexts: int, generali
     spark = docs.sparkSession
     places = marked.select(F.explode("_near").alias("n")).select("n.entity", F.array_distinct(F.transform("n.terms", lambda t: t["term"])).alias("terms"))
     contexts = places.withColumn("digest", F.xxhash64("terms")).dropDuplicates(["entity", "digest"])
-    seen = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least_contexts)
-    together = (
-        contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-        .where(F.col("n_te") >= least_contexts).join(seen, "entity")
+    seen = contexts.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= least_contexts)
+    proven = (
+        contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_c"))
+        .where(F.col("n_c") >= least_contexts).join(seen.select("entity"), "entity").select("entity", "term")
     )
-    together = settle(together)
+    # counts are of places, copies included, as the corpus counts are; a place near two mentions counts once
+    beside = F.array_distinct(F.flatten(F.transform("_near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t["term"].alias("term"), t["start"].alias("start"))))))
+    near = marked.select(F.explode(beside).alias("b")).groupBy("b.entity", "b.term").agg(F.count("*").alias("n_te"))
+    mentions = places.groupBy("entity").agg(F.count("*").alias("n_e"))
+    together = settle(proven.join(near, ["entity", "term"]).join(mentions, "entity"))
     wanted = together.select("term").distinct()
     n_terms = wanted.count()
     if not n_terms:
