@@ -10,7 +10,7 @@ weighed by how often it stands there and how often in the whole corpus, copies i
 that is the pointwise mutual information of term and entity over the entity's own
 information: 1 for a term that is found with the entity only, 0 for one that is found
 there as often as anywhere. A term beyond the lower threshold is generalised, beyond
-the upper one removed, wherever it stands near its entity.
+the upper one removed, wherever it stands in a text that holds its entity.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # whole chains of 14 to 19 digits
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words on each side that make an entity's context, and the characters they are looked for in.
-WORDS, REACH = 8, 160
+#: Words on each side that make an entity's context.
+WORDS = 8
 TERM = r"[\p{L}\p{M}]{3,}"
+# up to 64 runs of letters with what stands before them, or a tail without any; the pieces join without a gap and cut no run
+PIECE = r"(?:[^\p{L}\p{M}]*+[\p{L}\p{M}]++){1,64}+|[^\p{L}\p{M}]++"
 #: Candidate terms up to here are broadcast (about 100 bytes each) to count them in the corpus.
 BROADCAST_TERMS = 50_000
 
@@ -84,26 +86,44 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of_kind(spans, k) for k, spans in enumerate(found))))
 
 
-def _context(text: Column, start: Column, end: Column) -> Column:
-    """Terms near a span: array of (term, start, end)."""
-    lead = F.least(start, F.lit(REACH))
-    left = F.substring(text, start - lead + 1, lead)
-    right = F.substring(text, end + 1, F.lit(REACH))
-    terms = lambda part, at: F.transform(located(part, TERM), lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
-    before, after = terms(left, start - lead), terms(right, end)
-    # a term that the reach cuts is left out
-    before = F.filter(before, lambda s: (s["start"] > start - lead) | (s["start"] == 0))
-    after = F.filter(after, lambda s: s["end"] < end + REACH)
-    return F.concat(F.slice(before, F.greatest(F.size(before) - WORDS + 1, F.lit(1)), F.lit(WORDS)), F.slice(after, F.lit(1), F.lit(WORDS)))
+def _terms(text: Column) -> Column:
+    """All terms of a text: array of (start, end, term), in order, piece by piece so that long texts take linear time."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    begins = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
+    moved = lambda at, piece: F.transform(located(piece, TERM), lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), F.lower(s["value"]).alias("term")))
+    return F.flatten(F.zip_with(F.slice(begins, 1, F.size(pieces)), pieces, moved))
+
+
+def _ranks(terms: Column, spans: Column, edge: str) -> Column:
+    """For each span, in order, how many terms start before its edge; by one sort, not a search a span."""
+    ends = F.transform(spans, lambda s, k: F.struct(s[edge].alias("at"), F.lit(0).alias("of"), k.alias("k")))
+    starts = F.transform(terms, lambda t: F.struct(t["start"].alias("at"), F.lit(1).alias("of"), F.lit(0).alias("k")))
+    placed = F.transform(F.array_sort(F.concat(ends, starts)), lambda x, i: F.struct(x["of"].alias("of"), x["k"].alias("k"), i.alias("i")))
+    counted = F.transform(F.filter(placed, lambda x: x["of"] == 0), lambda x, j: F.struct(x["k"].alias("k"), (x["i"] - j).alias("n")))
+    return F.transform(F.array_sort(counted), lambda x: x["n"])
 
 
 def _marked(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with their base spans and, for each span, the entity and the terms near it."""
+    """Rows with their base spans and, for each span, the entity and the WORDS terms on each side of it."""
     rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_base", base_spans(F.col("_text")))
-    near = F.transform("_base", lambda s: F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), _context(F.col("_text"), s["start"], s["end"]).alias("terms")))
-    inside = lambda t: F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    clean = F.transform("_near", lambda n: F.struct(n["entity"].alias("entity"), F.filter(n["terms"], lambda t: ~inside(t)).alias("terms")))
-    return rows.withColumn("_near", near).withColumn("_near", clean)
+    rows = rows.withColumn("_words", F.when(F.size("_base") > 0, _terms(F.col("_text"))).otherwise(F.array().cast("array<struct<start:int,end:int,term:string>>")))
+
+    def context(words: Column, side: Column) -> Column:
+        at = lambda d: F.when(d < 0, side["left"] + d).otherwise(side["right"] + d)
+        return F.filter(F.transform(F.array(*map(F.lit, range(-WORDS, WORDS))), lambda d: F.get(words, at(d))), lambda t: t.isNotNull())
+
+    def beside(words: Column) -> Column:
+        sides = F.zip_with(_ranks(words, F.col("_base"), "start"), _ranks(words, F.col("_base"), "end"), lambda left, right: F.struct(left.alias("left"), right.alias("right")))
+        return F.zip_with("_base", sides, lambda s, side: F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), context(words, side).alias("terms")))
+
+    near = F.transform(F.array("_words"), beside)[0]  # bound to a variable, so that the words are found once, not for each span
+    clean = F.transform("_near", lambda n: F.struct(n["entity"].alias("entity"), F.filter(n["terms"], lambda t: ~_inside(t)).alias("terms")))
+    return rows.withColumn("_near", near).withColumn("_near", clean).drop("_words")
+
+
+def _inside(t: Column) -> Column:
+    """Whether a term shares a character with a base span."""
+    return F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
 
 
 def disclosing(docs: DataFrame, marked: DataFrame, least_contexts: int, generalise: float) -> DataFrame:
@@ -144,18 +164,18 @@ def find(docs: DataFrame, keep: list[str], least_contexts: int = 3, generalise:
     gives none; ``docs`` may have any other columns.
     """
     marked = _marked(docs, keep)
-    if text:  # only rows with spans carry their text on; the others are read again at the end
-        slim = marked.where(F.size("_base") > 0).select(*keep, "_text", "_base", "_near")
-    else:
-        slim = marked.select(*keep, "_base", "_near")
+    # only rows with spans carry their text on
+    body = F.when(F.size("_base") > 0, F.col("_text")).alias("_text")
+    slim = (marked.where(F.size("_base") > 0) if text else marked).select(*keep, body, "_base", "_near")
     slim = settle(slim.withColumn("_row", F.monotonically_increasing_id()))  # ids may repeat, settled row numbers don't
     told = disclosing(docs, slim, least_contexts, generalise)
+    # what discloses an entity is masked wherever it stands in the texts that hold the entity
+    held = slim.select("_row", F.explode(F.array_distinct(F.transform("_near", lambda n: n["entity"]))).alias("entity"))
+    wanted = settle(held.join(told, "entity").groupBy("_row", "term").agg((F.max("disclosure") >= remove).alias("removed")))
+    words = slim.join(wanted.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode(F.filter(_terms(F.col("_text")), lambda t: ~_inside(t))).alias("t"))
     hits = (
-        slim.select("_row", F.explode("_near").alias("n")).select("_row", "n.entity", F.explode("n.terms").alias("t"))
-        .select("_row", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-        .join(told, ["entity", "term"])
-        .groupBy("_row", "start", "end").agg((F.max("disclosure") >= remove).alias("removed"))
-        .groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("_terms"))  # at most 2 * WORDS for each span of one row
+        words.select("_row", "t.term", "t.start", "t.end").join(wanted, ["_row", "term"])
+        .groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("_terms"))  # at most the words of one text
     )
     plain = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")

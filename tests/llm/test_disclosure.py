@@ -41,3 +41,38 @@ def test_copies_alone_prove_nothing(spark):
     words[30:30] = ["Quillon", "met", "anna@example.org", "near"]
     docs = spark.createDataFrame(others() + [(1000 + i, " ".join(words)) for i in range(50)], "doc_id long, text string")
     assert not pii.find(docs, ["doc_id"]).where(F.exists("spans", lambda s: s["kind"] == 4)).count()
+
+
+def test_terms_are_masked_in_the_whole_text(spark):
+    rows = others()
+    for i in range(3):
+        words = prose(i)
+        words[30:30] = ["Quillon", "met", "anna@example.org", "near"]
+        rows.append((1000 + i, " ".join([*words, *prose(i, 90), "then", "Quillon", "left"])))
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], text=True).collect()}
+    for i, text in rows[-3:]:
+        assert sum(text[s.start : s.end] == "Quillon" for s in out[i].spans) == 2
+        assert "Quillon" not in out[i].sanitised
+
+
+def test_eight_words_are_counted_by_words(spark):
+    """Long words, padding and runs of letters without spaces are within the eight words."""
+    long, run = "Quillon" * 30, "\u6771\u4eac\u90fd" * 80
+    rows = others()
+    for i in range(3):
+        words = prose(i)
+        words[30:30] = [run, long, "-" * 400, "anna@example.org", "=" * 400, "Zebulon"]
+        rows.append((1000 + i, " ".join(words)))
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    for i, text in rows[-3:]:
+        assert named(out[i].spans, text) >= {long, run, "Zebulon"}
+
+
+def test_terms_of_texts(spark):
+    """Pieces give the terms that one search over the whole text gives."""
+    import re
+
+    texts = ["", "...", "ab", "abc", "a b c def", " 1x " * 500 + "caf\u00e9s", "word " * 1000 + "..", "w\u00f6rd-\n\U0001f600 mar\u0301a 12abc " * 300, "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", pii._terms(F.col("t")).alias("w")).collect():
+        assert [(w.start, w.end) for w in r.w] == [m.span() for m in re.finditer(r"(?:[^\W\d_]|\u0301){3,}", texts[r.i])]
