@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cadentia.llm.common import MEMO_WORDS, settle, slices, texts, tidied
 
 #: Frequent words that are classes of their own; classes by spelling; hashed features; words whose counts are sent out.
-FREQUENT, SPELLINGS, BUCKETS, HEAD = 16, 16, 1 << 13, 1 << 16
+FREQUENT, SPELLINGS, BUCKETS, HEAD = 24, 32, 1 << 13, 1 << 16
 CLASSES = FREQUENT + SPELLINGS
 #: A word's number is its 64-bit hash with the class of its spelling in the lowest bits.
 _SPELLING = SPELLINGS - 1
@@ -275,9 +275,9 @@ def _trained(taught: DataFrame, shared, weights: np.ndarray, bias: np.ndarray, r
                 features.append(histories(h))
                 classes.append(classes_of(known, h, *known.look(h)))
             features, classes = np.concatenate(features), np.concatenate(classes)
-            for i in range(0, len(classes), 4 * run):
-                step(w, b, features[i : i + 4 * run], classes[i : i + 4 * run], rate / (1 + read / 2e6) ** 0.5)
-                read += min(4 * run, len(classes) - i)
+            for i in range(0, len(classes), run):
+                step(w, b, features[i : i + run], classes[i : i + run], rate / (1 + read / 2e6) ** 0.5)
+                read += min(run, len(classes) - i)
             seen += np.bincount(features.ravel(), minlength=BUCKETS)  # bucket numbers fit 16 bits
         if read:
             # each row counts by how often the task has seen its feature
