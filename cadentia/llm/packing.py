@@ -1,24 +1,26 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps.
-
-Pieces are at most ``length`` tokens long, so documents sorted by size and
-gaps sorted by size both collapse to at most ``length`` runs of equals. One
-superstep takes the longest unplaced size; its successor sweep walks the
-gap runs upward from that size (best fit) and opens new sequences where no gap
-is left; rank within a size resolves who gets which place; the gaps shrink and
-the next superstep begins. The supersteps work on runs (a table whose size
-depends on ``length`` only), the ranks and the placing work on the rows.
+"""Best-fit packing of token sequences, in bulk-synchronous supersteps.
+
+Bands of lengths are packed from the longest down. In a superstep the band's pieces
+and the open gaps (the free ends of sequences) are sorted by range together, the
+largest first, and swept: read as brackets, a gap opens and a piece closes, so each piece meets
+the smallest free gap that holds it (its successor). A range sweeps alone; what it leaves meets
+across ranges by its rank, the bracket depth, which the ranges' counts tell. Then gaps shrink and the
+next superstep begins. Pieces that no gap holds open new sequences with others of their harmonic class.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from cadentia.llm.common import settle, slices, texts, tidied
@@ -27,8 +29,15 @@ from cadentia.llm.common import settle, slices, texts, tidied
 MEMO_WORDS = 150_000
 #: ASCII signs that end a stem: the tokenizer splits letters from signs anyway.
 SIGNS = b".,;:!?)]}%$#&*|\""
-#: Rows of one size that one task ranks.
-RANK_ROWS = 200_000
+#: Bands of lengths end at these parts of the capacity; supersteps in a band at most (what is left then opens sequences).
+BANDS, SWEEPS = (2, 4, 8, 16, 64), 4
+#: Pieces of one class that are ranked together, about.
+GROUP_ROWS = 1000
+
+
+def _stays_letters(text: str) -> bool:
+    """Whether a text of European letters is letters only, also as the tokenizer normalises it (a dotted capital I isn't)."""
+    return max(text) < "\u0530" and text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
 
 class _Encoder:
@@ -43,7 +52,6 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
@@ -77,8 +85,8 @@ class _Encoder:
             stem = word.rstrip(SIGNS)
             if stem.isalpha():
                 cut[word] = stem.lower(), word[len(stem) :]
-            elif stem and not stem.isascii() and (text := stem.decode()).isalpha():
-                cut[word] = text.encode(), word[len(stem) :]
+            elif stem and not stem.isascii() and _stays_letters(stem.decode()):
+                cut[word] = stem, word[len(stem) :]
             else:
                 odd.append(word)
         self._learn_stems([x for x in {stem for stem, _ in cut.values()} if x not in self.stems])
@@ -129,100 +137,156 @@ def tokenize_pieces(docs: DataFrame, path: str, length: int, end_id: int) -> Dat
     return docs.select("doc_id", "text").mapInArrow(tidied(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Where the ranked items of each size go: (size, first rank, end rank, sequence, offset, items a sequence).
+def _sweep(pieces: DataFrame, gaps: DataFrame, free: Column, known: dict[int, Row]) -> tuple[DataFrame, DataFrame]:
+    """One superstep: (item, row, length, sequence_id) of matched pieces, and the pieces that remain.
 
-    Ranks first..end of a size fill sequences from the given one on, ``items``
-    in each, at the offset and after. Sizes fall, gaps are the smallest that fit.
+    ``known`` has n, low and high of the pieces' lengths (1) and of the gaps (0). A gap that holds
+    several of the longest pieces takes part in as many equal slots, as far as there are pieces for them.
     """
-    gaps: list[int] = []
-    runs: dict[int, deque[tuple[int, int]]] = {}
-    placed, opened = [], 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(gaps, gap)
-                runs[gap] = deque()
-            runs[gap].append((first, n))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect_left(gaps, size)
+    spark, (slots_of, lengths) = pieces.sparkSession, (known[0], known[1])
+    longest = min(lengths.high, slots_of.high)
+    n = F.greatest(F.lit(1), F.least(F.floor(free / longest), F.lit(1 + 2 * lengths.n // slots_of.n)))
+    kind = pieces.schema["item"].dataType
+    slots = (
+        gaps.where(free >= lengths.low)
+        .select("sequence_id", F.floor(free / n).alias("value"), F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("row"))
+        .select(F.lit(None).cast(kind).alias("item"), "row", F.col("value").cast("long").alias("value"), "sequence_id", F.lit(0).alias("kind"), F.xxhash64("sequence_id", "row").alias("tie"))
+    )
+    fitting = pieces.where(F.col("length") <= slots_of.high)
+    both = slots.unionByName(fitting.select("item", "row", F.col("length").alias("value"), F.lit(None).cast("long").alias("sequence_id"), F.lit(1).alias("kind"), F.xxhash64("row").alias("tie")))
+    order = [F.desc("value"), F.asc("kind"), F.asc("tie")]  # equal lengths are dealt over ranges too
+
+    def match(batches):
+        part, open_, late = TaskContext.get().partitionId(), [], 0
+
+        def rows(item, row, length, owners, nth):
+            n = len(nth)
+            return pa.RecordBatch.from_arrays([item, row, length, pa.array(owners, pa.int64()), pa.array([part] * n, pa.int64()), pa.array(nth, pa.int64())], names=names)
+
+        for batch in batches:
+            owners, nth = [], []
+            for is_piece, sequence in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if not is_piece:
+                    open_.append(sequence)
+                elif open_:
+                    owners.append(open_.pop())
+                    nth.append(None)
+                else:
+                    owners.append(None)
+                    nth.append(late)
+                    late += 1
+            found = batch.filter(pc.equal(batch.column(4), 1))
+            item_type = batch.schema.field(0).type
+            if found.num_rows:
+                yield rows(found.column(0), found.column(1), found.column(2), owners, nth)
+        for at in range(0, len(open_), 10_000):
+            some = open_[at : at + 10_000]
+            yield rows(pa.nulls(len(some), item_type), *(pa.nulls(len(some), pa.int64()) for _ in range(2)), some, list(range(at, at + len(some))))
+
+    names = ["item", "row", "length", "sequence_id", "part", "nth"]
+    schema = StructType([StructField("item", kind), *(StructField(x, LongType()) for x in names[1:])])
+    swept = settle(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(match), schema))
+
+    # brackets that a range leaves: pieces close gaps of ranges before, gaps stay open for ranges after
+    left = swept.where("nth is not null").groupBy("part").agg(F.count("item").alias("pieces"), F.count(F.when(F.col("item").isNull(), 1)).alias("gaps"))
+    depth, levels = 0, []
+    for r in sorted(left.collect(), key=lambda r: r.part):  # a row for each range
+        levels.append((r.part, depth, max(0, depth - r.pieces)))
+        depth = levels[-1][2] + r.gaps
+    levels = F.broadcast(spark.createDataFrame(levels, "part long, depth long, floor long"))
+    loose = swept.where("nth is not null").join(levels, "part").withColumn("level", F.when(F.col("item").isNull(), F.col("floor") + F.col("nth") + 1).otherwise(F.col("depth") - F.col("nth")))
+    # a level holds two brackets of a range at most, and they alternate
+    by_level = Window.partitionBy("level").orderBy("part", F.col("item").isNull())
+    crossed = settle(loose.where("level > 0").withColumn("sequence_id", F.lag("sequence_id").over(by_level)).where("item is not null").select("item", "row", "length", "sequence_id"))
+    matched = swept.where("nth is null").select(*crossed.columns).unionByName(crossed.where("sequence_id is not null"))
+    again = crossed.where("sequence_id is null").unionByName(loose.where("level <= 0 and item is not null").select(*crossed.columns)).drop("sequence_id")
+    return matched, again.unionByName(pieces.where(F.col("length") > slots_of.high))
+
+
+def _opened(pieces: DataFrame, capacity: int, step: int) -> tuple[DataFrame, DataFrame, bool]:
+    """New sequences of k pieces each for pieces of which k fit in one, what is too little for a sequence, and whether that is bounded.
+
+    Classes k (some hundred at most) are dealt by hash into groups of some thousand pieces, each ranked alone.
+    """
+    classed = pieces.withColumn("k", F.floor(F.lit(capacity) / F.col("length")).cast("long"))
+    salts = {int(r[0]): -(-int(r[1]) // max(GROUP_ROWS, 16 * int(r[0]))) for r in classed.groupBy("k").count().collect()}
+    if not salts:
+        none = pieces.withColumn("sequence_id", F.lit(0).cast("long"))
+        return none.limit(0), pieces, True
+    parts = F.create_map(*(F.lit(x) for pair in salts.items() for x in pair))[F.col("k").cast("int")]
+    dealt = classed.withColumn("salt", F.pmod(F.xxhash64(F.lit(step), "row"), parts).cast("long"))
+    group = Window.partitionBy("k", "salt")
+    ranked = dealt.withColumn("place", F.row_number().over(group.orderBy(F.desc("length"), "row")) - 1).withColumn("whole", F.floor(F.count("*").over(group) / F.col("k")) * F.col("k"))
+    number = F.floor(F.col("place") / F.col("k")).cast("long")
+    sequence = F.when(F.col("place") < F.col("whole"), ((F.lit(step).cast("long") * 8192 + F.col("k")) * (1 << 24) + F.col("salt")) * (1 << 20) + number)
+    done = settle(ranked.select("item", "row", "length", sequence.alias("sequence_id")))
+    return done.where("sequence_id is not null"), done.where("sequence_id is null").drop("sequence_id"), max(salts.values()) <= 1
+
+
+def _fitted(pieces: DataFrame, capacity: int, step: int) -> DataFrame:
+    """Best fit of a number of pieces that the capacity bounds, in one task."""
+
+    def fit(batches):
+        table = [b for b in batches if b.num_rows]
+        if not table:
+            return
+        rows = pa.Table.from_batches(table)
+        lengths, ids = rows.column("length").to_numpy(), rows.column("row").to_numpy()
+        gaps, opened, owner = [], 0, np.zeros(len(lengths), np.int64)
+        for i in np.lexsort((ids, -lengths)):
+            at = bisect_left(gaps, (int(lengths[i]), -1))
             if at < len(gaps):
-                gap = gaps[at]
-                first, n = runs[gap].popleft()
-                each = gap // size
-                full, odd = min(n, left // each), 0
-                if full < n and left - full * each:
-                    odd = min(left - full * each, each)
-                leave(gap, first + full + bool(odd), n - full - bool(odd))
-                if gap in runs and not runs[gap]:
-                    gaps.pop(bisect_left(gaps, gap))
-                    del runs[gap]
+                gap, sequence = gaps.pop(at)
             else:
-                gap, first, each = capacity, opened, capacity // size
-                full = left // each
-                odd = left - full * each
-                opened += full + bool(odd)
-            if full:
-                placed.append((size, rank, rank + full * each, first, capacity - gap, each))
-                leave(gap - each * size, first, full)
-            if odd:
-                placed.append((size, rank + full * each, rank + full * each + odd, first + full, capacity - gap, odd))
-                leave(gap - odd * size, first + full, 1)
-            rank, left = rank + full * each + odd, left - full * each - odd
-    return placed
+                gap, sequence, opened = capacity, opened, opened + 1
+            insort(gaps, (gap - int(lengths[i]), sequence))
+            owner[i] = sequence
+        yield from rows.append_column("sequence_id", pa.array(owner + (step << 57), pa.int64())).to_batches()
+
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType())])
+    return pieces.repartition(1).mapInArrow(tidied(fit), schema)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Give each piece (doc_id, piece, start, length, ...) its sequence_id and offset.
+    """Give each row its sequence_id and offset; column ``length`` tells its size, from 1 to ``capacity``.
 
-    Ties of length go by doc_id and piece; equal rows are interchangeable. Pieces
-    of one length are ranked in salted groups of about RANK_ROWS, so that a length
-    which a third of all rows share is no single task's work.
+    All columns are kept as they are (they travel as one struct); rows without a length
+    or beyond the capacity are an error. Equal rows are packed as often as they come; an empty table gives none.
+    Within a sequence the longest comes first. Work on the driver: a row for each range and for each class.
     """
-    pieces = settle(pieces)
-    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
-    steps = best_fit_plan(counts, capacity)
-    salts = F.ceil(F.col("in_length") / F.lit(RANK_ROWS)).cast("int")
-    spread = pieces.join(
-        F.broadcast(pieces.sparkSession.createDataFrame(sorted(counts.items()) or [(0, 0)], "length long, in_length long")), "length"
-    ).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
-    bases = (
-        spread.groupBy("length", "salt")
-        .agg(F.count("*").alias("n"))
-        .withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))
-    )
-    ranked = (
-        spread.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-        .join(bases, ["length", "salt"])
-        .withColumn("place", F.col("place") + F.col("base"))
-        .drop("salt", "base", "in_length")
-    )
-    table = np.array(steps, np.int64).reshape(-1, 6)
-    width = int(table[:, 2].max()) + 1 if len(table) else 1
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    keys = table[:, 0].astype(object) * width + table[:, 1] if capacity * width >= 1 << 62 else table[:, 0] * width + table[:, 1]
-
-    def put(batches):
-        for batch in batches:
-            size = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            rank = batch.column(batch.schema.get_field_index("place")).to_numpy()
-            if not len(size):
-                continue
-            step = table[np.searchsorted(keys, size * width + rank, "right") - 1]
-            within = rank - step[:, 1]
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if name != "place"}
-            columns["sequence_id"] = pa.array(step[:, 3] + within // step[:, 5], pa.int64())
-            columns["offset"] = pa.array(step[:, 4] + within % step[:, 5] * size, pa.int64())
-            yield pa.RecordBatch.from_pydict({name: columns[name] for name in names})
-
-    names = [*pieces.columns, "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(tidied(put), schema)
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("item"))
+    rows = settle(rows).withColumn("row", F.monotonically_increasing_id()).withColumn("length", F.col("item.length").cast("long"))
+    free = F.lit(capacity) - F.col("used")
+    placed, gaps, tails, high, step = [], None, None, capacity, 0
+
+    def settled(gaps, more):
+        more = more.select("sequence_id", F.col("length").alias("used"))
+        return settle((more if gaps is None else gaps.unionByName(more)).groupBy("sequence_id").agg(F.sum("used").alias("used")).where(free > 0))
+
+    for low in (*(capacity // d for d in BANDS), 0):
+        waiting = rows.where((F.col("length") > low) & (F.col("length") <= high))
+        for _ in range(SWEEPS if gaps is not None else 0):
+            sizes = waiting.select(F.lit(1).alias("kind"), "length").unionByName(gaps.select(F.lit(0).alias("kind"), free.alias("length")))
+            known = {r.kind: r for r in sizes.groupBy("kind").agg(F.count("*").alias("n"), F.min("length").alias("low"), F.max("length").alias("high")).collect()}
+            if len(known) < 2 or known[0].high < known[1].low:
+                break
+            matched, waiting = _sweep(waiting, gaps, free, known)
+            placed.append(matched)
+            gaps = settled(gaps, matched)
+        opened, left, _ = _opened(waiting, capacity, step := step + 1)
+        placed.append(opened)
+        gaps = settled(gaps, opened)
+        tails, high = left if tails is None else tails.unionByName(left), low
+    bounded = False
+    while not bounded:
+        opened, tails, bounded = _opened(tails, capacity, step := step + 1)
+        placed.append(opened)
+    placed.append(_fitted(tails, capacity, step := step + 1))
+    whole = placed[0]
+    for more in placed[1:]:
+        whole = whole.unionByName(more)
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    return whole.select("item", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")).select("item.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -22,7 +23,6 @@ def key(row):
 
 def test_packing(spark, sf_dir):
     tokenizer = Tokenizer.from_file(entry.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     for docs in (cases.frame(spark), cases.given(spark, sf_dir)[0]):
         rows = docs.select("doc_id", "text").collect()
         out = packing.pack_documents(docs, entry.tokenizer_path()).collect()
@@ -47,27 +47,50 @@ def test_packing(spark, sf_dir):
     assert packing.pack_documents(cases.frame(spark, []), entry.tokenizer_path()).count() == 0
 
 
-def test_best_fit_plan_is_best_fit_decreasing():
-    rng = np.random.default_rng(1)
-    for cap, n in ((10, 40), (100, 500), (4096, 3000)):
-        sizes = rng.integers(1, cap + 1, n)
-        gaps, opened = [], 0
-        for size in sorted(sizes, reverse=True):
-            fit = [g for g in gaps if g >= size]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - size)
-            else:
-                opened += 1
-                gaps.append(cap - size)
-        steps = packing.best_fit_plan(dict(Counter(map(int, sizes))), cap)
-        used = Counter()
-        for size, lo, hi, first, offset, each in steps:
-            for i in range(hi - lo):
-                used[first + i // each] += size
-                assert offset + (i % each + 1) * size <= cap
-        assert sum(used.values()) == sizes.sum() and max(used.values()) <= cap
-        assert len(used) == opened
+def plain_best_fit(sizes, cap):
+    """Sequences that item-by-item best fit, longest first, opens."""
+    gaps, opened = [], 0
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        if at < len(gaps):
+            left = gaps.pop(at) - size
+        else:
+            opened, left = opened + 1, cap - size
+        bisect.insort(gaps, left)
+    return opened
+
+
+@pytest.mark.parametrize("draw", ["even", "short", "long", "equal", "two"])
+def test_supersteps_pack_as_best_fit_does(spark, draw, monkeypatch):
+    rng, cap = np.random.default_rng(1), 512
+    sizes = {
+        "even": rng.integers(1, cap + 1, 3000), "short": rng.integers(1, 40, 4000), "long": np.minimum(cap, (cap * rng.random(3000) ** 0.3).astype(int) + 1),
+        "equal": np.full(3000, 130), "two": rng.choice([257, 255], 3000),
+    }[draw].tolist()
+    monkeypatch.setattr(packing, "GROUP_ROWS", 300)
+    pieces = spark.createDataFrame([(i, n, 7) for i, n in enumerate(sizes)], "id long, length long, `row` int").repartition(8)
+    out = packing.pack(pieces, cap).collect()
+    assert sorted((r.id, r.length, r.row) for r in out) == [(i, n, 7) for i, n in enumerate(sizes)]
+    places = defaultdict(list)
+    for r in out:
+        places[r.sequence_id].append((r.offset, r.length))
+    for found in places.values():
+        found.sort()
+        assert [o for o, _ in found] == [0, *np.cumsum([n for _, n in found])[:-1].tolist()] and sum(n for _, n in found) <= cap
+    assert len(places) <= 1.02 * plain_best_fit(sizes, cap) + 2, (len(places), plain_best_fit(sizes, cap))
+
+
+def test_ids_of_odd_strings():
+    """The word memo gives the plain tokenizer's ids, special-token strings and odd letters included."""
+    tokenizer = Tokenizer.from_file(entry.tokenizer_path())
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+    letters = [*"abcIzZ.,;)'<|>-09 \n\t", "İ", "ß", "é", "e\u0301", "Σ", "ς", "ǰ", "中", "क़", "\ufb1d", "ﬁ", "ª", "'s", "'S", "don't", "<|endoftext|>", "<|startoftext|>", "\u00a0", "\u2028", "\x85", "\x1f", "🙂", "\u0345", "Ǆ", "ẞ", "K", "Å"]
+    rng = np.random.default_rng(5)
+    strings = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(30_000)]
+    encoder = packing._encoder(entry.tokenizer_path())
+    wanted = [x.ids for x in tokenizer.encode_batch(strings, add_special_tokens=False)]
+    found = encoder.encode([s.encode().split() for s in strings])
+    assert [s for s, w, f in zip(strings, wanted, found, strict=True) if np.array(w, "<u4").tobytes() != f] == []
 
 
 def plain_quality(text):
