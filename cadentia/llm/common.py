@@ -23,12 +23,16 @@ SLICE_BYTES = 1 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder: the session's ``spark.checkpoint.dir``.
 
-    A folder of this process is set only where none is configured, as in tests.
+    Where none is named, a local session (tests) gets a temporary folder; a cluster must name one.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cadentia-checkpoint-"))
+        if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="cadentia-checkpoint-")
+        context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -90,6 +94,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(start, end - start)
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Each row as one struct, ``doc``: so no name that an operator gives meets a user's column."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -103,10 +112,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def one_for_each(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows joined to keys (key, _copies, ...), one row a key; only keys with several equal rows are deduplicated."""
+def one_for_each(rows: DataFrame, keys: DataFrame, key: str, copies: str) -> DataFrame:
+    """Rows joined to keys (key, copies, ...), one row a key; only keys with several equal rows are deduplicated."""
     joined = rows.join(keys, key)
-    return joined.where("_copies = 1").unionByName(joined.where("_copies > 1").dropDuplicates([key])).drop("_copies")
+    return joined.where(F.col(copies) == 1).unionByName(joined.where(F.col(copies) > 1).dropDuplicates([key])).drop(copies)
 
 
 #: Keys that hold more than this share of the rows are few enough to broadcast, whatever the corpus.
@@ -123,3 +132,20 @@ def join_uneven(rows: DataFrame, keys: DataFrame, on: list[str], size: str, tota
     heavy = F.broadcast(keys.where(F.col(size) > limit))
     light = rows.join(heavy.select(*on), on, "left_anti").join(keys.where(F.col(size) <= limit), on)
     return rows.join(heavy, on).unionByName(light)
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: str, most: int = 2000, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows to unique keys, where some keys may have a large share of the rows.
+
+    The keys with more than one in ``most`` of the rows (and 1000 at least), so fewer than ``most``, are
+    broadcast and their rows stay where they are; the others meet by shuffle. rows are read several times.
+    """
+    counted = rows.groupBy(on).agg(F.count("*").alias("n_rows"))
+    counted = settle(counted.where(F.col("n_rows") > 500))
+    total = rows.count()
+    heavy = counted.where(F.col("n_rows") > max(1000, total // most)).select(on)
+    if heavy.isEmpty():
+        return rows.join(keys, on, how)
+    heavy = F.broadcast(heavy)
+    hot = rows.join(heavy, on, "left_semi").join(F.broadcast(keys.join(heavy, on, "left_semi")), on, how)
+    return hot.unionByName(rows.join(heavy, on, "left_anti").join(keys, on, how))

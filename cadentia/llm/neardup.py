@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import WordHashes, join_uneven, mix64, one_for_each, settle, slices, texts, tidied
+from cadentia.llm.common import WordHashes, join_hot, join_uneven, mix64, one_for_each, settle, slices, texts, tidied, whole_rows
 
 #: 25 bands of 5: a pair at 0.85 shares none with probability (1 - 0.85 ** 5) ** 25, below 1e-6; at 0.8, 5e-5.
 BANDS, ROWS = 25, 5
@@ -150,11 +150,10 @@ def components(edges: DataFrame) -> DataFrame:
         hook = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p")))
         for _ in range(2):
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            hook = hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-        hook = settle(hook)
-        labels = settle(labels.join(hook.withColumnRenamed("v", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")))
+            hook = settle(join_hot(hook, up, "p", how="left").select("v", F.coalesce("pp", "p").alias("p")))
+        labels = settle(join_hot(labels, hook.withColumnRenamed("v", "label"), "label", how="left").select("node", F.coalesce("p", "label").alias("label")))
         to = lambda side: hook.select(F.col("v").alias(side), F.col("p").alias(f"{side}p"))
-        edges = settle(edges.join(to("a"), "a").join(to("b"), "b").select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct())
+        edges = settle(join_hot(join_hot(edges, to("a"), "a"), to("b"), "b").select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct())
     return labels
 
 
@@ -176,7 +175,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
                 keep[i] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum() <= apart[i]
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = settle(pairs)
+    sized = join_hot(join_hot(pairs, side("a"), "a"), side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     pairs = settle(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b", "p_a", "p_b").mapInArrow(tidied(close), "a long, b long"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = settle(nodes.join(ends, "node", "left_semi").select("key", "node"))
@@ -202,7 +202,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda x: held.select(F.col("node").alias(x), F.col("items").alias(f"i_{x}"))
-    return settle(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "i_a", "i_b").mapInArrow(tidied(confirm), "a long, b long"))
+    return settle(join_hot(join_hot(pairs, of("a"), "a"), of("b"), "b").select("a", "b", "i_a", "i_b").mapInArrow(tidied(confirm), "a long, b long"))
 
 
 def _across_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -270,8 +270,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # buckets that still hold several components: pairs across them that weren't tested
     placed = settle(held.select("bucket", "node", "size").join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    across = settle(placed.join(mixed, "bucket", "left_semi"))
+    mixed = settle(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"))
+    across = settle(join_hot(placed, mixed, "bucket"))
     few = across.where(F.col("size") <= SMALL)
     other = few.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
     few = pair(few.join(other, "bucket").where("label <> other_label and node < other"), "node", "other")
@@ -297,5 +297,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates chooses, one of each component, with all columns."""
     found = near_duplicates(docs, words, percent)
-    keys = found.groupBy(F.col("key").alias("_key")).agg(F.max("chosen").alias("_chosen"), F.count("*").alias("_copies")).where("_chosen").drop("_chosen")
-    return one_for_each(docs.withColumn("_key", F.xxhash64("doc_id", "text")), keys, "_key").select(*docs.columns)
+    keys = found.groupBy("key").agg(F.max("chosen").alias("chosen"), F.count("*").alias("copies")).where("chosen").drop("chosen")
+    rows = one_for_each(whole_rows(docs).withColumn("key", F.xxhash64("doc.doc_id", "doc.text")), keys, "key", "copies")
+    return rows.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -19,10 +19,19 @@ def test_join_uneven_is_an_inner_join(spark):
     assert Counter(map(tuple, out)) == Counter((r.k, r.id, r.k * 10) for r in rows.collect() if r.k != 7)
 
 
+def test_join_hot_is_a_join(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 2500, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    keys = spark.range(60).where("id <> 7").select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    for given in (keys, keys.where("k > 0")):
+        for how in ("inner", "left"):
+            got = Counter(map(tuple, common.join_hot(rows, given, "k", how=how).select("k", "id", "v").collect()))
+            assert got == Counter(map(tuple, rows.join(given, "k", how).select("k", "id", "v").collect()))
+
+
 def test_one_for_each(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3)], "k string, v int")
     keys = spark.createDataFrame([("a", 1), ("b", 2)], "k string, _copies int")
-    assert sorted(map(tuple, common.one_for_each(rows, keys, "k").collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, common.one_for_each(rows, keys, "k", "_copies").collect())) == [("a", 1), ("b", 2)]
 
 
 def test_slices_cut_by_bytes_and_lose_nothing(monkeypatch):
