@@ -15,10 +15,12 @@ the upper one removed, wherever it stands in a text that holds its entity.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import settle
+from cadentia.llm.common import settle, whole_rows
 
 #: Kinds in their order of rank, and what stands for each in sanitised text.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -38,18 +40,53 @@ TERM = r"[\p{L}\p{M}]{3,}"
 PIECE = r"(?:[^\p{L}\p{M}]*+[\p{L}\p{M}]++){1,64}+|[^\p{L}\p{M}]++"
 #: Candidate terms up to here are broadcast (about 100 bytes each) to count them in the corpus.
 BROADCAST_TERMS = 50_000
+#: Tasks over which an entity's documents are dealt where its terms aren't broadcast.
+SALTS = 32
+#: Numbers of an array that are summed in one run; code points of a text that are cut at once.
+RUN, CHUNK = 256, 1024
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """For each whole number of an array what the ones before it come to, 0 at first; in blocks, so that appending copies little."""
+    ints = F.array().cast("array<int>")
+
+    def scan(xs: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), ints.alias("out"))
+        return F.aggregate(xs, start, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def whole(vs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / RUN).cast("int")), lambda k: F.slice(vs, k * RUN + 1, RUN))
+        return bound(blocks, lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), join)), F.lit(0)), scan)))
+
+    return bound(values, lambda vs: F.when(F.size(vs) > 0, whole(vs)).otherwise(ints))
+
+
+def below(marks: Column, values: Column, equal: bool) -> Column:
+    """For each of the marks, in order, how many values are below it (or equal); by one sort, not a search a mark."""
+    at_mark, at_value = (1, 0) if equal else (0, 1)
+    ends = F.transform(marks, lambda m, k: F.struct(m.alias("at"), F.lit(at_mark).alias("of"), k.alias("k")))
+    starts = F.transform(values, lambda v: F.struct(v.alias("at"), F.lit(at_value).alias("of"), F.lit(0).alias("k")))
+    placed = F.transform(F.array_sort(F.concat(ends, starts)), lambda x, i: F.struct(x["of"].alias("of"), x["k"].alias("k"), i.alias("i")))
+    counted = F.transform(F.filter(placed, lambda x: x["of"] == at_mark), lambda x, j: F.struct(x["k"].alias("k"), (x["i"] - j).alias("n")))
+    return F.transform(F.array_sort(counted), lambda x: x["n"])
 
 
 def located(text: Column, pattern: str) -> Column:
     """Matches as array of (start, end, value), in code points, end exclusive."""
     matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["pos"] + F.length(x["gap"]) + F.length(x["value"])).alias("pos"),
-        F.concat(acc["found"], F.array(F.struct((acc["pos"] + F.length(x["gap"])).alias("start"), (acc["pos"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("found"),
-    )
-    zipped = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), empty.alias("found")), step)["found"]
+    zipped = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+
+    def placed(found: Column) -> Column:
+        before = running(F.transform(found, lambda x: x["gap"] + F.length(x["value"])))
+        start = lambda x, at: (at + x["gap"]).alias("start")
+        return F.zip_with(found, before, lambda x, at: F.struct(start(x, at), (at + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+
+    return bound(zipped, placed)
 
 
 def _digits(x: Column) -> Column:
@@ -89,47 +126,45 @@ def base_spans(text: Column) -> Column:
 def _terms(text: Column) -> Column:
     """All terms of a text: array of (start, end, term), in order, piece by piece so that long texts take linear time."""
     pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    begins = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
     moved = lambda at, piece: F.transform(located(piece, TERM), lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), F.lower(s["value"]).alias("term")))
-    return F.flatten(F.zip_with(F.slice(begins, 1, F.size(pieces)), pieces, moved))
+    return bound(pieces, lambda ps: F.flatten(F.zip_with(running(F.transform(ps, lambda x: F.length(x))), ps, moved)))
 
 
-def _ranks(terms: Column, spans: Column, edge: str) -> Column:
-    """For each span, in order, how many terms start before its edge; by one sort, not a search a span."""
-    ends = F.transform(spans, lambda s, k: F.struct(s[edge].alias("at"), F.lit(0).alias("of"), k.alias("k")))
-    starts = F.transform(terms, lambda t: F.struct(t["start"].alias("at"), F.lit(1).alias("of"), F.lit(0).alias("k")))
-    placed = F.transform(F.array_sort(F.concat(ends, starts)), lambda x, i: F.struct(x["of"].alias("of"), x["k"].alias("k"), i.alias("i")))
-    counted = F.transform(F.filter(placed, lambda x: x["of"] == 0), lambda x, j: F.struct(x["k"].alias("k"), (x["i"] - j).alias("n")))
-    return F.transform(F.array_sort(counted), lambda x: x["n"])
+def _words(text: Column, spans: Column) -> Column:
+    """All terms of a text, each with how many base spans it shares a character with."""
 
+    def told(terms: Column) -> Column:
+        begun = below(F.transform(terms, lambda t: t["end"]), F.transform(spans, lambda s: s["start"]), equal=False)
+        ended = below(F.transform(terms, lambda t: t["start"]), F.transform(spans, lambda s: s["end"]), equal=True)
+        inside = F.zip_with(begun, ended, lambda x, y: x - y)
+        return F.zip_with(terms, inside, lambda t, n: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["term"].alias("term"), n.alias("inside")))
 
-def _marked(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with their base spans and, for each span, the entity and the WORDS terms on each side of it."""
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_base", base_spans(F.col("_text")))
-    rows = rows.withColumn("_words", F.when(F.size("_base") > 0, _terms(F.col("_text"))).otherwise(F.array().cast("array<struct<start:int,end:int,term:string>>")))
+    return bound(_terms(text), told)
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """Rows (doc: the whole row, text, base: its base spans, near: for each the entity and the WORDS terms on each side outside of spans)."""
+    rows = whole_rows(docs).withColumn("text", F.coalesce("doc.text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
+    none = F.array().cast("array<struct<start:int,end:int,term:string,inside:int>>")
+    rows = rows.withColumn("words", F.when(F.size("base") > 0, _words(F.col("text"), F.col("base"))).otherwise(none))
 
     def context(words: Column, side: Column) -> Column:
         at = lambda d: F.when(d < 0, side["left"] + d).otherwise(side["right"] + d)
-        return F.filter(F.transform(F.array(*map(F.lit, range(-WORDS, WORDS))), lambda d: F.get(words, at(d))), lambda t: t.isNotNull())
+        terms = F.filter(F.transform(F.array(*map(F.lit, range(-WORDS, WORDS))), lambda d: F.get(words, at(d))), lambda t: t["inside"] == 0)
+        return F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["term"].alias("term")))
 
     def beside(words: Column) -> Column:
-        sides = F.zip_with(_ranks(words, F.col("_base"), "start"), _ranks(words, F.col("_base"), "end"), lambda left, right: F.struct(left.alias("left"), right.alias("right")))
-        return F.zip_with("_base", sides, lambda s, side: F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), context(words, side).alias("terms")))
-
-    near = F.transform(F.array("_words"), beside)[0]  # bound to a variable, so that the words are found once, not for each span
-    clean = F.transform("_near", lambda n: F.struct(n["entity"].alias("entity"), F.filter(n["terms"], lambda t: ~_inside(t)).alias("terms")))
-    return rows.withColumn("_near", near).withColumn("_near", clean).drop("_words")
-
+        ranks = lambda edge: below(F.transform("base", lambda s: s[edge]), F.transform(words, lambda t: t["start"]), equal=False)
+        sides = F.zip_with(ranks("start"), ranks("end"), lambda left, right: F.struct(left.alias("left"), right.alias("right")))
+        return F.zip_with("base", sides, lambda s, side: F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), context(words, side).alias("terms")))
 
-def _inside(t: Column) -> Column:
-    """Whether a term shares a character with a base span."""
-    return F.exists("_base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    return rows.withColumn("near", bound(F.col("words"), beside)).drop("words")
 
 
 def disclosing(docs: DataFrame, marked: DataFrame, least_contexts: int, generalise: float) -> DataFrame:
     """(entity, term, disclosure) for terms that tell at least ``generalise`` of an entity in ``least_contexts`` distinct contexts or more."""
     spark = docs.sparkSession
-    places = marked.select(F.explode("_near").alias("n")).select("n.entity", F.array_distinct(F.transform("n.terms", lambda t: t["term"])).alias("terms"))
+    places = marked.select(F.explode("near").alias("n")).select("n.entity", F.array_distinct(F.transform("n.terms", lambda t: t["term"])).alias("terms"))
     contexts = places.withColumn("digest", F.xxhash64("terms")).dropDuplicates(["entity", "digest"])
     seen = contexts.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= least_contexts)
     proven = (
@@ -137,7 +172,7 @@ def disclosing(docs: DataFrame, marked: DataFrame, least_contexts: int, generali
         .where(F.col("n_c") >= least_contexts).join(seen.select("entity"), "entity").select("entity", "term")
     )
     # counts are of places, copies included, as the corpus counts are; a place near two mentions counts once
-    beside = F.array_distinct(F.flatten(F.transform("_near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t["term"].alias("term"), t["start"].alias("start"))))))
+    beside = F.array_distinct(F.flatten(F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t["term"].alias("term"), t["start"].alias("start"))))))
     near = marked.select(F.explode(beside).alias("b")).groupBy("b.entity", "b.term").agg(F.count("*").alias("n_te"))
     mentions = places.groupBy("entity").agg(F.count("*").alias("n_e"))
     together = settle(proven.join(near, ["entity", "term"]).join(mentions, "entity"))
@@ -155,52 +190,75 @@ def disclosing(docs: DataFrame, marked: DataFrame, least_contexts: int, generali
     return together.join(counts, "term").withColumn("disclosure", told).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
-def find(docs: DataFrame, keep: list[str], least_contexts: int = 3, generalise: float = 0.8, remove: float = 0.95, text: bool = False) -> DataFrame:
-    """The columns ``keep`` with spans: array of (start, kind, end, removed), sorted, kinds as ranks in KINDS.
+def spans_of(docs: DataFrame, least_contexts: int = 3, generalise: float = 0.8, remove: float = 0.95, text: bool = False) -> DataFrame:
+    """Rows (doc, spans): the whole row as a struct, and an array of (start, kind, end, removed), sorted, kinds as ranks in KINDS.
 
     Base spans and disclosing terms; with ``text`` also sanitised, the text with its
     spans masked (null stays null). A null or empty text has no spans; whole texts count;
     overlapping spans are all listed and masked as one; repeated rows give repeated rows; an empty table
-    gives none; ``docs`` may have any other columns.
+    gives none; ``docs`` may have any columns, also such as are named here.
     """
-    marked = _marked(docs, keep)
-    # only rows with spans carry their text on
-    body = F.when(F.size("_base") > 0, F.col("_text")).alias("_text")
-    slim = (marked.where(F.size("_base") > 0) if text else marked).select(*keep, body, "_base", "_near")
-    slim = settle(slim.withColumn("_row", F.monotonically_increasing_id()))  # ids may repeat, settled row numbers don't
+    marked = _marked(docs)
+    # only rows with spans are kept whole; without ``text`` the others' columns are settled too, as their texts aren't among them
+    slim = settle((marked.where(F.size("base") > 0) if text else marked).withColumn("row", F.monotonically_increasing_id()).withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
     told = disclosing(docs, slim, least_contexts, generalise)
     # what discloses an entity is masked wherever it stands in the texts that hold the entity
-    held = slim.select("_row", F.explode(F.array_distinct(F.transform("_near", lambda n: n["entity"]))).alias("entity"))
-    wanted = settle(held.join(told, "entity").groupBy("_row", "term").agg((F.max("disclosure") >= remove).alias("removed")))
-    words = slim.join(wanted.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode(F.filter(_terms(F.col("_text")), lambda t: ~_inside(t))).alias("t"))
+    held = slim.select("row", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
+    if told.count() <= BROADCAST_TERMS:
+        pairs = held.join(F.broadcast(told), "entity")
+    else:  # an entity of many documents is dealt over SALTS tasks
+        spread = told.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        pairs = held.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(spread, ["entity", "salt"])
+    wanted = settle(pairs.groupBy("row", "term").agg((F.max("disclosure") >= remove).alias("removed")))
+    words = slim.join(wanted.select("row").distinct(), "row", "left_semi").select("row", F.explode(F.filter(_words(F.col("text"), F.col("base")), lambda t: t["inside"] == 0)).alias("t"))
     hits = (
-        words.select("_row", "t.term", "t.start", "t.end").join(wanted, ["_row", "term"])
-        .groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("_terms"))  # at most the words of one text
+        words.select("row", "t.term", "t.start", "t.end").join(wanted, ["row", "term"])
+        .groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("terms"))  # at most the words of one text
     )
-    plain = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed")))
+    plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(False).alias("removed")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")
-    found = slim.where(F.size("_base") > 0)
-    with_spans = found.join(hits, "_row", "left").withColumn("spans", F.array_sort(F.concat(plain, F.coalesce("_terms", empty))))
-    if text:
-        rest = docs.select(*keep, F.col("text").alias("_text")).where(F.size(base_spans(F.coalesce(F.col("_text"), F.lit("")))) == 0)
-    else:
-        rest = slim.where(F.size("_base") == 0)
-    body = ["_text"] if text else []
-    out = with_spans.select(*keep, *body, "spans").unionByName(rest.withColumn("spans", empty).select(*keep, *body, "spans"))
-    if text:
-        out = out.withColumn("sanitised", F.when(F.size("spans") == 0, F.col("_text")).otherwise(masked(F.col("_text"), F.col("spans")))).drop("_text")
-    return out
+    found = slim.where(F.size("base") > 0).join(hits, "row", "left").withColumn("spans", F.array_sort(F.concat(plain, F.coalesce("terms", empty))))
+    if not text:
+        return found.select("doc", "spans").unionByName(slim.where(F.size("base") == 0).select("doc", empty.alias("spans")))
+    rest = whole_rows(docs).where(F.size(base_spans(F.coalesce("doc.text", F.lit("")))) == 0)
+    found = found.select("doc", "spans", masked(F.col("text"), F.col("spans")).alias("sanitised"))
+    return found.unionByName(rest.select("doc", empty.alias("spans"), F.col("doc.text").alias("sanitised")))
+
+
+def find(docs: DataFrame, keep: list[str], least_contexts: int = 3, generalise: float = 0.8, remove: float = 0.95, text: bool = False) -> DataFrame:
+    """The columns ``keep`` with spans, and sanitised with ``text``, as spans_of has them; ``keep`` names neither."""
+    read = docs.select(*dict.fromkeys([*keep, "text"]))
+    found = spans_of(read, least_contexts, generalise, remove, text)
+    return found.select(*(F.col("doc").getField(c).alias(c) for c in keep), "spans", *(["sanitised"] if text else []))
+
+
+def sanitised(docs: DataFrame, **options) -> DataFrame:
+    """docs with texts masked, all other columns as they are."""
+    found = spans_of(docs, text=True, **options)
+    return found.select(*(F.col("sanitised").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with its sorted spans masked; what overlaps goes under the first one's mask."""
+    """The text with its sorted spans masked; what overlaps goes under the first one's mask.
+
+    The text is cut into chunks once; what lies between two masks is put together from its chunks.
+    """
     mask = lambda s: F.when(s["removed"], F.lit(REMOVED)).otherwise(F.element_at(F.array(*map(F.lit, MASKS)), s["kind"] + 1))
-    step = lambda a, s: F.struct(
-        F.greatest(a["pos"], s["end"]).alias("pos"),
-        F.when(s["start"] < a["pos"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), mask(s))).alias("out"),
-    )
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], F.substring(text, done["pos"] + 1, F.length(text)))
+
+    def between(chunks: Column, first: Column, last: Column) -> Column:
+        a, b = F.floor(first / CHUNK).cast("int"), F.floor((last - 1) / CHUNK).cast("int")
+        of = lambda i: F.get(chunks, i)
+        apart = F.concat(F.substring(of(a), first - a * CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(of(b), F.lit(1), last - b * CHUNK))
+        return F.when(last <= first, F.lit("")).when(a == b, F.substring(of(a), first - a * CHUNK + 1, last - first)).otherwise(apart)
+
+    def joined(chunks: Column) -> Column:
+        done = running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        parts = F.zip_with(spans, done, lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(between(chunks, at, s["start"]), mask(s))))
+        rest = between(chunks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, bound(chunks, joined)).otherwise(text)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 from cadentia.llm import pii
@@ -70,9 +75,52 @@ def test_eight_words_are_counted_by_words(spark):
 
 def test_terms_of_texts(spark):
     """Pieces give the terms that one search over the whole text gives."""
-    import re
-
     texts = ["", "...", "ab", "abc", "a b c def", " 1x " * 500 + "caf\u00e9s", "word " * 1000 + "..", "w\u00f6rd-\n\U0001f600 mar\u0301a 12abc " * 300, "x" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for r in df.select("i", pii._terms(F.col("t")).alias("w")).collect():
         assert [(w.start, w.end) for w in r.w] == [m.span() for m in re.finditer(r"(?:[^\W\d_]|\u0301){3,}", texts[r.i])]
+
+
+def plain_disclosing(texts, contexts=3, least=0.8):
+    """Disclosing terms by counting, straight from the definition."""
+    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t)]
+    n_t, total, n_e, seen, places = Counter(), 0, Counter(), defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        terms = words(text)
+        n_t.update(t for _, _, t in terms)
+        total += len(terms)
+        mentions = [m for m in re.finditer(r"[a-z]+@[a-z]+\.org", text)]
+        for m in mentions:
+            left = [x for x in terms if x[0] < m.start()][-pii.WORDS :]
+            right = [x for x in terms if x[0] >= m.end()][: pii.WORDS]
+            near = [x for x in left + right if not any(x[0] < o.end() and o.start() < x[1] for o in mentions)]
+            n_e[m[0]] += 1
+            seen[m[0]].add(tuple(dict.fromkeys(t for _, _, t in near)))
+            for s, _, t in near:
+                places[m[0], t].add((i, s))
+    out = {}
+    for (e, t), at in places.items():
+        if sum(t in c for c in seen[e]) >= contexts:
+            told = 1 - math.log(max(1, n_t[t] / len(at))) / math.log(max(total / (2 * pii.WORDS * n_e[e]), 1.0000001))
+            if told >= least:
+                out[e, t] = told
+    return out
+
+
+def test_disclosing_terms_by_counting(spark):
+    rng, names = random.Random(4), [f"name{chr(97 + i)}" for i in range(6)]
+    vocabulary, texts = [*FILLER, *names], []
+    for i in range(300):
+        words = [rng.choice(vocabulary if rng.random() < 0.3 else FILLER) for _ in range(rng.randint(5, 80))]
+        for _ in range(rng.randint(0, 3)):
+            who = rng.randrange(4)
+            at = rng.randrange(len(words))
+            words[at:at] = [f"box{chr(97 + who)}@place.org", *([names[who]] if rng.random() < 0.8 else [])]
+        texts.append(" ".join(words))
+    texts += texts[:40] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = pii._marked(docs).cache()
+    found = {(r.entity[2:], r.term): r.disclosure for r in pii.disclosing(docs, marked, 3, 0.5).collect()}
+    wanted = plain_disclosing(texts, 3, 0.5)
+    assert wanted and found.keys() == wanted.keys()
+    assert all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
