@@ -8,7 +8,10 @@ are ordered by how many documents have them, rarest first, so that
 * length filter: it has t words of the templates' vocabulary or more,
 * positional filter: from the first shared prefix word on, both sides have enough words left,
 
-and what remains is counted in full. No qualifying block is lost.
+and what remains is counted in full. No qualifying block is lost. Sets alone would take one
+license for its neighbour, so a block must also have the words that set the template's
+license apart and none that only another license has; a notice (a template of fewer than NOTICE words) must
+have all its words, and they must stand in the text one after the other.
 """
 
 from __future__ import annotations
@@ -26,20 +29,80 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: Characteristic sentences of public licenses, and their labels.
+#: Templates with fewer words are notices.
+NOTICE = 12
+#: Paragraphs and notices of public licenses: label, text, words that set it apart, words of its neighbours.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "the software is provided as is without warranty of any kind express or implied"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software"
+        " without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit"
+        " persons to whom the software is furnished to do so subject to the following conditions",
+        "merge sublicense sell",
+        "",
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+        " http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is"
+        " basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under"
+        " the license",
+        "apache",
+        "",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+        " either version 3 of the license or at your option any later version",
+        "gnu general public",
+        "lesser library affero",
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software"
+        " foundation either version 2 1 of the license or at your option any later version",
+        "gnu",
+        "affero",
+    ),
+    (
+        "agpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software"
+        " foundation either version 3 of the license or at your option any later version",
+        "affero",
+        "lesser",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source"
+        " code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright"
+        " notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistribution redistributions binary",
+        "",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this"
+        " permission notice appear in all copies",
+        "fee purpose",
+        "sublicense",
+    ),
+    (
+        "mpl",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "mozilla",
+        "",
+    ),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution", "noncommercial noderivatives sharealike nc nd sa"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial", "noderivatives sharealike nd sa"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons sharealike", "noncommercial nc"),
+    ("cc-by", "licensed under cc by 4 0", "", ""),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "", ""),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "", ""),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "", ""),
+    ("bsd", "under the bsd license", "", ""),
+    ("bsd", "2 clause bsd license", "", ""),
+    ("bsd", "3 clause bsd license", "", ""),
+    ("mpl", "mozilla public license", "", ""),
 ]
 
 
@@ -63,7 +126,7 @@ def _places(words: Column, phrase: list[str]) -> Column:
 
 def scan(
     docs: DataFrame,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[tuple[str, str, str, str]] = TEMPLATES,
     phrases: list[tuple[str, str]] = PHRASES,
     threshold: float = 0.8,
 ) -> DataFrame:
@@ -77,8 +140,8 @@ def scan(
     are a parameter of bounded size: their vocabulary and prefix index go with the plan.
     """
     spark = docs.sparkSession
-    split = [(label, re.findall(r"[a-z0-9]+", text.lower())) for label, text in templates]
-    vocabulary = sorted({w for _, words in split for w in words})
+    split = [(label, *(re.findall(r"[a-z0-9]+", x.lower()) for x in rest)) for label, *rest in templates]
+    vocabulary = sorted({w for _, *rest in split for words in rest for w in words})
     text = _lower(F.coalesce(F.col("text"), F.lit("")))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
@@ -87,11 +150,12 @@ def scan(
     order = sorted(vocabulary, key=lambda w: (spread.get(w, 0), w))
     rank = {w: i + 1 for i, w in enumerate(order)}
     index, sets = [], []
-    for number, (label, ws) in enumerate(split):
+    for number, (label, ws, apart, never) in enumerate(split):
         members = sorted({rank[w] for w in ws})
-        need = math.ceil(threshold * len(members) - 1e-9)
+        notice = len(ws) < NOTICE
+        need = len(members) if notice else math.ceil(threshold * len(members) - 1e-9)
         width = 1 << max(1, 2 * len(ws) - 1).bit_length()
-        sets.append((number, label, width, need, members))
+        sets.append((number, label, width, notice, members, [rank[w] for w in apart], [rank[w] for w in never]))
         index += [(width, r, number, at, need, len(members)) for at, r in enumerate(members[: len(members) - need + 1])]
     prefix = sorted({x[1] for x in index})
     widths = sorted({x[2] for x in sets})
@@ -110,6 +174,9 @@ def scan(
         cut = F.transform(firsts, lambda i: F.struct(F.lit(width).alias("width"), i.alias("first"), coded(F.slice("_words", i + 1, F.lit(width))).alias("ranks")))
         return F.filter(cut, lambda b: F.arrays_overlap(b["ranks"], F.array(*[F.lit(r) for r in prefix])))
 
+    notices = [(number, " ".join(ws)) for number, (_, ws, _, _) in enumerate(split) if len(ws) < NOTICE]
+    line = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
+    said = F.transform(F.array(line), lambda x: F.array_compact(F.array(*(F.when(x.contains(f" {phrase} "), F.lit(number)) for number, phrase in notices)).cast("array<int>")))[0]
     none = F.array().cast("array<struct<width:int,first:int,ranks:array<int>>>")
     held = docs.select("doc_id", words.alias("_words"))
     held = held.select(
@@ -118,23 +185,25 @@ def scan(
         F.when(likely, F.array_sort(all_starts)).otherwise(F.array().cast("array<int>")).alias("_starts"),
         F.concat_ws(",", *[F.when(F.when(likely, F.size(at)).otherwise(0) > 0, F.lit(label)) for label, at in sorted(starts.items())]).alias("base_labels"),
         F.when(likely, F.concat(*map(windows, widths))).otherwise(none).alias("_blocks") if widths else none.alias("_blocks"),
+        F.when(likely, said).otherwise(F.array().cast("array<int>")).alias("_said"),
     )
     held = settle(held.withColumn("_row", F.monotonically_increasing_id()))  # numbers, starts and coded windows; no texts
 
     listed = F.broadcast(spark.createDataFrame(index or [(0, 0, 0, 0, 0, 0)], "width int, word int, template int, at int, need int, n_template int"))
-    members = F.broadcast(spark.createDataFrame(sets or [(-1, "", 0, 0, [])], "template int, label string, width int, need int, members array<int>").select("template", "label", "members"))
+    members = F.broadcast(spark.createDataFrame(sets or [(-1, "", 0, False, [], [], [])], "template int, label string, width int, notice boolean, members array<int>, apart array<int>, never array<int>").drop("width"))
     pairs = (
-        held.select("_row", F.explode("_blocks").alias("b")).select("_row", "b.width", "b.first", "b.ranks")
-        .select("_row", "width", "first", "ranks", F.posexplode("ranks").alias("pos", "word"))
+        held.select("_row", "_said", F.explode("_blocks").alias("b")).select("_row", "_said", "b.width", "b.first", "b.ranks")
+        .select("_row", "_said", "width", "first", "ranks", F.posexplode("ranks").alias("pos", "word"))
         .join(listed, ["width", "word"])  # prefix filter
         .where(F.size("ranks") >= F.col("need"))  # length filter
         # positional filter: nothing shared before the first shared prefix word, so this is the most that can be shared
         .withColumn("left", 1 + F.least(F.size("ranks") - F.col("pos") - 1, F.col("n_template") - F.col("at") - 1))
-        .groupBy("_row", "width", "first", "template").agg(F.max_by(F.struct("left", "need", "n_template", "ranks"), "left").alias("x"))
+        .groupBy("_row", "width", "first", "template").agg(F.max_by(F.struct("left", "need", "n_template", "ranks", "_said"), "left").alias("x"))
         .where("x.left >= x.need")
         .join(members, "template")
         .withColumn("shared", F.size(F.array_intersect("x.ranks", "members")))
         .where(F.col("shared") >= F.col("x.need"))
+        .where((F.size(F.array_except("apart", "x.ranks")) == 0) & ~F.arrays_overlap("x.ranks", "never") & (~F.col("notice") | F.array_contains("x._said", F.col("template"))))
         .select("_row", F.struct("label", "template", F.col("first").alias("first_word"), F.col("width").alias("n_words"), (F.col("shared") / F.col("x.n_template")).alias("containment")).alias("block"))
     )
     hits = pairs.groupBy("_row").agg(F.array_sort(F.collect_list("block")).alias("blocks"))  # windows of one text

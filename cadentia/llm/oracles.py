@@ -46,19 +46,24 @@ SELECT query_id, CAST(k AS BIGINT) AS rank, doc_id, round(score, 6) AS score FRO
 def _license_scan() -> str:
     phrases = "(VALUES " + ", ".join(f"({[*p.split()]!r}, '{label}')" for p, label in licenses.PHRASES) + ")"
     rows = []
-    for number, (label, text) in enumerate(licenses.TEMPLATES):
-        words = re.findall("[a-z0-9]+", text)
-        rows.append(f"({number}, '{label}', {sorted(set(words))!r}, {1 << max(1, 2 * len(words) - 1).bit_length()})")
+    for number, (label, text, apart, never) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        phrase = f"' {text} '" if len(words) < licenses.NOTICE else "NULL"
+        lists = ", ".join(f"{sorted(set(x))!r}::VARCHAR[]" for x in (words, apart.split(), never.split()))
+        rows.append(f"({number}, '{label}', {lists}, {1 << max(1, 2 * len(words) - 1).bit_length()}, {phrase})")
     return rf"""
 WITH w AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 phrases(p, label) AS {phrases},
-templates(number, label, t, width) AS (VALUES {', '.join(rows)}),
+templates(number, label, t, apart, never, width, phrase) AS (VALUES {', '.join(rows)}),
 likely AS (SELECT id, ws FROM w WHERE list_has_any(ws, (SELECT list_distinct(flatten(list(t))) FROM templates))),
 places AS (SELECT id, label, i FROM (SELECT id, ws, p, label, unnest(range(1, len(ws) + 1)) AS i FROM likely, phrases) WHERE ws[i] = p[1] AND ws[i : i + len(p) - 1] = p),
 base AS (SELECT id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY 1),
-blocks AS (SELECT id, label, len(list_intersect(list_distinct(ws[first + 1 : first + width]), t)) / len(t)::DOUBLE AS share
-  FROM (SELECT id, ws, label, t, width, unnest(range(0, greatest(1, len(ws) - width // 2), width // 2)) AS first FROM likely, templates)),
-found AS (SELECT id, list_distinct(list(label)) AS labels, max(share) AS best FROM blocks WHERE share >= 0.8 GROUP BY 1)
+windows AS (SELECT id, ws, label, t, apart, never, phrase, list_distinct(ws[first + 1 : first + width]) AS seen
+  FROM (SELECT id, ws, label, t, apart, never, width, phrase, unnest(range(0, greatest(1, len(ws) - width // 2), width // 2)) AS first FROM likely, templates)),
+blocks AS (SELECT id, label, len(list_intersect(seen, t)) / len(t)::DOUBLE AS share FROM windows
+  WHERE len(list_intersect(seen, t)) >= (CASE WHEN phrase IS NULL THEN 0.8 ELSE 1 END) * len(t) AND list_has_all(seen, apart) AND NOT list_has_any(seen, never)
+    AND (phrase IS NULL OR contains(' ' || array_to_string(ws, ' ') || ' ', phrase))),
+found AS (SELECT id, list_distinct(list(label)) AS labels, max(share) AS best FROM blocks GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
