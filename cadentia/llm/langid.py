@@ -5,7 +5,8 @@ score the share of n-grams (of every order up to the longest) that both have,
 normalised by the geometric mean of their counts. Nyström landmarks turn it into
 features, one-versus-rest kernel ridge regression into languages. The kernel is an
 inner product of presence vectors, so landmarks, whitening and regression fold
-into one matrix, and a batch of texts is scored by one sparse matrix product.
+into one matrix with a row for each n-gram of a landmark (n-grams are kept exactly, not
+hashed), and a batch of texts is scored by one sparse matrix product.
 
 The regression values of a text sum to one, so they tell languages apart but never
 that a text is in none of them. That is told by the kernel itself: a text's mean
@@ -16,33 +17,40 @@ at that length, which needs no other language.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from cadentia.llm.common import slices, texts, tidied
+from cadentia.llm.common import SLICE_BYTES, slices, texts, tidied, whole_rows
 
-ORDERS, BITS = (1, 2, 3, 4), 16
-_SCRAMBLE = np.uint32(2654435761)
+ORDERS = (1, 2, 3, 4)
+#: Octaves of n-gram numbers for which a language has its floor.
+OCTAVES = 32
 #: A text is foreign below this part of the similarity that all but a hundredth of its language's texts reach.
 FLOOR, FLOOR_QUANTILE = 0.9, 0.01
 
 
-def grams(text: bytes, seen: np.ndarray) -> np.ndarray:
-    """Buckets of the n-grams that the text has; ``seen`` is scratch, all False before and after."""
-    b = np.frombuffer(text.lower(), np.uint8).astype(np.uint32)
-    key = np.zeros(len(b), np.uint32)
-    for n in ORDERS:
-        if len(b) < n:
-            break
-        key = b if n == 1 else (key[:-1] << np.uint32(8)) | b[n - 1 :]
-        seen[((key + np.uint32(n)) * _SCRAMBLE) >> np.uint32(32 - BITS)] = True
-    out = np.flatnonzero(seen)
-    seen[out] = False
-    return out
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def grams(text: bytes) -> np.ndarray:
+    """The distinct n-grams of a text, sorted: their bytes as a number, the order above them; block by block."""
+    text, found = text.lower(), []
+    for at in range(0, len(text), SLICE_BYTES):
+        b = np.frombuffer(text[at : at + SLICE_BYTES + max(ORDERS) - 1], np.uint8).astype(np.uint64)
+        key, keys = np.zeros(len(b), np.uint64), []
+        for n in ORDERS:
+            if len(b) < n:
+                break
+            key = b if n == 1 else (key[:-1] << np.uint64(8)) | b[n - 1 :]
+            keys.append(key | np.uint64(n << 32))
+        found.append(_distinct(np.concatenate(keys)))
+    return found[0] if len(found) == 1 else _distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def has_letter(text: bytes) -> bool:
@@ -51,17 +59,23 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys among the known ones, which come before a last place that stands for all others."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    at[known[at] != keys] = len(known)
+    return at
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    weights: np.ndarray  # buckets x languages: regression
+    known: np.ndarray  # sorted n-grams of the landmarks
+    weights: np.ndarray  # n-grams and one row of zeros x languages: regression, then the landmarks' mean of normalised presence vectors
     bias: np.ndarray
-    centres: np.ndarray  # buckets x languages: mean of the landmarks' normalised presence vectors
-    floors: np.ndarray  # BITS + 1 x languages: least similarity of a text with 2^k n-grams
-
-    @cached_property
-    def _both(self) -> np.ndarray:
-        return np.hstack([self.weights, self.centres])
+    floors: np.ndarray  # OCTAVES + 1 x languages: least similarity of a text with 2^k n-grams
 
     def judged(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Regression values, and similarities less the floors; texts x languages each."""
@@ -70,10 +84,10 @@ class LanguageModel:
         filled = lengths > 0
         if filled.any():
             starts = np.cumsum(lengths[filled]) - lengths[filled]
-            sums[filled] = np.add.reduceat(self._both[np.concatenate([r for r in rows if len(r)])], starts, axis=0)
+            sums[filled] = np.add.reduceat(self.weights[_places(self.known, np.concatenate([r for r in rows if len(r)]))], starts, axis=0)
         sums /= np.sqrt(np.maximum(lengths, 1))[:, None]
         size = np.log2(np.maximum(lengths, 1))
-        floors = np.stack([np.interp(size, np.arange(BITS + 1), f) for f in self.floors.T], axis=1) if k else sums[:, :0]
+        floors = np.stack([np.interp(size, np.arange(OCTAVES + 1), f) for f in self.floors.T], axis=1) if k else sums[:, :0]
         return sums[:, :k] + self.bias, sums[:, k:] - floors
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -82,10 +96,10 @@ class LanguageModel:
 
 def _unfitted(languages: list[str]) -> LanguageModel:
     k = len(languages)
-    return LanguageModel(languages, np.zeros((1 << BITS, k)), np.full(k, 1 / max(k, 1)), np.zeros((1 << BITS, k)), np.zeros((BITS + 1, k)))
+    return LanguageModel(languages, np.zeros(0, np.uint64), np.zeros((1, 2 * k)), np.full(k, 1 / max(k, 1)), np.zeros((OCTAVES + 1, k)))
 
 
-def _floor(texts_of: list[tuple[bytes, np.ndarray, bool]], centre: np.ndarray, marks: int, seen: np.ndarray) -> np.ndarray:
+def _floor(texts_of: list[tuple[bytes, np.ndarray, bool]], known: np.ndarray, centre: np.ndarray, marks: int) -> np.ndarray:
     """Least similarities of a language by number of n-grams, from (text, its n-grams, is a landmark).
 
     Beginnings of 16 bytes, 32 and so on stand for short texts. A landmark is compared with the others only.
@@ -94,29 +108,62 @@ def _floor(texts_of: list[tuple[bytes, np.ndarray, bool]], centre: np.ndarray, m
     for text, row, mark in texts_of:
         if mark and marks == 1 or not has_letter(text):
             continue
-        begins = [grams(text[: 1 << k], seen) for k in range(4, max(4, (len(text) - 1).bit_length()))]
+        begins = [grams(text[: 1 << k]) for k in range(4, max(4, (len(text) - 1).bit_length()))]
         for part in [*begins, row]:
             if len(part):
-                value = centre[part].sum() / np.sqrt(len(part))
+                value = centre[_places(known, part)].sum() / np.sqrt(len(part))
                 if mark:  # the part lies wholly in its own landmark
                     value = (marks * value - np.sqrt(len(part) / len(row))) / (marks - 1)
                 found.setdefault(round(np.log2(len(part))), []).append(value)
     if not found:
-        return np.zeros(BITS + 1)  # nothing to compare with: no text is foreign
-    known = sorted(found)
-    least = [FLOOR * np.quantile(found[k], FLOOR_QUANTILE) for k in known]
-    at = np.arange(BITS + 1)
+        return np.zeros(OCTAVES + 1)  # nothing to compare with: no text is foreign
+    octaves = sorted(found)
+    least = [FLOOR * np.quantile(found[k], FLOOR_QUANTILE) for k in octaves]
+    at = np.arange(OCTAVES + 1)
     # similarity to others grows at most, and past the known lengths shrinks at most, as the root of the length
-    return np.interp(at, known, least) * 2.0 ** (-np.abs(at - np.clip(at, known[0], known[-1])) / 2)
+    return np.interp(at, octaves, least) * 2.0 ** (-np.abs(at - np.clip(at, octaves[0], octaves[-1])) / 2)
+
+
+def kernel_to(marks: list[np.ndarray], rows: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """The kernel of texts with landmarks, rows x marks, by the landmarks that have each n-gram."""
+    places = np.concatenate([_places(known, m) for m in marks])
+    order = np.argsort(places, kind="stable")
+    owners = np.repeat(np.arange(len(marks)), [len(m) for m in marks])[order]
+    ends = np.cumsum(np.bincount(places, minlength=len(known) + 1))
+    starts = np.append(0, ends[:-1])
+    sizes = np.sqrt([max(len(m), 1) for m in marks])
+    out = np.zeros((len(rows), len(marks)))
+    for i, row in enumerate(rows):
+        at = _places(known, row)
+        at = at[at < len(known)]
+        n = ends[at] - starts[at]
+        every = np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)
+        out[i] = np.bincount(owners[every], minlength=len(marks)) / sizes / np.sqrt(max(len(row), 1))
+    return out
+
+
+def regression(kernel: np.ndarray, chosen: list[int], wanted: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the landmarks (marks x languages) and bias: ridge regression on Nyström features."""
+    values, vectors = np.linalg.eigh(kernel[chosen])
+    keep = values > 1e-6 * values.max()
+    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    features = kernel @ whiten
+    weight = (1 / wanted.sum(axis=0))[wanted.argmax(axis=1)]  # languages weigh alike
+    weight /= weight.sum()
+    bias = weight @ wanted
+    centre = weight @ features
+    left = (features - centre) * weight[:, None]
+    beta = np.linalg.solve(left.T @ (features - centre) + ridge / len(wanted) * np.eye(features.shape[1]), left.T @ (wanted - bias))
+    return whiten @ beta, bias - centre @ beta
 
 
 def fit(samples: list[tuple[bytes, str]], landmarks: int = 256, ridge: float = 1e-2, seed: int = 7) -> LanguageModel:
-    """Kernel ridge regression on Nyström features of ``landmarks`` of the samples."""
+    """Kernel ridge regression on Nyström features of ``landmarks`` of the samples, or of two a language where that is more."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return _unfitted([])
-    seen = np.zeros(1 << BITS, bool)
-    rows = [grams(text, seen) for text, _ in samples]
+    landmarks = max(landmarks, 2 * len(languages))
+    rows = [grams(text) for text, _ in samples]
     rng = np.random.default_rng(seed)
     # landmarks from every language in turn, so that a rare one has its share
     queues = [list(rng.permutation([i for i, (_, x) in enumerate(samples) if x == lang])) for lang in languages]
@@ -129,29 +176,18 @@ def fit(samples: list[tuple[bytes, str]], landmarks: int = 256, ridge: float = 1
                     chosen.append(i)
     if not chosen:
         return _unfitted(languages)
-    marks = np.zeros((len(chosen), 1 << BITS), np.float32)
-    for k, i in enumerate(chosen):
-        marks[k, rows[i]] = 1 / np.sqrt(len(rows[i]))
-    kernel = np.stack([marks[:, r].sum(axis=1) / np.sqrt(max(len(r), 1)) for r in rows]).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel[chosen])
-    keep = values > 1e-6 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    features = kernel @ whiten
+    known = _distinct(np.concatenate([rows[i] for i in chosen]))
     wanted = np.array([[lang == x for x in languages] for _, lang in samples], float)
-    counts = wanted.sum(axis=0)
-    weight = (1 / counts)[wanted.argmax(axis=1)]  # languages weigh alike
-    weight /= weight.sum()
-    bias = weight @ wanted
-    centre = weight @ features
-    left = (features - centre) * weight[:, None]
-    beta = np.linalg.solve(left.T @ (features - centre) + ridge / len(samples) * np.eye(features.shape[1]), left.T @ (wanted - bias))
-    own = np.array([[samples[i][1] == x for x in languages] for i in chosen], np.float32)
-    centres = (marks.T @ (own / np.maximum(own.sum(axis=0), 1))).astype(np.float64)
+    alpha, bias = regression(kernel_to([rows[i] for i in chosen], rows, known), chosen, wanted, ridge)
+    own = wanted[chosen] / np.maximum(wanted[chosen].sum(axis=0), 1)
+    weights = np.zeros((len(known) + 1, 2 * len(languages)))
+    for k, i in enumerate(chosen):
+        weights[_places(known, rows[i])] += np.concatenate([alpha[k], own[k]]) / np.sqrt(len(rows[i]))
     is_mark = set(chosen)
     floors = [
-        _floor([(text, rows[i], i in is_mark) for i, (text, x) in enumerate(samples) if x == lang], centres[:, k], int(own[:, k].sum()), seen) for k, lang in enumerate(languages)
+        _floor([(text, rows[i], i in is_mark) for i, (text, x) in enumerate(samples) if x == lang], known, weights[:, len(languages) + k], int(wanted[chosen, k].sum())) for k, lang in enumerate(languages)
     ]
-    return LanguageModel(languages, (marks.T @ (whiten @ beta).astype(np.float32)).astype(np.float64), bias - centre @ beta, centres, np.stack(floors, axis=1))
+    return LanguageModel(languages, known, weights, bias, np.stack(floors, axis=1))
 
 
 def train(docs: DataFrame, usable: Column, per_language: int = 500, **options) -> LanguageModel:
@@ -176,6 +212,29 @@ def train(docs: DataFrame, usable: Column, per_language: int = 500, **options) -
     return fit(samples, **options)
 
 
+def judged(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows (doc, text) as (doc, lang_pred, score, margin), as identify has them; doc is any struct."""
+    broadcast = rows.sparkSession.sparkContext.broadcast(model)  # n-grams of the landmarks x languages, whatever the corpus
+
+    def score(batches):
+        known = broadcast.value
+        for batch in slices(batches):
+            found = texts(batch)
+            lettered = [t is not None and bool(known.languages) and has_letter(t) for t in found]
+            values, margins = known.judged([grams(t) if ok else np.zeros(0, np.uint64) for t, ok in zip(found, lettered, strict=True)])
+            best = values.argmax(axis=1) if known.languages else np.zeros(len(found), int)
+            columns = [
+                batch.column(0),
+                pa.array([known.languages[i] if ok else "und" for i, ok in zip(best, lettered, strict=True)], pa.string()),
+                pa.array([float(min(max(v[i], 0.0), 1.0)) if ok else 0.0 for v, i, ok in zip(values, best, lettered, strict=True)], pa.float64()),
+                pa.array([float(m[i]) if ok else 0.0 for m, i, ok in zip(margins, best, lettered, strict=True)], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "lang_pred", "score", "margin"])
+
+    fields = [*rows.schema.fields[:1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType())]
+    return rows.mapInArrow(tidied(score), StructType(fields))
+
+
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with lang_pred, score (0 to 1, the winner's regression value) and margin.
 
@@ -183,23 +242,13 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
     texts have at that length: below 0 the text is in no language that was learned.
     ``und`` with score and margin 0 where the text is null or has no letter, or nothing was
     learned; ties go to the language first by name. Whole texts count, repeated rows
-    give repeated rows, an empty table gives none; other columns are not read.
+    give repeated rows, an empty table gives none; other columns are not read; ``keep`` names none of the three.
     """
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, whatever the corpus
+    found = judged(docs.select(F.struct(*keep).alias("doc"), "text"), model)
+    return found.select(*(F.col("doc").getField(c).alias(c) for c in keep), "lang_pred", "score", "margin")
 
-    def score(batches):
-        known, seen = broadcast.value, np.zeros(1 << BITS, bool)
-        for batch in slices(batches):
-            found = texts(batch)
-            lettered = [t is not None and bool(known.languages) and has_letter(t) for t in found]
-            values, margins = known.judged([grams(t, seen) if ok else np.zeros(0, np.int64) for t, ok in zip(found, lettered, strict=True)])
-            best = values.argmax(axis=1) if known.languages else np.zeros(len(found), int)
-            columns = {name: batch.column(batch.schema.get_field_index(name)) for name in keep}
-            columns["lang_pred"] = pa.array([known.languages[i] if ok else "und" for i, ok in zip(best, lettered, strict=True)], pa.string())
-            columns["score"] = pa.array([float(min(max(v[i], 0.0), 1.0)) if ok else 0.0 for v, i, ok in zip(values, best, lettered, strict=True)], pa.float64())
-            columns["margin"] = pa.array([float(m[i]) if ok else 0.0 for m, i, ok in zip(margins, best, lettered, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    columns = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*columns).mapInArrow(tidied(score), f"{schema}, lang_pred string, score double, margin double")
+
+def in_known_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of docs in a learned language, lang set to it, all other columns as they are."""
+    found = judged(whole_rows(docs).withColumn("text", F.col("doc.text")), model).where((F.col("lang_pred") != "und") & (F.col("margin") >= 0))
+    return found.select(*((F.col("lang_pred") if c == "lang" else F.col("doc").getField(c)).alias(c) for c in docs.columns))
