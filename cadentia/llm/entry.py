@@ -66,7 +66,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    # a copy as shard:position:words
+    shown = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["shard"].cast("string"), d["position"].cast("string"), d["words"].cast("string"))), ",")
+    return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", shown.alias("draws"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

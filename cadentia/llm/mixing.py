@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadentia.llm.common import one_for_each, settle
+from cadentia.llm.common import one_for_each, settle, whole_rows
 
 #: Words in a block and in an output shard, about; blocks of a source and shards of the mix at least.
-BLOCK_WORDS, SHARD_WORDS, LEAST_BLOCKS, LEAST_SHARDS = 1_000_000, 8_000_000, 256, 16
-#: Leaves of the tree at most: they and the sources make the table that the driver holds. More shards split leaves by hash.
+BLOCK_WORDS, SHARD_WORDS, LEAST_BLOCKS, LEAST_SHARDS = 1_000_000, 2_000_000, 256, 16
+#: Nodes down to which the driver splits the tree; the subtrees below, to single shards, are split by tasks.
 LEAVES = 4096
+#: Blocks, and draws, of a source that one task orders, about; partitions of the mix at most (a task may write several shards).
+RUN, PARTITIONS = 4096, 65_536
 #: Words as the mix counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,7 +43,7 @@ def targets(sizes: list[tuple[object, int]], weights: list[float], share: float,
     return out
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+def split_quotas(quotas: np.ndarray, shards: int, seed: int | list[int]) -> np.ndarray:
     """Deal block quotas of all sources to shards: an array of shards x sources.
 
     A node of the tree halves its shards and draws how many of each source's
@@ -78,7 +81,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     A null text has size 0, a null source is a source of its own and comes last;
     repeated rows each count; equal rows may swap their draws. A source without words
     has target 0. An empty table gives no rows. Other columns are not read. The driver
-    holds a row for each source and, for the tree, leaves x sources numbers.
+    holds a row for each source and, for the upper part of the tree, LEAVES x sources numbers at most.
     """
     return _mix(docs, weights, share, most, seed)[0]
 
@@ -107,17 +110,26 @@ def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float,
     plan = F.broadcast(plan)  # a row for each source
 
     sized = sized.withColumn("block", F.pmod("lot", F.lit(blocks)).cast("long"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "block"), "block")
+    # blocks in permuted order: ranks and sums within runs of the order, and over the runs before
+    bits = (blocks // RUN).bit_length()
+    key = F.xxhash64(F.lit(seed), "block")
     sums = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    turned = (
+    keyed = (
         sums.join(plan, sums["source"].eqNullSafe(plan["source"]))
-        .select(sums["source"], "block", "number", "source_size", "target", "passes", "rest", "words")
-        .withColumn("turn", F.row_number().over(order) - 1)
-        .withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select(sums["source"], "block", "number", "source_size", "target", "passes", "rest", "words", key.alias("key"), (F.shiftright(key, 64 - bits) if bits else F.lit(0).cast("long")).alias("run"))
+    )
+    by_run = Window.partitionBy("number").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = keyed.groupBy("number", "run").agg(F.count("*").alias("n"), F.sum("words").alias("in_run"))
+    runs = runs.select("number", "run", F.coalesce(F.sum("n").over(by_run), F.lit(0)).alias("n_before"), F.coalesce(F.sum("in_run").over(by_run), F.lit(0)).alias("words_before"), F.sum("n").over(Window.partitionBy("number")).alias("filled"))
+    order = Window.partitionBy("number", "run").orderBy("key", "block")
+    turned = (
+        keyed.join(runs, ["number", "run"])
+        .withColumn("turn", F.col("n_before") + F.row_number().over(order) - 1)
+        .withColumn("before", F.col("words_before") + F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("whole", F.col("before") + F.col("words") <= F.col("rest"))
         .withColumn("edge", ~F.col("whole") & (F.col("before") < F.col("rest")))
-        .withColumn("filled", F.count("*").over(Window.partitionBy("source")))
         .withColumn("times", F.col("passes") + (F.col("whole") | F.col("edge")).cast("int"))
+        .drop("key", "run", "n_before", "words_before")
     )
     turned = settle(turned)  # a row for each block
 
@@ -126,19 +138,30 @@ def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float,
         quota[number] = int(n)
     dealt = split_quotas(np.array(quota, np.int64), leaves, seed)
     begins = np.cumsum(dealt, axis=0) - dealt
-    starts = [(i, int(begins[leaf, i]), leaf) for i in range(len(totals)) for leaf in np.flatnonzero(dealt[:, i]).tolist()]
-    starts = spark.createDataFrame(starts, "number int, at long, leaf int")
-    # a source's draws in order, pass by pass; the last start at or before a draw is its leaf
-    draws = turned.where("times > 0").select("number", "block", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("k"), "filled", "turn")
-    draws = draws.select("number", ((F.col("k") - 1) * F.col("filled") + F.col("turn")).alias("at"), "block", "k", F.lit(None).cast("int").alias("leaf"))
-    both = draws.unionByName(starts.select("number", "at", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("k"), "leaf"))
-    last = Window.partitionBy("number").orderBy("at", F.col("block").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("leaf", F.last("leaf", ignorenulls=True).over(last)).where("block is not null")
-    found = found.groupBy("number", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "leaf"))), lambda x: x["leaf"]).alias("leaves"))  # most + 1 passes
+
+    def subtrees(batches):
+        for batch in batches:
+            for leaf, quotas, starts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                parts = split_quotas(np.array(quotas, np.int64), each, [seed, leaf])
+                at = np.array(starts, np.int64) + np.cumsum(parts, axis=0) - parts
+                shard, number = np.nonzero(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number, at[shard, number], parts[shard, number], leaf * each + shard)], names=["number", "at", "n", "shard"])
+
+    upper = spark.createDataFrame([(i, dealt[i].tolist(), begins[i].tolist()) for i in range(leaves)], "leaf long, quotas array<long>, begins array<long>")
+    starts = settle(upper.mapInArrow(subtrees, "number long, at long, n long, shard long"))
+    # a source's draws in order, pass by pass; the last start at or before a draw is its shard's. Both are cut into runs of draws
+    spread = starts.select("number", "at", "shard", F.explode(F.sequence(F.floor(F.col("at") / RUN), F.floor((F.col("at") + F.col("n") - 1) / RUN))).alias("run"))
+    spread = spread.select("number", "run", F.greatest("at", F.col("run") * RUN).alias("at"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("k"), "shard")
+    draws = turned.where("times > 0").select(F.col("number").cast("long").alias("number"), "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long"))).alias("k"), "filled", "turn")
+    draws = draws.select("number", ((F.col("k") - 1) * F.col("filled") + F.col("turn")).alias("at"), "block", "k")
+    both = draws.select("number", F.floor(F.col("at") / RUN).alias("run"), "at", "block", "k", F.lit(None).cast("long").alias("shard")).unionByName(spread)
+    last = Window.partitionBy("number", "run").orderBy("at", F.col("block").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("shard", F.last("shard", ignorenulls=True).over(last)).where("block is not null")
+    found = found.groupBy("number", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "shard"))), lambda x: x["shard"]).alias("shards"))  # most + 1 passes
 
     known = turned.join(found, ["number", "block"], "left").alias("b")
     joined = sized.alias("d").join(known, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-    joined = joined.select("doc_id", "d.source", "size", "lot", "d.block", "source_size", "target", "passes", "rest", "before", "whole", "edge", "leaves")
+    joined = joined.select("doc_id", "d.source", "size", "lot", "d.block", "source_size", "target", "passes", "rest", "before", "whole", "edge", "shards")
     # one block of each source is ranked document by document
     within = Window.partitionBy("source").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = joined.where("edge").withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0)))))
@@ -146,7 +169,7 @@ def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float,
     every = rest.unionByName(edge.withColumn("part", F.col("part").cast("long")))
     draw = lambda k: F.struct(
         k.cast("int").alias("pass"),
-        (F.get("leaves", k.cast("int")) * each + F.pmod(F.xxhash64(F.lit(seed), k, "source", "block"), F.lit(each)).cast("int")).alias("shard"),
+        F.get("shards", k.cast("int")).cast("int").alias("shard"),
         F.xxhash64(F.lit(seed), k, "lot").alias("position"),
         F.when(k < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"),
     )
@@ -156,16 +179,16 @@ def _mix(docs: DataFrame, weights: tuple[float, ...], share: float, most: float,
     return out.select("doc_id", "lot", "size", "source", "source_size", "target", "taken", "draws"), leaves * each
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20_240_501) -> DataFrame:
-    """The mix itself: a row for each draw with all of docs' columns, and _shard; within a shard shuffled.
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20_240_501, shard: str | None = None) -> DataFrame:
+    """The mix itself: a row for each draw with all of docs' columns as they are, dealt by shard and shuffled within; ``shard`` names a column to add for its number.
 
     The one document that a source's target cuts is drawn whole if at least half of it is taken, else not.
     Otherwise as mix_documents.
     """
     drawn, shards = _mix(docs, weights, share, most, seed)
     whole = F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))
-    drawn = drawn.select(F.col("lot").alias("_lot"), whole.alias("_draws")).where(F.size("_draws") > 0)
-    drawn = drawn.groupBy("_lot").agg(F.flatten(F.collect_list("_draws")).alias("_draws"), F.count("*").alias("_copies"))  # more than one for repeated rows only
-    found = one_for_each(docs.withColumn("_lot", F.xxhash64(F.lit(seed), "doc_id", "text")), drawn, "_lot")
-    rows = found.select(*docs.columns, F.explode("_draws").alias("_d")).select(*docs.columns, F.col("_d.shard").alias("_shard"), F.col("_d.position").alias("_position"))
-    return rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_position").drop("_position")
+    drawn = drawn.select("lot", whole.alias("draws")).where(F.size("draws") > 0)
+    drawn = drawn.groupBy("lot").agg(F.flatten(F.collect_list("draws")).alias("draws"), F.count("*").alias("copies"))  # more than one for repeated rows only
+    found = one_for_each(whole_rows(docs).withColumn("lot", F.xxhash64(F.lit(seed), "doc.doc_id", "doc.text")), drawn, "lot", "copies")
+    rows = found.select("doc", F.explode("draws").alias("draw")).repartition(min(shards, PARTITIONS), "draw.shard").sortWithinPartitions("draw.shard", "draw.position")
+    return rows.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), *([F.col("draw.shard").alias(shard)] if shard else []))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from cadentia.llm import mixing, neardup
 from tests.llm import cases
@@ -77,3 +79,18 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 0)] * 4 + [(1, "a b c d e f", 1), (None, "x y", 0), (None, "x y", 0), (None, None, 0)], "doc_id long, text string, extra int")
     out = [tuple(r)[:2] for r in neardup.deduplicated(docs).collect()]
     assert sorted(out, key=str) == sorted([(1, "a b c d e f"), (None, "x y"), (None, None)], key=str)
+
+
+CLASHES = ["_row", "_lot", "_key", "_copies", "_draws", "_shard", "spans", "sanitised", "score", "lang_pred", "doc", "row", "base", "near", "lot", "key", "draw", "copies", "margin", "size", "a.b"]
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Every stage but the last gives back columns with names that the operators use themselves, unchanged."""
+    docs = cases.frame(spark).select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").dropDuplicates(["doc_id"])
+    docs = docs.select("*", *(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHES))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHES)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0

@@ -167,15 +167,35 @@ def test_language_id_odd_rows(spark):
 
 
 def test_kernel_model_folds_exactly():
-    """The folded matrix gives what kernels to the landmarks give."""
+    """The folded matrix gives what plain kernels to the landmarks, Nyström features and ridge regression give."""
     samples = [(f"ab{i}cd{i * i} xyz".encode(), "x") for i in range(12)] + [(f"qu{i}ro mn{i * 3}".encode(), "y") for i in range(12)]
     model = langid.fit(samples, landmarks=24)
-    seen = np.zeros(1 << langid.BITS, bool)
-    rows = [langid.grams(t, seen) for t, _ in samples]
+    text = {t: {bytes(t[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)} for t, _ in samples}
+    assert all(len(langid.grams(t)) == len(g) for t, g in text.items())
+    kernel = lambda x, y: len(text[x] & text[y]) / np.sqrt(len(text[x]) * len(text[y]))
+    plain = np.array([[kernel(x, y) for y, _ in samples] for x, _ in samples])
+    rows = [langid.grams(t) for t, _ in samples]
+    every = langid._distinct(np.concatenate(rows))
+    np.testing.assert_allclose(langid.kernel_to(rows, rows, every), plain, atol=1e-12)
+    # all samples are landmarks: ridge regression in the kernel's own space, languages weighing alike
+    wanted = np.array([[lang == "x", lang == "y"] for _, lang in samples], float)
+    values, vectors = np.linalg.eigh(plain)
+    keep = values > 1e-6 * values.max()
+    features = plain @ (vectors[:, keep] / np.sqrt(values[keep]))
+    centred, weight = features - features.mean(axis=0), 1 / len(samples)
+    beta = np.linalg.solve(weight * centred.T @ centred + 1e-2 / len(samples) * np.eye(keep.sum()), weight * centred.T @ (wanted - 0.5))
     pred = model.scores(rows)
+    np.testing.assert_allclose(pred, centred @ beta + 0.5, atol=1e-8)
     assert ((pred[:, 0] > pred[:, 1]) == [lang == "x" for _, lang in samples]).all()
 
 
+def test_grams_of_long_texts_are_whole(monkeypatch):
+    text = b"".join(b"word%d " % i for i in range(3000))
+    whole = langid.grams(text)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 1000)
+    assert (langid.grams(text) == whole).all()
+
+
 def test_targets():
     assert mixing.targets([("a", 100), ("b", 100), ("c", 100)], [3, 1, 2], 1.5, 2) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([("a", 10), ("b", 1000), (None, 0)], [3, 1, 2], 1.5, 2) == pytest.approx([20, 1495, 0])
@@ -192,6 +212,7 @@ def test_mixing_in_many_shards(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
     monkeypatch.setattr(mixing, "LEAVES", 32)
+    monkeypatch.setattr(mixing, "RUN", 16)
     docs = cases.given(spark, sf_dir)[0]
     plain = {r.doc_id: r for r in mixing.mix_documents(docs).collect()}
     words = Counter()
