@@ -18,10 +18,7 @@ from cadentia.llm.entry import tokenizer_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no known language go, nulls and texts without a letter too; lang becomes the language found."""
-    model = langid.train(docs, F.lit(True))
-    found = langid.identify(docs, model, docs.columns)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("margin") >= 0))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return langid.in_known_languages(docs, langid.train(docs, F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +28,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are masked; n_chars follows."""
-    found = pii.find(docs, [c for c in docs.columns if c not in ("text", "n_chars")], text=True).withColumnRenamed("sanitised", "text")
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.sanitised(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 3, 1, 2, repeating, and 150 % of the words; a document drawn twice has two rows."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
