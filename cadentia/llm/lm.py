@@ -1,37 +1,45 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-    P(w | h) = P(class(w) | h) * P(w | class(w))
+    P(w | h) = P(class(w) | h) * P(cell(w) | class(w), h) * P(w | cell(w))
 
-The first factor is a softmax over classes whose features are hashed n-grams and
-skips of the history (the word before, the two before, the one before that); the
-frequent words are classes of their own, others fall into classes by spelling.
-The second factor is the smoothed share of the word's count in its class. The
-weights are trained by distributed gradient updates: each task steps through its
-documents from the same weights, and the tasks' weights are averaged by how many
-words each has read. Texts are scored in numpy batches, sparse in their features.
+The first two factors are softmaxes with features of the history, hashed: for the class the
+word before, the two before and the one before that (a skip); for the cell, within the class,
+the word before and the one before that, each together with the class. The frequent
+words are classes of their own; the others fall into classes by spelling and, within a
+class, into cells by their hash. The last factor is the smoothed share of the word's count in its cell.
+
+The weights are trained by distributed gradient updates in rounds: in each, every task steps through
+its part of the round's documents from the same weights, and the tasks' weights are averaged,
+each row by how often a task has seen its feature, before the next round starts from them. Texts are
+scored in numpy batches, sparse in their features.
 
 Counts cover all training documents. Words are known by 64-bit hashes; the frequent
 ones' counts go to every task (a fixed number of rows), the others' meet the
-documents in a join.
+documents in a join. The number of feature rows grows with the root of the training tokens.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import MEMO_WORDS, settle, slices, texts, tidied
+from cadentia.llm.common import MEMO_WORDS, settle, slices, tidied
 
-#: Frequent words that are classes of their own; classes by spelling; hashed features; words whose counts are sent out.
-FREQUENT, SPELLINGS, BUCKETS, HEAD = 24, 32, 1 << 13, 1 << 16
+#: Words that are classes of their own (the end among them); classes by spelling; cells of a class; words whose counts are sent out.
+FREQUENT, SPELLINGS, CELLS, HEAD = 24, 32, 16, 1 << 16
 CLASSES = FREQUENT + SPELLINGS
-#: A word's number is its 64-bit hash with the class of its spelling in the lowest bits.
-_SPELLING = SPELLINGS - 1
+#: Rows of hashed features, as powers of two: at least and at most (19 MB).
+LEAST_BITS, MOST_BITS = 13, 16
+#: A word's number is its 64-bit hash with the class of its spelling in the lowest bits; the next ones tell its cell.
+_SPELLING, _CELL_SHIFT = SPELLINGS - 1, SPELLINGS.bit_length() - 1
 _END = np.uint64(xxhash.xxh64_intdigest(b"\x20end") & ~_SPELLING)
-_KINDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_KINDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 #: Rows of partial counts that a task holds.
 PARTIAL = 500_000
 
@@ -48,13 +56,22 @@ class _Words(dict):
             self[word] = value
         return value
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        """The text's tokens: its words and the end."""
-        words = (text or b"").lower().split()
-        out = np.empty(len(words) + 1, np.uint64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        out[-1] = _END
-        return out
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the texts in a row, each text's words and the end, and where the texts end; null as empty."""
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        coded = chunks.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        codes = coded.indices.to_numpy()
+        real = np.fromiter(map(len, words), np.int64, len(words))[codes] > 0  # white space at the ends splits off empty words
+        before = np.append(0, np.cumsum(real))[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        ends = before[1:] + np.arange(1, len(before))
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+        closes = np.zeros(len(out), bool)
+        closes[ends - 1] = True
+        out[closes] = _END
+        out[~closes] = numbers[codes[real]]
+        return out, ends
 
 
 _WORDS = _Words()
@@ -91,58 +108,125 @@ class Head:
             there[again] = self.hashes[at[again]] == hashes[again]
         return at, there
 
+    def classes_of(self, hashes: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        spelling = FREQUENT + (hashes & np.uint64(_SPELLING)).astype(np.int64)
+        if not len(self.classes):
+            return spelling
+        own = np.where(there, self.classes[at], -1)
+        return np.where(own >= 0, own, spelling)
+
+
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(_CELL_SHIFT)).astype(np.int64) & (CELLS - 1)
+
+
+def histories(tokens: np.ndarray, starts: np.ndarray, first: int, last: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before and the one before that of tokens first to last, and their feature rows (tokens x 3); before a text's start stands the end.
+
+    ``tokens`` are whole texts in a row, ``starts`` marks where they begin.
+    """
+    padded = np.concatenate([[_END, _END], tokens[max(0, first - 2) : last]]) if first < 2 else tokens[first - 2 : last]
+    padded = padded[len(padded) - (last - first) - 2 :]
+    one, two = padded[1:-1], padded[:-2].copy()
+    two[starts[first:last]] = _END  # the word before is the last text's end already
+    shift, (a, b, c, _, _) = np.uint64(64 - bits), _KINDS  # words' numbers are hashes already
+    return one, two, np.stack([((x * k) >> shift).astype(np.int32) for x, k in ((one, a), (one * b ^ two, a), (two, c))], axis=1)
 
-def classes_of(head: Head, hashes: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
-    spelling = FREQUENT + (hashes & np.uint64(_SPELLING)).astype(np.int64)
-    if not len(head.classes):
-        return spelling
-    own = np.where(there, head.classes[at], -1)
-    return np.where(own >= 0, own, spelling)
 
+def within(one: np.ndarray, two: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
+    """Feature rows of the cell's softmax: each of the two words before, with the class (tokens x 2)."""
+    shift, mixed = np.uint64(64 - bits), (classes + 1).astype(np.uint64) * _KINDS[1]
+    return np.stack([(((x ^ mixed) * k) >> shift).astype(np.int32) for x, k in ((one, _KINDS[3]), (two, _KINDS[4]))], axis=1)
 
-def histories(hashes: np.ndarray) -> np.ndarray:
-    """Feature buckets for each token, tokens x 3; before a text's start stands the end."""
-    one = np.concatenate([[_END], hashes[:-1]])
-    two = np.concatenate([[_END], one[:-1]])
-    shift, (a, b, c) = np.uint64(64 - BUCKETS.bit_length() + 1), _KINDS  # words' numbers are hashes already
-    return np.stack([((x * k) >> shift).astype(np.int16) for x, k in ((one, a), (one * b ^ two, a), (two, c))], axis=1)
 
+@dataclass
+class Model:
+    bits: int
+    bias: np.ndarray  # classes
+    weights: np.ndarray  # feature rows x classes
+    cell_bias: np.ndarray  # classes x cells: log shares
+    cell_weights: np.ndarray  # feature rows x cells
 
-def _margins(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    def copy(self) -> Model:
+        return Model(self.bits, self.bias.copy(), self.weights.copy(), self.cell_bias, self.cell_weights.copy())
+
+
+def margins(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     margin = weights[features[:, 0]]
-    margin += weights[features[:, 1]]
-    margin += weights[features[:, 2]]
+    for k in range(1, features.shape[1]):
+        margin += weights[features[:, k]]
     margin += bias
     return np.clip(margin, -60, 60, out=margin)
 
 
-def class_log_probabilities(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    margin = _margins(weights, bias, features)
+def log_probabilities(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    margin = margins(weights, bias, features)
     return margin - np.log(np.exp(margin).sum(axis=1, keepdims=True))
 
 
-def log_probabilities_of(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Of the given classes only."""
-    margin = _margins(weights, bias, features)
-    own = margin[np.arange(len(classes)), classes]
+def log_probabilities_of(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Of one column for each token only."""
+    margin = margins(weights, bias, features)
+    own = margin[np.arange(len(wanted)), wanted]
     np.exp(margin, out=margin)
     return own - np.log(margin.sum(axis=1))
 
 
-def step(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray, rate: float) -> None:
-    """One gradient update of the log likelihood over a run of tokens."""
-    slope = _margins(weights, bias, features)
+def step(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, wanted: np.ndarray, rate: float) -> np.ndarray:
+    """One gradient update of the feature rows over a run of tokens; the mean slope."""
+    slope = margins(weights, bias, features)
     np.exp(slope, out=slope)
     slope /= -slope.sum(axis=1, keepdims=True)
-    slope[np.arange(len(classes)), classes] += 1
-    bias += rate * slope.mean(axis=0)
-    for k in range(3):
-        order = np.argsort(features[:, k], kind="stable")
-        rows = features[order, k]
+    slope[np.arange(len(wanted)), wanted] += 1
+    place = np.arange(len(wanted), dtype=np.uint64)
+    for k in range(features.shape[1]):
+        keys = np.sort((features[:, k].astype(np.uint64) << np.uint64(20)) | place)
+        order, rows = (keys & np.uint64((1 << 20) - 1)).astype(np.int64), (keys >> np.uint64(20)).astype(np.int64)
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
         sums = np.add.reduceat(slope[order], starts, axis=0)
         n = np.diff(starts, append=len(rows))[:, None]
         weights[rows[starts]] += (rate / (n + 4)).astype(np.float32) * sums  # rare features move less
+    return slope.mean(axis=0)
+
+
+def learn(model: Model, head: Head, tokens: np.ndarray, ends: np.ndarray, run: int, rate) -> tuple[np.ndarray, np.ndarray]:
+    """Step through whole texts in runs of tokens; how often each feature row was seen, of classes and of cells."""
+    starts = np.zeros(len(tokens), bool)
+    starts[np.append(0, ends[:-1])] = True
+    seen, seen_in = np.zeros(len(model.weights)), np.zeros(len(model.cell_weights))
+    for i in range(0, len(tokens), run):
+        j = min(i + run, len(tokens))
+        one, two, features = histories(tokens, starts, i, j, model.bits)
+        classes = head.classes_of(tokens[i:j], *head.look(tokens[i:j]))
+        now = rate(j - i)
+        model.bias += now * step(model.weights, model.bias, features, classes, now)
+        seen += np.bincount(features.ravel(), minlength=len(seen))
+        several = np.flatnonzero(classes >= FREQUENT)  # a frequent word is alone in its class
+        if len(several):
+            inner = within(one[several], two[several], classes[several], model.bits)
+            step(model.cell_weights, model.cell_bias[classes[several]], inner, cells_of(tokens[i:j][several]), now)
+            seen_in += np.bincount(inner.ravel(), minlength=len(seen_in))
+    return seen, seen_in
+
+
+def log10_of(model: Model, head: Head, tokens: np.ndarray, ends: np.ndarray, inside: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token log10 of its class and cell less that of the cell's size, its row in the head, and whether it is there."""
+    starts = np.zeros(len(tokens), bool)
+    starts[np.append(0, ends[:-1])] = True
+    logp, rows, known = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+    for i in range(0, len(tokens), run):
+        j = min(i + run, len(tokens))
+        one, two, features = histories(tokens, starts, i, j, model.bits)
+        rows[i:j], known[i:j] = head.look(tokens[i:j])
+        classes, cells = head.classes_of(tokens[i:j], rows[i:j], known[i:j]), cells_of(tokens[i:j])
+        found = log_probabilities_of(model.weights, model.bias, features, classes).astype(np.float64)
+        several = np.flatnonzero(classes >= FREQUENT)
+        if len(several):
+            inner = within(one[several], two[several], classes[several], model.bits)
+            found[several] += log_probabilities_of(model.cell_weights, model.cell_bias[classes[several]], inner, cells[several])
+        cells[classes < FREQUENT] = 0
+        logp[i:j] = found / np.log(10) - inside[classes, cells]
+    return logp, rows, known
 
 
 def score(
@@ -151,7 +235,7 @@ def score(
     keep: dict[str, Column],
     rate: float = 0.8,
     run: int = 4096,
-    passes: int = 1,
+    rounds: int = 3,
 ) -> DataFrame:
     """doc_id and the columns ``keep`` with n_tokens, n_known, train_tokens, base_score, score.
 
@@ -159,7 +243,8 @@ def score(
     ASCII white space, A-Z lower-cased, and one end a text; a null text is empty.
     base_score sums log10((c + 1) / (N + V + 1)) by the training counts; score is the
     model's log10 probability, which gives an unseen word the share of one more word of count 0 in its
-    class. Whole texts count; repeated rows each count; without training rows all counts are 0 and
+    cell. Training reads every text once, a hashed part of them in each round; as tasks step side by side, scores depend a little on
+    how the table is cut. Whole texts count; repeated rows each count; without training rows all counts are 0 and
     classes are equally likely; an empty table gives no rows; columns besides
     those named are not read.
     """
@@ -169,7 +254,7 @@ def score(
     def count(batches):
         words, held = _words(), []
         for batch in slices(batches):
-            held.append(np.unique(np.concatenate([words.of(text) for text in texts(batch)]), return_counts=True))
+            held.append(np.unique(words.of(batch.column(0))[0], return_counts=True))
             if sum(len(x[0]) for x in held) > PARTIAL:
                 held = [_merged(held)]
                 if len(held[0][0]) > PARTIAL // 2:
@@ -180,7 +265,10 @@ def score(
     counted = taught.mapInArrow(tidied(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counted = settle(counted)  # a row for each distinct word
     n_all, v_all = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the most frequent words, HEAD at most: counts in bands a sixteenth of an octave wide, as many bands as fit
+    end = int(_END.astype(np.int64))
+    # the end and the most frequent words are classes of their own, however counts are spread
+    own = [*counted.where(F.col("h") == end).collect(), *counted.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(FREQUENT - 1).collect()]
+    # the head, HEAD words at most beside them: counts in bands a sixteenth of an octave wide, as many bands as fit
     band = F.floor(F.log2("n") * 16)
     bands, least, words_in = counted.groupBy(band.alias("band")).agg(F.count("*").alias("n")).orderBy(F.desc("band")).collect(), None, 0  # some hundred rows
     for r in bands:
@@ -188,49 +276,59 @@ def score(
         if words_in > HEAD:
             break
         least = r.band
-    end = int(_END.astype(np.int64))
-    top = counted.where((band >= least if least is not None else F.lit(False)) | (F.col("h") == end)).collect()
-    # the end comes first and has a class of its own
-    rows = sorted(top, key=lambda r: (r.h != end, -r.n, r.h))
-    hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    classes = np.where(np.arange(len(rows)) < FREQUENT, np.arange(len(rows)), -1)
-    head = Head(hashes[order], np.array([r.n for r in rows], np.int64)[order], classes[order])
-    in_class = np.zeros((CLASSES, 2), np.int64)  # tokens and distinct words
-    for i, r in enumerate(rows[:FREQUENT]):
-        in_class[i] = r.n, 1
-    for spelling, n, v in counted.groupBy(F.col("h").bitwiseAND(_SPELLING).alias("spelling")).agg(F.sum("n"), F.count("*")).collect():
-        own = [r for r in rows[:FREQUENT] if r.h & _SPELLING == spelling]
-        in_class[FREQUENT + spelling] = n - sum(r.n for r in own), v - len(own)
-    shared = spark.sparkContext.broadcast((head, in_class))  # HEAD and CLASSES rows, whatever the corpus
-
-    bias = np.log((in_class[:, 0] + 1.0) / (in_class[:, 0].sum() + CLASSES)).astype(np.float32)
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
-    for _ in range(passes if n_all else 0):
-        weights, bias = _trained(taught, shared, weights, bias, rate, run)
-    model = spark.sparkContext.broadcast((weights, bias))
+    top = {r.h: r.n for r in counted.where(band >= least).collect()} if least is not None else {}
+    top |= {r.h: r.n for r in own}
+    classes = {r.h: i for i, r in enumerate(own)}
+    hashes = np.sort(np.fromiter(top, np.int64, len(top)).view(np.uint64))
+    numbers = hashes.view(np.int64).tolist()
+    head = Head(hashes, np.array([top[h] for h in numbers], np.int64), np.array([classes.get(h, -1) for h in numbers], np.int64))
+    in_cell = np.zeros((CLASSES, CELLS, 2), np.int64)  # tokens and distinct words
+    cell = F.shiftrightunsigned("h", _CELL_SHIFT).bitwiseAND(CELLS - 1)
+    for spelling, c, n, v in counted.groupBy(F.col("h").bitwiseAND(_SPELLING).alias("spelling"), cell.alias("cell")).agg(F.sum("n"), F.count("*")).collect():
+        in_cell[FREQUENT + spelling, c] = n, v
+    for i, r in enumerate(own):
+        in_cell[FREQUENT + (r.h & _SPELLING), (r.h >> _CELL_SHIFT) & (CELLS - 1)] -= (r.n, 1)
+        in_cell[i, 0] = r.n, 1
+    shared = spark.sparkContext.broadcast(head)  # HEAD + FREQUENT rows at most, whatever the corpus
+
+    in_class = in_cell[:, :, 0].sum(axis=1)
+    bits = int(np.clip(np.floor(np.log2(2 * np.sqrt(max(n_all, 1)))), LEAST_BITS, MOST_BITS))
+    model = Model(
+        bits,
+        np.log((in_class + 1.0) / (in_class.sum() + CLASSES)).astype(np.float32),
+        np.zeros((1 << bits, CLASSES), np.float32),
+        np.log((in_cell[:, :, 0] + 1.0) / (in_class[:, None] + CELLS)).astype(np.float32),
+        np.zeros((1 << bits, CELLS), np.float32),
+    )
+    for k in range(rounds if n_all else 0):
+        part = taught.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        model = _trained(part, shared, model, rate / (1 + k) ** 0.5, run)
+    fitted = spark.sparkContext.broadcast((model, np.log10(in_cell.sum(axis=2) + 1.0)))
 
     names = ["doc_id", *keep]
 
     def measure(batches):
-        (known, sizes), (w, b), words = shared.value, model.value, _words()
-        base_total, inside = float(n_all + v_all + 1), np.log10(sizes[:, 0] + sizes[:, 1] + 1.0)
+        known, (fit, inside), words, base_total = shared.value, fitted.value, _words(), np.log10(float(n_all + v_all + 1))
         for batch in slices(batches):
-            out = []
-            for text in texts(batch):
-                h = words.of(text)
-                at, there = known.look(h)
-                cls = classes_of(known, h, at, there)
-                features, logp = histories(h), 0.0
-                for i in range(0, len(h), run):
-                    logp += float(log_probabilities_of(w, b, features[i : i + run], cls[i : i + run]).sum(dtype=np.float64))
-                logp = logp / np.log(10) - float(inside[cls].sum())
-                # log10(c + 1) is the numerator of a word's share, in its class as in all words
-                c = float(known.gain[at[there]].sum()) if there.any() else 0.0
-                rest, n = np.unique(h[~there], return_counts=True)
-                out.append((len(h), int(there.sum()), float(c - len(h) * np.log10(base_total)), float(logp + c), rest.view(np.int64).tolist(), n.tolist()))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = [pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            tokens, ends = words.of(batch.column(len(names)))
+            first = np.append(0, ends[:-1])
+            logp, at, there = log10_of(fit, known, tokens, ends, inside, run)
+            # log10(c + 1) is the numerator of a word's share, in its cell as in all words
+            gain = np.zeros(len(tokens))
+            if there.any():
+                gain[there] = known.gain[at[there]]
+            gained = np.add.reduceat(gain, first)
+            n = ends - first
+            owner = np.repeat(np.arange(len(n)), n)[~there]
+            rest = tokens[~there]
+            order = np.lexsort((rest, owner))
+            owner, rest = owner[order], rest[order]
+            new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1]))) if len(rest) else np.zeros(0, np.int64)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(owner[new], minlength=len(n)))), pa.int32())
+            columns = [
+                pa.array(n), pa.array(np.add.reduceat(there.astype(np.int64), first)), pa.array(gained - n * base_total), pa.array(np.add.reduceat(logp, first) + gained),
+                pa.ListArray.from_arrays(offsets, pa.array(rest[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(new, append=len(rest)))),
+            ]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *columns], names=[*names, "n_tokens", "known", "base", "logp", "rest", "times"])
 
     read = docs.select("doc_id", *(c.alias(k) for k, c in keep.items()), "text")
@@ -260,56 +358,57 @@ def _counts(x: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], names=["h", "n"])
 
 
-def _trained(taught: DataFrame, shared, weights: np.ndarray, bias: np.ndarray, rate: float, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over all training texts by tasks side by side, then the average of their weights."""
-    start = taught.sparkSession.sparkContext.broadcast((weights, bias))
-    block = 64  # rows of weights that travel together
+def _trained(taught: DataFrame, shared, model: Model, rate: float, run: int) -> Model:
+    """One round: tasks learn from the texts side by side, then each row of weights is averaged by how often the tasks have seen its feature."""
+    start = taught.sparkSession.sparkContext.broadcast(model)
+    block, rows = 64, 1 << model.bits  # rows of weights that travel together
+
+    def teach(batches):
+        own, words, read = start.value.copy(), _words(), 0
+        seen = [np.zeros(rows), np.zeros(rows)]
+
+        def falling(n):
+            nonlocal read
+            read += n
+            return rate / (1 + (read - n) / 2e6) ** 0.5
 
-    def learn(batches):
-        (known, _), (w, b) = shared.value, start.value
-        w, b, words, seen, read = w.copy(), b.copy(), _words(), np.zeros(BUCKETS), 0
         for batch in slices(batches):
-            features, classes = [], []
-            for text in texts(batch):
-                h = words.of(text)
-                features.append(histories(h))
-                classes.append(classes_of(known, h, *known.look(h)))
-            features, classes = np.concatenate(features), np.concatenate(classes)
-            for i in range(0, len(classes), run):
-                step(w, b, features[i : i + run], classes[i : i + run], rate / (1 + read / 2e6) ** 0.5)
-                read += min(run, len(classes) - i)
-            seen += np.bincount(features.ravel(), minlength=BUCKETS)  # bucket numbers fit 16 bits
+            tokens, ends = words.of(batch.column(0))
+            for total, more in zip(seen, learn(own, shared.value, tokens, ends, run, falling), strict=True):
+                total += more
         if read:
-            # each row counts by how often the task has seen its feature
-            weighted = w * seen[:, None]
-            for i in range(0, BUCKETS, block):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i]), pa.array([weighted[i : i + block].astype("<f4").tobytes()], pa.binary()), pa.array([seen[i : i + block].astype("<f4").tobytes()], pa.binary())], names=["block", "sums", "seen"]
-                )
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([(b * read).astype("<f4").tobytes()], pa.binary()), pa.array([np.array([read], "<f4").tobytes()], pa.binary())], names=["block", "sums", "seen"])
+            keys, values, times = [-1], [own.bias.astype("<f4").tobytes()], [np.array([read], "<f4").tobytes()]
+            for kind, (weights, n) in enumerate(zip((own.weights, own.cell_weights), seen, strict=True)):
+                for i in range(0, rows, block):
+                    keys.append(kind << 32 | i)
+                    values.append(weights[i : i + block].astype("<f2").tobytes())  # half precision is finer than the steps
+                    times.append(n[i : i + block].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values, pa.binary()), pa.array(times, pa.binary())], names=["block", "weights", "seen"])
 
     def add(batches):
         sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for i, s, n in zip(*(batch.column(name).to_pylist() for name in ("block", "sums", "seen")), strict=True):
-                s, n = np.frombuffer(s, "<f4").astype(np.float64), np.frombuffer(n, "<f4").astype(np.float64)
+            for i, w, n in zip(*(batch.column(name).to_pylist() for name in ("block", "weights", "seen")), strict=True):
+                n = np.frombuffer(n, "<f4").astype(np.float64)
+                w = np.frombuffer(w, "<f4" if i < 0 else "<f2").astype(np.float64).reshape(len(n), -1) * n[:, None]
                 if i in sums:
-                    sums[i][0] += s
+                    sums[i][0] += w
                     sums[i][1] += n
                 else:
-                    sums[i] = [s, n]
-        for i, (s, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([s.astype("<f4").tobytes()], pa.binary()), pa.array([n.astype("<f4").tobytes()], pa.binary())], names=["block", "sums", "seen"])
+                    sums[i] = [w, n]
+        for i, (w, n) in sums.items():
+            mean = w / np.maximum(n, 1e-9)[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([mean.astype("<f4").tobytes()], pa.binary()), pa.array([n.astype("<f4").tobytes()], pa.binary())], names=["block", "weights", "seen"])
 
-    schema = "block long, sums binary, seen binary"
+    schema = "block long, weights binary, seen binary"
     parts = int(taught.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    learnt = taught.mapInArrow(tidied(learn), schema).repartition(min(parts, BUCKETS // block), "block").mapInArrow(tidied(add), schema)
-    weights, bias = weights.copy(), bias.copy()
+    learnt = taught.mapInArrow(tidied(teach), schema).repartition(min(parts, rows // block), "block").mapInArrow(tidied(add), schema)
+    out = model.copy()
     for r in learnt.collect():  # a row for each block
-        s, n = np.frombuffer(r.sums, "<f4"), np.frombuffer(r.seen, "<f4")
+        w, n = np.frombuffer(r.weights, "<f4"), np.frombuffer(r.seen, "<f4")
         if r.block < 0:
-            bias = (s / n[0]).astype(np.float32)
+            out.bias = w.copy()
         else:
-            rows = np.flatnonzero(n)
-            weights[r.block + rows] = (s.reshape(-1, CLASSES)[rows] / n[rows, None]).astype(np.float32)
-    return weights, bias
+            table, at, told = (out.weights, out.cell_weights)[r.block >> 32], r.block & 0xFFFFFFFF, np.flatnonzero(n)
+            table[at + told] = w.reshape(len(n), -1)[told]
+    return out

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cadentia.llm import entry, lm, search
@@ -113,22 +114,65 @@ def test_lm_beats_counts_on_held_out_texts(spark):
 
 
 def test_lm_is_a_distribution():
-    """Class probabilities sum to one, and so do words' shares in a class with one unseen word."""
+    """Classes, and cells within a class, sum to one, and so do words' shares in a cell with one unseen word."""
     rng = np.random.default_rng(1)
-    w, b = rng.normal(size=(lm.BUCKETS, lm.CLASSES)).astype(np.float32), rng.normal(size=lm.CLASSES).astype(np.float32)
-    f = lm.histories(rng.integers(0, 1 << 60, 50).astype(np.uint64))
-    assert np.allclose(np.exp(lm.class_log_probabilities(w, b, f)).sum(axis=1), 1, atol=1e-4)
+    tokens, starts = rng.integers(0, 1 << 60, 50).astype(np.uint64), np.zeros(50, bool)
+    one, two, f = lm.histories(tokens, starts, 0, 50, 13)
+    for width, rows in ((lm.CLASSES, f), (lm.CELLS, lm.within(one, two, rng.integers(0, lm.CLASSES, 50), 13))):
+        w, b = rng.normal(size=(1 << 13, width)).astype(np.float32), rng.normal(size=width).astype(np.float32)
+        assert rows.max() < 1 << 13
+        assert np.allclose(np.exp(lm.log_probabilities(w, b, rows)).sum(axis=1), 1, atol=1e-4)
     counts = np.array([5, 2, 1, 0])
     assert math.isclose(((counts + 1) / (counts.sum() + 3 + 1)).sum(), 1)
 
 
 def test_lm_step_raises_the_likelihood():
     rng = np.random.default_rng(2)
-    f = lm.histories(rng.integers(0, 50, 4000).astype(np.uint64))
+    _, _, f = lm.histories(rng.integers(0, 50, 4000).astype(np.uint64), np.zeros(4000, bool), 0, 4000, 13)
     classes = f[:, 0] % lm.CLASSES
-    w, b = np.zeros((lm.BUCKETS, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32)
-    at = lambda: lm.class_log_probabilities(w, b, f)[np.arange(len(f)), classes].mean()
+    w, b = np.zeros((1 << 13, lm.CLASSES), np.float32), np.zeros(lm.CLASSES, np.float32)
+    at = lambda: lm.log_probabilities(w, b, f)[np.arange(len(f)), classes].mean()
     before = at()
     for _ in range(20):
-        lm.step(w, b, f, classes, 0.8)
+        b += 0.8 * lm.step(w, b, f, classes, 0.8)
     assert at() > before + 1
+
+
+def test_lm_tokens_and_histories():
+    texts = ["A b  a\n", None, "", "É b", "\u00a0x \x1f y\t"]
+    tokens, ends = lm._Words().of(pa.array(texts))
+    wanted = [[*(t or "").encode().lower().split(), None] for t in texts]
+    number = lm._Words()
+    assert [number[w] if w is not None else int(lm._END) for t in wanted for w in t] == tokens.tolist()
+    assert ends.tolist() == np.cumsum([len(t) for t in wanted]).tolist()
+    starts = np.zeros(len(tokens), bool)
+    starts[[0, *ends[:-1]]] = True
+    for run in (1, 2, 3, len(tokens)):  # runs of any length see the same words before
+        ones, twos = [], []
+        for i in range(0, len(tokens), run):
+            one, two, _ = lm.histories(tokens, starts, i, min(i + run, len(tokens)), 13)
+            ones += one.tolist()
+            twos += two.tolist()
+        plain = [([int(lm._END)] * 2 + [number[w] if w is not None else int(lm._END) for w in t]) for t in wanted]
+        assert ones == [x for t in plain for x in t[1:-1]] and twos == [x for t in plain for x in t[:-2]]
+
+
+def test_lm_cells_learn_from_the_word_before():
+    """Within a class of many words the history tells the cell: after a known word its follower gets likelier than its share."""
+    rng = np.random.default_rng(3)
+    words = [b"w%dzz" % i for i in range(400)]  # one spelling class
+    number = lm._Words()
+    follow = {w: words[(7 * i + 3) % 400] for i, w in enumerate(words)}
+    texts = [" ".join(x.decode() for w in rng.choice(words, 20) for x in (w, follow[w])) for _ in range(400)]
+    tokens, ends = number.of(pa.array(texts))
+    head = lm.Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    zero = lambda width: np.zeros((1 << 13, width), np.float32)
+    model = lm.Model(13, np.zeros(lm.CLASSES, np.float32), zero(lm.CLASSES), np.zeros((lm.CLASSES, lm.CELLS), np.float32), zero(lm.CELLS))
+    for _ in range(5):
+        lm.learn(model, head, tokens, ends, 512, lambda n: 0.8)
+    inside = np.zeros((lm.CLASSES, lm.CELLS))
+    at = np.arange(len(tokens))
+    followers = np.concatenate([np.arange(s + 1, e - 1, 2) for s, e in zip([0, *ends[:-1]], ends)])
+    model.weights[:], model.bias[:] = 0, 0  # the classes' part is left out
+    logp = lm.log10_of(model, head, tokens, ends, inside, 512)[0] + np.log10(lm.CLASSES)
+    assert logp[followers].mean() > logp[np.setdiff1d(at, [*followers, *(ends - 1)])].mean() + 0.3
