@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadentia.operators.effect import training_effect
 from cadentia.operators.zones import distribution, hr_zone_features
 
 
@@ -19,11 +20,12 @@ def rolling(workouts: DataFrame, key: str, days: int) -> DataFrame:
 
     A range frame takes in later workouts of the same day; what follows in that day is taken off again.
     """
-    x = workouts.select(key, "workout_id", "date", F.coalesce("tss", F.lit(0.0)).alias("v"), F.col("duration_seconds").cast("long").alias("s"), F.datediff("date", F.lit("1970-01-01").cast("date")).alias("d"))
+    metres = F.coalesce("total_distance", F.lit(0.0)) if "total_distance" in workouts.columns else F.lit(0.0)
+    x = workouts.select(key, "workout_id", "date", F.coalesce("tss", F.lit(0.0)).alias("v"), F.col("duration_seconds").cast("long").alias("s"), metres.alias("m"), F.datediff("date", F.lit("1970-01-01").cast("date")).alias("d"))
     span = Window.partitionBy(key).orderBy("d").rangeBetween(-days, 0)
     after = Window.partitionBy(key, "d").orderBy("workout_id").rowsBetween(1, Window.unboundedFollowing)
     less = lambda f, c, z: f(c).over(span) - F.coalesce(f(c).over(after), F.lit(z))
-    return x.select(key, "workout_id", "date", less(F.sum, "v", 0.0).alias("tss"), less(F.sum, "s", 0).alias("seconds"), (F.count("*").over(span) - F.count("*").over(after)).alias("n"))
+    return x.select(key, "workout_id", "date", less(F.sum, "v", 0.0).alias("tss"), less(F.sum, "s", 0).alias("seconds"), less(F.sum, "m", 0.0).alias("distance"), (F.count("*").over(span) - F.count("*").over(after)).alias("n"))
 
 
 def running_sums(workouts: DataFrame, key: str) -> DataFrame:
@@ -51,8 +53,31 @@ def feature_table(workouts: DataFrame, points: DataFrame, lthr: int = 170) -> Da
     zones = distribution(points, hr_zone_features(F.col("heart_rate"), F.lit(lthr)), 5, ["workout_id"], all_rows=True).drop("total")
     out = calendar(workouts)
     for days in (7, 28):
-        r = rolling(workouts, "athlete_id", days).select("workout_id", *[F.col(c).alias(f"{c}_{days}d") for c in ("tss", "seconds", "n")])
+        r = rolling(workouts, "athlete_id", days).select("workout_id", *[F.col(c).alias(f"{c}_{days}d") for c in ("tss", "seconds", "distance", "n")])
         out = out.join(r, "workout_id")
     sums = running_sums(workouts, "athlete_id").select("workout_id", *[F.col(c).alias(f"cumulative_{c}") for c in ("tss", "seconds", "distance")])
     best = F.col("avg_pace").alias("best_pace")
     return out.join(sums, "workout_id").join(zones, "workout_id", "left").select("*", best, F.lit(None).cast("int").alias("max_power"))
+
+
+#: Columns of the exported features, in order.
+ML_COLUMNS = (
+    "workout_id", "date", "sport", "duration_seconds", "distance_meters", "year", "month", "day_of_week", "day_of_year", "week_of_year", "tss", "intensity_factor", "normalized_power", "average_power", "max_power",
+    "average_hr", "max_hr", "hr_zone_1_pct", "hr_zone_2_pct", "hr_zone_3_pct", "hr_zone_4_pct", "hr_zone_5_pct", "aerobic_te", "anaerobic_te", "epoc", "recovery_hours", "average_pace_min_per_km",
+    "best_pace_min_per_km", "rolling_7d_tss", "rolling_7d_duration", "rolling_7d_distance", "rolling_28d_tss", "rolling_28d_duration", "rolling_28d_distance", "cumulative_tss", "cumulative_duration",
+    "cumulative_distance", "split",
+)
+
+
+def ml_table(workouts: DataFrame, points: DataFrame, lthr: int, max_hr: int, resting_hr: int, fitness: int, high: int = 160) -> DataFrame:
+    """The exported feature table: ML_COLUMNS, one row a workout, training effect and split joined; the best pace is the mean, the largest power unknown."""
+    have = feature_table(workouts, points, lthr).join(training_effect(points, max_hr, resting_hr, fitness, high), "workout_id", "left")
+    have = have.join(chronological_split(workouts).select("workout_id", "split"), "workout_id")
+    from_ = {
+        "distance_meters": "total_distance", "day_of_week": "weekday", "week_of_year": "iso_week", "average_power": "avg_power", "average_hr": "avg_heart_rate", "max_hr": "max_heart_rate",
+        "aerobic_te": "aerobic", "anaerobic_te": "anaerobic", "average_pace_min_per_km": "avg_pace", "best_pace_min_per_km": "best_pace", "cumulative_duration": "cumulative_seconds",
+        **{f"hr_zone_{i}_pct": f"pct{i}" for i in range(1, 6)}, **{f"rolling_{d}d_{x}": f"{c}_{d}d" for d in (7, 28) for x, c in (("tss", "tss"), ("duration", "seconds"), ("distance", "distance"))},
+    }
+    have = have.withColumn("year", F.year("date"))
+    value = lambda c: F.col(c) if c in have.columns else F.lit(None).cast("double")
+    return have.select(*(value(from_.get(name, name)).alias(name) for name in ML_COLUMNS))

@@ -107,9 +107,10 @@ def pmc(daily: DataFrame, key: str, ctl_days: int = 42, atl_days: int = 7, ramp_
     the ramp spans ``ramp_days - 1`` steps; a spike is ATL above ``spike`` times the mean of the
     seven emitted days before, from the eighth on.
 
-    An exponential mean is a running sum with weights that grow without end, so the
-    calendar is cut into blocks of days: sums run within a block, and what the
-    blocks before leave decays by the day. One shuffle, by key; days between workouts come from the gap to the next.
+    Only days with workouts are ordered: an exponential mean is a running sum with weights that grow without
+    end, so their calendar is cut into blocks of days, where sums run, and what the blocks before
+    leave decays by the day. Between workouts the means decay in closed form, so the dense days
+    are made once, from the gap to the next workout, and need no order but for ramps and spikes.
     """
     w = Window.partitionBy(key).orderBy("date")
     known = daily
@@ -117,32 +118,38 @@ def pmc(daily: DataFrame, key: str, ctl_days: int = 42, atl_days: int = 7, ramp_
         known = known.where(F.col("date") >= F.date_sub(F.lit(start).cast("date"), ctl_days))
     if end:
         known = known.where(F.col("date") <= F.lit(end).cast("date"))
+    # days with workouts are few beside the days they stand for: as many tasks as the dense days need, and the only shuffle of rows
+    known = known.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     first = F.lit(start).cast("date") if start else F.min("date").over(Window.partitionBy(key))
     last = F.lit(end).cast("date") if end else F.col("date")
+    keep = {"ctl": 1 - 1 / ctl_days, "atl": 1 - 1 / atl_days}
     gaps = known.select(
-        key, "tss", F.col("date").alias("on"), first.alias("first"), F.row_number().over(w).alias("i"), F.min("date").over(Window.partitionBy(key)).alias("oldest"),
+        key, "tss", F.col("date").alias("on"), first.alias("first"), F.min("date").over(Window.partitionBy(key)).alias("oldest"), F.lag("date").over(w).alias("last_on"),
         F.coalesce(F.date_sub(F.lead("date").over(w), 1), last).alias("to"),
-    )
-    origin = F.least(F.col("oldest"), F.date_sub("first", ctl_days))
-    begin = F.when(F.col("i") == 1, origin).otherwise(F.col("on"))
-    days = gaps.select(key, "first", "on", "tss", origin.alias("origin"), F.explode(F.sequence(begin, F.col("to"))).alias("date"))
-    pos = F.datediff("date", "origin")
-    days = days.select(
-        key, "first", "date", F.when(F.col("date") == F.col("on"), F.col("tss")).otherwise(0.0).alias("tss"),
-        F.floor(pos / BLOCK_DAYS).cast("int").alias("block"), (pos % BLOCK_DAYS).cast("double").alias("j"),
-    )
-    # every window below reads rows by key, block, day: one sort
-    w = Window.partitionBy(key).orderBy("block", "j")
+    ).withColumn("origin", F.least(F.col("oldest"), F.date_sub("first", ctl_days)))
+    pos = F.datediff("on", "origin")
+    gaps = gaps.withColumns({"block": F.floor(pos / BLOCK_DAYS).cast("int"), "j": (pos % BLOCK_DAYS).cast("double")})
     inside = Window.partitionBy(key, "block").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    keep = {"ctl": 1 - 1 / ctl_days, "atl": 1 - 1 / atl_days}
-    local = {c: F.pow(F.lit(d), "j") * F.sum(F.col("tss") * F.pow(F.lit(d), -F.col("j"))).over(inside) * (1 - d) for c, d in keep.items()}
-    days = days.withColumns({f"{c}_in": x for c, x in local.items()})
-    ends = F.when(F.col("j") == BLOCK_DAYS - 1, F.struct("ctl_in", "atl_in"))
-    before = F.collect_list(ends).over(Window.partitionBy(key).orderBy("block").rangeBetween(Window.unboundedPreceding, -1))  # one for each block
-    days = days.withColumn("ends", before)
-    carry = lambda c, d: F.aggregate("ends", F.lit(0.0), lambda a, e: a * d**BLOCK_DAYS + e[f"{c}_in"])
-    days = days.withColumns({c: F.col(f"{c}_in") + F.pow(F.lit(d), F.col("j") + 1) * carry(c, d) for c, d in keep.items()})
-    rows = days.select(key, "first", "date", "block", "j", "tss", "ctl", "atl").withColumn("tsb", F.coalesce(F.lag("ctl").over(w), F.col("ctl")) - F.col("atl")).withColumn("ramp", F.col("ctl") - F.lag("ctl", ramp_days - 1).over(w))
+    gaps = gaps.withColumns({f"{c}_in": F.pow(F.lit(d), "j") * F.sum(F.col("tss") * F.pow(F.lit(d), -F.col("j"))).over(inside) * (1 - d) for c, d in keep.items()})
+    # what each block leaves at its end, then what reaches a block from those before
+    left = {c: (F.max_by(f"{c}_in", "j") * F.pow(F.lit(d), BLOCK_DAYS - 1 - F.max("j"))).alias(c) for c, d in keep.items()}
+    ends = gaps.groupBy(F.col(key).alias("of"), F.col("block").alias("at")).agg(*left.values())
+    before = F.collect_list(F.struct("at", "ctl", "atl")).over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))  # a key's blocks
+    carry = lambda c, d: F.aggregate(before, F.lit(0.0), lambda a, e: a + e[c] * F.pow(F.lit(d), BLOCK_DAYS * (F.col("at") - 1 - e["at"])))
+    carried = ends.select("of", "at", *(carry(c, d).alias(f"{c}_carry") for c, d in keep.items()))
+    gaps = gaps.join(carried, F.col(key).eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    gaps = gaps.withColumns({f"{c}_on": F.col(f"{c}_in") + F.pow(F.lit(d), F.col("j") + 1) * F.col(f"{c}_carry") for c, d in keep.items()})
+    by_day = Window.partitionBy(key).orderBy("on")
+    eve = F.coalesce(F.lag("ctl_on").over(by_day) * F.pow(F.lit(keep["ctl"]), F.datediff("on", "last_on") - 1), F.lit(0.0))
+    gaps = gaps.select(key, "first", "on", "tss", "ctl_on", "atl_on", eve.alias("eve"), F.explode(F.sequence(F.when(F.col("last_on").isNull(), F.col("origin")).otherwise(F.col("on")), F.col("to"))).alias("date"))
+    gone = F.datediff("date", "on")
+    mean = lambda c, after: F.col(f"{c}_on") * F.pow(F.lit(keep[c]), after)
+    days = gaps.select(
+        key, "first", "date", F.when(gone == 0, F.col("tss")).otherwise(0.0).alias("tss"),
+        *[F.when(gone < 0, 0.0).otherwise(mean(c, gone)).alias(c) for c in keep],
+        F.when(gone < 0, 0.0).when(gone == 0, F.col("eve")).otherwise(mean("ctl", gone - 1)).alias("yesterday"),
+    )
+    rows = days.withColumn("tsb", F.col("yesterday") - F.col("atl")).withColumn("ramp", F.col("ctl") - F.lag("ctl", ramp_days - 1).over(w))
     out = rows.where("date >= first")
     recent = F.avg("atl").over(w.rowsBetween(-7, -1))
     return out.select(
@@ -276,12 +283,13 @@ def sport_distribution(workouts: DataFrame, end: str, days: int) -> DataFrame:
     return g.select("sport", share("tss").alias("tss_pct"), share("seconds").alias("time_pct"), share("n").alias("count_pct"))
 
 
-def seven_day_bins(workouts: DataFrame, start: str, weeks: int) -> DataFrame:
-    """Seven-day bins from ``start``, empty ones kept."""
-    bins = workouts.sparkSession.range(weeks).select(F.col("id").cast("int").alias("bin"))
-    placed = workouts.withColumn("bin", F.floor(F.datediff("date", F.lit(start).cast("date")) / 7).cast("int")).where(F.col("bin").between(0, weeks - 1))
-    sums = placed.groupBy("bin").agg(F.sum(F.coalesce("tss", F.lit(0.0))).alias("tss"), F.sum("duration_seconds").alias("seconds"), F.count("*").alias("n"))
-    return bins.join(sums, "bin", "left").select("bin", F.date_add(F.lit(start).cast("date"), F.col("bin") * 7).alias("week_start"), F.coalesce("tss", F.lit(0.0)).alias("tss"), F.coalesce("seconds", F.lit(0)).alias("seconds"), F.coalesce("n", F.lit(0)).alias("n"))
+def seven_day_bins(workouts: DataFrame, start: str) -> DataFrame:
+    """Seven-day bins from ``start`` to the last workout's, empty ones kept."""
+    begin = F.lit(start).cast("date")
+    bin_of = F.floor(F.datediff("date", begin) / 7).cast("int")
+    sums = workouts.where(F.col("date") >= begin).groupBy(bin_of.alias("bin")).agg(F.sum(F.coalesce("tss", F.lit(0.0))).alias("tss"), F.sum("duration_seconds").alias("seconds"), F.count("*").alias("n"))
+    bins = sums.agg(F.max("bin").alias("last")).where("last is not null").select(F.explode(F.sequence(F.lit(0), "last")).alias("bin"))
+    return bins.join(sums, "bin", "left").select("bin", F.date_add(begin, F.col("bin") * 7).alias("week_start"), F.coalesce("tss", F.lit(0.0)).alias("tss"), F.coalesce("seconds", F.lit(0)).alias("seconds"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def equivalent_load(workouts: DataFrame, to: str) -> DataFrame:

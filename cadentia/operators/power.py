@@ -47,16 +47,31 @@ def mean_max(points: DataFrame, durations: tuple[int, ...]) -> DataFrame:
     return best.select("workout_id", rows.alias("x")).select("workout_id", "x.*").where("max_power is not null")
 
 
+#: Samples in a block of a workout's prefix sums.
+CURVE_BLOCK = 1024
+
+
 def mean_max_full(points: DataFrame, longest: int = 7200) -> DataFrame:
-    """The whole mean-maximal curve, every duration up to ``longest``, from prefix sums: one pass per duration, nothing recomputed."""
-    running = F.sum("power").over(_by_workout().rowsBetween(Window.unboundedPreceding, 0))
-    known = points.where("power is not null").select("workout_id", "seq", running.alias("s"))
-    ordered = known.groupBy("workout_id").agg(F.array_sort(F.collect_list(F.struct("seq", "s"))).alias("xs"))
-    sums = ordered.select("workout_id", F.concat(F.array(F.lit(0).cast("long")), F.transform("xs", lambda x: x["s"])).alias("p"))
-    # the curve is made as an array, so that no duration's row carries the sums along
-    best = F.expr(f"transform(sequence(1, least(size(p) - 1, {longest})), d -> array_max(transform(sequence(0, size(p) - 1 - d), i -> (p[i + d] - p[i]) div d)))")
-    curve = sums.select("workout_id", F.posexplode(best).alias("i", "max_power"))
-    return curve.select("workout_id", (F.col("i") + 1).alias("duration_s"), F.col("max_power").cast("int").alias("max_power"))
+    """The whole mean-maximal curve, every duration up to ``longest``, from prefix sums.
+
+    Prefix sums are cut into blocks; a block of window starts meets the blocks of window ends that are near enough, and
+    each meeting gives its best by duration. So a long workout is many tasks' work, and no row holds more than a block.
+    """
+    w = _by_workout()
+    known = points.where("power is not null").select("workout_id", F.row_number().over(w).alias("i"), F.sum("power").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), "power")
+
+    def blocks(at: Column, value: Column, name: str) -> DataFrame:
+        held = known.groupBy("workout_id", F.floor(at / CURVE_BLOCK).cast("int").alias(name)).agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("i"), value.alias("s")))).alias("x"))
+        return held.select("workout_id", name, F.element_at("x", 1)["i"].alias(f"{name}0"), F.element_at("x", -1)["i"].alias(f"{name}1"), F.transform("x", lambda x: x["s"]).alias(f"{name}s"))
+
+    starts = blocks(F.col("i") - 1, F.col("s") - F.col("power"), "a").withColumn("b", F.explode(F.sequence("a", F.col("a") + F.lit(-(-longest // CURVE_BLOCK)))))
+    meetings = starts.join(blocks(F.col("i"), F.col("s"), "b"), ["workout_id", "b"])
+    meetings = meetings.withColumns({"low": F.greatest(F.lit(1), F.col("b0") - F.col("a1")), "high": F.least(F.lit(longest), F.col("b1") - F.col("a0"))}).where("low <= high")
+    # little data, much work: as many tasks as there are partitions
+    meetings = meetings.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "workout_id", "a", "b")
+    best = F.expr("transform(sequence(low, high), d -> array_max(transform(sequence(greatest(a0, b0 - d), least(a1, b1 - d)), i -> (bs[i + d - b0] - as[i - a0]) div d)))")
+    found = meetings.select("workout_id", "low", F.posexplode(best).alias("n", "max_power"))
+    return found.groupBy("workout_id", (F.col("low") + F.col("n")).alias("duration_s")).agg(F.max("max_power").cast("int").alias("max_power"))
 
 
 def aggregate_curves(curves: DataFrame) -> DataFrame:

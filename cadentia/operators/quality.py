@@ -44,21 +44,40 @@ def rules_table(spark, rules=RULES) -> DataFrame:
     return spark.createDataFrame(rules, "sport string, field string, low double, high double, severity string, action string")
 
 
+#: Rules at most: they become one expression.
+MOST_RULES = 1000
+
+
+def _broken(rules: DataFrame, fields: list[str]) -> list[tuple[str, str, Column]]:
+    """(field, severity, whether a point breaks it) of each rule on one of the fields."""
+    known = rules.limit(MOST_RULES + 1).collect()
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    out = []
+    for r in known:
+        if r.field in fields:
+            value = field(r.field)
+            outside = F.coalesce(value < r.low if r.low is not None else F.lit(None), F.lit(False)) | F.coalesce(value > r.high if r.high is not None else F.lit(None), F.lit(False))
+            out.append((r.field, r.severity, F.coalesce(F.col("sport") == r.sport, F.lit(False)) & outside))
+    return out
+
+
 def check_rules(points: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
-    """Violations by workout, field and severity: points with their sport, fields unpivoted, joined to the rules by sport and field."""
-    values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), field(f).alias("value")) for f in fields]))
-    long = points.select("workout_id", "seq", "sport", values.alias("x")).select("workout_id", "seq", "sport", "x.*").where("value is not null")
-    broken = long.join(F.broadcast(rules), ["sport", "field"]).where("value < low or value > high")  # a row for each rule
-    return broken.groupBy("workout_id", "field", "severity").agg(F.count("*").alias("violations"))
+    """Violations by workout, field and severity, in one aggregation: each point lists the rules that it breaks."""
+    broken = [F.when(hit, F.struct(F.lit(name).alias("field"), F.lit(severity).alias("severity"))) for name, severity, hit in _broken(rules, fields)]
+    listed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<struct<field:string,severity:string>>")
+    return points.select("workout_id", F.explode(listed).alias("x")).groupBy("workout_id", "x.field", "x.severity").agg(F.count("*").alias("violations"))
 
 
 def rule_report(points: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
     """Points of each workout that break any rule, and whether it passes (no errors)."""
-    values = F.array(*[F.struct(F.lit(f).alias("field"), field(f).alias("value")) for f in fields])
-    long = points.select("workout_id", "seq", "sport", F.explode(values).alias("x")).select("workout_id", "seq", "sport", "x.*")
-    joined = long.join(F.broadcast(rules), ["sport", "field"], "left").select("workout_id", "seq", ((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("bad"), "severity")
-    by_point = joined.groupBy("workout_id", "seq").agg(F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad"), F.count_if(F.col("bad") & (F.col("severity") == "Error")).alias("errors"))
-    return by_point.groupBy("workout_id").agg(F.count("*").alias("n_points"), F.count_if("bad").alias("failed_points"), F.sum("errors").alias("errors"), (F.sum("errors") == 0).alias("passed"))
+    bad, errors = F.lit(False), F.lit(0)
+    for _, severity, hit in _broken(rules, fields):
+        bad = bad | hit
+        if severity == "Error":
+            errors = errors + hit.cast("int")
+    told = points.select("workout_id", bad.alias("bad"), errors.cast("long").alias("errors"))
+    return told.groupBy("workout_id").agg(F.count("*").alias("n_points"), F.count_if("bad").alias("failed_points"), F.sum("errors").alias("errors"), (F.sum("errors") == 0).alias("passed"))
 
 
 def apply_rules(points: DataFrame, rules=RULES) -> DataFrame:
@@ -171,7 +190,7 @@ def scale_dynamics(points: DataFrame, gct: float | None, vo: float | None) -> Da
 
 def matching_quirks(devices: DataFrame, quirks: DataFrame) -> DataFrame:
     """Quirks of each device: maker and product equal, firmware inside the range; unknown firmware never meets a range."""
-    d, q = devices.alias("d"), F.broadcast(quirks).alias("q")  # a registry of a few rows
+    d, q = devices.alias("d"), quirks.alias("q")  # an equi-join; Spark broadcasts a registry that is small enough
     free = F.col("q.firmware_from").isNull() & F.col("q.firmware_to").isNull()
     inside = F.col("d.firmware").isNotNull() & (F.coalesce(F.col("d.firmware") >= F.col("q.firmware_from"), F.lit(True))) & (F.coalesce(F.col("d.firmware") <= F.col("q.firmware_to"), F.lit(True)))
     on = (F.col("d.manufacturer") == F.col("q.manufacturer")) & (F.col("d.product") == F.col("q.product")) & (free | inside)

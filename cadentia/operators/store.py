@@ -86,17 +86,22 @@ def statistics(workouts: DataFrame) -> DataFrame:
 
 
 def merge_nearest(left: DataFrame, right: DataFrame, key: str, time: str, tolerance: int, value: str) -> DataFrame:
-    """Left rows with the value of the nearest right row of the key less than ``tolerance`` away (the earlier on ties), null without one.
+    """Left rows with the value of the nearest right row of the key less than ``tolerance`` away (the earlier on ties, then the smaller value), null without one.
 
-    Times fall into buckets of the tolerance's width; a left row meets its own bucket and both
-    neighbours in an equi-join, so no key's rows are all paired.
+    Times fall into buckets of the tolerance's width. Right rows, which are narrow, go to their own bucket and both
+    neighbours; there each left row looks back and ahead in the sorted bucket. One shuffle, no key's rows are paired.
     """
     bucket = lambda c: F.floor(c / tolerance)
-    l = left.withColumn("_id", F.struct(*left.columns)).withColumn("_b", F.explode(F.array(*[bucket(F.col(time)) + i for i in (-1, 0, 1)])))
-    r = right.select(F.col(key), F.col(time).alias("_t"), F.col(value).alias("_v"), bucket(F.col(time)).alias("_b"))
-    near = l.join(r, [key, "_b"]).where(F.abs(F.col(time) - F.col("_t")) < tolerance)
-    best = near.groupBy("_id").agg(F.min_by("_v", F.struct(F.abs(F.col(time) - F.col("_t")), "_t")).alias(value))
-    return left.withColumn("_id", F.struct(*left.columns)).join(best, "_id", "left").select(*left.columns, value)
+    item = F.struct(*(F.col(f"`{c}`") for c in left.columns))
+    l = left.select(F.col(key).alias("k"), bucket(F.col(time)).alias("b"), F.col(time).alias("t"), F.lit(True).alias("is_left"), F.lit(None).cast(right.schema[value].dataType).alias("v"), item.alias("item"))
+    near = F.explode(F.array(*[bucket(F.col(time)) + i for i in (-1, 0, 1)]))
+    r = right.where(F.col(time).isNotNull()).select(F.col(key).alias("k"), near.alias("b"), F.col(time).alias("t"), F.lit(False).alias("is_left"), F.col(value).alias("v"), F.lit(None).cast(l.schema["item"].dataType).alias("item"))
+    at = F.when(~F.col("is_left"), F.struct("t", "v"))
+    seen = lambda *order: F.last(at, ignorenulls=True).over(Window.partitionBy("k", "b").orderBy(*order, "is_left", F.desc("v")).rowsBetween(Window.unboundedPreceding, 0))
+    found = l.unionByName(r).select("item", "is_left", "t", seen(F.asc("t")).alias("back"), seen(F.desc("t")).alias("ahead")).where("is_left")
+    away = lambda x: F.coalesce(F.abs(F.col("t") - F.col(f"{x}.t")), F.lit(tolerance))
+    best = F.when(away("back") <= away("ahead"), F.when(away("back") < tolerance, F.col("back.v"))).when(away("ahead") < tolerance, F.col("ahead.v"))
+    return found.select("item.*", best.alias(value))
 
 
 def incremental(files: DataFrame, cache: DataFrame) -> DataFrame:
@@ -107,5 +112,10 @@ def incremental(files: DataFrame, cache: DataFrame) -> DataFrame:
 def evict(cache: DataFrame, now: str, days: int = 30, bytes_: int = 500 << 20) -> DataFrame:
     """What stays in the cache: accessed in the last days and, newest first, within the size."""
     live = cache.where(F.col("accessed_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
-    w = Window.orderBy(F.desc("accessed_at"), "fingerprint").rowsBetween(Window.unboundedPreceding, 0)  # a table of cached files
-    return live.withColumn("_sum", F.sum("size").over(w)).where(F.col("_sum") <= bytes_).drop("_sum")
+    # files are summed within their day, days over the month that they span
+    dated = live.withColumn("_day", F.to_date("accessed_at"))
+    newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = dated.groupBy("_day").agg(F.sum("size").alias("_n")).select("_day", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer"))
+    w = Window.partitionBy("_day").orderBy(F.desc("accessed_at"), "fingerprint").rowsBetween(Window.unboundedPreceding, 0)
+    summed = dated.join(F.broadcast(before), "_day").withColumn("_sum", F.col("_newer") + F.sum("size").over(w))  # days + 1 rows
+    return summed.where(F.col("_sum") <= bytes_).select(*cache.columns)

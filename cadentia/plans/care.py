@@ -91,7 +91,7 @@ QUERIES = {
     "trailing_week": workouts_query(lambda w: store.trailing_days(w, "1998-06-30", 7).select("workout_id", "date")),
     "sport_like": workouts_query(lambda w: store.sport_like(w, "ING", 60).groupBy("sport").agg(F.count("*").alias("n"))),
     "store_statistics": workouts_query(store.statistics),
-    "merge_nearest": lambda spark, d: rounded(store.merge_nearest(views.points(spark, d).where("event_id % 3 = 0").select("workout_id", "ts_s"), views.points(spark, d).where("event_id % 3 = 1").select("workout_id", "ts_s", "heart_rate"), "workout_id", "ts_s", 2, "heart_rate")),
+    "merge_nearest": lambda spark, d: rounded(store.merge_nearest(views.points(spark, d).where("event_id % 2 = 0").select("workout_id", "ts_s"), views.points(spark, d).where("event_id % 2 = 1").select("workout_id", "ts_s", "heart_rate"), "workout_id", "ts_s", 2, "heart_rate")),
     "ml_calendar": workouts_query(lambda w: features.calendar(w.select("workout_id", "date"))),
     "ml_rolling": workouts_query(lambda w: features.rolling(w, "athlete_id", 28)),
     "ml_running_sums": workouts_query(lambda w: features.running_sums(w, "athlete_id")),
@@ -201,9 +201,9 @@ ORACLES = {
     "trailing_week": sql("SELECT workout_id, date FROM workouts WHERE date BETWEEN '1998-06-24' AND '1998-06-30'", WORKOUTS),
     "sport_like": sql("SELECT sport, count(*) AS n FROM workouts WHERE contains(lower(sport), 'ing') AND duration_seconds >= 3600 GROUP BY 1", WORKOUTS),
     "store_statistics": sql(f"SELECT count(*) AS workouts, count(DISTINCT athlete_id) AS athletes, count(DISTINCT sport) AS sports, min(date) AS first, max(date) AS last, {i8('sum(duration_seconds)', 'seconds')} FROM workouts", WORKOUTS),
-    "merge_nearest": sql(f"SELECT workout_id, ts_s, {i8('heart_rate', 'heart_rate')} FROM (SELECT l.workout_id, l.ts_s, r.heart_rate, row_number() OVER (PARTITION BY l.workout_id, l.ts_s ORDER BY abs(l.ts_s - r.ts_s), r.ts_s) AS k FROM (SELECT workout_id, ts_s FROM points WHERE event_id % 3 = 0) l LEFT JOIN (SELECT workout_id, ts_s, heart_rate FROM points WHERE event_id % 3 = 1) r ON l.workout_id = r.workout_id AND abs(l.ts_s - r.ts_s) < 2) WHERE k = 1", POINTS),
+    "merge_nearest": sql(f"SELECT workout_id, ts_s, {i8('heart_rate', 'heart_rate')} FROM (SELECT l.workout_id, l.ts_s, r.heart_rate, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.ts_s - r.ts_s), r.ts_s, r.heart_rate NULLS FIRST) AS k FROM (SELECT event_id, workout_id, ts_s FROM points WHERE event_id % 2 = 0) l LEFT JOIN (SELECT workout_id, ts_s, heart_rate FROM points WHERE event_id % 2 = 1) r ON l.workout_id = r.workout_id AND abs(l.ts_s - r.ts_s) < 2) WHERE k = 1", POINTS),
     "ml_calendar": sql(f"SELECT workout_id, date, {i8('isodow(date) - 1', 'weekday')}, {i8('weekofyear(date)', 'iso_week')}, {i8('month(date)', 'month')}, {i8('dayofyear(date)', 'day_of_year')} FROM workouts", WORKOUTS),
-    "ml_rolling": sql(f"SELECT a.athlete_id, a.workout_id, a.date, {r4('sum(coalesce(b.tss, 0))', 'tss')}, {i8('sum(b.duration_seconds)', 'seconds')}, count(*) AS n FROM workouts a JOIN workouts b ON a.athlete_id = b.athlete_id AND b.date >= a.date - 28 AND (b.date < a.date OR b.date = a.date AND b.workout_id <= a.workout_id) GROUP BY 1, 2, 3", WORKOUTS),
+    "ml_rolling": sql(f"SELECT a.athlete_id, a.workout_id, a.date, {r4('sum(coalesce(b.tss, 0))', 'tss')}, {i8('sum(b.duration_seconds)', 'seconds')}, {r4('sum(coalesce(b.total_distance, 0))', 'distance')}, count(*) AS n FROM workouts a JOIN workouts b ON a.athlete_id = b.athlete_id AND b.date >= a.date - 28 AND (b.date < a.date OR b.date = a.date AND b.workout_id <= a.workout_id) GROUP BY 1, 2, 3", WORKOUTS),
     "ml_running_sums": sql(f"SELECT athlete_id, workout_id, {r4('sum(coalesce(tss, 0)) OVER w', 'tss')}, {i8('sum(duration_seconds) OVER w', 'seconds')}, {r4('sum(coalesce(total_distance, 0)) OVER w', 'distance')} FROM workouts WINDOW w AS (PARTITION BY athlete_id ORDER BY date, workout_id)", WORKOUTS),
     "chrono_split": sql(f"SELECT CASE WHEN p / n < 0.70 THEN 'train' WHEN p / n < 0.85 THEN 'validation' ELSE 'test' END AS split, count(*) AS n, min(date) AS first, max(date) AS last, {i8('sum(p)', 'places')} FROM (SELECT date, CAST(row_number() OVER (ORDER BY date, workout_id) - 1 AS DOUBLE) AS p, count(*) OVER () AS n FROM workouts) GROUP BY 1", WORKOUTS),
     "ml_features": sql(f"""SELECT w.workout_id, {i8('isodow(w.date) - 1', 'weekday')}, {r4('s7', 'tss_7d')}, {i8('d28', 'seconds_28d')}, {r4('cum', 'cumulative_tss')}, {r4('p1', 'pct1')}, {r4('p5', 'pct5')}, {r4('avg_pace', 'best_pace')}, CAST(NULL AS BIGINT) AS max_power FROM workouts w

@@ -29,8 +29,8 @@ c = F.col
 
 
 def changes(w):
-    """Threshold changes: every seventh workout sets its athlete's FTP."""
-    return w.where("workout_id % 7 = 0").groupBy("athlete_id", "date").agg(F.max(150 + c("workout_id") % 150).alias("value"))
+    """Threshold changes: the workouts of a day set their athlete's FTP."""
+    return w.groupBy("athlete_id", "date").agg(F.max(150 + c("workout_id") % 150).alias("value"))
 
 
 def advice(n):
@@ -58,7 +58,7 @@ QUERIES = {
 }
 
 Z7 = "CASE WHEN power < 10 THEN 1 WHEN power < 20 THEN 2 WHEN power < 30 THEN 3 WHEN power < 40 THEN 4 WHEN power < 50 THEN 5 WHEN power < 60 THEN 6 ELSE 7 END"
-CHANGES = "changes AS (SELECT athlete_id, date, max(150 + workout_id % 150) AS value FROM workouts WHERE workout_id % 7 = 0 GROUP BY 1, 2)"
+CHANGES = "changes AS (SELECT athlete_id, date, max(150 + workout_id % 150) AS value FROM workouts GROUP BY 1, 2)"
 ORACLES = {
     "threshold_history": sql("SELECT athlete_id, date, value, row_number() OVER w AS age, lead(value) OVER w AS before FROM changes WINDOW w AS (PARTITION BY athlete_id ORDER BY date DESC)", WORKOUTS, CHANGES),
     "thresholds_as_of": sql("SELECT w.athlete_id, w.date, w.workout_id, max_by(c.value, c.date) AS value FROM workouts w LEFT JOIN changes c ON c.athlete_id = w.athlete_id AND c.date <= w.date GROUP BY 1, 2, 3", WORKOUTS, CHANGES),

@@ -52,7 +52,7 @@ QUERIES = {
     "monthly_summary": workouts_query(load.monthly_summary),
     "combined_load": workouts_query(load.combined_load),
     "sport_distribution": workouts_query(lambda w: load.sport_distribution(w, "1998-12-31", 365)),
-    "seven_day_bins": workouts_query(lambda w: load.seven_day_bins(w, "1994-12-20", 60)),
+    "seven_day_bins": workouts_query(lambda w: load.seven_day_bins(w, "1994-12-20")),
     "sport_equivalence": workouts_query(lambda w: load.equivalent_load(w, "Running").groupBy("sport").agg(F.sum("equivalent_tss").alias("tss"))),
     "css_top3": workouts_query(lambda w: load.critical_swim_speed(w, "athlete_id")),
 }
@@ -121,7 +121,7 @@ ORACLES = {
     "monthly_summary": sql(f"SELECT {i8('year(date)', 'year')}, {i8('month(date)', 'month')}, {r4(f'sum({Z})', 'tss')}, {i8('sum(duration_seconds)', 'seconds')}, count(*) AS n, {r4(f'sum({Z}) / day(last_day(min(date)))', 'mean_daily_tss')} FROM workouts GROUP BY year(date), month(date)", WORKOUTS),
     "combined_load": sql(f"SELECT date, coalesce(sport, 'all') AS sport, {r4(f'sum({Z})', 'tss')}, {i8('sum(duration_seconds)', 'seconds')} FROM workouts GROUP BY GROUPING SETS ((date, sport), (date))", WORKOUTS),
     "sport_distribution": sql(f"SELECT sport, {r4(f'100 * sum({Z}) / sum(sum({Z})) OVER ()', 'tss_pct')}, {r4('100.0 * sum(duration_seconds) / sum(sum(duration_seconds)) OVER ()', 'time_pct')}, {r4('100.0 * count(*) / sum(count(*)) OVER ()', 'count_pct')} FROM workouts WHERE date BETWEEN DATE '1998-12-31' - 365 AND DATE '1998-12-31' GROUP BY 1", WORKOUTS),
-    "seven_day_bins": sql(f"SELECT {i8('b', 'bin')}, DATE '1994-12-20' + CAST(b AS INT) * 7 AS week_start, {r4(f'coalesce(sum({Z}), 0)', 'tss')}, {i8('coalesce(sum(duration_seconds), 0)', 'seconds')}, count(workout_id) AS n FROM range(60) r(b) LEFT JOIN workouts ON (date - DATE '1994-12-20') // 7 = b AND date >= DATE '1994-12-20' GROUP BY b", WORKOUTS),
+    "seven_day_bins": sql(f"SELECT {i8('b', 'bin')}, DATE '1994-12-20' + CAST(b AS INT) * 7 AS week_start, {r4(f'coalesce(sum({Z}), 0)', 'tss')}, {i8('coalesce(sum(duration_seconds), 0)', 'seconds')}, count(workout_id) AS n FROM (SELECT unnest(range(0, (SELECT (max(date) - DATE '1994-12-20') // 7 + 1 FROM workouts))) AS b) LEFT JOIN workouts ON (date - DATE '1994-12-20') // 7 = b AND date >= DATE '1994-12-20' GROUP BY b", WORKOUTS),
     "sport_equivalence": sql(f"SELECT sport, {r4('sum(tss) * CASE sport WHEN {0} END'.format("'Cycling' THEN 1.33 WHEN 'Swimming' THEN 0.83 WHEN 'Rowing' THEN 1.11 ELSE 1"), 'tss')} FROM workouts GROUP BY 1", WORKOUTS),
     "css_top3": sql(f"""SELECT athlete_id, {r4('CASE WHEN max(n) >= 3 THEN avg(p) WHEN max(n) = 2 THEN min(p) END', 'css')}, {i8('max(n)', 'n_swims')} FROM (
         SELECT athlete_id, p, row_number() OVER (PARTITION BY athlete_id ORDER BY p, workout_id) AS k, count(*) OVER (PARTITION BY athlete_id) AS n FROM (SELECT athlete_id, workout_id, duration_seconds / 60.0::DOUBLE / (total_distance / 100) AS p FROM workouts WHERE sport = 'Swimming' AND total_distance > 0)) WHERE k <= 3 GROUP BY 1""", WORKOUTS),

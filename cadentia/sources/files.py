@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadentia.operators import admin, load
+
 #: Header aliases of each channel.
 ALIASES = {
     "timestamp": ("timestamp", "time", "elapsed_time", "elapsed", "duration"),
@@ -16,6 +18,8 @@ ALIASES = {
     "elevation": ("elevation", "altitude", "alt", "elev", "height"),
     "cadence": ("cadence", "rpm", "steps_per_minute", "spm"),
     "distance": ("distance", "dist", "total_distance", "cumulative_distance"),
+    "latitude": ("latitude", "lat", "position_lat"),
+    "longitude": ("longitude", "lon", "lng", "position_long"),
 }
 #: Date and time formats, in the order they are tried; fractions of a second are optional.
 FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]'Z'", "yyyy-MM-dd'T'HH:mm:ss[.SSS]'Z'", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
@@ -40,8 +44,8 @@ METRICS = [
 EXPORT_SPORTS = {"Cycling": "Bike", "Running": "Run", "Swimming": "Swim", "Triathlon": "Brick", "Rowing": "Row"}
 
 
-def normalised(header: str) -> str:
-    return header.strip().lower().replace(" ", "_").replace("-", "_")
+def normalised(header: Column) -> Column:
+    return F.translate(F.lower(F.trim(F.regexp_replace(header, '^\\ufeff|"', ""))), " -", "__")
 
 
 def parse_time(text: Column) -> Column:
@@ -51,27 +55,33 @@ def parse_time(text: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of every CSV at a path, one workout a file: workout_id (the file), seq, ts_s and channels.
+    """Samples of every CSV at a path, one workout a file: workout_id (the file), seq, ts_s, started and channels.
 
-    Headers go by their aliases, unknown columns are ignored, cells that don't parse are null. Times are
-    seconds since the file's first time; decimal numbers are elapsed seconds as they stand; without a time the row's place counts.
+    Each file goes by its own header: names by their aliases, in any order; unknown columns are ignored, the first of two equal
+    ones counts, cells that don't parse or are missing are null. Times are seconds since the file's first time, 0 at least;
+    decimal numbers are elapsed seconds as they stand; without a time the row's place counts.
+    Quoted cells may hold commas, not line breaks. A file without rows gives none.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    names = {}
-    for name in raw.columns:
-        for channel, aliases in ALIASES.items():
-            if normalised(name) in aliases and channel not in names:
-                names[channel] = name
-    cell = lambda c: F.col(f"`{names[c]}`") if c in names else F.lit(None).cast("string")
-    number = lambda c: cell(c).try_cast("double").try_cast("int" if c in WHOLE else "double").alias(c)
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("workout_id"), F.monotonically_increasing_id().alias("_line"), cell("timestamp").alias("_text"), *[number(c) for c in ALIASES if c != "timestamp"]
-    )
-    rows = rows.withColumn("_at", parse_time(F.col("_text"))).withColumn("_plain", F.col("_text").try_cast("double"))
-    w = Window.partitionBy("workout_id").orderBy("_line")
-    rows = rows.withColumn("seq", F.row_number().over(w) - 1).withColumn("_first", F.min("_at").over(Window.partitionBy("workout_id")))
-    since = F.unix_timestamp("_at") - F.unix_timestamp("_first")
-    return rows.withColumn("ts_s", F.coalesce(since, F.floor("_plain"), F.col("seq")).cast("int")).select("workout_id", "seq", "ts_s", F.col("_first").alias("started"), *[c for c in ALIASES if c != "timestamp"])
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("workout_id"), at.alias("line"), "value").where(F.trim("value") != "")
+    heads = lines.where("line.block = 0").groupBy("workout_id").agg(F.min("line").alias("first_line"), F.min_by("value", "line").alias("head"))
+    names = F.transform(F.split("head", ","), normalised)
+    place = lambda aliases: F.array_position(F.transform(names, lambda x: x.isin(*aliases)), True).cast("int")
+    heads = heads.select("workout_id", "first_line", F.size(names).alias("width"), *(place(aliases).alias(f"at_{c}") for c, aliases in ALIASES.items()))
+    width = heads.agg(F.coalesce(F.max("width"), F.lit(1))).first()[0]  # of the widest header
+    fields = [f"c{i}" for i in range(width)]
+    parsed = F.from_csv("value", ", ".join(f"{f} string" for f in fields), {"mode": "PERMISSIVE"})
+    rows = lines.join(heads, "workout_id").where("line > first_line").withColumn("x", parsed).withColumn("cells", F.array(*(F.col(f"x.{f}") for f in fields)))
+    cell = lambda c: F.when(F.col(f"at_{c}") > 0, F.get("cells", F.col(f"at_{c}") - 1))
+    number = lambda c: F.trim(cell(c)).try_cast("double").try_cast("int" if c in WHOLE else "double").alias(c)
+    channels = [c for c in ALIASES if c != "timestamp"]
+    rows = rows.select("workout_id", "line", F.trim(cell("timestamp")).alias("text"), *map(number, channels))
+    rows = rows.withColumn("at", parse_time(F.col("text"))).withColumn("plain", F.col("text").try_cast("double"))
+    w = Window.partitionBy("workout_id").orderBy("line")
+    started = F.first("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("seq", F.row_number().over(w) - 1).withColumn("started", started)
+    since = F.unix_timestamp("at") - F.unix_timestamp("started")
+    return rows.select("workout_id", "seq", F.coalesce(F.when(since < 0, 0).otherwise(since), F.floor("plain"), F.col("seq")).cast("int").alias("ts_s"), "started", *channels)
 
 
 def read_directory(spark: SparkSession, path: str, suffix: str = "csv") -> tuple[DataFrame, DataFrame]:
@@ -150,8 +160,51 @@ def import_report(results: DataFrame) -> DataFrame:
 # -- exports --------------------------------------------------------------------------------------
 
 
+#: Columns of exported workout summaries: name and where the value is from.
+SUMMARY_COLUMNS = {
+    "Date": "date", "Sport": "sport", "Duration_Hours": "duration_seconds", "Workout_Type": "workout_type", "Data_Source": "data_source", "TSS": "tss", "Avg_HR": "avg_heart_rate", "Max_HR": "max_heart_rate",
+    "Avg_Power": "avg_power", "Normalized_Power": "normalized_power", "Avg_Pace": "avg_pace", "Intensity_Factor": "intensity_factor", "Distance_KM": "total_distance", "Elevation_Gain_M": "elevation_gain",
+    "Avg_Cadence": "avg_cadence", "Calories": "calories", "Notes": "notes", "Athlete_ID": "athlete_id", "Source": "source",
+}
+#: Names and systems of the key powers by their seconds.
+KEY_POWERS = {5: ("5_seconds", "Sprint"), 60: ("1_minute", "Anaerobic"), 300: ("5_minutes", "VO2max"), 1200: ("20_minutes", "FTP"), 3600: ("60_minutes", "Threshold")}
+
+
 def summary_rows(workouts: DataFrame) -> DataFrame:
-    return workouts.select("workout_id", "date", "sport", "duration_seconds", "tss", "intensity_factor", "avg_heart_rate", "avg_power", "avg_pace", "total_distance")
+    """Workouts under SUMMARY_COLUMNS, hours and kilometres as decimals; what the table doesn't have is null."""
+    value = lambda c: F.col(c) if c in workouts.columns else F.lit(None).cast("string")
+    made = {"Date": F.date_format("date", "yyyy-MM-dd"), "Duration_Hours": value("duration_seconds") / 3600, "Distance_KM": value("total_distance") / 1000}
+    return workouts.select(*(made.get(name, value(c)).alias(name) for name, c in SUMMARY_COLUMNS.items()))
+
+
+def weekly_rows(workouts: DataFrame) -> DataFrame:
+    """Weeks by calendar year and ISO week, Monday to Sunday; the mean is over seven days."""
+    tss, monday = F.sum(F.coalesce("tss", F.lit(0.0))), F.min(F.date_trunc("week", F.col("date"))).cast("date")
+    weeks = workouts.groupBy(F.year("date").alias("Year"), F.weekofyear("date").alias("Week_Number")).agg(
+        monday.alias("Week_Start"), tss.alias("Total_TSS"), F.count("*").alias("Workout_Count"), (F.sum("duration_seconds") / 3600).alias("Duration_Hours"), (F.sum("total_distance") / 1000).alias("Distance_KM")
+    )
+    return weeks.select("Week_Start", F.date_add("Week_Start", 6).alias("Week_End"), "Year", "Week_Number", "Total_TSS", "Workout_Count", "Duration_Hours", "Distance_KM", (F.col("Total_TSS") / 7).alias("Avg_Daily_TSS"))
+
+
+def monthly_rows(workouts: DataFrame) -> DataFrame:
+    """Months with their English names; the mean is over the days of the month."""
+    tss = F.sum(F.coalesce("tss", F.lit(0.0)))
+    months = workouts.groupBy(F.year("date").alias("Year"), F.month("date").alias("Month")).agg(
+        tss.alias("Total_TSS"), F.count("*").alias("Workout_Count"), (F.sum("duration_seconds") / 3600).alias("Duration_Hours"), (F.sum("total_distance") / 1000).alias("Distance_KM"), F.max(F.dayofmonth(F.last_day("date"))).alias("days")
+    )
+    names = F.array(*map(F.lit, ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")))
+    return months.select("Year", "Month", F.element_at(names, F.col("Month")).alias("Month_Name"), "Total_TSS", "Workout_Count", "Duration_Hours", "Distance_KM", (F.col("Total_TSS") / F.col("days")).alias("Avg_Daily_TSS"))
+
+
+def curve_rows(curve: DataFrame) -> DataFrame:
+    """A power curve (duration_s, max_power) with minutes to two decimals."""
+    return curve.select(F.col("duration_s").alias("Duration_Seconds"), F.format_string("%.2f", F.col("duration_s") / 60).alias("Duration_Minutes"), F.col("max_power").alias("Max_Power_Watts"))
+
+
+def key_power_rows(keys: DataFrame) -> DataFrame:
+    """Key powers (target_s, max_power), a row for each of the five; 0 without one."""
+    wanted = keys.sparkSession.createDataFrame([(s, name, system) for s, (name, system) in KEY_POWERS.items()], "target_s int, Duration string, System string")
+    return wanted.join(keys, "target_s", "left").select("Duration", F.col("target_s").alias("Duration_Seconds"), F.coalesce("max_power", F.lit(0)).alias("Power_Watts"), "System")
 
 
 def pmc_rows(series: DataFrame) -> DataFrame:
@@ -190,10 +243,61 @@ def export(rows: DataFrame, kind: str, path: str) -> None:
     writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
 
 
-def pwx(points: DataFrame) -> DataFrame:
-    """(workout_id, xml): a workout file of downsampled samples in order."""
+#: Entries of a power curve that a workout file holds, about.
+CURVE_ENTRIES = 300
+
+
+def pwx(points: DataFrame, curves: DataFrame | None = None) -> DataFrame:
+    """(workout_id, xml): a workout file of downsampled samples in order, and of its power curve (workout_id, duration_s, max_power) every n-th entry and the last."""
     tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>")), F.lit(""))
     sample = F.concat(F.lit("<sample>"), tag("timeoffset", F.col("ts_s")), tag("hr", F.col("heart_rate")), tag("pwr", F.col("power")), tag("cad", F.col("cadence")), tag("dist", F.col("distance")), F.lit("</sample>"))
-    rows = downsampled(points).select("workout_id", F.struct("seq", sample.alias("x")).alias("s"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "")
-    return rows.groupBy("workout_id").agg(F.concat(F.lit('<?xml version="1.0"?><pwx><workout>'), body, F.lit("</workout></pwx>")).alias("xml"))
+    inner = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["x"]), "")
+    body = downsampled(points).select("workout_id", F.struct("seq", sample.alias("x")).alias("s")).groupBy("workout_id").agg(inner("s").alias("body"))
+    if curves is None:
+        curve = F.lit("")
+    else:
+        by = Window.partitionBy("workout_id")
+        step = F.greatest(F.floor(F.col("n") / CURVE_ENTRIES), F.lit(1))
+        placed = curves.withColumn("n", F.count("*").over(by)).withColumn("i", F.row_number().over(by.orderBy("duration_s")) - 1)
+        entry = F.concat(F.lit("<entry>"), tag("duration", F.col("duration_s")), tag("pwr", F.col("max_power")), F.lit("</entry>"))
+        kept = placed.where((F.col("i") % step == 0) | (F.col("i") == F.col("n") - 1)).select("workout_id", F.struct("i", entry.alias("x")).alias("s"))
+        body = body.join(kept.groupBy("workout_id").agg(inner("s").alias("curve")), "workout_id", "left")
+        curve = F.coalesce(F.concat(F.lit("<powercurve>"), F.col("curve"), F.lit("</powercurve>")), F.lit(""))
+    return body.select("workout_id", F.concat(F.lit('<?xml version="1.0"?><pwx><workout>'), F.col("body"), curve, F.lit("</workout></pwx>")).alias("xml"))
+
+
+def export_as(kind: str, what: str, workouts: DataFrame, path: str, points: DataFrame | None = None, curves: DataFrame | None = None) -> None:
+    """The five exports there are: csv summaries, csv pmc, json and text reports (by athlete), pwx of exactly one workout; others are an error."""
+    if (kind, what) == ("csv", "summaries"):
+        export(summary_rows(workouts), "csv", path)
+    elif (kind, what) == ("csv", "pmc"):
+        export(pmc_rows(load.pmc(load.daily_tss(workouts.withColumn("all", F.lit("all")), "all"), "all")).drop("all"), "csv", path)
+    elif (kind, what) == ("json", "report"):
+        export(load.report_totals(workouts, "athlete_id"), "json", path)
+    elif (kind, what) == ("text", "report"):
+        admin.text_report(load.report_totals(workouts, "athlete_id"), "athlete_id").select("line").write.mode("overwrite").text(path)
+    elif (kind, what) == ("pwx", "workout"):
+        if len(workouts.limit(2).collect()) != 1:
+            raise ValueError("a workout file holds exactly one workout")
+        pwx(points.join(workouts.select("workout_id"), "workout_id", "left_semi"), curves).select("xml").write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"no export of {what} as {kind}")
+
+
+def importable(files: DataFrame) -> DataFrame:
+    """Whether each file (path) has an extension that is read: csv or fit, in any case."""
+    return files.withColumn("importable", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("csv", "fit"))
+
+
+def validate_only(files: DataFrame, points: DataFrame) -> DataFrame:
+    """What an import would give, without storing: path, ok, points of each file (path); points has workout_id as its path."""
+    read = points.groupBy(F.col("workout_id").alias("path")).agg(F.count("*").alias("points"))
+    return files.select("path").join(read, "path", "left").select("path", (F.coalesce("points", F.lit(0)) > 0).alias("ok"), F.coalesce("points", F.lit(0)).alias("points"))
+
+
+def cache_metrics(lookups: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row from lookups (hit) and the cache (size): hits, misses, hit rate, entries, bytes, mean bytes."""
+    asked = lookups.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    held = cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean_bytes"))
+    rate = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("hits") + F.col("misses")), F.lit(0.0))
+    return asked.join(held, F.lit(True)).select("hits", "misses", rate.alias("hit_rate"), "entries", "bytes", "mean_bytes")  # one row each

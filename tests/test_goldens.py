@@ -248,6 +248,51 @@ def test_csv_source(spark, tmp_path):
     assert (s.avg_power, s.avg_heart_rate, s.duration_seconds, s.elevation_gain) == (205, 120, 5, 2)
 
 
+def test_csv_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,power,hr\n1,250,130\n2,260,\n")
+    (tmp_path / "b.csv").write_text('\ufeff"Heart Rate",time,Watts,Lat,lng,note\r\n130,1,250,47.5,8.25,"x, y"\r\n\r\n131,2,oops,47.6,8.26,z\r\n')
+    (tmp_path / "empty.csv").write_text("")
+    got = {}
+    for r in files.read_csv(spark, str(tmp_path)).orderBy("seq").collect():
+        got.setdefault(r.workout_id.rsplit("/", 1)[1], []).append((r.seq, r.power, r.heart_rate, r.latitude, r.longitude))
+    assert got == {"a.csv": [(0, 250, 130, None, None), (1, 260, None, None, None)], "b.csv": [(0, 250, 130, 47.5, 8.25), (1, None, 131, 47.6, 8.26)]}
+    (tmp_path / "t.csv").write_text("time,power\n01/02/2024 10:00:05,1\n01/02/2024 10:00:00,2\n01/02/2024 10:00:09,3\n")
+    assert [r.ts_s for r in files.read_csv(spark, str(tmp_path / "t.csv")).orderBy("seq").collect()] == [0, 0, 4]
+
+
+def test_export_pairs(spark, tmp_path):
+    w = spark.createDataFrame([(1, 7, dt.date(2024, 1, 3), "Cycling", 50.0, 3600, 30_000.0), (2, 7, dt.date(2024, 2, 29), "Running", None, 1800, None)], "workout_id int, athlete_id int, date date, sport string, tss double, duration_seconds int, total_distance double")
+    assert files.summary_rows(w).columns == list(files.SUMMARY_COLUMNS) and [r.Distance_KM for r in files.summary_rows(w).orderBy("Date").collect()] == [30.0, None]
+    assert [(str(r.Week_Start), str(r.Week_End), r.Week_Number, r.Total_TSS) for r in files.weekly_rows(w).orderBy("Week_Start").collect()] == [("2024-01-01", "2024-01-07", 1, 50.0), ("2024-02-26", "2024-03-03", 9, 0.0)]
+    assert [(r.Month_Name, r.Avg_Daily_TSS) for r in files.monthly_rows(w).orderBy("Month").collect()] == [("January", 50 / 31), ("February", 0.0)]
+    curve = spark.createDataFrame([(90, 300)], "duration_s int, max_power int")
+    assert [tuple(r) for r in files.curve_rows(curve).collect()] == [(90, "1.50", 300)]
+    keys = spark.createDataFrame([(60, 58, 410)], "target_s int, duration_s int, max_power int")
+    assert {(r.Duration, r.Power_Watts, r.System) for r in files.key_power_rows(keys).collect()} >= {("1_minute", 410, "Anaerobic"), ("5_seconds", 0, "Sprint")}
+    for kind, what in (("csv", "summaries"), ("csv", "pmc"), ("json", "report"), ("text", "report")):
+        files.export_as(kind, what, w, str(tmp_path / f"{kind}-{what}"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv-pmc")).count() == 58
+    p = points(spark, power=[1, 2, 3])
+    one_workout = p.select("workout_id").distinct()
+    files.export_as("pwx", "workout", one_workout, str(tmp_path / "pwx"), p, power.mean_max_full(p))
+    assert spark.read.text(str(tmp_path / "pwx")).first()[0].count("<entry>") == 3
+    with pytest.raises(ValueError):
+        files.export_as("pwx", "workout", w, str(tmp_path / "two"), p)
+    with pytest.raises(ValueError):
+        files.export_as("json", "pmc", w, str(tmp_path / "none"))
+    long = spark.range(1, 1001).select(F.lit(1).alias("workout_id"), F.col("id").cast("int").alias("duration_s"), F.lit(5).alias("max_power"))
+    assert one(files.pwx(p, long)).xml.count("<entry>") == 334
+
+
+def test_import_bookkeeping(spark):
+    f = spark.createDataFrame([("/x/a.CSV",), ("/x/b.fit",), ("/x/c.gpx",), ("/x/csv",)], "path string")
+    assert [r.importable for r in files.importable(f).orderBy("path").collect()] == [True, True, False, False]
+    read = spark.createDataFrame([("/x/a.CSV", 0), ("/x/a.CSV", 1)], "workout_id string, seq int")
+    assert {tuple(r) for r in files.validate_only(f.where("path < '/x/c'"), read).collect()} == {("/x/a.CSV", True, 2), ("/x/b.fit", False, 0)}
+    m = one(files.cache_metrics(spark.createDataFrame([(True,), (False,), (True,)], "hit boolean"), spark.createDataFrame([(10,), (30,)], "size long")))
+    assert tuple(m) == (2, 1, 2 / 3, 2, 40, 20.0)
+
+
 def test_csv_seconds(spark, tmp_path):
     (tmp_path / "b.csv").write_text("time,power\n0.5,1\n1.5,2\n")
     assert [r.ts_s for r in files.read_csv(spark, str(tmp_path / "b.csv")).orderBy("seq").collect()] == [0, 1]
