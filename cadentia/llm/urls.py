@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadentia.llm.common import join_hot, settle
+
 #: Hex digits of the digest that the equi-join reads first.
 PREFIX_DIGITS = 8
 #: Rules up to here are broadcast (about 200 bytes each); more are joined by shuffle.
@@ -51,19 +53,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
             F.col("verdict").alias("rule_verdict"),
             F.length("host").alias("host_length"),
             F.length("path").alias("path_length"),
+            F.size(F.split("host", r"\.")).alias("labels"),
         )
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     )
-    # how long a rule's path is: few values, so the prefixes of a path that can matter are few
+    # how long a rule's path is and how many labels its host has: few values, so the suffixes and prefixes that can matter are few
     lengths = sorted(r[0] for r in known.select("path_length").distinct().collect())
+    depths = sorted(r[0] for r in known.select("labels").distinct().collect())
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tails = F.transform(F.array(labels), lambda x: F.array_compact(F.array(*(F.when(F.size(x) >= n, F.array_join(F.slice(x, -n, n), ".")) for n in depths))))
+    suffixes = tails[0] if depths else F.array().cast("array<string>")
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>"), lambda p: p.isNotNull())
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
     if lengths and known.count() <= BROADCAST_RULES:
         known = F.broadcast(known)
+    hosted = parsed.where("host <> ''").withColumn("page", F.concat("host", F.lit("\n"), "path"))
     won = (
-        parsed.select("host", "path").where("host <> ''").distinct()
+        hosted.select("host", "path").distinct()
         .select("host", "path", F.explode(expressions).alias("expression"))
         .select("host", "path", F.sha2("expression", 256).alias("full"))
         .withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
@@ -71,8 +77,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         .where(F.col("full") == F.col("digest"))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.col("host_length") + F.col("path_length"), "host_length", F.col("rule_verdict") == "block", "rule", "rule_verdict")).alias("best"))
-        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
-    )
-    return parsed.join(won, ["host", "path"], "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict")
+        .select(F.concat("host", F.lit("\n"), "path").alias("page"), F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
     )
+    # rows without a host meet no rule, and rows of common pages stay where they are
+    ruled = join_hot(hosted, settle(won), "page", how="left").select("page_id", "host", "path", "rule", "rule_verdict")
+    rest = parsed.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
+    return ruled.unionByName(rest).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
