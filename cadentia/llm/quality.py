@@ -1,7 +1,7 @@
 """Quality rules: fixed tests on a text's words, and a calibrated classifier.
 
 The classifier is logistic regression on hashed n-grams of words (one, two; two
-equal words are one "repeat" gram) and of bytes (three, four), each text's counts
+equal words are one "repeat" gram) and of characters (three, four), each text's counts
 damped and scaled to length one; Platt's scaling on a held-out fold makes its output a probability
 of good quality, and a fixed threshold on that the verdict.
 """
@@ -34,12 +34,12 @@ def features(text: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) > 1:
         pair = np.where(hashes[1:] == hashes[:-1], _REPEAT, hashes[1:] * _B + hashes[:-1])
         parts.append((pair * _A) >> shift)
-    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    b = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
     if len(b) > 2:
-        key = (b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:]
+        key = (b[:-2] << np.uint64(42)) | (b[1:-1] << np.uint64(21)) | b[2:]  # a code point has 21 bits
         parts.append((key * _B) >> shift)
         if len(b) > 3:
-            parts.append((((key[:-1] << np.uint64(8)) | b[3:]) * _C) >> shift)
+            parts.append(((key[:-1] * _A ^ b[3:]) * _C) >> shift)
     counts = np.bincount(np.concatenate(parts).astype(np.int64), minlength=1)
     rows = np.flatnonzero(counts)
     values = 1 + np.log(counts[rows])
@@ -105,16 +105,20 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = 12, rate: float = 2.0, l
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, **options) -> QualityModel | None:
-    """Fit on at most ``max_rows`` labelled rows, drawn by hash; the bound is on the fit alone."""
-    rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("rated"))
+    """Fit on at most ``max_rows`` labelled rows, drawn by hash; the bound is on the fit alone.
+
+    Ratings other than 0 and 1 are left out; an id that is rated or stands among docs several times counts once.
+    """
+    rated = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("rated"))
     n = rated.count()
     if not n:
         return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = rated.withColumn("draw", draw).where(F.col("draw") <= min(1.0, 1.3 * max_rows / n))  # about 1.3 * max_rows rows
-    found = docs.select("doc_id", "text").where("text is not null").join(rated, "doc_id").select("draw", "text", "rated").collect()
-    found.sort(key=lambda r: (r.draw, r.text, r.rated))
-    return fit([(r.text.encode(), r.rated) for r in found[:max_rows]], **options)
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(rated), "doc_id")
+    one = found.groupBy("doc_id").agg(F.first("draw").alias("draw"), F.min("text").alias("text"), F.first("rated").alias("rated"))
+    chosen = one.orderBy("draw", "doc_id").limit(max_rows).collect()
+    return fit([(r.text.encode(), r.rated) for r in chosen], **options)
 
 
 def measure(text: bytes, words: list[bytes], hashes: np.ndarray) -> tuple[int, int, int, int]:
