@@ -32,7 +32,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 EXACT_SEARCH = f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL),
 t AS (SELECT doc_id, x, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS x FROM w) GROUP BY 1, 2),
 df AS (SELECT x, count(*) AS df FROM t GROUP BY 1),
 stats AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),

@@ -7,7 +7,8 @@ upper bound (the sum over its terms of block maxima) down, and stops at blocks w
 is below the k-th best score so far (block-max WAND); the shards' top k are merged. Document
 counts, frequencies and the mean length are the whole corpus's, so the merged result is exact.
 
-Queries come in blocks of bounded size, each sent to all shards.
+Queries come in blocks of bounded size, each sent to all shards; a block's results are settled
+before the next one goes out, so neither plans nor broadcasts pile up.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from cadentia.llm.common import WordHashes, settle, slices, texts, tidied
 
 #: Documents in a block; postings in a shard, about; queries sent out at once.
-BLOCK, SHARD_POSTINGS, QUERIES = 64, 4_000_000, 4_000
+BLOCK, SHARD_POSTINGS, QUERIES = 32, 4_000_000, 4_000
+#: How much more blocks are scored between two looks at the bounds; partial results of a query that meet first.
+WIDEN, GROUPS = 16, 64
 
 #: Covers sums in another order and scores that tie after rounding.
 SLACK = 1e-8
@@ -98,7 +101,7 @@ def top(shard: Shard, terms: np.ndarray, idf: np.ndarray, k: int, least: float =
         scores += np.bincount(shard.docs[postings], shard.parts[postings] * weight[mine][cell], n)
         if n >= k:
             least = max(least, np.partition(scores, n - k)[n - k])
-        ahead *= 64
+        ahead *= WIDEN
     found = np.flatnonzero((scores > 0) & (scores >= least - SLACK))
     if len(found) > k:
         found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - SLACK]
@@ -213,7 +216,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
         found = indexed.mapInArrow(tidied(ask), "row long, query_id long, ids array<long>, scores array<double>")
         # k entries at most from each task
         entries = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-F.round(x["scores"], 9)).alias("by"), x["ids"].alias("doc_id"), x["scores"].alias("score")))
-        best = found.groupBy("row", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(entries))), 1, k).alias("best"))
-        merged = best.select("query_id", F.posexplode("best").alias("place", "x")).select("query_id", (F.col("place") + 1).alias("rank"), "x.doc_id", "x.score")
+        best = lambda lists: F.slice(F.array_sort(F.flatten(F.collect_list(lists))), 1, k).alias("best")
+        some = found.groupBy("row", "query_id", (F.spark_partition_id() % GROUPS).alias("group")).agg(best(entries))
+        whole = some.groupBy("row", "query_id").agg(best("best"))
+        merged = settle(whole.select("query_id", F.posexplode("best").alias("place", "x")).select("query_id", (F.col("place") + 1).alias("rank"), "x.doc_id", "x.score"))
+        asks.unpersist()
+        plan.unpersist()
         results = merged if results is None else results.unionByName(merged)
     return results

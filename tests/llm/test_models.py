@@ -60,9 +60,10 @@ def test_search(spark, sf_dir, monkeypatch):
     assert search.search(docs, docs.limit(0).select(F.col("doc_id").alias("query_id"), "text"), 3).count() == 0
 
 
-def test_blocks_with_bounds_miss_nothing():
-    """Random shards, many blocks: walking by bounds finds what full scoring finds."""
-    rng = np.random.default_rng(4)
+def test_blocks_with_bounds_miss_nothing(monkeypatch):
+    """Random shards, many blocks: walking by bounds finds what full scoring finds, and leaves blocks out."""
+    rng, ranges, cells, scored = np.random.default_rng(4), search._ranges, 0, 0
+    monkeypatch.setattr(search, "BLOCK", 8)
     for _ in range(20):
         held = []
         for i in range(500):
@@ -77,9 +78,14 @@ def test_blocks_with_bounds_miss_nothing():
             for t, c in zip(terms, tf, strict=True):
                 if t in asked:
                     full[i] += idf[asked == t][0] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / 20.0))
+        looked = []
+        monkeypatch.setattr(search, "_ranges", lambda a, b: (looked.append((len(a), int((b - a).sum()))), ranges(a, b))[1])
         places, scores = search.top(shard, asked, idf, 7)
+        cells += looked[0][1]  # terms in blocks: of all the shard, then of the blocks that are scored
+        scored += sum(n for n, _ in looked[1:])
         wanted = sorted((x for x in full if x > 0), reverse=True)[:7]
         assert np.allclose(scores, wanted)
+    assert scored < 0.9 * cells, (scored, cells)
 
 
 def plain_base(rows, training):
