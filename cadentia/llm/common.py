@@ -134,18 +134,26 @@ def join_uneven(rows: DataFrame, keys: DataFrame, on: list[str], size: str, tota
     return rows.join(heavy, on).unionByName(light)
 
 
-def join_hot(rows: DataFrame, keys: DataFrame, on: str, most: int = 2000, how: str = "inner") -> DataFrame:
+#: Keys with more rows than this are hot; of these the HOT_KEYS largest are broadcast, whatever the corpus.
+HOT_ROWS, HOT_KEYS = 1000, 2000
+
+
+def hot_keys(rows: DataFrame, on: str) -> list:
+    """The largest keys of the rows: HOT_KEYS at most, each with more than HOT_ROWS rows; null is none."""
+    counted = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > HOT_ROWS)
+    return [r[0] for r in counted.orderBy(F.desc("n_rows")).limit(HOT_KEYS).collect()]
+
+
+def join_hot(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner", hot: list | None = None) -> DataFrame:
     """Join (inner or left) of rows to unique keys, where some keys may have a large share of the rows.
 
-    The keys with more than one in ``most`` of the rows (and 1000 at least), so fewer than ``most``, are
-    broadcast and their rows stay where they are; the others meet by shuffle. rows are read several times.
+    Rows of hot keys (found in one pass unless given) stay where they are and meet a broadcast of HOT_KEYS
+    keys at most; the others meet by shuffle, where no key has more than one in HOT_KEYS of the rows or HOT_ROWS.
     """
-    counted = rows.groupBy(on).agg(F.count("*").alias("n_rows"))
-    counted = settle(counted.where(F.col("n_rows") > 500))
-    total = rows.count()
-    heavy = counted.where(F.col("n_rows") > max(1000, total // most)).select(on)
-    if heavy.isEmpty():
+    hot = hot_keys(rows, on) if hot is None else hot
+    if not hot:
         return rows.join(keys, on, how)
-    heavy = F.broadcast(heavy)
-    hot = rows.join(heavy, on, "left_semi").join(F.broadcast(keys.join(heavy, on, "left_semi")), on, how)
-    return hot.unionByName(rows.join(heavy, on, "left_anti").join(keys, on, how))
+    held = rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(on).schema)
+    few = F.broadcast(held)
+    there = rows.join(few, on, "left_semi").join(F.broadcast(keys.join(few, on, "left_semi")), on, how)
+    return there.unionByName(rows.join(few, on, "left_anti").join(keys, on, how))

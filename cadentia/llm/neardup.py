@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import WordHashes, join_hot, join_uneven, mix64, one_for_each, settle, slices, texts, tidied, whole_rows
+from cadentia.llm.common import HOT_KEYS, HOT_ROWS, WordHashes, hot_keys, join_hot, join_uneven, mix64, one_for_each, settle, slices, texts, tidied, whole_rows
 
 #: 25 bands of 5: a pair at 0.85 shares none with probability (1 - 0.85 ** 5) ** 25, below 1e-6; at 0.8, 5e-5.
 BANDS, ROWS = 25, 5
@@ -147,13 +147,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels = settle(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("label")))
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p")))
-        for _ in range(2):
+        hook = settle(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"), "n"))
+        # a vertex that many hook to, or that has many edges, has as many neighbours
+        hubs = [r[0] for r in hook.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).select("v").collect()]
+        hook = hook.drop("n")
+        for hot in (hubs, None):
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            hook = settle(join_hot(hook, up, "p", how="left").select("v", F.coalesce("pp", "p").alias("p")))
-        labels = settle(join_hot(labels, hook.withColumnRenamed("v", "label"), "label", how="left").select("node", F.coalesce("p", "label").alias("label")))
+            hook = settle(join_hot(hook, up, "p", "left", hot).select("v", F.coalesce("pp", "p").alias("p")))
+        labels = settle(join_hot(labels, hook.withColumnRenamed("v", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")))
         to = lambda side: hook.select(F.col("v").alias(side), F.col("p").alias(f"{side}p"))
-        edges = settle(join_hot(join_hot(edges, to("a"), "a"), to("b"), "b").select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct())
+        edges = settle(join_hot(join_hot(edges, to("a"), "a", hot=hubs), to("b"), "b", hot=hubs).select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct())
     return labels
 
 
@@ -176,7 +179,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     pairs = settle(pairs)
-    sized = join_hot(join_hot(pairs, side("a"), "a"), side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    hot = {x: hot_keys(pairs, x) for x in "ab"}
+    sized = join_hot(join_hot(pairs, side("a"), "a", hot=hot["a"]), side("b"), "b", hot=hot["b"]).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     pairs = settle(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b", "p_a", "p_b").mapInArrow(tidied(close), "a long, b long"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = settle(nodes.join(ends, "node", "left_semi").select("key", "node"))
@@ -202,7 +206,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda x: held.select(F.col("node").alias(x), F.col("items").alias(f"i_{x}"))
-    return settle(join_hot(join_hot(pairs, of("a"), "a"), of("b"), "b").select("a", "b", "i_a", "i_b").mapInArrow(tidied(confirm), "a long, b long"))
+    return settle(join_hot(join_hot(pairs, of("a"), "a", hot=hot["a"]), of("b"), "b", hot=hot["b"]).select("a", "b", "i_a", "i_b").mapInArrow(tidied(confirm), "a long, b long"))
 
 
 def _across_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

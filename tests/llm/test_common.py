@@ -20,7 +20,8 @@ def test_join_uneven_is_an_inner_join(spark):
 
 
 def test_join_hot_is_a_join(spark):
-    rows = spark.range(6000).select(F.when(F.col("id") < 2500, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    rows = spark.range(6000).select(F.when(F.col("id") < 2500, 0).when(F.col("id") < 2600, None).otherwise(F.col("id") % 50).alias("k"), "id")
+    assert common.hot_keys(rows, "k") == [0]
     keys = spark.range(60).where("id <> 7").select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     for given in (keys, keys.where("k > 0")):
         for how in ("inner", "left"):
