@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,20 @@ def trailing_days(rows: DataFrame, end: str, days: int) -> DataFrame:
     return rows.where(F.col("date").between(F.date_sub(F.lit(end).cast("date"), days - 1), F.lit(end).cast("date")))
 
 
+def asked_range(rows: DataFrame, first: str | None, last: str | None, today: str, last_days: int | None = None) -> DataFrame:
+    """Rows of a range as a user gives it: ``last_days`` (back from today) overrides both ends, an end that is no date counts as open."""
+    if last_days is not None:
+        return rows.where(F.col("date").between(F.date_sub(F.lit(today).cast("date"), last_days), F.lit(today).cast("date")))
+
+    def known(text: str | None) -> str | None:
+        try:
+            return date.fromisoformat(text).isoformat() if text else None
+        except ValueError:
+            return None
+
+    return between_dates(rows, known(first), known(last))
+
+
 def sport_like(workouts: DataFrame, text: str, minutes: int = 0) -> DataFrame:
     """Sports whose name contains the text, whatever its case, of at least so many minutes."""
     return workouts.where(F.contains(F.lower("sport"), F.lit(text.lower())) & (F.col("duration_seconds") >= minutes * 60))
@@ -85,6 +101,12 @@ def statistics(workouts: DataFrame) -> DataFrame:
     return workouts.agg(F.count("*").alias("workouts"), F.countDistinct("athlete_id").alias("athletes"), F.countDistinct("sport").alias("sports"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("duration_seconds").alias("seconds"))
 
 
+def series_statistics(series: DataFrame) -> DataFrame:
+    """One row from stored series (original_size, stored_size): how many, both sums, and their ratio, 0 where nothing is stored."""
+    g = series.agg(F.count("*").alias("series"), F.coalesce(F.sum("original_size"), F.lit(0)).alias("original_bytes"), F.coalesce(F.sum("stored_size"), F.lit(0)).alias("stored_bytes"))
+    return g.withColumn("ratio", F.when(F.col("stored_bytes") > 0, F.col("original_bytes") / F.col("stored_bytes")).otherwise(0.0))
+
+
 def merge_nearest(left: DataFrame, right: DataFrame, key: str, time: str, tolerance: int, value: str) -> DataFrame:
     """Left rows with the value of the nearest right row of the key less than ``tolerance`` away (the earlier on ties, then the smaller value), null without one.
 

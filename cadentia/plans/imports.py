@@ -61,6 +61,15 @@ def csv_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.select(shape.alias("shape"), parsed.alias("at")).groupBy("shape").agg(F.count("*").alias("n"), F.count("at").alias("parsed"), F.sum(F.unix_timestamp("at")).alias("seconds"), F.max("at").cast("date").alias("last")))
 
 
+FIELD_NAMES = ("SmO2 Left Quad", "Total Hemoglobin", "Core Temp Sensor", "Skin Temperature", "Right Torque Effectiveness", "Gradient Adjusted Power", "Wind Speed", "Left Power Phase End", "Heart")
+
+
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.element_at(F.array(*map(F.lit, FIELD_NAMES)), (c("p_partkey") % len(FIELD_NAMES) + 1).cast("int")).alias("name"))
+    told = F.array_join(files.sensor_channels(c("name")), ","), files.sensor_location(c("name")), files.sensor_type(c("name"))
+    return rounded(p.groupBy(told[0].alias("channels"), told[1].alias("location"), told[2].alias("sensor")).agg(F.count("*").alias("n")))
+
+
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     at = F.timestamp_seconds(F.lit(1_700_000_000) + c("p_partkey") % 40 * 86_400 + c("p_partkey") * 7919 % 86_400)
@@ -92,6 +101,9 @@ def names(df: DataFrame) -> DataFrame:
 
 QUERIES = {
     "csv_import": csv_import,
+    "asked_ranges": workouts_query(lambda w: store.asked_range(w, "1995-03-01", "no date", "1996-06-30").agg(F.lit("from").alias("what"), F.count("*").alias("n")).unionByName(store.asked_range(w, "1995-03-01", None, "1996-06-30", 30).agg(F.lit("last").alias("what"), F.count("*").alias("n")))),
+    "series_statistics": lambda spark, d: rounded(store.series_statistics(spark.read.parquet(f"{d}/part.parquet").select((c("p_size") * 100).alias("original_size"), (c("p_size") * 37).alias("stored_size")))),
+    "sensor_channels": sensors,
     "csv_times": csv_times,
     "scaled_fields": lambda spark, d: rounded(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", files.converted(c("p_size").cast("double"), F.when(c("p_partkey") % 3 > 0, (c("p_partkey") % 10 + 1).cast("double")), F.when(c("p_partkey") % 4 > 0, F.lit(2.5))).alias("value"))),
     "import_report": lambda spark, d: rounded(files.import_report(spark.read.parquet(f"{d}/events.parquet").select((c("event_id") % 9 > 0).alias("ok"), c("user_id").alias("points"), (c("event_id") % 50).alias("millis")))),
@@ -126,6 +138,9 @@ NONE = lambda *xs: ", ".join(f"CAST(NULL AS DOUBLE) AS {x}" for x in xs)  # noqa
 ORACLES = {
     "csv_import": sql(f"SELECT workout_id, count(*) AS n, {i8('sum(ts_s)', 'seconds')}, {i8('sum(power)', 'power')}, {i8('sum(heart_rate)', 'heart_rate')}, {r4('sum(CASE WHEN workout_id % 2 = 1 THEN seq / 8.0::DOUBLE END)', 'latitude')} FROM points GROUP BY 1", POINTS),
     "csv_times": f"SELECT {i8('event_id % 7', 'shape')}, count(*) AS n, count(*) FILTER (event_id % 7 < 6) AS parsed, {i8('sum(CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT)) FILTER (event_id % 7 < 6)', 'seconds')}, max(CASE WHEN event_id % 7 < 6 THEN CAST(ts AS DATE) END) AS last FROM events GROUP BY event_id % 7",
+    "asked_ranges": sql("SELECT 'from' AS what, count(*) FILTER (date >= DATE '1995-03-01') AS n FROM workouts UNION ALL SELECT 'last', count(*) FILTER (date BETWEEN DATE '1996-05-31' AND DATE '1996-06-30') FROM workouts", WORKOUTS),
+    "series_statistics": f"SELECT count(*) AS series, {i8('sum(p_size * 100)', 'original_bytes')}, {i8('sum(p_size * 37)', 'stored_bytes')}, {r4('sum(p_size * 100) / sum(p_size * 37)::DOUBLE', 'ratio')} FROM part",
+    "sensor_channels": "SELECT channels, location, sensor, n FROM (SELECT p_partkey % 9 AS k, count(*) AS n FROM part GROUP BY 1) JOIN (VALUES (0, 'smo2', 'left_quadriceps', NULL), (1, 'thb', NULL, NULL), (2, 'core_temp', NULL, 'core_sensor'), (3, 'skin_temp', NULL, 'skin_sensor'), (4, 'right_torque_effectiveness', NULL, NULL), (5, 'gradient,gradient_adjusted_power', NULL, NULL), (6, 'wind_speed', NULL, NULL), (7, 'left_power_phase_end', NULL, NULL), (8, '', NULL, NULL)) v(k, channels, location, sensor) USING (k)",
     "scaled_fields": f"SELECT {i8('p_partkey', 'p_partkey')}, {r4('p_size / CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey % 10 + 1 AS DOUBLE) ELSE 1 END - CASE WHEN p_partkey % 4 > 0 THEN 2.5 ELSE 0 END', 'value')} FROM part",
     "import_report": f"SELECT count(*) AS files, count(*) FILTER (event_id % 9 > 0) AS succeeded, {r4('100.0 * count(*) FILTER (event_id % 9 > 0) / count(*)', 'success_pct')}, {i8('sum(user_id)', 'points')}, {r4('avg(event_id % 50)', 'mean_millis')} FROM events",
     "cache_kept": sql(f"SELECT count(*) AS n, {i8('sum(size)', 'bytes')}, min(fingerprint) AS first FROM (SELECT *, sum(size) OVER (ORDER BY seen_at DESC, fingerprint) AS s FROM cache WHERE seen_at >= {NOW} - 30 * 86400) WHERE s <= {KEPT}", CACHE),

@@ -40,6 +40,17 @@ METRICS = [
     ((("humidity",),), "Environmental"),
     ((("air",), ("quality",)), "Environmental"),
 ]
+#: Sensor channels by what a lower-cased field name contains (one of each group); all that fit count, "side" stands for left or right.
+CHANNELS = [
+    ("smo2", ("smo2",)), ("smo2", ("muscle",), ("oxygen",)), ("smo2", ("saturation",)), ("thb", ("thb",)), ("thb", ("hemoglobin",), ("total",)), ("core_temp", ("core",), ("temp",)), ("skin_temp", ("skin",), ("temp",)),
+    ("torque_effectiveness", ("torque",), ("effect",), "side"), ("pedal_smoothness", ("pedal",), ("smooth",), "side"), ("platform_center_offset", ("platform",), ("offset",), "side"),
+    ("power_phase_start", ("power",), ("phase",), ("start",), "side"), ("power_phase_end", ("power",), ("phase",), ("end",), "side"), ("peak_phase_start", ("peak",), ("phase",), ("start",), "side"),
+    ("peak_phase_end", ("peak",), ("phase",), ("end",), "side"), ("cda", ("cda",)), ("cda", ("drag",), ("coeff",)), ("wind_speed", ("wind",), ("speed",)), ("wind_direction", ("wind",), ("direction",)),
+    ("gradient", ("gradient", "slope")), ("gradient_adjusted_power", ("gradient",), ("power",)),
+]
+#: Places of a sensor, and kinds of temperature sensors, by what a name contains.
+LOCATIONS = [(side, part, f"{side}_{name}") for part, name in (("quad", "quadriceps"), ("calf", "calf"), ("glute", "glute")) for side in ("left", "right")]
+SENSORS = [(("core", "sensor"), "core_sensor"), (("ingestible",), "ingestible_pill"), (("pill",), "ingestible_pill"), (("rectal",), "rectal")]
 #: Sports as another platform's CSV names them.
 EXPORT_SPORTS = {"Cycling": "Bike", "Running": "Run", "Swimming": "Swim", "Triathlon": "Brick", "Rowing": "Row"}
 
@@ -137,6 +148,45 @@ def metric_kind(name: Column) -> Column:
     return out.otherwise("Custom")
 
 
+def sensor_channels(name: Column) -> Column:
+    """The channels that a developer field's name stands for, in order of name: those of one side carry it in front; empty for null and for none."""
+    lower = F.coalesce(F.lower(name), F.lit(""))
+    found = []
+    for channel, *groups in CHANNELS:
+        sided = groups[-1] == "side"
+        fits = F.lit(True)
+        for group in groups[:-1] if sided else groups:
+            one = F.lit(False)
+            for part in group:
+                one = one | F.contains(lower, F.lit(part))
+            fits = fits & one
+        if sided:  # left before right; without a side no channel
+            side = F.when(F.contains(lower, F.lit("left")), "left").when(F.contains(lower, F.lit("right")), "right")
+            found.append(F.when(fits, F.concat(side, F.lit(f"_{channel}"))))
+        else:
+            found.append(F.when(fits, F.lit(channel)))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+
+
+def sensor_location(name: Column) -> Column:
+    lower, out = F.lower(name), F.lit(None).cast("string")
+    for side, part, place in reversed(LOCATIONS):
+        out = F.when(F.contains(lower, F.lit(side)) & F.contains(lower, F.lit(part)), place).otherwise(out)
+    return out
+
+
+def sensor_type(name: Column) -> Column:
+    """The kind of a temperature sensor; a skin temperature's is the skin sensor."""
+    lower, out = F.lower(name), F.lit(None).cast("string")
+    for parts, kind in reversed(SENSORS):
+        fits = F.lit(True)
+        for part in parts:
+            fits = fits & F.contains(lower, F.lit(part))
+        out = F.when(fits, kind).otherwise(out)
+    skin = F.contains(lower, F.lit("skin")) & F.contains(lower, F.lit("temp")) & ~F.contains(lower, F.lit("core"))
+    return F.when(skin, "skin_sensor").otherwise(out)
+
+
 def converted(raw: Column, scale: Column, offset: Column) -> Column:
     return raw / F.coalesce(scale, F.lit(1.0)) - F.coalesce(offset, F.lit(0.0))
 
