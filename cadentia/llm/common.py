@@ -67,6 +67,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> pa.Array:
+    """Lists of each text's runs without ASCII white space, and an empty one where white space begins or ends it; null as empty, A-Z lower-cased if asked.
+
+    The texts are copied first: kernels misread what is a slice of a larger array and cast.
+    """
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "").cast(pa.large_string())
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+
+
 def tidied(work: Callable) -> Callable:
     """The work of a task on Arrow batches; when it is done, its memory goes back to the system, as workers are kept."""
 

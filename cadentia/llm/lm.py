@@ -24,24 +24,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import MEMO_WORDS, settle, slices, tidied
+from cadentia.llm.common import settle, slices, split_words, tidied
 
 #: Words that are classes of their own (the end among them); classes by spelling; cells of a class; words whose counts are sent out.
-FREQUENT, SPELLINGS, CELLS, HEAD = 24, 32, 16, 1 << 16
+FREQUENT, SPELLINGS, CELLS, HEAD = 32, 32, 16, 1 << 16
 CLASSES = FREQUENT + SPELLINGS
-#: Rows of hashed features, as powers of two: at least and at most (19 MB).
+#: Rows of hashed features, as powers of two: at least and at most (21 MB).
 LEAST_BITS, MOST_BITS = 13, 16
 #: A word's number is its 64-bit hash with the class of its spelling in the lowest bits; the next ones tell its cell.
 _SPELLING, _CELL_SHIFT = SPELLINGS - 1, SPELLINGS.bit_length() - 1
 _END = np.uint64(xxhash.xxh64_intdigest(b"\x20end") & ~_SPELLING)
 _KINDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
-#: Rows of partial counts that a task holds.
-PARTIAL = 500_000
+#: Rows of partial counts that a task holds; words that a worker keeps numbered.
+PARTIAL, MEMO_WORDS = 500_000, 500_000
 
 
 class _Words(dict):
@@ -58,7 +57,7 @@ class _Words(dict):
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts in a row, each text's words and the end, and where the texts end; null as empty."""
-        chunks = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        chunks = split_words(texts, lower=True)
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         numbers = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -169,24 +168,36 @@ def log_probabilities_of(weights: np.ndarray, bias: np.ndarray, features: np.nda
     margin = margins(weights, bias, features)
     own = margin[np.arange(len(wanted)), wanted]
     np.exp(margin, out=margin)
-    return own - np.log(margin.sum(axis=1))
+    return own - np.log(margin @ np.ones(margin.shape[1], np.float32))
 
 
 def step(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, wanted: np.ndarray, rate: float) -> np.ndarray:
     """One gradient update of the feature rows over a run of tokens; the mean slope."""
     slope = margins(weights, bias, features)
     np.exp(slope, out=slope)
-    slope /= -slope.sum(axis=1, keepdims=True)
+    ones = np.ones(slope.shape[1], np.float32)
+    slope *= (-1 / (slope @ ones))[:, None]
     slope[np.arange(len(wanted)), wanted] += 1
     place = np.arange(len(wanted), dtype=np.uint64)
     for k in range(features.shape[1]):
         keys = np.sort((features[:, k].astype(np.uint64) << np.uint64(20)) | place)
         order, rows = (keys & np.uint64((1 << 20) - 1)).astype(np.int64), (keys >> np.uint64(20)).astype(np.int64)
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        sums = np.add.reduceat(slope[order], starts, axis=0)
-        n = np.diff(starts, append=len(rows))[:, None]
-        weights[rows[starts]] += (rate / (n + 4)).astype(np.float32) * sums  # rare features move less
-    return slope.mean(axis=0)
+        n = np.diff(starts, append=len(rows))
+        weights[rows[starts]] += (rate / (n + 4)).astype(np.float32)[:, None] * sums_of(slope[order], starts, n)  # rare features move less
+    return np.ones(len(slope), np.float32) @ slope / len(slope)
+
+
+def sums_of(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of stretches of rows; most are short, so they are added up side by side, and long ones by themselves."""
+    out = rows[starts]
+    longer = np.flatnonzero(sizes > 1)
+    for k in range(1, 8):
+        out[longer] += rows[starts[longer] + k]
+        longer = longer[sizes[longer] > k + 1]
+    for i in longer:
+        out[i] += rows[starts[i] + 8 : starts[i] + sizes[i]].sum(axis=0)
+    return out
 
 
 def learn(model: Model, head: Head, tokens: np.ndarray, ends: np.ndarray, run: int, rate) -> tuple[np.ndarray, np.ndarray]:

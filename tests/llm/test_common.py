@@ -62,3 +62,24 @@ def test_the_shared_folder_is_the_sessions(spark):
     assert folder == common.shared_folder(spark)
     df = common.settle(spark.range(3))
     assert df.count() == 3
+
+
+def test_words_of_slices(monkeypatch):
+    """A slice of a batch gives the words that its texts have, also with nulls, and so do what counts and encodes them."""
+    from cadentia.llm import entry, lm, packing
+
+    texts = [None if i % 7 == 3 else "" if i % 7 == 5 else f" W{i}  x{i}, É{i % 3}\n" + "y " * (i % 4) for i in range(60)]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    monkeypatch.setattr(common, "SLICE_BYTES", 50)
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts, kind)], names=["id", "text"])
+        parts = list(common.slices(iter([batch.slice(1, 58)])))
+        assert len(parts) > 5
+        number, encoder = lm._Words(), packing._encoder(entry.tokenizer_path())
+        for p in parts:
+            rows = p.column(0).to_pylist()
+            assert [[w.encode() for w in ws if w] for ws in common.split_words(p.column(1), lower=True).to_pylist()] == [plain[i] for i in rows]
+            tokens, ends = number.of(p.column(1))
+            assert tokens.tolist() == [x for i in rows for x in [*map(number.__getitem__, plain[i]), int(lm._END)]] and ends.tolist() == np.cumsum([len(plain[i]) + 1 for i in rows]).tolist()
+            ids, at = encoder.encode(p.column(1))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [encoder.tokenizer.encode(texts[i] or "", add_special_tokens=False).ids for i in rows]

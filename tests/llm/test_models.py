@@ -144,6 +144,13 @@ def test_lm_step_raises_the_likelihood():
     assert at() > before + 1
 
 
+def test_lm_sums_of_stretches():
+    rng = np.random.default_rng(5)
+    sizes = rng.choice([1, 2, 3, 7, 8, 9, 30], 200)
+    rows, starts = rng.normal(size=(sizes.sum(), 5)).astype(np.float32), np.cumsum(sizes) - sizes
+    assert np.allclose(lm.sums_of(rows, starts, sizes), np.add.reduceat(rows, starts, axis=0), atol=1e-4)
+
+
 def test_lm_tokens_and_histories():
     texts = ["A b  a\n", None, "", "É b", "\u00a0x \x1f y\t"]
     tokens, ends = lm._Words().of(pa.array(texts))
