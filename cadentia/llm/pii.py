@@ -142,9 +142,9 @@ def _words(text: Column, spans: Column) -> Column:
     return bound(_terms(text), told)
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """Rows (doc: the whole row, text, base: its base spans, near: for each the entity and the WORDS terms on each side outside of spans)."""
-    rows = whole_rows(docs).withColumn("text", F.coalesce("doc.text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows (doc, text) with base, the base spans, and near, for each of them the entity and the WORDS terms on each side outside of spans."""
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
     none = F.array().cast("array<struct<start:int,end:int,term:string,inside:int>>")
     rows = rows.withColumn("words", F.when(F.size("base") > 0, _words(F.col("text"), F.col("base"))).otherwise(none))
 
@@ -190,18 +190,18 @@ def disclosing(docs: DataFrame, marked: DataFrame, least_contexts: int, generali
     return together.join(counts, "term").withColumn("disclosure", told).where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
 
-def spans_of(docs: DataFrame, least_contexts: int = 3, generalise: float = 0.8, remove: float = 0.95, text: bool = False) -> DataFrame:
-    """Rows (doc, spans): the whole row as a struct, and an array of (start, kind, end, removed), sorted, kinds as ranks in KINDS.
+def spans_of(rows: DataFrame, least_contexts: int = 3, generalise: float = 0.8, remove: float = 0.95, text: bool = False) -> DataFrame:
+    """Rows (doc, text) as (doc, spans): doc as it is, any struct, and an array of (start, kind, end, removed), sorted, kinds as ranks in KINDS.
 
     Base spans and disclosing terms; with ``text`` also sanitised, the text with its
     spans masked (null stays null). A null or empty text has no spans; whole texts count;
     overlapping spans are all listed and masked as one; repeated rows give repeated rows; an empty table
-    gives none; ``docs`` may have any columns, also such as are named here.
+    gives none.
     """
-    marked = _marked(docs)
-    # only rows with spans are kept whole; without ``text`` the others' columns are settled too, as their texts aren't among them
+    marked = _marked(rows)
+    # only rows with spans are settled with their texts; those without are read again where their texts are wanted
     slim = settle((marked.where(F.size("base") > 0) if text else marked).withColumn("row", F.monotonically_increasing_id()).withColumn("text", F.when(F.size("base") > 0, F.col("text"))))
-    told = disclosing(docs, slim, least_contexts, generalise)
+    told = settle(disclosing(rows, slim, least_contexts, generalise))
     # what discloses an entity is masked wherever it stands in the texts that hold the entity
     held = slim.select("row", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
     if told.count() <= BROADCAST_TERMS:
@@ -220,21 +220,20 @@ def spans_of(docs: DataFrame, least_contexts: int = 3, generalise: float = 0.8,
     found = slim.where(F.size("base") > 0).join(hits, "row", "left").withColumn("spans", F.array_sort(F.concat(plain, F.coalesce("terms", empty))))
     if not text:
         return found.select("doc", "spans").unionByName(slim.where(F.size("base") == 0).select("doc", empty.alias("spans")))
-    rest = whole_rows(docs).where(F.size(base_spans(F.coalesce("doc.text", F.lit("")))) == 0)
+    rest = rows.where(F.size(base_spans(F.coalesce("text", F.lit("")))) == 0)
     found = found.select("doc", "spans", masked(F.col("text"), F.col("spans")).alias("sanitised"))
-    return found.unionByName(rest.select("doc", empty.alias("spans"), F.col("doc.text").alias("sanitised")))
+    return found.unionByName(rest.select("doc", empty.alias("spans"), F.col("text").alias("sanitised")))
 
 
 def find(docs: DataFrame, keep: list[str], least_contexts: int = 3, generalise: float = 0.8, remove: float = 0.95, text: bool = False) -> DataFrame:
     """The columns ``keep`` with spans, and sanitised with ``text``, as spans_of has them; ``keep`` names neither."""
-    read = docs.select(*dict.fromkeys([*keep, "text"]))
-    found = spans_of(read, least_contexts, generalise, remove, text)
+    found = spans_of(docs.select(F.struct(*keep).alias("doc"), "text"), least_contexts, generalise, remove, text)
     return found.select(*(F.col("doc").getField(c).alias(c) for c in keep), "spans", *(["sanitised"] if text else []))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """docs with texts masked, all other columns as they are."""
-    found = spans_of(docs, text=True, **options)
+    found = spans_of(whole_rows(docs).withColumn("text", F.col("doc.text")), text=True, **options)
     return found.select(*(F.col("sanitised").alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 

@@ -119,8 +119,8 @@ def test_disclosing_terms_by_counting(spark):
         texts.append(" ".join(words))
     texts += texts[:40] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marked = pii._marked(docs).cache()
-    found = {(r.entity[2:], r.term): r.disclosure for r in pii.disclosing(docs, marked, 3, 0.5).collect()}
+    rows = docs.select(F.struct("doc_id").alias("doc"), "text")
+    found = {(r.entity[2:], r.term): r.disclosure for r in pii.disclosing(rows, pii._marked(rows).cache(), 3, 0.5).collect()}
     wanted = plain_disclosing(texts, 3, 0.5)
     assert wanted and found.keys() == wanted.keys()
     assert all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
