@@ -194,7 +194,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["node", "items"])
 
     held = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted, "key").select("node", "text")
-    held = held.mapInArrow(tidied(sets), "node long, items binary").dropDuplicates(["node"])
+    held = settle(held.mapInArrow(tidied(sets), "node long, items binary").dropDuplicates(["node"]))  # both sides read it
 
     def confirm(batches):
         for batch in batches:
