@@ -23,29 +23,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from cadentia.llm.common import settle, slices, texts, tidied
+from cadentia.llm.common import settle, slices, split_words, tidied
 
-#: Words, and word stems, that a worker keeps encoded.
-MEMO_WORDS = 150_000
+#: Word stems that a worker keeps encoded.
+MEMO_WORDS = 250_000
 #: ASCII signs that end a stem: the tokenizer splits letters from signs anyway.
-SIGNS = b".,;:!?)]}%$#&*|\""
+SIGNS = ".,;:!?)]}%$#&*|\""
 #: Bands of lengths end at these parts of the capacity; supersteps in a band at most (what is left then opens sequences).
-BANDS, SWEEPS = (2, 4, 8, 16, 64), 4
+BANDS, SWEEPS = (2, 4, 8, 32), 4
 #: Pieces of one class that are ranked together, about.
 GROUP_ROWS = 1000
 
 
+TAIL = "(?P<tail>[" + "".join(f"\\{c}" for c in SIGNS) + "]+)$"
+#: Letters outside ASCII that stay one letter when normalised; others are looked at one by one.
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+$"
+
+
 def _stays_letters(text: str) -> bool:
     """Whether a text of European letters is letters only, also as the tokenizer normalises it (a dotted capital I isn't)."""
-    return max(text) < "\u0530" and text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+    return bool(text) and max(text) < "\u0530" and text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
 
 
 class _Encoder:
-    """Ids of white-space-free chunks as little-endian bytes, memoised.
+    """Ids of texts, by their white-space-free chunks: each distinct one of a batch is looked up once.
 
     Chunks of letters and closing signs are cut in two, and stems not yet known
     are encoded many at a time: each is one word to the tokenizer, and a word's last token
-    is marked in its vocabulary. Where the marks don't tally, chunks are encoded singly.
+    is marked in its vocabulary. Where the marks don't tally, and for all other chunks, the tokenizer reads them singly.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,49 +59,62 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {b"": b""}
+        self.memo: dict[str, bytes] = {}
 
-    def _single(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _singly(self, chunks: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return {chunk: np.array(x.ids, "<u4").tobytes() for chunk, x in zip(chunks, found, strict=True)}
 
-    def _learn_stems(self, stems: list[bytes]) -> None:
+    def _learn_stems(self, stems: list[str]) -> None:
         parts = [stems[at : at + 500] for at in range(0, len(stems), 500)]
-        joined = self.tokenizer.encode_batch_fast([b" ".join(part).decode() for part in parts], add_special_tokens=False)
+        joined = self.tokenizer.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)
         for part, found in zip(parts, joined, strict=True):
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, at = ids.tobytes(), 0
                 for stem, end in zip(part, (4 * ends).tolist(), strict=True):
-                    self.stems[stem] = raw[at:end]
+                    self.memo[stem] = raw[at:end]
                     at = end
             else:
-                self.stems |= {stem: self._single(stem) for stem in part}
+                self.memo |= self._singly(part)
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with one more place for the end; null as empty."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        if len(self.stems) > MEMO_WORDS:
-            self.stems = {b"": b""}
-        missing = {word for words in texts for word in words}.difference(self.memo)
-        cut, odd = {}, []
-        for word in missing:
-            stem = word.rstrip(SIGNS)
-            if stem.isalpha():
-                cut[word] = stem.lower(), word[len(stem) :]
-            elif stem and not stem.isascii() and _stays_letters(stem.decode()):
-                cut[word] = stem, word[len(stem) :]
-            else:
-                odd.append(word)
-        self._learn_stems([x for x in {stem for stem, _ in cut.values()} if x not in self.stems])
-        for tail in {tail for _, tail in cut.values()}.difference(self.stems):
-            self.stems[tail] = self._single(tail)
-        for word, (stem, tail) in cut.items():
-            self.memo[word] = self.stems[stem] + self.stems[tail]
-        for word in odd:
-            self.memo[word] = self._single(word)
-        return [b"".join(map(self.memo.__getitem__, words)) for words in texts]
+        chunks = split_words(texts)
+        coded = chunks.flatten().dictionary_encode()
+        words = coded.dictionary
+        stems = pc.ascii_rtrim(words, characters=SIGNS)
+        ascii_ = pc.string_is_ascii(stems)
+        stems = pc.if_else(ascii_, pc.ascii_lower(stems), stems)
+        cut = pc.or_(pc.and_(ascii_, pc.ascii_is_alpha(stems)), pc.match_substring_regex(stems, LATIN)).to_numpy(zero_copy_only=False).copy()
+        for i in np.flatnonzero(~cut & ~ascii_.to_numpy(zero_copy_only=False)):
+            cut[i] = _stays_letters(stems[i].as_py())
+        mask = pa.array(cut)
+        heads = pc.if_else(mask, stems, words).dictionary_encode()
+        known = heads.dictionary.to_numpy(zero_copy_only=False).tolist()
+        is_stem = np.zeros(len(known), bool)
+        is_stem[heads.indices.to_numpy()[cut]] = True
+        signed = np.flatnonzero(cut & (pc.binary_length(words).to_numpy() > pc.binary_length(stems).to_numpy()))
+        tails = pc.extract_regex(words.take(pa.array(signed)), TAIL).field(0).dictionary_encode()
+        signs = tails.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn_stems([x for x, stem in zip(known, is_stem.tolist(), strict=True) if stem and x not in self.memo])
+        self.memo |= self._singly([x for x in [*known, *signs, ""] if x not in self.memo])
+        raw = [self.memo[x] for x in (*known, *signs, "")]
+        pool, n_ids = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        # every token as two parts: stem and closing signs, or itself and nothing
+        parts = np.full((len(words), 2), len(raw) - 1)
+        parts[:, 0] = heads.indices.to_numpy()
+        parts[signed, 1] = len(known) + tails.indices.to_numpy()
+        parts = parts[coded.indices.to_numpy()].ravel()
+        n_each = n_ids[parts]
+        ends = np.cumsum(n_each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool[np.arange(total) + np.repeat((np.cumsum(n_ids) - n_ids)[parts] - (ends - n_each), n_each)]
+        borders = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        return ids, np.append(0, ends[1::2])[borders]
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -118,15 +136,15 @@ def tokenize_pieces(docs: DataFrame, path: str, length: int, end_id: int) -> Dat
     """
 
     def cut(batches):
-        encoder, end = _encoder(path), int(end_id).to_bytes(4, "little")
+        encoder, end = _encoder(path), np.array([end_id], "<u4")
         for batch in slices(batches):
-            encoded = encoder.encode([(text or b"").split() for text in texts(batch)])
+            ids, at = encoder.encode(batch.column(1))
             rows = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += end
-                for piece, start in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[start : start + 4 * length]
-                    for column, value in zip(rows, (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for doc_id, first, last in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for piece, start in enumerate(range(first, last + 1, length)):
+                    part, closes = ids[start : min(start + length, last)], last < start + length
+                    crc = zlib.crc32(part)
+                    for column, value in zip(rows, (doc_id, piece, start - first, len(part) + closes, zlib.crc32(end, crc) if closes else crc), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows[0], batch.schema.field(0).type), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])],
@@ -137,6 +155,14 @@ def tokenize_pieces(docs: DataFrame, path: str, length: int, end_id: int) -> Dat
     return docs.select("doc_id", "text").mapInArrow(tidied(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def _joined(tables: list[DataFrame]) -> DataFrame:
+    """The rows of several settled tables, in no more partitions than a shuffle has: unions of unions would pile up small ones."""
+    whole = tables[0]
+    for more in tables[1:]:
+        whole = whole.unionByName(more)
+    return whole.coalesce(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _sweep(pieces: DataFrame, gaps: DataFrame, free: Column, known: dict[int, Row]) -> tuple[DataFrame, DataFrame]:
     """One superstep: (item, row, length, sequence_id) of matched pieces, and the pieces that remain.
 
@@ -193,14 +219,17 @@ def _sweep(pieces: DataFrame, gaps: DataFrame, free: Column, known: dict[int, Ro
     for r in sorted(left.collect(), key=lambda r: r.part):  # a row for each range
         levels.append((r.part, depth, max(0, depth - r.pieces)))
         depth = levels[-1][2] + r.gaps
+    columns, late = ["item", "row", "length", "sequence_id"], pieces.where(F.col("length") > slots_of.high)
+    matched = swept.where("nth is null").select(*columns)
+    if not any(depth for _, depth, _ in levels):  # nothing is open where a range begins
+        return matched, _joined([swept.where("nth is not null and item is not null").select("item", "row", "length"), late])
     levels = F.broadcast(spark.createDataFrame(levels, "part long, depth long, floor long"))
     loose = swept.where("nth is not null").join(levels, "part").withColumn("level", F.when(F.col("item").isNull(), F.col("floor") + F.col("nth") + 1).otherwise(F.col("depth") - F.col("nth")))
     # a level holds two brackets of a range at most, and they alternate
     by_level = Window.partitionBy("level").orderBy("part", F.col("item").isNull())
-    crossed = settle(loose.where("level > 0").withColumn("sequence_id", F.lag("sequence_id").over(by_level)).where("item is not null").select("item", "row", "length", "sequence_id"))
-    matched = swept.where("nth is null").select(*crossed.columns).unionByName(crossed.where("sequence_id is not null"))
-    again = crossed.where("sequence_id is null").unionByName(loose.where("level <= 0 and item is not null").select(*crossed.columns)).drop("sequence_id")
-    return matched, again.unionByName(pieces.where(F.col("length") > slots_of.high))
+    crossed = settle(loose.where("level > 0").withColumn("sequence_id", F.lag("sequence_id").over(by_level)).where("item is not null").select(*columns))
+    again = crossed.where("sequence_id is null").unionByName(loose.where("level <= 0 and item is not null").select(*columns)).drop("sequence_id")
+    return _joined([matched, crossed.where("sequence_id is not null")]), _joined([again, late])
 
 
 def _opened(pieces: DataFrame, capacity: int, step: int) -> tuple[DataFrame, DataFrame, bool]:
@@ -259,9 +288,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     free = F.lit(capacity) - F.col("used")
     placed, gaps, tails, high, step = [], None, None, capacity, 0
 
-    def settled(gaps, more):
+    def shrunk(gaps, more):
         more = more.select("sequence_id", F.col("length").alias("used"))
-        return settle((more if gaps is None else gaps.unionByName(more)).groupBy("sequence_id").agg(F.sum("used").alias("used")).where(free > 0))
+        return _joined([more] if gaps is None else [gaps, more]).groupBy("sequence_id").agg(F.sum("used").alias("used")).where(free > 0)
 
     for low in (*(capacity // d for d in BANDS), 0):
         waiting = rows.where((F.col("length") > low) & (F.col("length") <= high))
@@ -272,21 +301,18 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 break
             matched, waiting = _sweep(waiting, gaps, free, known)
             placed.append(matched)
-            gaps = settled(gaps, matched)
+            gaps = shrunk(gaps, matched)
         opened, left, _ = _opened(waiting, capacity, step := step + 1)
         placed.append(opened)
-        gaps = settled(gaps, opened)
-        tails, high = left if tails is None else tails.unionByName(left), low
+        gaps = settle(shrunk(gaps, opened))
+        tails, high = left if tails is None else _joined([tails, left]), low
     bounded = False
     while not bounded:
         opened, tails, bounded = _opened(tails, capacity, step := step + 1)
         placed.append(opened)
     placed.append(_fitted(tails, capacity, step := step + 1))
-    whole = placed[0]
-    for more in placed[1:]:
-        whole = whole.unionByName(more)
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "row").rowsBetween(Window.unboundedPreceding, -1)
-    return whole.select("item", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")).select("item.*", "sequence_id", "offset")
+    return _joined(placed).select("item", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")).select("item.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1) -> DataFrame:
