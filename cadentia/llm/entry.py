@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import langid, licenses, lm, mixing, neardup, oracles, packing, pii, quality, search, urls
+from cadentia.llm import langid, licenses, lm, mixing, neardup, oracles, packing, phrases, pii, quality, search, spelling, toxicity, urls
 from cadentia.llm.common import documents, held_out
 
 #: The rules that op2 applies, (verdict, host, path).
@@ -71,6 +71,20 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", shown.alias("draws"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~out)
+    return toxicity.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": out})
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), threshold=100, top=2000)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.corpus_words(documents(spark, sf_dir), slips=199))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_url_filter": op2_url_filter,
@@ -82,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_source_mixing": op10_source_mixing,
+    "op11_toxicity": op11_toxicity,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES

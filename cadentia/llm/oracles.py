@@ -71,9 +71,49 @@ FROM w LEFT JOIN base USING (id) LEFT JOIN found USING (id)
 """
 
 
+PHRASE_MINING = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\x0A-\x0D]+')), '[^\x20\x09]+') AS ws FROM documents),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY 1),
+grams AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM p, range(1, 6) AS sizes(size))),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+cuts AS (SELECT lang, phrase, a, ws, unnest(range(1, size)) AS k FROM c),
+scored AS (SELECT lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM cuts
+  JOIN totals USING (lang) JOIN f x USING (lang) JOIN f y USING (lang) WHERE x.phrase = array_to_string(ws[:k], ' ') AND y.phrase = array_to_string(ws[k + 1 :], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covers AS (SELECT lang, phrase, max(a) AS cover FROM (SELECT lang, a, unnest([array_to_string(ws[:size - 1], ' '), array_to_string(ws[2:], ' ')]) AS phrase FROM c WHERE size > 2) GROUP BY 1, 2),
+left_over AS (SELECT best.* FROM best LEFT JOIN covers USING (lang, phrase) WHERE cover IS NULL OR cover < a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""
+
+# crc32 is linear over xor: a byte's share depends on the byte and on how many bytes follow it
+SPELLING_VARIANTS = """
+WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY 1, 2),
+keys AS (SELECT doc_id, run, c, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS hexed FROM runs),
+steps(b, k, v) AS (SELECT b, 0, b FROM range(256) AS bytes(b) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+first AS (SELECT b, v FROM steps WHERE k = 8),
+shares(b, after, v) AS (SELECT b, 0, v FROM first UNION ALL SELECT -1, -1, 4294967295 UNION ALL
+  SELECT s.b, s.after + 1, xor(s.v >> 8, first.v) FROM shares s JOIN first ON first.b = s.v & 255 WHERE s.after < (SELECT max(length(hexed)) // 2 FROM keys)),
+parts AS (SELECT doc_id, run, length(hexed) // 2 AS n, unnest(range(0, length(hexed) // 2)) AS i, hexed FROM keys),
+sums AS (SELECT doc_id, run, any_value(n) AS n, bit_xor(v) AS v FROM parts JOIN shares ON b = CAST('0x' || substr(hexed, 2 * i + 1, 2) AS BIGINT) AND after = n - 1 - i GROUP BY 1, 2),
+hashed AS (SELECT doc_id, run, xor(xor(sums.v, z.v), 4294967295) AS h FROM sums JOIN shares z ON z.b = -1 AND z.after = n - 1),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM runs LEFT JOIN hashed USING (doc_id, run)),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM words WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+holes AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS hole FROM (SELECT word, unnest(range(0, length(word))) AS i FROM v)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM holes a JOIN holes b USING (i, hole) WHERE a.word <> b.word UNION SELECT word, hole FROM holes JOIN v USING (word) WHERE hole IN (SELECT word FROM v) UNION SELECT hole, word FROM holes WHERE hole IN (SELECT word FROM v)),
+near AS (SELECT a AS word, b AS near, v.n AS near_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS k FROM pairs JOIN v ON v.word = b),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN (SELECT * FROM near WHERE k = 1) USING (word)),
+walk(word, place, depth) AS (SELECT word, word, 0 FROM v UNION ALL SELECT walk.word, form, depth + 1 FROM walk JOIN formed ON formed.word = walk.place WHERE form IS NOT NULL),
+roots AS (SELECT word, arg_max(place, depth) AS root FROM walk GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
 ORACLES = {
     "op1_near_duplicates": NEAR_DUPLICATES,
     "op2_url_filter": URL_FILTER,
     "op3_exact_search": EXACT_SEARCH,
     "op4_license_scan": _license_scan(),
+    "op12_phrase_mining": PHRASE_MINING,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }
