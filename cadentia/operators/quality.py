@@ -134,11 +134,20 @@ def reindexed(points: DataFrame) -> DataFrame:
 
 
 def sequence_checks(points: DataFrame, transitions: int = 5, laps: int = 500, back: int = 300) -> DataFrame:
-    """Lap changes, lap span and the largest step back in time, and whether they are acceptable."""
+    """Sport transitions, laps and steps back in time of each workout (workout_id, sport, sport_transition, lap_number, ts_s), and whether they are acceptable.
+
+    Transitions are bounded in triathlons alone; lap 0 is refused, as is too wide a span of laps; a step back may be ``back`` seconds long.
+    A workout without lap numbers passes their check (lap_span null).
+    """
     w = Window.partitionBy("workout_id").orderBy("seq")
-    x = points.select("workout_id", "lap_number", (F.lag("ts_s").over(w) - F.col("ts_s")).alias("back"), (F.col("lap_number") != F.lag("lap_number").over(w)).alias("moved"))
-    g = x.groupBy("workout_id").agg(F.count_if("moved").alias("transitions"), (F.max("lap_number") - F.min("lap_number")).alias("lap_span"), F.greatest(F.max("back"), F.lit(0)).alias("largest_back"))
-    return g.withColumn("ok", (F.col("transitions") <= transitions) & (F.col("lap_span") <= laps) & (F.col("largest_back") <= back))
+    x = points.select("workout_id", "sport", "lap_number", "sport_transition", (F.lag("ts_s").over(w) - F.col("ts_s")).alias("back"))
+    g = x.groupBy("workout_id").agg(
+        F.count_if("sport_transition").alias("transitions"), F.min("lap_number").alias("first_lap"), (F.max("lap_number") - F.min("lap_number")).alias("lap_span"),
+        F.greatest(F.max("back"), F.lit(0)).alias("largest_back"), F.coalesce(F.bool_or(F.col("sport") == "Triathlon"), F.lit(False)).alias("triathlon"),
+    )
+    laps_ok = F.coalesce((F.col("first_lap") != 0) & (F.col("lap_span") <= laps), F.lit(True))
+    ok = (~F.col("triathlon") | (F.col("transitions") <= transitions)) & laps_ok & (F.col("largest_back") <= back)
+    return g.select("workout_id", "transitions", "lap_span", "largest_back", ok.alias("ok"))
 
 
 def elevation_outliers(points: DataFrame) -> DataFrame:

@@ -76,7 +76,6 @@ QUERIES = {
     "clean_for_sport": points_query(lambda p: quality.clean_for_sport(sporty(p)).groupBy("sport").agg(F.count("speed").alias("speed"), F.count("stroke_count").alias("strokes"), F.count("stride_length").alias("stride"))),
     "sorted_distinct": points_query(lambda p: quality.sorted_distinct(jagged(p)).groupBy("workout_id").agg(F.count("*").alias("n"), F.sum(c("seq") * c("event_id")).alias("check"))),
     "reindexed": points_query(lambda p: quality.reindexed(jagged(p)).groupBy("workout_id").agg(F.sum("ts_s").alias("t"), F.max("ts_s").alias("last"))),
-    "sequence_checks": points_query(lambda p: quality.sequence_checks(jagged(p))),
     "elevation_outliers": points_query(lambda p: quality.elevation_outliers(p.withColumn("elevation", F.when(c("event_id") % 29 == 0, 5000).otherwise(c("elevation")))).groupBy("workout_id").agg(F.count("elevation").alias("n"), F.max("elevation").alias("top"))),
     "store_issues": workouts_query(lambda w: quality.store_issues(w.withColumn("tss", c("tss") * 10 - 100), "2000-01-01")),
     "series_ok": points_query(lambda p: quality.series_ok(jagged(p))),
@@ -186,7 +185,6 @@ ORACLES = {
     "clean_for_sport": sql("SELECT sport, count(*) FILTER (CASE sport WHEN 'Running' THEN speed BETWEEN 1 AND 15 WHEN 'Swimming' THEN speed BETWEEN 0.5 AND 3 WHEN 'Cycling' THEN speed BETWEEN 2 AND 30 WHEN 'Triathlon' THEN speed BETWEEN 2 AND 3 ELSE speed BETWEEN 0 AND 20 END) AS speed, count(*) FILTER (sport = 'Swimming') AS strokes, count(*) FILTER (sport = 'Running') AS stride FROM sp GROUP BY 1", POINTS, SPORTY),
     "sorted_distinct": sql(f"SELECT workout_id, count(*) AS n, {i8('sum(s * event_id)', 'check')} FROM (SELECT workout_id, event_id, row_number() OVER (PARTITION BY workout_id ORDER BY ts_s) - 1 AS s FROM (SELECT *, row_number() OVER (PARTITION BY workout_id, ts_s ORDER BY seq) AS k FROM jag) WHERE k = 1) GROUP BY 1", POINTS, JAG).replace('AS check', 'AS "check"'),
     "reindexed": sql(f"SELECT workout_id, {i8('sum(t)', 't')}, {i8('max(t)', 'last')} FROM (SELECT workout_id, CASE WHEN bool_or(b) OVER (PARTITION BY workout_id) THEN seq ELSE ts_s END AS t FROM (SELECT workout_id, seq, ts_s, coalesce(ts_s <= lag(ts_s) OVER (PARTITION BY workout_id ORDER BY seq), false) AS b FROM jag)) GROUP BY 1", POINTS, JAG),
-    "sequence_checks": sql(f"SELECT *, transitions <= 5 AND lap_span <= 500 AND largest_back <= 300 AS ok FROM (SELECT workout_id, count(*) FILTER (m) AS transitions, {i8('max(lap_number) - min(lap_number)', 'lap_span')}, {i8('greatest(max(b), 0)', 'largest_back')} FROM (SELECT workout_id, lap_number, lag(ts_s) OVER w - ts_s AS b, lap_number <> lag(lap_number) OVER w AS m FROM jag WINDOW w AS (PARTITION BY workout_id ORDER BY seq)) GROUP BY 1)", POINTS, JAG),
     "elevation_outliers": sql(f"SELECT workout_id, count(*) FILTER (abs(e - med) <= 5 * mad) AS n, {i8('max(e) FILTER (abs(e - med) <= 5 * mad)', 'top')} FROM ep JOIN md USING (workout_id) LEFT JOIN (SELECT workout_id, avg(abs(e - med)) AS mad FROM ep JOIN md USING (workout_id) GROUP BY 1) USING (workout_id) GROUP BY 1", POINTS, "ep AS (SELECT workout_id, CASE WHEN event_id % 29 = 0 THEN 5000 ELSE elevation END AS e FROM points)", "md AS (SELECT workout_id, list_sort(list(e) FILTER (e IS NOT NULL))[count(e) // 2 + 1] AS med FROM ep GROUP BY 1)"),
     "store_issues": sql("SELECT count(*) FILTER (duration_seconds = 0) AS zero_duration, count(*) FILTER (tss * 10 - 100 < 0 OR total_distance < 0) AS negative, count(*) FILTER (date > '2000-01-01') AS future, count(*) FILTER (tss * 10 - 100 > 1000) AS extreme_tss, count(*) AS n FROM workouts", WORKOUTS),
     "series_ok": sql("SELECT workout_id, coalesce(bool_and(t), true) AS time_ok, coalesce(bool_and(heart_rate BETWEEN 30 AND 220), true) AS hr_ok, coalesce(bool_and(power <= 2000), true) AS power_ok, coalesce(bool_and(elevation BETWEEN -500 AND 9000), true) AS elevation_ok FROM (SELECT *, ts_s >= lag(ts_s) OVER (PARTITION BY workout_id ORDER BY seq) AS t FROM jag) GROUP BY 1", POINTS, JAG),

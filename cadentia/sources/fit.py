@@ -9,6 +9,7 @@ into rows, once a file; what the messages mean (samples apart) are DataFrame exp
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadentia.operators.admin import valid_physiology
+from cadentia.operators.physiology import claim_in_order
 from cadentia.sources.files import converted, metric_kind
+from cadentia.sources.sessions import EPOCH, OTHER_SPORT, SPORTS
 
 #: Base types by number: struct code and the value that means none.
 BASE = {
@@ -37,10 +40,6 @@ FIELDS = {
     2: ("elevation", 5, 500), 3: ("heart_rate", 1, 0), 4: ("cadence", 1, 0), 5: ("distance", 100, 0), 6: ("speed", 1000, 0), 7: ("power", 1, 0), 30: ("balance", 1, 0),
     39: ("vertical_oscillation", 10, 0), 41: ("ground_contact_time", 10, 0), 73: ("speed", 1000, 0), 78: ("elevation", 5, 500), 85: ("stride_length", 10_000, 0),
 }
-#: Sports by number.
-SPORTS = {1: "Running", 2: "Cycling", 5: "Swimming", 15: "Rowing", 18: "Triathlon"}
-#: Seconds between the epochs of FIT and Unix.
-EPOCH = 631_065_600
 CHANNELS = ["elevation", "heart_rate", "cadence", "distance", "speed", "power", "balance", "vertical_oscillation", "ground_contact_time", "stride_length"]
 
 
@@ -122,14 +121,19 @@ def messages(data: bytes) -> Iterator[Message]:
 
 
 def samples(path: str, data: bytes) -> dict[str, list]:
-    """Columns of a file's records, with the lap that each falls in and the session's sport."""
-    out: dict[str, list] = {c: [] for c in ("workout_id", "seq", "at", "lap_number", *CHANNELS)}
-    lap, sport = 1, "CrossTraining"
+    """Columns of a file's timed records, with lap, session, sport and sport change as sessions.samples has them for messages."""
+    out: dict[str, list] = {c: [] for c in ("workout_id", "seq", "at", "lap_number", "sport_transition", *CHANNELS)}
+    lap, lap_sport, found = 1, None, []
     for number, values, _, _ in messages(data):
         if number == LAP:
-            lap += 1
+            lap = int(values[254]) + 1 if 254 in values else lap
+            if 25 in values:
+                sport = SPORTS.get(int(values[25]), OTHER_SPORT)
+                if lap_sport not in (None, sport) and out["seq"]:
+                    out["sport_transition"][-1] = True
+                lap_sport = sport
         elif number == SESSION:
-            sport = SPORTS.get(int(values.get(5, 0)), "CrossTraining")
+            found.append((int(values[2]) + EPOCH if 2 in values else None, SPORTS.get(int(values[5]), OTHER_SPORT) if 5 in values else OTHER_SPORT))
         elif number == RECORD and 253 in values:
             row = dict.fromkeys(CHANNELS)
             for field, value in values.items():
@@ -142,16 +146,20 @@ def samples(path: str, data: bytes) -> dict[str, list]:
             out["seq"].append(len(out["seq"]))
             out["at"].append(int(values[253]) + EPOCH)
             out["lap_number"].append(lap)
-    out["sport"] = [sport] * len(out["seq"])
-    first = min(out["at"], default=0)
-    out["ts_s"] = [t - first for t in out["at"]]
+            out["sport_transition"].append(False)
+    begin = found[0][0] if found and found[0][0] is not None else next(iter(out["at"]), 0)
+    order = sorted(found, key=lambda x: (x[0] is not None, x[0] or 0)) or [(None, OTHER_SPORT)]
+    starts = [-1 if x is None else x for x, _ in order]
+    out["session"] = [max(bisect_right(starts, t), 1) for t in out["at"]]
+    out["sport"] = [order[i - 1][1] for i in out["session"]]
+    out["ts_s"] = [max(t - begin, 0) for t in out["at"]]
     return out
 
 
 def read_fit(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of all FIT files at a path: workout_id (the file), seq, ts_s from its first sample, sport, lap_number and channels; unreadable files give none."""
+    """Samples of all FIT files at a path: workout_id (the file), seq, ts_s from its first session's start, session, sport, lap_number, sport_transition and channels; unreadable files give none."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    kinds = {"workout_id": pa.string(), "seq": pa.int32(), "at": pa.int64(), "lap_number": pa.int32(), **{c: pa.float64() for c in CHANNELS}, "sport": pa.string(), "ts_s": pa.int32()}
+    kinds = {"workout_id": pa.string(), "seq": pa.int32(), "at": pa.int64(), "lap_number": pa.int32(), "sport_transition": pa.bool_(), **{c: pa.float64() for c in CHANNELS}, "session": pa.int32(), "sport": pa.string(), "ts_s": pa.int32()}
 
     def decode(batches):
         for batch in batches:
@@ -159,7 +167,7 @@ def read_fit(spark: SparkSession, path: str) -> DataFrame:
                 found = samples(name, data)
                 yield from pa.Table.from_arrays([pa.array(found[c], kind) for c, kind in kinds.items()], names=list(kinds)).to_batches(BATCH)
 
-    schema = "workout_id string, seq int, at long, lap_number int, " + ", ".join(f"{c} double" for c in CHANNELS) + ", sport string, ts_s int"
+    schema = "workout_id string, seq int, at long, lap_number int, sport_transition boolean, " + ", ".join(f"{c} double" for c in CHANNELS) + ", session int, sport string, ts_s int"
     whole = {c: F.col(c).cast("int") for c in ("elevation", "heart_rate", "cadence", "power", "balance", "ground_contact_time", "vertical_oscillation")}
     return files.mapInArrow(decode, schema).withColumns(whole)
 
@@ -246,18 +254,25 @@ def body_battery(found: DataFrame, level: int = 0, local: int = 1) -> DataFrame:
 
 
 def physiology(found: DataFrame, resting_hr: int = 9, recovery: int = 10, respiration: int = 0, stress: int = 0, stress_time: int = 1, local: int = 0) -> dict[str, DataFrame]:
-    """Valid rows of three kinds: ``monitoring`` (resting_hr, recovery_minutes), ``respiration`` and ``stress``, each (file, ts, value columns); rows out of range are dropped. merge_nearest joins them."""
+    """Valid rows of three kinds: ``monitoring`` (resting_hr, recovery_minutes), ``respiration`` and ``stress``, each (file, n, ts, value columns); rows out of range are dropped. merged_physiology joins them."""
     null = F.lit(None).cast("double")
-    monitoring = found.where(F.col("number") == MONITORING_INFO).select("file", _time(local).alias("ts"), _at_most(_field(resting_hr), 255).alias("resting_hr"), _at_most(_field(recovery), 65_535).alias("recovery_minutes"))
+    monitoring = found.where(F.col("number") == MONITORING_INFO).select("file", "n", _time(local).alias("ts"), _at_most(_field(resting_hr), 255).alias("resting_hr"), _at_most(_field(recovery), 65_535).alias("recovery_minutes"))
     monitoring = monitoring.where("ts is not null and coalesce(resting_hr, recovery_minutes) is not null").where(valid_physiology(F.col("resting_hr"), null, null, null))
-    breaths = found.where(F.col("number") == RESPIRATION).select("file", _time().alias("ts"), _field(respiration).alias("respiration"))
+    breaths = found.where(F.col("number") == RESPIRATION).select("file", "n", _time().alias("ts"), _field(respiration).alias("respiration"))
     breaths = breaths.where("ts is not null and respiration is not null").where(valid_physiology(null, F.col("respiration"), null, null))
     score = F.when(_field(stress) < 0, 0).otherwise(_at_most(_field(stress), 100))
     asked = F.timestamp_seconds(F.coalesce(_field(stress_time).cast("long") + EPOCH, F.col("at")))
-    tense = found.where(F.col("number") == STRESS).select("file", asked.alias("ts"), score.alias("stress")).where("ts is not null and stress is not null")
+    tense = found.where(F.col("number") == STRESS).select("file", "n", asked.alias("ts"), score.alias("stress")).where("ts is not null and stress is not null")
     return {"monitoring": monitoring, "respiration": breaths, "stress": tense}
 
 
+def merged_physiology(found: DataFrame) -> DataFrame:
+    """(file, n, ts, resting_hr, recovery_minutes, respiration, stress): monitoring rows with the respiration less than a minute and the stress less than five away; readings without such a row are rows of their own."""
+    kinds = {k: rows.withColumn("ts", F.unix_timestamp("ts")) for k, rows in physiology(found).items()}
+    out = claim_in_order(kinds["monitoring"], [(kinds["respiration"], "respiration", 60), (kinds["stress"], "stress", 300)], "file", "ts", "n")
+    return out.withColumn("ts", F.timestamp_seconds("ts"))
+
+
 def devices(found: DataFrame) -> DataFrame:
     """(file, manufacturer, product, firmware): the first file id that has both numbers, and the last software version."""
     ids = found.where((F.col("number") == FILE_ID) & _field(1).isNotNull() & _field(2).isNotNull()).groupBy("file").agg(F.min_by(F.struct(_field(1).cast("int").alias("manufacturer"), _field(2).cast("int").alias("product")), "n").alias("id"))

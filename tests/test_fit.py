@@ -22,7 +22,7 @@ def ride() -> bytes:
     record = lambda t, hr, w, d, e: bytes([0]) + struct.pack("<IBHIH", t, hr, w, d, e)
     return fit_file(
         definition(0, fit.RECORD, RECORD) + record(1000, 120, 200, 0, 3000) + record(1001, 0xFF, 0xFFFF, 500, 3005)
-        + definition(1, fit.LAP, [(253, 4, 0x86)]) + bytes([1]) + struct.pack("<I", 1001)
+        + definition(1, fit.LAP, [(253, 4, 0x86), (254, 2, 0x84)]) + bytes([1]) + struct.pack("<IH", 1001, 1)
         + definition(2, 999, [(1, 3, 0x0D)]) + bytes([2]) + b"abc"
         + bytes([0x80 | (1003 & 0x1F)]) + struct.pack("<IBHIH", 0xFFFFFFFF, 130, 210, 1000, 3010)
         + definition(3, fit.SESSION, [(5, 1, 0x00)]) + bytes([3, 2])
@@ -85,6 +85,7 @@ def test_messages_of_a_watch(spark, tmp_path):
     assert seconds(kinds["monitoring"], "ts", "resting_hr", "recovery_minutes") == [(at(3000), 50, None)]
     assert seconds(kinds["respiration"], "ts", "respiration") == [(at(3001), 14.0)]
     assert seconds(kinds["stress"].orderBy("ts"), "ts", "stress") == [(at(3010), 33), (at(3020), 0)]
+    assert seconds(fit.merged_physiology(found), "ts", "resting_hr", "respiration", "stress") == [(at(3000), 50, 14.0, 0.0)]
     uuid = "00010203-0405-0607-0809-0a0b0c0d0e0f"
     applications, fields = fit.developer_applications(found), fit.developer_fields(found)
     assert [(r.developer_index, r.uuid, r.manufacturer) for r in applications.collect()] == [(0, uuid, 7)]
