@@ -199,8 +199,11 @@ def survivors(docs: DataFrame, threshold: int, counters: int | None = None) -> t
     return bitmap.ravel(), bits
 
 
-def _counted(bitmap, bits: int):
-    """Exact counts of the n-grams that the bitmap lets through, as rows (lang, phrase, n); a language's words under a null phrase.
+_COUNTS = pa.schema([("part", pa.int64()), ("langs", pa.list_(pa.string())), ("phrases", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+
+
+def _counted(bitmap, bits: int, parts: int):
+    """Exact counts of the n-grams that the bitmap lets through, packed by hash partition; a language's words under a null phrase.
 
     A longer n-gram is looked at only where both n-grams that it is made of are let through.
     """
@@ -211,9 +214,14 @@ def _counted(bitmap, bits: int):
         held: dict[tuple, int] = {}
 
         def rows():
-            keys = list(held)
-            out = [pa.array([k[0] for k in keys], pa.string()), pa.array([None if k[1] is None else k[1].decode() for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(out, names=["lang", "phrase", "n"])
+            packed: dict[int, tuple[list, list, list]] = {}
+            for (lang, phrase), n in held.items():
+                row = packed.setdefault(xxhash.xxh64_intdigest(phrase or b"", 2) % parts, ([], [], []))
+                row[0].append(lang)
+                row[1].append(None if phrase is None else phrase.decode())
+                row[2].append(n)
+            columns = [list(packed), *([row[i] for row in packed.values()] for i in range(3))]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
         for batch in slices(batches):
             part = _Slice(batch)
@@ -245,6 +253,24 @@ def _counted(bitmap, bits: int):
     return tidied(work)
 
 
+def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts of a partition summed, as rows (lang, phrase, n); with too many phrases at once a phrase may have several rows."""
+    held: dict[tuple, int] = {}
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "n"])
+
+    for batch in batches:
+        for langs, phrases, counts in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for lang, phrase, n in zip(langs, phrases, counts, strict=True):
+                held[lang, phrase] = held.get((lang, phrase), 0) + n
+            if len(held) > 5 * PHRASES:
+                yield rows()
+                held.clear()
+    if held:
+        yield rows()
+
+
 def frequent(docs: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFrame]:
     """All n-grams of one to five words with ``threshold`` occurrences or more (lang, phrase, a), and (lang, n): a language's words.
 
@@ -253,7 +279,9 @@ def frequent(docs: DataFrame, threshold: int = 100) -> tuple[DataFrame, DataFram
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     bitmap, bits = survivors(docs, threshold)
-    counts = docs.mapInArrow(_counted(spark.sparkContext.broadcast(bitmap), bits), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    parts = max(16, 8 * len(bitmap) // COUNTERS)  # a partition's survivors are fewer than its bits
+    packed = docs.mapInArrow(_counted(spark.sparkContext.broadcast(bitmap), bits, parts), "part long, langs array<string>, phrases array<string>, counts array<bigint>")
+    counts = packed.repartition(parts, "part").mapInArrow(tidied(_merge_counts), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     counts = settle(counts.where((F.col("a") >= threshold) | F.col("phrase").isNull()))
     return counts.where("phrase IS NOT NULL"), counts.where("phrase IS NULL").select("lang", F.col("a").alias("n"))
 
