@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadentia.operators.rows import of, whole
+
 #: Default rules (sport, field, min, max, severity, action).
 RULES = [
     ("Cycling", "power", 0.0, 2000.0, "Warning", "Clip"),
@@ -120,17 +122,24 @@ def valid_workouts(workouts: DataFrame, today: str) -> DataFrame:
     return workouts.where((F.col("duration_seconds") > 0) & F.col("date").between("2000-01-01", today))
 
 
+def _numbered(carried: DataFrame, columns: list[str], name: str, value: Column) -> DataFrame:
+    """Carried rows with one of their columns replaced."""
+    return carried.select(*(value.alias(c) if c == name else of(c).alias(c) for c in columns))
+
+
 def sorted_distinct(points: DataFrame) -> DataFrame:
     """Points of each workout by time, the first of equal times, numbered anew."""
-    first = points.withColumn("_rn", F.row_number().over(Window.partitionBy("workout_id", "ts_s").orderBy("seq"))).where("_rn = 1").drop("_rn")
-    return first.withColumn("seq", F.row_number().over(Window.partitionBy("workout_id").orderBy("ts_s")) - 1)
+    twins = Window.partitionBy(of("workout_id"), of("ts_s")).orderBy(of("seq"))
+    first = whole(points).withColumn("place", F.row_number().over(twins)).where("place = 1")
+    return _numbered(first, points.columns, "seq", F.row_number().over(Window.partitionBy(of("workout_id")).orderBy(of("ts_s"))) - 1)
 
 
 def reindexed(points: DataFrame) -> DataFrame:
     """Times 0 to n-1 for workouts whose times don't grow strictly."""
-    w = Window.partitionBy("workout_id").orderBy("seq")
-    x = points.withColumn("_back", F.col("ts_s") <= F.lag("ts_s").over(w)).withColumn("_any", F.coalesce(F.bool_or("_back").over(Window.partitionBy("workout_id")), F.lit(False)))
-    return x.withColumn("ts_s", F.when(F.col("_any"), F.row_number().over(w) - 1).otherwise(F.col("ts_s"))).drop("_back", "_any")
+    by = Window.partitionBy(of("workout_id"))
+    w = by.orderBy(of("seq"))
+    x = whole(points).withColumn("back", of("ts_s") <= F.lag(of("ts_s")).over(w)).withColumn("any_back", F.coalesce(F.bool_or("back").over(by), F.lit(False)))
+    return _numbered(x, points.columns, "ts_s", F.when(F.col("any_back"), F.row_number().over(w) - 1).otherwise(of("ts_s")))
 
 
 def sequence_checks(points: DataFrame, transitions: int = 5, laps: int = 500, back: int = 300) -> DataFrame:

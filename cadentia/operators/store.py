@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadentia.operators.rows import of, whole
+
 #: What makes two stored workouts the same.
 NATURAL_KEY = ("athlete_id", "date", "duration_seconds", "sport")
 
@@ -77,9 +79,18 @@ def without_duplicates(rows: DataFrame) -> DataFrame:
     return rows.join(duplicates_to_remove(rows).select("id"), "id", "left_anti")
 
 
-def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Incoming rows whose natural key isn't stored; a null athlete is never a duplicate."""
-    return incoming.join(stored.select(*NATURAL_KEY).distinct(), list(NATURAL_KEY), "left_anti")
+def first_twins(incoming: DataFrame, order: str = "workout_id") -> DataFrame:
+    """The first row (smallest ``order``) of each natural key; rows whose key has a null all stay."""
+    w = Window.partitionBy(*(of(c) for c in NATURAL_KEY)).orderBy(of(order))
+    keyless = F.lit(False)
+    for c in NATURAL_KEY:
+        keyless = keyless | of(c).isNull()
+    return whole(incoming).select("row", F.row_number().over(w).alias("place"), keyless.alias("keyless")).where("place = 1 OR keyless").select("row.*")
+
+
+def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "workout_id") -> DataFrame:
+    """Incoming rows whose natural key is neither stored nor that of an earlier incoming row; a null in the key is never a duplicate."""
+    return first_twins(incoming, order).join(stored.select(*NATURAL_KEY).distinct(), list(NATURAL_KEY), "left_anti").select(*(f"`{c}`" for c in incoming.columns))
 
 
 def duplicates_by_sport(rows: DataFrame) -> DataFrame:
@@ -91,9 +102,9 @@ def duplicates_by_sport(rows: DataFrame) -> DataFrame:
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], version: str) -> DataFrame:
     """The latest row of each key by ``version``; incoming wins ties."""
-    both = stored.withColumn("_in", F.lit(0)).unionByName(incoming.withColumn("_in", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc(version), F.desc("_in"))
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_in")
+    both = whole(stored).withColumn("newer", F.lit(0)).unionByName(whole(incoming.select(*(f"`{c}`" for c in stored.columns))).withColumn("newer", F.lit(1)))
+    w = Window.partitionBy(*map(of, key)).orderBy(of(version).desc(), F.desc("newer"))
+    return both.select("row", F.row_number().over(w).alias("place")).where("place = 1").select("row.*")
 
 
 def statistics(workouts: DataFrame) -> DataFrame:
@@ -133,11 +144,12 @@ def incremental(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 def evict(cache: DataFrame, now: str, days: int = 30, bytes_: int = 500 << 20) -> DataFrame:
     """What stays in the cache: accessed in the last days and, newest first, within the size."""
-    live = cache.where(F.col("accessed_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
+    accessed, size = of("accessed_at"), of("size")
+    live = whole(cache.where(F.col("accessed_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")))
     # files are summed within their day, days over the month that they span
-    dated = live.withColumn("_day", F.to_date("accessed_at"))
-    newer = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    before = dated.groupBy("_day").agg(F.sum("size").alias("_n")).select("_day", F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_newer"))
-    w = Window.partitionBy("_day").orderBy(F.desc("accessed_at"), "fingerprint").rowsBetween(Window.unboundedPreceding, 0)
-    summed = dated.join(F.broadcast(before), "_day").withColumn("_sum", F.col("_newer") + F.sum("size").over(w))  # days + 1 rows
-    return summed.where(F.col("_sum") <= bytes_).select(*cache.columns)
+    dated = live.withColumn("day", F.to_date(accessed))
+    newer = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = dated.groupBy("day").agg(F.sum(size).alias("n")).select("day", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("newer"))
+    w = Window.partitionBy("day").orderBy(accessed.desc(), of("fingerprint")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dated.join(F.broadcast(before), "day").withColumn("total", F.col("newer") + F.sum(size).over(w))  # days + 1 rows
+    return summed.where(F.col("total") <= bytes_).select("row.*")

@@ -84,7 +84,7 @@ QUERIES = {
     "dup_remove": copies_query(store.duplicates_to_remove),
     "dup_kept": copies_query(lambda x: store.without_duplicates(x).groupBy("sport").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))),
     "dup_by_sport": copies_query(store.duplicates_by_sport),
-    "new_rows": copies_query(lambda x: store.new_rows(x.where("id % 2 = 0"), x.where("id % 2 = 1")).select("id")),
+    "new_rows": copies_query(lambda x: store.new_rows(x.where("id % 2 = 0"), x.where("id % 2 = 1"), "id").select("id")),
     "upsert_latest": copies_query(lambda x: store.upsert(x.where("id % 2 = 0"), x.where("id % 2 = 1"), ["athlete_id", "date"], "id").select("id", "athlete_id", "date")),
     "limit_before_filter": workouts_query(lambda w: store.query_workouts(w, 500, sport="Running", first="2001-01-01").select("workout_id", "date")),
     "trailing_week": workouts_query(lambda w: store.trailing_days(w, "1998-06-30", 7).select("workout_id", "date")),
@@ -193,7 +193,7 @@ ORACLES = {
     "dup_remove": sql(f"SELECT b.id, count(*) AS n_earlier FROM copies a JOIN copies b ON {KEYS} AND a.created_at < b.created_at GROUP BY 1", COPIES),
     "dup_kept": sql(f"SELECT sport, count(*) AS n, {i8('sum(id)', 'ids')} FROM copies WHERE id NOT IN (SELECT b.id FROM copies a JOIN copies b ON {KEYS} AND a.created_at < b.created_at) GROUP BY 1", COPIES),
     "dup_by_sport": sql(f"SELECT a.sport, count(*) AS n FROM copies a JOIN copies b ON {KEYS} AND a.id < b.id GROUP BY 1", COPIES),
-    "new_rows": sql(f"SELECT a.id FROM copies a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM copies b WHERE b.id % 2 = 1 AND {KEYS})", COPIES),
+    "new_rows": sql(f"SELECT a.id FROM copies a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM copies b WHERE (b.id % 2 = 1 OR b.id < a.id) AND {KEYS})", COPIES),
     "upsert_latest": sql("SELECT id, athlete_id, date FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id, date ORDER BY id DESC) AS k FROM copies) WHERE k = 1", COPIES),
     "limit_before_filter": sql("SELECT workout_id, date FROM (SELECT * FROM workouts ORDER BY date DESC, workout_id DESC LIMIT 500) WHERE sport = 'Running' AND date >= '2001-01-01'", WORKOUTS),
     "trailing_week": sql("SELECT workout_id, date FROM workouts WHERE date BETWEEN '1998-06-24' AND '1998-06-30'", WORKOUTS),

@@ -17,8 +17,9 @@ from cadentia.operators import features, power, quality, store
 from cadentia.plans.body import TE
 from cadentia.plans.common import i8, points_query, r4, rounded, sql, workouts_query
 from cadentia.plans.power import BEST, FULL, KNOWN
-from cadentia.sources import files, views
-from cadentia.sources.views import POINTS, WORKOUTS
+from cadentia.sources import files, storage, views
+from cadentia.sources import imports as imported
+from cadentia.sources.views import COPIES, NIGHTS, POINTS, WORKOUTS
 
 c = F.col
 
@@ -47,6 +48,41 @@ def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read.groupBy(c("distance").cast("long").alias("workout_id")).agg(*sums))
 
 
+def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of a file for each user; some have no known column, some only a header. What became of each, by user."""
+    p, folder = views.points(spark, sf_dir).select("workout_id", "seq", "heart_rate", "power"), scratch(spark)
+    user = c("workout_id").alias("of")
+    rows = p.where("workout_id % 5 > 1").select(user, c("seq").alias("elapsed"), F.lit("a, b").alias("note, free"), c("power").alias("watts"), c("heart_rate").alias("BPM"))
+    odd = p.where("workout_id % 5 = 1").select(user, c("power").alias("w"), c("heart_rate").alias("h"))
+    bare = p.where("workout_id % 5 = 0").select(user, F.lit("time,hr").alias("value")).distinct()
+    rows.repartition("of").write.partitionBy("of").option("header", True).csv(folder, mode="append")
+    odd.repartition("of").write.partitionBy("of").option("header", True).csv(folder, mode="append")
+    bare.repartition("of").write.partitionBy("of").option("header", False).option("quote", "").csv(folder, mode="append")
+    points, results = imported.import_csv(spark, f"{folder}/of=*")
+    of = F.regexp_extract("path", "/of=([0-9]+)/", 1).cast("long").alias("workout_id")
+    sums = points.groupBy(F.regexp_extract("workout_id", "/of=([0-9]+)/", 1).cast("long").alias("workout_id")).agg(F.sum("power").alias("power"), F.sum("heart_rate").alias("heart_rate"))
+    return rounded(results.select(of, "state", "reason", "points").join(sums, "workout_id", "left"))
+
+
+def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workouts with twins inside and across batches, stored in three batches of which one is written twice, read back."""
+    rows, folder = views.copies(spark, sf_dir), scratch(spark)
+    rows = rows.unionByName(rows.where("id % 7 = 0").withColumn("id", -c("id")))
+    for batch in (0, 1, 2, 1):
+        storage.append_batch(rows.where(c("created_at") % 3 == batch), folder, batch, "id")
+    return rounded(storage.stored(spark, folder).select("id", "athlete_id", "date", "duration_seconds", "sport", c(storage.BATCH)))
+
+
+def upserted_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nights upserted by athlete and date into a table by date's year, in two goes, read back."""
+    n = views.nights(spark, sf_dir).select("athlete_id", "date", "night_id", "rmssd", F.year("date").alias("year"))
+    folder = scratch(spark)
+    n.sparkSession.sparkContext.setCheckpointDir(scratch(spark)) if n.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else None
+    for half in (1, 0, 0):
+        storage.replace_rows(n.where(c("night_id") % 2 == half), folder, ["athlete_id", "date", "year"], "night_id", "year")
+    return rounded(spark.read.parquet(folder))
+
+
 SHAPES = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd HH:mm:ss.SSS", "dd/MM/yyyy HH:mm:ss")
 
 
@@ -101,6 +137,9 @@ def names(df: DataFrame) -> DataFrame:
 
 QUERIES = {
     "csv_import": csv_import,
+    "import_results": import_results,
+    "store_batches": store_batches,
+    "upserted_nights": upserted_nights,
     "asked_ranges": workouts_query(lambda w: store.asked_range(w, "1995-03-01", "no date", "1996-06-30").agg(F.lit("from").alias("what"), F.count("*").alias("n")).unionByName(store.asked_range(w, "1995-03-01", None, "1996-06-30", 30).agg(F.lit("last").alias("what"), F.count("*").alias("n")))),
     "series_statistics": lambda spark, d: rounded(store.series_statistics(spark.read.parquet(f"{d}/part.parquet").select((c("p_size") * 100).alias("original_size"), (c("p_size") * 37).alias("stored_size")))),
     "sensor_channels": sensors,
@@ -137,6 +176,11 @@ HOURS = "floor(0.9 * CASE WHEN a * 0.7 + an * 0.3 < 1 THEN 12 WHEN a * 0.7 + an
 NONE = lambda *xs: ", ".join(f"CAST(NULL AS DOUBLE) AS {x}" for x in xs)
 ORACLES = {
     "csv_import": sql(f"SELECT workout_id, count(*) AS n, {i8('sum(ts_s)', 'seconds')}, {i8('sum(power)', 'power')}, {i8('sum(heart_rate)', 'heart_rate')}, {r4('sum(CASE WHEN workout_id % 2 = 1 THEN seq / 8.0::DOUBLE END)', 'latitude')} FROM points GROUP BY 1", POINTS),
+    "import_results": sql(f"""SELECT workout_id, CASE WHEN workout_id % 5 > 1 THEN 'imported' ELSE 'failed' END AS state, CASE WHEN workout_id % 5 = 0 THEN 'no rows' WHEN workout_id % 5 = 1 THEN 'no known column has a value' END AS reason,
+        CASE WHEN workout_id % 5 > 1 THEN count(*) ELSE 0 END AS points, {i8('sum(power) FILTER (workout_id % 5 > 1)', 'power')}, {i8('sum(heart_rate) FILTER (workout_id % 5 > 1)', 'heart_rate')} FROM points GROUP BY workout_id""", POINTS),
+    # batches come one after the other, within one the smaller id first
+    "store_batches": sql("""SELECT id, athlete_id, date, CAST(duration_seconds AS BIGINT) AS duration_seconds, sport, created_at % 3 AS stored_in FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id, date, duration_seconds, sport ORDER BY created_at % 3, id) AS k FROM twins) WHERE k = 1 OR athlete_id IS NULL""", COPIES, "twins AS (SELECT * FROM copies UNION ALL SELECT * REPLACE (-id AS id) FROM copies WHERE id % 7 = 0)"),
+    "upserted_nights": sql(f"SELECT athlete_id, date, night_id, {r4('rmssd', 'rmssd')}, {i8('year(date)', 'year')} FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id, date ORDER BY night_id DESC) AS k FROM nights) WHERE k = 1", NIGHTS),
     "csv_times": f"SELECT {i8('event_id % 7', 'shape')}, count(*) AS n, count(*) FILTER (event_id % 7 < 6) AS parsed, {i8('sum(CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT)) FILTER (event_id % 7 < 6)', 'seconds')}, max(CASE WHEN event_id % 7 < 6 THEN CAST(ts AS DATE) END) AS last FROM events GROUP BY event_id % 7",
     "asked_ranges": sql("SELECT 'from' AS what, count(*) FILTER (date >= DATE '1995-03-01') AS n FROM workouts UNION ALL SELECT 'last', count(*) FILTER (date BETWEEN DATE '1996-05-31' AND DATE '1996-06-30') FROM workouts", WORKOUTS),
     "series_statistics": f"SELECT count(*) AS series, {i8('sum(p_size * 100)', 'original_bytes')}, {i8('sum(p_size * 37)', 'stored_bytes')}, {r4('sum(p_size * 100) / sum(p_size * 37)::DOUBLE', 'ratio')} FROM part",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cadentia.operators import admin, load
+from cadentia.operators.rows import of, whole
 
 #: Header aliases of each channel.
 ALIASES = {
@@ -71,18 +72,18 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     Each file goes by its own header: names by their aliases, in any order; unknown columns are ignored, the first of two equal
     ones counts, cells that don't parse or are missing are null. Times are seconds since the file's first time, 0 at least;
     decimal numbers are elapsed seconds as they stand; without a time the row's place counts.
-    Quoted cells may hold commas, not line breaks. A file without rows gives none.
+    Quoted cells, of the header too, may hold commas, not line breaks. A file without rows gives none.
     """
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("workout_id"), at.alias("line"), "value").where(F.trim("value") != "")
-    heads = lines.where("line.block = 0").groupBy("workout_id").agg(F.min("line").alias("first_line"), F.min_by("value", "line").alias("head"))
-    names = F.transform(F.split("head", ","), normalised)
-    place = lambda aliases: F.array_position(F.transform(names, lambda x: x.isin(*aliases)), True).cast("int")
-    heads = heads.select("workout_id", "first_line", F.size(names).alias("width"), *(place(aliases).alias(f"at_{c}") for c, aliases in ALIASES.items()))
-    width = heads.agg(F.coalesce(F.max("width"), F.lit(1))).first()[0]  # of the widest header
+    heads = lines.where("line.block = 0").groupBy("workout_id").agg(F.min("line").alias("first_line"), F.min_by("value", "line").alias("head")).persist()  # a row a file
+    width = heads.agg(F.coalesce(F.max(F.size(F.split("head", ","))), F.lit(1))).first()[0]  # no header has more cells
     fields = [f"c{i}" for i in range(width)]
-    parsed = F.from_csv("value", ", ".join(f"{f} string" for f in fields), {"mode": "PERMISSIVE"})
-    rows = lines.join(heads, "workout_id").where("line > first_line").withColumn("x", parsed).withColumn("cells", F.array(*(F.col(f"x.{f}") for f in fields)))
+    cells = lambda text: F.from_csv(text, ", ".join(f"{f} string" for f in fields), {"mode": "PERMISSIVE"})
+    names = F.transform(F.array(*(F.col(f"x.{f}") for f in fields)), normalised)
+    place = lambda aliases: F.array_position(F.transform("names", lambda x: F.coalesce(x.isin(*aliases), F.lit(False))), True).cast("int")
+    heads = heads.withColumn("x", cells("head")).select("workout_id", "first_line", names.alias("names")).select("workout_id", "first_line", *(place(aliases).alias(f"at_{c}") for c, aliases in ALIASES.items()))
+    rows = lines.join(heads, "workout_id").where("line > first_line").withColumn("x", cells("value")).withColumn("cells", F.array(*(F.col(f"x.{f}") for f in fields)))
     cell = lambda c: F.when(F.col(f"at_{c}") > 0, F.get("cells", F.col(f"at_{c}") - 1))
     number = lambda c: F.trim(cell(c)).try_cast("double").try_cast("int" if c in WHOLE else "double").alias(c)
     channels = [c for c in ALIASES if c != "timestamp"]
@@ -280,9 +281,9 @@ def platform_rows(workouts: DataFrame) -> DataFrame:
 
 def downsampled(points: DataFrame, most: int = 10_000) -> DataFrame:
     """Every n-th sample and the last, n so that about ``most`` stay."""
-    n = F.count("*").over(Window.partitionBy("workout_id"))
-    x = points.withColumn("_n", n).withColumn("_step", F.greatest(F.floor(F.col("_n") / most), F.lit(1)))
-    return x.where((F.col("seq") % F.col("_step") == 0) | (F.col("seq") == F.col("_n") - 1)).drop("_n", "_step")
+    n = F.count("*").over(Window.partitionBy(of("workout_id")))
+    x = whole(points).withColumn("n", n).withColumn("step", F.greatest(F.floor(F.col("n") / most), F.lit(1)))
+    return x.where((of("seq") % F.col("step") == 0) | (of("seq") == F.col("n") - 1)).select("row.*")
 
 
 def export(rows: DataFrame, kind: str, path: str) -> None:

@@ -59,25 +59,93 @@ def _value(data: bytes, at: int, size: int, base: int, order: str) -> float | No
     return None
 
 
-def messages(data: bytes) -> Iterator[Message]:
-    """A file's data messages in order; none where the head isn't FIT."""
+def _crc_table() -> list[int]:
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xA001 if byte & 1 else 0)
+        table.append(byte)
+    return table
+
+
+#: Shares of each byte in the sixteen-bit checksum of polynomial 0x8005, lowest bit first.
+CRC = _crc_table()
+
+
+def crc16(data: bytes, value: int = 0) -> int:
+    for byte in data:
+        value = value >> 8 ^ CRC[(value ^ byte) & 0xFF]
+    return value
+
+
+class End:
+    """How a file's messages ended: why not whole (None if they were), and the bytes that gave none."""
+
+    def __init__(self) -> None:
+        self.reason: str | None = None
+        self.bytes_lost = 0
+
+    def broken(self, reason: str, lost: int) -> None:
+        self.reason = self.reason or reason
+        self.bytes_lost += max(lost, 0)
+
+
+def _next_definition(data: bytes, at: int, end: int) -> int:
+    """The place of the next definition that can be one: reserved byte 0, a byte order, fields whose sizes fit their types; else the end."""
+    while at + 6 <= end:
+        n = data[at + 5]
+        if data[at] & 0xD0 == 0x40 and data[at + 1] == 0 and data[at + 2] in (0, 1) and n and at + 6 + 3 * n <= end:
+            fields = [(data[at + 7 + 3 * i], data[at + 8 + 3 * i]) for i in range(n)]
+            if all(size and (base == TEXT or base in BASE and size % struct.calcsize("<" + BASE[base][0]) == 0) for size, base in fields):
+                return at
+        at += 1
+    return end
+
+
+def messages(data: bytes, told: End | None = None, salvage: bool = False) -> Iterator[Message]:
+    """A file's data messages in order; none where the head isn't FIT.
+
+    ``told`` learns why and where messages end before the file does, and whether the checksum holds. With ``salvage`` reading goes on at the next
+    definition after damaged bytes, and past a head that doesn't tell the size; what was defined before no longer counts.
+    """
+    told = told or End()
     if len(data) < 14 or data[0] not in (12, 14) or data[8:12] != b".FIT":
-        return
-    at, end = data[0], min(len(data), data[0] + struct.unpack_from("<I", data, 4)[0])
+        told.broken("not a FIT file", len(data))
+        if not salvage or len(data) < 14:
+            return
+    sized = data[0] + struct.unpack_from("<I", data, 4)[0]
+    at, end = data[0], min(len(data), sized)
+    if told.reason is None and sized + 2 > len(data):
+        told.broken("breaks off", 0)
+    elif told.reason is None and crc16(data[: sized + 2]) != 0 and data[sized : sized + 2] != b"\0\0":
+        told.broken("checksum", 0)
+    if salvage and told.reason is not None:
+        end = len(data) - (0 if told.reason == "breaks off" else 2)
+        if told.reason == "not a FIT file":
+            at = 0 if data[0] not in (12, 14) else data[0]
+            told.bytes_lost = 0
     known: dict[int, tuple[int, str, list[tuple[int, int, int]], list[tuple[int, int, int]]]] = {}
     described: dict[tuple[int, int], int] = {}
     clock = 0
     while at < end:
         head = data[at]
+        begin = at
         at += 1
         if not head & 0x80 and head & 0x40:  # a definition
+            if salvage and _next_definition(data, begin, end) != begin:
+                at = _next_definition(data, begin, end)
+                told.broken("damaged", at - begin)
+                known.clear()
+                continue
             if at + 5 > end:
+                told.broken("breaks off", end - begin)
                 return
             order = ">" if data[at + 1] else "<"
             number = struct.unpack_from(order + "H", data, at + 2)[0]
             n = data[at + 4]
             at += 5
             if at + 3 * n > end:
+                told.broken("breaks off", end - begin)
                 return
             fields = [(data[at + 3 * i], data[at + 3 * i + 1], data[at + 3 * i + 2]) for i in range(n)]
             at += 3 * n
@@ -90,13 +158,17 @@ def messages(data: bytes) -> Iterator[Message]:
             continue
         local = head >> 5 & 3 if head & 0x80 else head & 0x0F
         if local not in known:
-            return
+            at = _next_definition(data, begin, end) if salvage else end
+            told.broken("damaged", at - begin)
+            known.clear()
+            continue
         number, order, fields, extra = known[local]
+        if at + sum(x[1] for x in (*fields, *extra)) > end:
+            told.broken("breaks off", end - begin)
+            return
         out = Message(number, {}, {}, {})
         values = out.values
         for field, size, base in fields:
-            if at + size > end:
-                return
             if base == TEXT:
                 out.texts[field] = data[at : at + size].split(b"\0")[0].decode("utf-8", "replace")
             elif base == BYTES and size > 1:
@@ -105,8 +177,6 @@ def messages(data: bytes) -> Iterator[Message]:
                 values[field] = value
             at += size
         for field, size, index in extra:
-            if at + size > end:
-                return
             if (value := _value(data, at, size, described.get((index, field), -1), order)) is not None:
                 out.developer[index, field] = value
             at += size
@@ -120,11 +190,11 @@ def messages(data: bytes) -> Iterator[Message]:
         yield out
 
 
-def samples(path: str, data: bytes) -> dict[str, list]:
+def samples(path: str, data: bytes, told: End | None = None, salvage: bool = False) -> dict[str, list]:
     """Columns of a file's timed records, with lap, session, sport and sport change as sessions.samples has them for messages."""
     out: dict[str, list] = {c: [] for c in ("workout_id", "seq", "at", "lap_number", "sport_transition", *CHANNELS)}
     lap, lap_sport, found = 1, None, []
-    for number, values, _, _ in messages(data):
+    for number, values, _, _ in messages(data, told, salvage):
         if number == LAP:
             lap = int(values[254]) + 1 if 254 in values else lap
             if 25 in values:
