@@ -37,11 +37,26 @@ def jagged(p):
 
 
 FIELDS = ["power", "heart_rate", "cadence", "speed", "power_balance", "stride_length", "vertical_oscillation", "ground_contact_time", "stroke_count"]
-PLAN = dict(weeks=18, start="1995-01-02", weekly_tss=350.0)
+def goals(spark, sf_dir, model=None):
+    """A goal for each athlete with workouts, two months around the last of them."""
+    k = c("athlete_id")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % 3 + 1).cast("int"))
+    g = views.workouts(spark, sf_dir).groupBy("athlete_id").agg(F.max("date").alias("last"), F.count("*").alias("n"))
+    return g.select(
+        k.alias("plan"), F.lit(model).alias("model") if model else pick(["traditional", "Block", "reverse"]).alias("model"), pick(["3:1", "2:1", "4:1"]).alias("pattern"), (k % 20).cast("int").alias("weeks"),
+        F.date_add("last", (k % 60).cast("int")).alias("target"), F.when(k % 9 > 0, 20.0 + c("n") * 5 + k % 40).alias("ctl"),
+    )
 
 
-def planned(spark, model):
-    return plan.plan_weeks(spark, model, **PLAN)
+def planned(spark, sf_dir, model=None):
+    return plan.plan_weeks(goals(spark, sf_dir, model))
+
+
+def compared(spark, sf_dir):
+    return plan.plan_vs_actual(plan.planned_workouts(planned(spark, sf_dir)), views.workouts(spark, sf_dir))
+
+
+TODAY = "1997-03-01"
 
 
 def copies_query(f):
@@ -96,12 +111,15 @@ QUERIES = {
     "ml_running_sums": workouts_query(lambda w: features.running_sums(w, "athlete_id")),
     "chrono_split": workouts_query(lambda w: features.chronological_split(w).groupBy("split").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("place").alias("places"))),
     "ml_features": lambda spark, d: rounded(features.feature_table(views.workouts(spark, d), views.points(spark, d)).select("workout_id", "weekday", "tss_7d", "seconds_28d", "cumulative_tss", "pct1", "pct5", "best_pace", "max_power")),
-    "plan_traditional": lambda spark, d: rounded(planned(spark, "traditional").where((c("week") > 0))),
-    "plan_block": lambda spark, d: rounded(plan.planned_workouts(planned(spark, "block"))),
-    "plan_workouts": lambda spark, d: rounded(plan.planned_workouts(planned(spark, "traditional"))),
-    "plan_vs_actual": lambda spark, d: rounded(plan.plan_vs_actual(plan.planned_workouts(planned(spark, "traditional")), views.workouts(spark, d))),
-    "plan_monitor": lambda spark, d: rounded(plan.monitor(plan.plan_vs_actual(plan.planned_workouts(planned(spark, "traditional")), views.workouts(spark, d)))),
-    "plan_adjust": lambda spark, d: rounded(plan.adjust(planned(spark, "reverse"), "1995-03-01", 0.6), 8),
+    "plan_traditional": lambda spark, d: rounded(planned(spark, d, "traditional"), 8),
+    "plan_block": lambda spark, d: rounded(planned(spark, d, "block"), 8),
+    "plan_reverse": lambda spark, d: rounded(planned(spark, d, "reverse"), 8),
+    "plan_workouts": lambda spark, d: rounded(plan.planned_workouts(planned(spark, d)), 8),
+    "plan_totals": lambda spark, d: rounded(plan.totals(planned(spark, d)), 8),
+    "plan_vs_actual": lambda spark, d: rounded(compared(spark, d), 8),
+    "plan_monitor": lambda spark, d: rounded(plan.monitor(compared(spark, d), goals(spark, d).select("plan", F.date_sub("target", c("weeks") * 7).alias("start")), TODAY), 8),
+    "plan_adjust": lambda spark, d: rounded(plan.adjust(planned(spark, d), TODAY, plan.adjustment("recovery")), 8),
+    "plan_increase": lambda spark, d: rounded(plan.adjust(plan.planned_workouts(planned(spark, d)), TODAY, plan.adjustment("increase", 15)).select("plan", "date", "planned_tss", "minutes"), 8),
     "formula_bikescore": workouts_query(lambda w: w.select("workout_id", formula.column(formula.BUILT_IN["bikescore"], {"duration": c("duration_seconds") / 3600, "IF": c("intensity_factor")}).alias("score"))),
     "formula_classic": lambda spark, d: rounded(views.workouts(spark, d).select("workout_id", formula.column(formula.BUILT_IN["classic"], {"duration": c("duration_seconds") / 3600, "IF": c("intensity_factor")}).alias("score")), 8),
     "formula_custom": workouts_query(lambda w: w.select("workout_id", formula.column("-(a + 2.5) * b / (a - 110) ^ 2 + 3", {"a": c("avg_heart_rate"), "b": c("avg_power")}).alias("score"))),
@@ -133,21 +151,28 @@ KEYS = "a.athlete_id = b.athlete_id AND a.date = b.date AND a.duration_seconds =
 TREND = lambda v, t, d, m: f"(SELECT athlete_id, CASE WHEN n < 3 THEN 'Stable' WHEN {d} > {m} THEN 'Improving' WHEN {d} < -{m} THEN 'Declining' ELSE 'Stable' END AS trend FROM (SELECT athlete_id, count(*) AS n, avg(v) FILTER (i <= n0 // 2) AS a, avg(v) FILTER (i > n0 // 2) AS b FROM (SELECT athlete_id, {v} AS v, row_number() OVER (PARTITION BY athlete_id ORDER BY date, night_id) AS i, count(*) OVER (PARTITION BY athlete_id) AS n0 FROM {t} WHERE {v} IS NOT NULL) GROUP BY 1))"
 PICK = lambda a, b, cc, d, e: f"CASE WHEN readiness < 30 THEN {a} WHEN readiness < 50 THEN {b} WHEN readiness < 70 THEN {cc} WHEN readiness < 85 THEN {d} ELSE {e} END"
 RATE = "24 * CASE WHEN acwr > 1.3 THEN 0.8 ELSE 1 END * CASE WHEN night_id % 3 = 0 THEN 0.85 ELSE 1 END * CASE WHEN sleep_score < 50 THEN 0.75 ELSE 1 END * CASE WHEN tss > 200 THEN 0.8 ELSE 1 END::DOUBLE"
-# 18 weeks: 7 base, 5 build, 3 peak, 3 taper
-WEEKS = """weeks AS (SELECT w AS week, DATE '1995-01-02' + CAST((w - 1) * 7 AS INT) AS week_start, CASE WHEN w <= 7 THEN 'Base' WHEN w <= 12 THEN 'Build' WHEN w <= 15 THEN 'Peak' ELSE 'Taper' END AS phase, w % 4 = 0 AND w <= 15 AS recovery,
-  350::DOUBLE * CASE WHEN w <= 7 THEN 1 + 0.3::DOUBLE * (w - 1) / 7 WHEN w <= 12 THEN 1.3 + 0.2::DOUBLE * (w - 8) / 5 WHEN w <= 15 THEN 1.5 - 0.1::DOUBLE * (w - 13) / 3 ELSE 1 - 0.5::DOUBLE * (w - 16) / 3 END * CASE WHEN w % 4 = 0 AND w <= 15 THEN 0.6 ELSE 1 END AS planned_tss FROM range(1, 19) r(w))"""
-BLOCKS = """weeks AS (SELECT w AS week, DATE '1995-01-02' + CAST((w - 1) * 7 AS INT) AS week_start, CASE WHEN w > 16 THEN 'Taper' ELSE ['Accumulation', 'Intensification', 'Realization'][CAST((w - 1) // 4 % 3 + 1 AS INT)] END AS phase, w % 4 = 0 AND w <= 16 AS recovery,
-  350::DOUBLE * CASE WHEN w > 16 THEN 0.7 WHEN (w - 1) // 4 % 3 = 0 THEN 1.2 + 0.1::DOUBLE * ((w - 1) // 4) WHEN (w - 1) // 4 % 3 = 1 THEN 1 + 0.05::DOUBLE * ((w - 1) // 4) ELSE 0.9 + 0.02::DOUBLE * ((w - 1) // 4) END * CASE WHEN w % 4 = 0 AND w <= 16 THEN 0.6 ELSE 1 END AS planned_tss FROM range(1, 19) r(w))"""
-SHARES = "shares(family, d, share) AS (VALUES " + ", ".join(f"('{p}', {d}, {s}::DOUBLE)" for p, f in [("Recovery", "Recovery"), ("Base", "Base"), ("Build", "Build"), ("Peak", "Peak"), ("Taper", "Taper"), ("Accumulation", "Base"), ("Intensification", "Build"), ("Realization", "Peak")] for d, s in enumerate(plan.SHARES[f]) if s) + ")"
-DAYS = """days AS (SELECT week, week_start + d AS date, CASE WHEN recovery THEN 'Recovery' WHEN d IN (1, 3) THEN CASE WHEN phase IN ('Base', 'Accumulation') THEN 'Tempo' WHEN phase IN ('Build', 'Intensification') THEN 'Threshold' WHEN phase IN ('Peak', 'Realization') THEN 'Race' ELSE 'Endurance' END WHEN d = 6 THEN 'Recovery' ELSE 'Endurance' END AS workout_type,
+GOALS = """goals AS (SELECT o_custkey AS plan, ['traditional', 'block', 'reverse'][o_custkey % 3 + 1] AS own, [4, 3, 5][o_custkey % 3 + 1] AS cycle, o_custkey % 20 AS n, CAST(max(date) + CAST(o_custkey % 60 AS INT) AS DATE) AS target,
+  7 * CASE WHEN o_custkey % 9 > 0 THEN 20.0::DOUBLE + count(*) * 5 + o_custkey % 40 ELSE 200 / 7.0::DOUBLE END AS tss FROM (SELECT athlete_id AS o_custkey, date FROM workouts) GROUP BY 1)"""
+r8 = lambda expression, name: f"round(CAST({expression} AS DOUBLE), 8) + 0.0 AS {name}"
+# phases by how many weeks come before them; whole weeks of a share in single precision
+PHASES = """spans AS (SELECT plan, n, target, cycle, tss, w, model, CAST(floor(CAST(n AS FLOAT) * CAST(0.4 AS FLOAT)) AS INT) AS b, CAST(floor(CAST(n AS FLOAT) * CAST(0.3 AS FLOAT)) AS INT) AS u, CAST(floor(CAST(n AS FLOAT) * CAST(0.2 AS FLOAT)) AS INT) AS p, CAST(floor(CAST(n AS FLOAT) * CAST(0.5 AS FLOAT)) AS INT) AS v, CAST((w - 1) // 4 AS INT) AS block
+  FROM (SELECT *, {model} AS model, unnest(range(1, n + 1)) AS w FROM goals)),
+phases AS (SELECT *, CASE model WHEN 'traditional' THEN CASE WHEN w <= b THEN 'Base' WHEN w <= b + u THEN 'Build' WHEN w <= b + u + p THEN 'Peak' ELSE 'Taper' END
+    WHEN 'block' THEN CASE WHEN block >= n // 4 THEN 'Taper' ELSE ['Accumulation', 'Intensification', 'Realization'][block % 3 + 1] END
+    ELSE CASE WHEN w <= u THEN 'Intensity' WHEN w <= u + v THEN 'Volume' ELSE 'Race Prep' END END AS phase FROM spans),
+multiplied AS (SELECT *, CASE WHEN phase = 'Base' THEN 1 + 0.3::DOUBLE * (w - 1) / b WHEN phase = 'Build' THEN 1.3 + 0.2::DOUBLE * (w - 1 - b) / u WHEN phase = 'Peak' THEN 1.5 - 0.1::DOUBLE * (w - 1 - b - u) / p
+    WHEN phase = 'Taper' AND model = 'block' THEN 0.7 WHEN phase = 'Taper' THEN 1 - 0.5::DOUBLE * (w - 1 - b - u - p) / (n - b - u - p) WHEN phase = 'Accumulation' THEN 1.2 + 0.1::DOUBLE * block WHEN phase = 'Intensification' THEN 1 + 0.05::DOUBLE * block
+    WHEN phase = 'Realization' THEN 0.9 + 0.02::DOUBLE * block WHEN phase = 'Intensity' THEN 0.8 WHEN phase = 'Volume' THEN 1.3 * (1 + 0.1::DOUBLE * (w - 1 - u) / v) ELSE 1 - 0.2::DOUBLE * (w - 1 - u - v) / (n - u - v) END AS m,
+    w % (CASE WHEN model = 'block' THEN 4 ELSE cycle END) = 0 AND phase NOT IN ('Taper', 'Race Prep') AS recovery FROM phases),
+weeks AS (SELECT plan, w AS week, target + CAST((w - 1 - n) * 7 AS INT) AS week_start, phase, recovery, tss * m * CASE WHEN recovery THEN 0.6 ELSE 1 END AS planned_tss FROM multiplied)"""
+PLANS = lambda model="own": (WORKOUTS, GOALS, PHASES.replace("{model}", model))
+WEEK_ROWS = f"SELECT plan, {i8('week', 'week')}, week_start, phase, recovery, {r8('planned_tss', 'planned_tss')}, {r8('planned_tss / 100 * 1.5', 'planned_hours')} FROM weeks"
+SHARES = "shares(family, d, share) AS (VALUES " + ", ".join(f"('{p}', {d}, {s}::DOUBLE)" for p, f in [("Recovery", "Recovery"), ("Base", "Base"), ("Build", "Build"), ("Peak", "Peak"), ("Taper", "Taper"), ("Accumulation", "Base"), ("Intensification", "Build"), ("Realization", "Peak"), ("Intensity", "Build"), ("Volume", "Base"), ("Race Prep", "Peak")] for d, s in enumerate(plan.SHARES[f]) if s) + ")"
+DAYS = """days AS (SELECT plan, week, week_start + d AS date, CASE WHEN recovery THEN 'Recovery' WHEN d IN (1, 3) THEN CASE WHEN phase IN ('Base', 'Accumulation') THEN 'Tempo' WHEN phase IN ('Build', 'Intensification') THEN 'Threshold' WHEN phase IN ('Peak', 'Realization') THEN 'Race' ELSE 'Endurance' END WHEN d = 6 THEN 'Recovery' ELSE 'Endurance' END AS workout_type,
   CASE WHEN recovery THEN 0.65 WHEN d IN (1, 3) THEN CASE WHEN phase IN ('Base', 'Accumulation') THEN 0.85 WHEN phase IN ('Build', 'Intensification') THEN 0.90 WHEN phase IN ('Peak', 'Realization') THEN 0.95 ELSE 0.75 END WHEN d = 5 THEN 0.70 WHEN d = 6 THEN 0.65 ELSE 0.75 END::DOUBLE AS intensity, planned_tss * share AS planned_tss
   FROM weeks JOIN shares ON family = CASE WHEN recovery THEN 'Recovery' ELSE phase END)"""
-DONE = "cmp AS (SELECT date, p AS planned_tss, coalesce(a, 0) AS actual_tss FROM (SELECT date, max_by(planned_tss, week) AS p FROM days GROUP BY 1) LEFT JOIN (SELECT date, sum(tss) AS a FROM workouts GROUP BY 1) USING (date))"
-DAY_ROWS = f"SELECT {i8('week', 'week')}, date, workout_type, {r4('intensity', 'intensity')}, {r4('planned_tss', 'planned_tss')}, {i8('floor(round(planned_tss / intensity / 100 * 60, 9))', 'minutes')} FROM days"
-# 18 weeks in reverse: 5 intensity, 9 volume, 4 race preparation
-REVERSE = """weeks AS (SELECT w AS week, DATE '1995-01-02' + CAST((w - 1) * 7 AS INT) AS week_start, CASE WHEN w <= 5 THEN 'Intensity' WHEN w <= 14 THEN 'Volume' ELSE 'Race Prep' END AS phase, w % 4 = 0 AND w <= 14 AS recovery,
-  350::DOUBLE * CASE WHEN w <= 5 THEN 0.8 WHEN w <= 14 THEN 1.3 * (1 + 0.1::DOUBLE * (w - 6) / 9) ELSE 1 - 0.2::DOUBLE * (w - 15) / 4 END * CASE WHEN w % 4 = 0 AND w <= 14 THEN 0.6 ELSE 1 END AS t FROM range(1, 19) r(w))"""
-
+DONE = "cmp AS (SELECT plan, date, p AS planned_tss, coalesce(a, 0) AS actual_tss FROM (SELECT plan, date, max_by(planned_tss, week) AS p FROM days GROUP BY 1, 2) LEFT JOIN (SELECT athlete_id AS plan, date, sum(tss) AS a FROM workouts GROUP BY 1, 2) USING (plan, date))"
+DAY_ROWS = f"SELECT plan, {i8('week', 'week')}, date, workout_type, {r8('intensity', 'intensity')}, {r8('planned_tss', 'planned_tss')}, {i8('floor(round(planned_tss / intensity / 100 * 60, 9))', 'minutes')} FROM days"
 ORACLES = {
     "hrv_status": sql(f"SELECT status, count(*) AS n, {i8('sum(score)', 'score')} FROM scored GROUP BY 1", *N),
     "hrv_ema": sql(f"SELECT athlete_id, {r4('arg_max(b, i)', 'baseline')}, max(i) AS n FROM f GROUP BY 1", NIGHTS, "o AS (SELECT athlete_id, rmssd, row_number() OVER (PARTITION BY athlete_id ORDER BY date, night_id) AS i FROM nights WHERE rmssd IS NOT NULL)", "f AS (SELECT athlete_id, i, rmssd AS b FROM o WHERE i = 1 UNION ALL SELECT o.athlete_id, o.i, 0.2 * o.rmssd + 0.8 * f.b FROM f JOIN o ON o.athlete_id = f.athlete_id AND o.i = f.i + 1)"),
@@ -207,12 +232,19 @@ ORACLES = {
     "ml_features": sql(f"""SELECT w.workout_id, {i8('isodow(w.date) - 1', 'weekday')}, {r4('s7', 'tss_7d')}, {i8('d28', 'seconds_28d')}, {r4('cum', 'cumulative_tss')}, {r4('p1', 'pct1')}, {r4('p5', 'pct5')}, {r4('avg_pace', 'best_pace')}, CAST(NULL AS BIGINT) AS max_power FROM workouts w
         JOIN (SELECT a.workout_id, sum(coalesce(b.tss, 0)) FILTER (b.date >= a.date - 7) AS s7, sum(b.duration_seconds) FILTER (b.date >= a.date - 28) AS d28, sum(coalesce(b.tss, 0)) AS cum FROM workouts a JOIN workouts b ON a.athlete_id = b.athlete_id AND (b.date < a.date OR b.date = a.date AND b.workout_id <= a.workout_id) GROUP BY 1) USING (workout_id)
         LEFT JOIN (SELECT workout_id, 100.0::DOUBLE * nullif(count(*) FILTER (heart_rate / 170.0::DOUBLE * 100 < 65), 0) / count(*) AS p1, 100.0::DOUBLE * nullif(count(*) FILTER (heart_rate / 170.0::DOUBLE * 100 >= 95), 0) / count(*) AS p5 FROM points GROUP BY 1) USING (workout_id)""", WORKOUTS, POINTS),
-    "plan_traditional": sql(f"SELECT {i8('week', 'week')}, week_start, phase, recovery, {r4('planned_tss', 'planned_tss')}, {r4('planned_tss / 100 * 1.5', 'planned_hours')} FROM weeks", WEEKS),
-    "plan_block": sql(DAY_ROWS, BLOCKS, SHARES, DAYS),
-    "plan_workouts": sql(DAY_ROWS, WEEKS, SHARES, DAYS),
-    "plan_vs_actual": sql(f"SELECT date, {r4('planned_tss', 'planned_tss')}, {r4('actual_tss', 'actual_tss')} FROM cmp", WORKOUTS, WEEKS, SHARES, DAYS, DONE),
-    "plan_monitor": sql(f"SELECT {r4('sum(planned_tss)', 'planned')}, {r4('sum(actual_tss)', 'actual')}, {i8('round_even(100 * sum(actual_tss) / sum(planned_tss), 0)', 'completion_pct')}, {r4('sum(planned_tss) FILTER (k <= 7)', 'last_week_planned')}, {r4('sum(actual_tss) FILTER (k <= 7)', 'last_week_actual')} FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM cmp)", WORKOUTS, WEEKS, SHARES, DAYS, DONE),
-    "plan_adjust": sql(f"SELECT {i8('week', 'week')}, week_start, phase, recovery, round(t * f, 8) AS planned_tss, round(t / 100 * 1.5 * f, 8) AS planned_hours FROM (SELECT *, CASE WHEN week_start >= DATE '1995-03-01' THEN 0.6 ELSE 1 END AS f FROM weeks)", REVERSE),
+    "plan_traditional": sql(WEEK_ROWS, *PLANS("'traditional'")),
+    "plan_block": sql(WEEK_ROWS, *PLANS("'block'")),
+    "plan_reverse": sql(WEEK_ROWS, *PLANS("'reverse'")),
+    "plan_workouts": sql(DAY_ROWS, *PLANS(), SHARES, DAYS),
+    "plan_totals": sql("SELECT plan, count(*) AS weeks, round(sum(planned_tss), 8) AS planned_tss, round(sum(planned_tss / 100 * 1.5), 8) AS planned_hours FROM weeks GROUP BY 1", *PLANS()),
+    "plan_vs_actual": sql(f"SELECT plan, date, {r8('planned_tss', 'planned_tss')}, {r8('actual_tss', 'actual_tss')} FROM cmp", *PLANS(), SHARES, DAYS, DONE),
+    "plan_monitor": sql(f"""SELECT plan, {r8('planned', 'planned')}, {r8('actual', 'actual')}, {i8('pct', 'completion_pct')}, {r8('lp', 'last_week_planned')}, {r8('la', 'last_week_actual')}, {i8('week', 'week')},
+        array_to_string(list_filter([CASE WHEN pct < 80 THEN '{plan.SAYS_LOW}' END, CASE WHEN pct > 110 THEN '{plan.SAYS_HIGH.replace("'", "''")}' END, CASE WHEN under = 0 THEN '{plan.SAYS_UNDER}' END, CASE WHEN over = 0 THEN '{plan.SAYS_OVER}' END], lambda x: x IS NOT NULL), '; ') AS adjustments,
+        array_to_string(list_filter([CASE WHEN la > 600 THEN '{plan.SAYS_HEAVY}' END, CASE WHEN week % 4 = 0 THEN '{plan.SAYS_REST}' END], lambda x: x IS NOT NULL), '; ') AS recommendations
+        FROM (SELECT plan, sum(planned_tss) AS planned, sum(actual_tss) AS actual, round(100 * sum(actual_tss) / sum(planned_tss)) AS pct, sum(planned_tss) FILTER (k <= 7) AS lp, sum(actual_tss) FILTER (k <= 7) AS la, count(*) FILTER (k <= 7 AND actual_tss >= planned_tss * 0.9::DOUBLE) AS under, count(*) FILTER (k <= 7 AND actual_tss <= planned_tss * 1.1::DOUBLE) AS over,
+          greatest((DATE '{TODAY}' - (target - CAST(n * 7 AS INT))) // 7 + 1, 1) AS week FROM (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY date DESC) AS k FROM cmp) JOIN goals USING (plan) GROUP BY plan, target, n)""", *PLANS(), SHARES, DAYS, DONE),
+    "plan_adjust": sql(f"SELECT plan, {i8('week', 'week')}, week_start, phase, recovery, {r8('planned_tss * f', 'planned_tss')}, {r8('planned_tss / 100 * 1.5 * f', 'planned_hours')} FROM (SELECT *, CASE WHEN week_start >= DATE '{TODAY}' THEN 0.6 ELSE 1 END AS f FROM weeks)", *PLANS()),
+    "plan_increase": sql(f"SELECT plan, date, {r8('planned_tss * f', 'planned_tss')}, {i8('CASE WHEN f > 1 THEN floor(round(minutes * f, 9)) ELSE minutes END', 'minutes')} FROM (SELECT *, floor(round(planned_tss / intensity / 100 * 60, 9)) AS minutes, CASE WHEN date >= DATE '{TODAY}' THEN 1.15::DOUBLE ELSE 1 END AS f FROM days)", *PLANS(), SHARES, DAYS),
     "formula_bikescore": sql(f"SELECT workout_id, {r4('duration_seconds / 3600.0::DOUBLE * intensity_factor ** 1.5 * 100', 'score')} FROM workouts", WORKOUTS),
     "formula_classic": sql(f"SELECT workout_id, round(duration_seconds / 3600.0::DOUBLE * intensity_factor ** 2 * 100, 8) AS score FROM workouts", WORKOUTS),
     "formula_custom": sql(f"SELECT workout_id, {r4('-(avg_heart_rate + 2.5::DOUBLE) * avg_power / nullif((avg_heart_rate - 110.0::DOUBLE) ** 2, 0) + 3', 'score')} FROM workouts", WORKOUTS),

@@ -229,14 +229,46 @@ def test_tss_properties(spark, ftp, watts, seconds):
     assert a.tss > 0 and b.tss / a.tss == pytest.approx(2) and 0.5 <= one(power.np_tss(p)).np / watts <= 1.5
 
 
+GOALS = "plan long, model string, pattern string, weeks int, target date, ctl double"
+
+
 def test_plan_rows(spark):
-    weeks = plan.plan_weeks(spark, "traditional", 10, "2024-01-01", 200.0).orderBy("week").collect()
+    goal = spark.sql("SELECT 1L AS plan, 'Traditional' AS model, '3:1' AS pattern, 10 AS weeks, DATE '2024-03-11' AS target, CAST(NULL AS DOUBLE) AS ctl")
+    weeks = plan.plan_weeks(goal).orderBy("week").collect()
     assert [r.phase for r in weeks] == ["Base"] * 4 + ["Build"] * 3 + ["Peak"] * 2 + ["Taper"]
     assert [r.recovery for r in weeks] == [False, False, False, True, False, False, False, True, False, False]
-    days = plan.planned_workouts(plan.plan_weeks(spark, "traditional", 10, "2024-01-01", 200.0))
+    assert [str(r.week_start) for r in weeks][::9] == ["2024-01-01", "2024-03-04"]
+    days = plan.planned_workouts(plan.plan_weeks(goal))
     assert days.where("week = 4").agg(F.sum("planned_tss")).first()[0] == pytest.approx(0.6 * 0.6 * 200 * (1 + 0.3 * 3 / 4))
 
 
+def test_plans_of_other_patterns_models_and_none(spark):
+    import datetime as dt
+
+    day = dt.date(2024, 6, 1)
+    goals = spark.createDataFrame([(1, "block", "2:1", 10, day, 50.0), (2, "reverse", "2:1", 10, day, 50.0), (3, "block", "4:1", 0, day, 1.0), (4, "traditional", "4:1", 1, day, 10.0), (5, "traditional", "4:1", None, day, 10.0)], GOALS)
+    rows = plan.plan_weeks(goals).orderBy("plan", "week").collect()
+    assert [(r.week, r.recovery) for r in rows if r.plan == 1 and r.recovery] == [(4, True), (8, True)] and [r.phase for r in rows if r.plan == 1][8:] == ["Taper", "Taper"]
+    assert [r.week for r in rows if r.plan == 2 and r.recovery] == [3, 6] and [r.phase for r in rows if r.plan == 2] == ["Intensity"] * 3 + ["Volume"] * 5 + ["Race Prep"] * 2
+    assert [(r.plan, r.phase, r.planned_tss) for r in rows if r.plan > 2] == [(4, "Taper", 70.0)]
+    for model, pattern in (("linear", "3:1"), ("block", "9:1"), (None, "3:1")):
+        with pytest.raises(Exception, match="unknown"):
+            plan.plan_weeks(spark.createDataFrame([(1, model, pattern, 3, day, 1.0)], GOALS)).collect()
+    assert plan.plan_weeks(goals.limit(0)).count() == 0
+    assert [plan.adjustment(*a) for a in (("increase", 15), ("decrease", 10), ("recovery",))] == [1.15, 0.9, 0.6]
+    with pytest.raises(ValueError, match="unknown adjustment"):
+        plan.adjustment("more")
+
+
+def test_monitoring_of_a_plan(spark):
+    compared = spark.createDataFrame([(1, f"2024-01-0{d}", 100.0, 50.0 if d > 1 else 300.0) for d in range(1, 9)] + [(2, "2024-01-01", 100.0, 700.0), (3, "2024-01-01", 0.0, 5.0)], "plan long, date string, planned_tss double, actual_tss double")
+    compared = compared.withColumn("date", F.to_date("date"))
+    starts = spark.sql("SELECT * FROM VALUES (1L, DATE '2024-01-01'), (2L, DATE '2024-02-01'), (3L, DATE '2023-12-11') AS t(plan, start)")
+    got = {r.plan: (r.completion_pct, r.last_week_actual, r.week, r.adjustments, r.recommendations) for r in plan.monitor(compared, starts, "2024-01-05").collect()}
+    assert got[1] == (81, 350.0, 1, plan.SAYS_UNDER, "") and got[2] == (700, 700.0, 1, f"{plan.SAYS_HIGH}; {plan.SAYS_OVER}", plan.SAYS_HEAVY)
+    assert got[3] == (0, 5.0, 4, f"{plan.SAYS_LOW}; {plan.SAYS_OVER}", plan.SAYS_REST)
+
+
 def test_csv_source(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Elapsed Time,HR,Watts,Altitude,Foo\n2024-01-01 10:00:00,120,200,10,x\n2024-01-01 10:00:05,oops,210,12,y\n")
     (tmp_path / "notes.txt").write_text("no samples")
