@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tomllib
 from dataclasses import dataclass, field
@@ -113,6 +114,11 @@ def column(text: str, values: dict[str, Column]) -> Column:
     return F.when(F.isnan(out) | (F.abs(out) == float("inf")), F.lit(None)).otherwise(out)
 
 
+def quoted(text: str) -> str:
+    """A TOML string."""
+    return json.dumps(text, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+
 @dataclass
 class Registry:
     """Named custom formulas, validated as they come in."""
@@ -137,17 +143,9 @@ class Registry:
             self.add(name, text)
 
     def dump(self) -> str:
-        return "[formulas]\n" + "".join(f'{name} = "{text}"\n' for name, text in sorted(self.formulas.items()))
+        return "[formulas]\n" + "".join(f"{quoted(name)} = {quoted(text)}\n" for name, text in sorted(self.formulas.items()))
 
 
 def ftp(method: str, power: Column) -> Column:
     """FTP from a test: 20 minutes at 95 %, 8 minutes at 98 %, an hour as it is; rounded half to even."""
     return F.bround(power * {"twenty_minute": 0.95, "eight_minute": 0.98, "hour": 1.0}[method], 0).cast("int")
-
-
-def smoothed_power(power: Column, window, kind: str = "rolling") -> Column:
-    """An extension: rolling or weighted means over a window before a fourth-power mean."""
-    if kind == "rolling":
-        return F.avg(power).over(window)
-    weights = F.transform(F.collect_list(power).over(window), lambda x, i: F.struct((x * (i + 1)).alias("v"), (i + 1).alias("w")))
-    return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["v"]) / F.aggregate(weights, F.lit(0), lambda a, x: a + x["w"])

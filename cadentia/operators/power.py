@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,3 +163,69 @@ def power_balance(points: DataFrame) -> DataFrame:
     sums = split.groupBy("workout_id").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where("l + r > 0")
     pct = F.col("l") * 100.0 / (F.col("l") + F.col("r"))
     return sums.select("workout_id", pct.alias("left_pct"), (100 - pct).alias("right_pct"), (50 - F.abs(pct - 50)).alias("score"))
+
+
+# -- smoothing before the fourth-power mean -------------------------------------------------------
+
+
+#: Longest window of a smoothing, in samples; digits by which a block of exponential weights may shrink.
+LONGEST_WINDOW, DIGITS = 3600, 200
+
+
+def _known(points: DataFrame) -> DataFrame:
+    """Known powers of each workout, numbered from 0."""
+    return points.where("power is not null").select("workout_id", F.col("power").cast("double").alias("x"), (F.row_number().over(_by_workout()) - 1).alias("i"))
+
+
+def exponential_means(points: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """(workout_id, i, m): the exponential mean of known powers up to each, alpha of the new one; the first is its own mean.
+
+    Running sums of rescaled powers in blocks, so long workouts are many tasks' work: within a block weights shrink by DIGITS digits at most, so no double
+    overflows, and of earlier blocks only the last one's end can still be seen.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha is above 0 and at most 1")
+    if alpha == 1:
+        return _known(points).select("workout_id", "i", F.col("x").alias("m"))
+    rest = 1 - alpha
+    block = max(1, min(1 << 16, int(DIGITS / -math.log10(rest))))
+    place = F.col("i") % block
+    term = F.when(F.col("i") == 0, F.col("x")).otherwise(F.col("x") * alpha) * F.pow(F.lit(rest), -place)
+    rows = _known(points).withColumn("block", F.floor(F.col("i") / block))
+    running = F.sum(term).over(Window.partitionBy("workout_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("workout_id", "block", "i", (running * F.pow(F.lit(rest), place)).alias("own"))
+    ends = rows.where(place == block - 1).select("workout_id", (F.col("block") + 1).alias("block"), F.col("own").alias("carried"))
+    return rows.join(ends, ["workout_id", "block"], "left").select("workout_id", "i", (F.col("own") + F.coalesce("carried", F.lit(0.0)) * F.pow(F.lit(rest), place + 1)).alias("m"))
+
+
+def weighted_means(points: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """(workout_id, i, m): the mean of the last powers by the user's weights, the last weight for the newest; the first powers take the last weights alone."""
+    if not weights or len(weights) > LONGEST_WINDOW or min(weights) < 0 or weights[-1] <= 0:
+        raise ValueError(f"1 to {LONGEST_WINDOW} weights, none negative, the last one above 0")
+    n = len(weights)
+    frame = Window.partitionBy("workout_id").orderBy("i").rowsBetween(-(n - 1), 0)
+    xs = F.collect_list("x").over(frame)  # at most a window
+    rows = _known(points).select("workout_id", "i", xs.alias("xs"))
+    used = F.slice(F.array(*map(F.lit, map(float, weights))), n + 1 - F.size("xs"), F.size("xs"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn("ws", used).select("workout_id", "i", (total(F.zip_with("xs", "ws", lambda x, w: x * w)) / total("ws")).alias("m"))
+
+
+def smoothed_np(points: DataFrame, kind: str = "RollingAverage", window: int = 30, alpha: float = 0.3, weights: tuple[float, ...] = ()) -> DataFrame:
+    """(workout_id, np): fourth root of the mean fourth power of smoothed known powers.
+
+    RollingAverage over ``window`` samples (the first ones over what there is), ExponentialMovingAverage by ``alpha``, WeightedMovingAverage by ``weights``
+    (without any, equal ones over the window). Other kinds, and windows outside 1 to 3600, are an error.
+    """
+    if not 1 <= window <= LONGEST_WINDOW:
+        raise ValueError(f"a window has 1 to {LONGEST_WINDOW} seconds")
+    if kind == "ExponentialMovingAverage":
+        means = exponential_means(points, alpha)
+    elif kind == "WeightedMovingAverage" and weights:
+        means = weighted_means(points, weights)
+    elif kind in ("RollingAverage", "WeightedMovingAverage"):
+        mean = F.avg("x").over(Window.partitionBy("workout_id").orderBy("i").rowsBetween(-(window - 1), 0))
+        means = _known(points).select("workout_id", mean.alias("m"))
+    else:
+        raise ValueError(f"unknown smoothing {kind}")
+    return means.groupBy("workout_id").agg(F.pow(F.avg(F.pow("m", F.lit(4))), F.lit(0.25)).alias("np"))

@@ -7,17 +7,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cadentia.functions import formula
-from cadentia.operators import features, power, quality, store
+from cadentia.operators import features, power, quality, registry, store
 from cadentia.plans.body import TE
 from cadentia.plans.common import i8, points_query, r4, rounded, sql, workouts_query
 from cadentia.plans.power import BEST, FULL, KNOWN
 from cadentia.sources import files, storage, views
+from cadentia.sources import cache as stored_files
 from cadentia.sources import imports as imported
 from cadentia.sources.views import COPIES, NIGHTS, POINTS, WORKOUTS
 
@@ -113,22 +113,69 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NOW, KEPT = 1_700_000_000 + 40 * 86_400, 5_000_000
-QUIRKS = [(1, 3, None, None, "scale_cadence"), (2, 5, 10, 20, "start_spike"), (3, 7, 15, None, "left_only")]
-
-
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A device for each supplier: makers and products that have quirks among others, some without a known firmware."""
     s, k = spark.read.parquet(f"{sf_dir}/supplier.parquet"), c("s_suppkey")
-    return s.select(k.alias("device"), (k % 4).cast("int").alias("manufacturer"), (k % 8).cast("int").alias("product"), F.when(k % 5 != 0, (k % 30).cast("int")).alias("firmware"))
+    pick = lambda xs, x: F.element_at(F.array(*map(F.lit, xs)), (x % len(xs) + 1).cast("int"))
+    return s.select(k.alias("device"), pick((1, 32, 69, 263, 7), k).alias("manufacturer"), pick((2697, 16, 0), k).alias("product"), F.when(k % 7 != 0, (k % 60 * 40).cast("int")).alias("firmware"))
+
+
+def quirks(spark: SparkSession, day: str = "2024-06-01") -> DataFrame:
+    """The quirks known from the start; in the middle of 2024 one is changed and one retired."""
+    first = registry.version(spark, registry.QUIRKS, "quirks", date(2024, 1, 1))
+    changed = registry.version(spark, [registry.QUIRKS[0] | {"factor": 0.25}], "quirks", date(2024, 7, 1), (registry.QUIRKS[1]["name"],))
+    return registry.as_of(first.unionByName(changed), day)
+
+
+def device_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = devices(spark, sf_dir)
+    known = quirks(spark).withColumn("quirk", c("name"))
+    return rounded(registry.named_devices(quality.matching_quirks(d, known)))
+
+
+def worn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Samples with left and right power, and the device of each workout."""
+    p = files.power_split(views.points(spark, sf_dir)).withColumn("right_power", F.when(c("event_id") % 3 > 0, c("right_power"))).withColumn("power", F.when(c("event_id") % 4 == 0, c("power") + 1600).otherwise(c("power")))
+    k = c("workout_id")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % 4 + 1).cast("int"))
+    return p, p.select("workout_id").distinct().select(k, pick((1, 32, 69, 1)).alias("manufacturer"), pick((2697, 16, 0, 5)).alias("product"), F.when(k % 8 > 0, (k % 1500).cast("int")).alias("firmware"))
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, d = worn(spark, sf_dir)
+    out = registry.apply_quirks(p, d, quirks(spark))
+    sums = (F.sum(x).alias(x) for x in ("power", "left_power", "right_power", "cadence", "ground_contact_time", "vertical_oscillation"))
+    return rounded(out.groupBy("workout_id").agg(F.count("power").alias("known"), *sums))
+
+
+def repair_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(registry.quirk_messages(*worn(spark, sf_dir), quirks(spark, "2024-08-01")))
 
 
-def device_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quirks = spark.createDataFrame(QUIRKS, "manufacturer int, product int, firmware_from int, firmware_to int, quirk string")
-    return rounded(quality.matching_quirks(devices(spark, sf_dir), quirks))
+def cache_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full cache: look-ups, of which some find other files or old entries, then new entries that need room; what is left."""
+    p = c("p_partkey")
+    held = cache(spark, sf_dir).select(F.concat(F.lit("f"), c("fingerprint")).alias("path"), "fingerprint", "size", c("accessed_at").alias("cached_at"), "accessed_at")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    asked = parts.where(p % 3 == 0).select(F.format_string("f%016d", p.cast("long")).alias("path"), F.format_string("%016d", F.when(p % 5 == 0, 0).otherwise(p).cast("long")).alias("fingerprint"))
+    answers, after = stored_files.look_up(held, asked, "2023-12-20 00:00:00")
+    more = parts.where(p % 4 == 1).select(F.format_string("f%016d", (p + p % 8 * 1_000_000).cast("long")).alias("path"), F.format_string("%016d", (-p).cast("long")).alias("fingerprint"), (c("p_size") * 700).cast("long").alias("size"))
+    left = stored_files.put(after, more, "2023-12-21 00:00:00", 6_000_000)
+    hits = answers.agg(F.count_if("hit").alias("hits"), F.count_if(~c("hit")).alias("misses"))
+    sums = left.agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), F.sum(F.unix_timestamp("accessed_at")).alias("seen"), F.max("path").alias("last"), F.countDistinct("path").alias("paths"))
+    return rounded(hits.join(sums, F.lit(True)))
 
 
-def smoothed(p: DataFrame, kind: str) -> DataFrame:
-    w = Window.partitionBy("workout_id").orderBy("seq").rowsBetween(-29, 0)
-    return p.where("power is not null").select("workout_id", formula.smoothed_power(c("power").cast("double"), w, kind).alias("m")).groupBy("workout_id").agg(F.pow(F.avg(F.pow("m", F.lit(4))), F.lit(0.25)).alias("np"))
+def incremental_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, imported in three goes: at first some, then all with some of them changed, then all again as they are. What each go had to decode."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("doc_id").agg(F.max("text").alias("text"))
+    files_ = lambda changed: d.select(F.concat(F.lit("/in/"), "doc_id").alias("path"), F.concat("text", F.when(changed, "!").otherwise("")).cast("binary").alias("content"))
+    keeper, out = stored_files.Manifest(spark, scratch(spark)), None
+    for go, rows in enumerate((files_(F.lit(False)).where("path like '%1'"), files_(c("doc_id") % 20 == 1), files_(c("doc_id") % 20 == 1)), 1):
+        told = keeper.incremental(rows, f"2024-01-0{go} 00:00:00").agg(F.lit(go).alias("go"), F.count("*").alias("decoded"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        told = told.join(keeper.read(go).agg(F.count("*").alias("cached")), F.lit(True))
+        out = told if out is None else out.unionByName(told)
+    return rounded(out)
 
 
 def names(df: DataFrame) -> DataFrame:
@@ -148,9 +195,15 @@ QUERIES = {
     "import_report": lambda spark, d: rounded(files.import_report(spark.read.parquet(f"{d}/events.parquet").select((c("event_id") % 9 > 0).alias("ok"), c("user_id").alias("points"), (c("event_id") % 50).alias("millis")))),
     "cache_kept": lambda spark, d: rounded(store.evict(cache(spark, d), "2023-12-24 22:13:20", 30, KEPT).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("fingerprint").alias("first"))),
     "cache_metrics": lambda spark, d: rounded(files.cache_metrics(spark.read.parquet(f"{d}/events.parquet").select((c("event_id") % 3 > 0).alias("hit")), cache(spark, d))),
-    "device_matches": device_quirks,
-    "np_rolling": points_query(lambda p: smoothed(p, "rolling")),
-    "np_weighted": points_query(lambda p: smoothed(p, "weighted")),
+    "device_matches": device_matches,
+    "quirks_applied": repaired,
+    "quirk_messages": repair_messages,
+    "cache_run": cache_run,
+    "incremental_import": incremental_import,
+    "np_rolling": points_query(power.smoothed_np),
+    "np_weighted": points_query(lambda p: power.smoothed_np(p, "WeightedMovingAverage", weights=tuple(range(1, 31)))),
+    "np_ema": points_query(lambda p: power.smoothed_np(p, "ExponentialMovingAverage")),
+    "np_user_weights": points_query(lambda p: power.smoothed_np(p, "WeightedMovingAverage", weights=(0, 2.5, 0.5, 1))),
     "all_files": workouts_query(lambda w: w.where("sport = 'Running'").unionByName(w.where("sport <> 'Running'")).groupBy("athlete_id").agg(F.count("*").alias("workouts"))),
     "training_dates": workouts_query(lambda w: w.select("athlete_id", "date").distinct()),
     "laps_present": points_query(lambda p: p.groupBy("workout_id").agg(F.array_join(F.array_sort(F.collect_set("lap_number")), ",").alias("laps"))),
@@ -162,6 +215,9 @@ QUERIES = {
 }
 
 Z = "coalesce(tss, 0)"
+WORN = """split AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN power + 1600 ELSE power END AS w, CAST(trunc(power * balance / 200.0::DOUBLE) AS BIGINT) AS l FROM points),
+fixed AS (SELECT *, CASE WHEN spike THEN NULL WHEN workout_id % 4 = 2 AND l IS NOT NULL AND r IS NULL THEN l ELSE w END AS p FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN power - l END AS r, workout_id % 4 = 0 AS garmin,
+  workout_id % 4 = 0 AND workout_id % 8 > 0 AND workout_id % 1500 <= 1000 AS old, coalesce(workout_id % 4 = 1 AND ts_s <= 5 AND w > 1500, false) AS spike FROM split))"""
 MONTHS = "[" + ", ".join(f"'{x}'" for x in "January February March April May June July August September October November December".split()) + "]"
 CACHE = "cache AS (SELECT printf('%016d', CAST(p_partkey AS BIGINT)) AS fingerprint, CAST(p_size * 1000 AS BIGINT) AS size, 1700000000 + p_partkey % 40 * 86400 + p_partkey * 7919 % 86400 AS seen_at FROM part)"
 NP = "SELECT workout_id, {} FROM ({}) GROUP BY 1"
@@ -189,10 +245,28 @@ ORACLES = {
     "import_report": f"SELECT count(*) AS files, count(*) FILTER (event_id % 9 > 0) AS succeeded, {r4('100.0 * count(*) FILTER (event_id % 9 > 0) / count(*)', 'success_pct')}, {i8('sum(user_id)', 'points')}, {r4('avg(event_id % 50)', 'mean_millis')} FROM events",
     "cache_kept": sql(f"SELECT count(*) AS n, {i8('sum(size)', 'bytes')}, min(fingerprint) AS first FROM (SELECT *, sum(size) OVER (ORDER BY seen_at DESC, fingerprint) AS s FROM cache WHERE seen_at >= {NOW} - 30 * 86400) WHERE s <= {KEPT}", CACHE),
     "cache_metrics": sql(f"SELECT h AS hits, n - h AS misses, {r4('h / n::DOUBLE', 'hit_rate')}, entries, {i8('bytes', 'bytes')}, {r4('mean_bytes', 'mean_bytes')} FROM (SELECT count(*) FILTER (event_id % 3 > 0) AS h, count(*) AS n FROM events), (SELECT count(*) AS entries, sum(size) AS bytes, avg(size) AS mean_bytes FROM cache)", CACHE),
-    "device_matches": "SELECT device, manufacturer, product, firmware, quirk FROM (SELECT CAST(s_suppkey AS BIGINT) AS device, CAST(s_suppkey % 4 AS BIGINT) AS manufacturer, CAST(s_suppkey % 8 AS BIGINT) AS product, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey % 30 AS BIGINT) END AS firmware FROM supplier) d JOIN (VALUES (1, 3, NULL, NULL, 'scale_cadence'), (2, 5, 10, 20, 'start_spike'), (3, 7, 15, NULL, 'left_only')) q(m, p, a, b, quirk) ON manufacturer = m AND product = p AND (a IS NULL AND b IS NULL OR firmware >= coalesce(a, 0) AND firmware <= coalesce(b, 1000))",
+    "device_matches": """SELECT device, manufacturer, product, firmware, quirk, maker_name, CASE WHEN maker_name IS NOT NULL THEN product_name END AS product_name FROM (SELECT CAST(s_suppkey AS BIGINT) AS device, CAST([1, 32, 69, 263, 7][s_suppkey % 5 + 1] AS BIGINT) AS manufacturer, CAST([2697, 16, 0][s_suppkey % 3 + 1] AS BIGINT) AS product, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_suppkey % 60 * 40 AS BIGINT) END AS firmware FROM supplier) d
+        JOIN (VALUES (1, 2697, NULL, 'Edge 520 reports cadence doubled', 'Garmin', 'Forerunner 945'), (32, 16, NULL, 'BOLT has power spikes in first 5 seconds', 'Wahoo', 'ELEMNT BOLT'), (69, 0, NULL, 'Left-only power should not be doubled', 'Stages Cycling', 'Unknown Product'), (1, 2697, 1000, 'FR 945 running dynamics field scaling issues', 'Garmin', 'Forerunner 945')) q(m, p, upto, quirk, maker_name, product_name)
+        ON manufacturer = m AND product = p AND (upto IS NULL OR firmware <= upto)""",
+    "quirks_applied": sql(f"SELECT workout_id, count(p) AS known, {i8('sum(p)', 'power')}, {i8('sum(CASE WHEN NOT spike THEN l END)', 'left_power')}, {i8('sum(CASE WHEN NOT spike THEN r END)', 'right_power')}, {i8('sum(CASE WHEN garmin THEN floor(cadence * 0.5 + 0.5) ELSE cadence END)', 'cadence')}, {i8('sum(CASE WHEN old THEN floor(ground_contact_time * 0.1::DOUBLE + 0.5) ELSE ground_contact_time END)', 'ground_contact_time')}, {i8('sum(CASE WHEN old THEN floor(vertical_oscillation * 0.1::DOUBLE + 0.5) ELSE vertical_oscillation END)', 'vertical_oscillation')} FROM fixed GROUP BY 1", POINTS, WORN),
+    "quirk_messages": sql("""SELECT workout_id, CAST(place AS BIGINT) AS place, message FROM (SELECT workout_id, 0 AS place, 'Edge 520 reports cadence doubled: Applied cadence scaling (factor: 0.25) to ' || count(cadence) || ' data points' AS message FROM fixed WHERE garmin GROUP BY 1
+        UNION ALL SELECT workout_id, 2, 'Left-only power should not be doubled: Fixed ' || count(*) FILTER (l IS NOT NULL AND r IS NULL) || ' left-only power readings (prevented incorrect doubling)' FROM fixed WHERE workout_id % 4 = 2 GROUP BY 1
+        UNION ALL SELECT workout_id, 3, 'FR 945 running dynamics field scaling issues: Fixed ' || count(*) || ' ground contact time values, Fixed ' || count(*) || ' vertical oscillation values' FROM fixed WHERE old GROUP BY 1
+        UNION ALL SELECT DISTINCT workout_id, NULL, 'No quirks applied' FROM fixed WHERE workout_id % 4 IN (1, 3))""", POINTS, WORN),
+    # the oldest go until the surplus is freed; a look-up has moved the access times of its hits
+    "cache_run": sql("""SELECT (SELECT count(*) FILTER (hit) FROM asked) AS hits, (SELECT count(*) FILTER (NOT hit) FROM asked) AS misses, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(seen_at) AS BIGINT) AS seen, max(path) AS last, count(DISTINCT path) AS paths FROM (
+        SELECT path, size, seen_at FROM (SELECT *, coalesce(sum(size) OVER (ORDER BY seen_at, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM looked) WHERE freed >= (SELECT sum(size) FROM looked) + (SELECT sum(size) FROM more) - 6000000 AND path NOT IN (SELECT path FROM more) UNION ALL SELECT path, size, epoch(TIMESTAMP '2023-12-21') FROM more)""", CACHE,
+        "asked AS (SELECT fingerprint, 'f' || fingerprint AS path, CAST(fingerprint AS BIGINT) % 5 <> 0 AND seen_at >= epoch(TIMESTAMP '2023-12-20') - 30 * 86400 AS hit FROM cache WHERE CAST(fingerprint AS BIGINT) % 3 = 0)",
+        "looked AS (SELECT 'f' || cache.fingerprint AS path, size, CASE WHEN hit THEN epoch(TIMESTAMP '2023-12-20') ELSE seen_at END AS seen_at FROM cache LEFT JOIN asked USING (fingerprint) WHERE hit IS NULL OR hit)",
+        "more AS (SELECT printf('f%016d', CAST(p_partkey + p_partkey % 8 * 1000000 AS BIGINT)) AS path, CAST(p_size * 700 AS BIGINT) AS size FROM part WHERE p_partkey % 4 = 1)"),
+    "incremental_import": """WITH d AS (SELECT doc_id, max(text) AS t FROM documents WHERE doc_id IS NOT NULL GROUP BY 1), s AS (SELECT doc_id, octet_length(encode(t)) AS n FROM d WHERE t IS NOT NULL)
+        SELECT 1::BIGINT AS go, count(*) AS decoded, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes, count(*) AS cached FROM s WHERE doc_id % 10 = 1
+        UNION ALL SELECT 2, count(*), CAST(coalesce(sum(n + CASE WHEN doc_id % 20 = 1 THEN 1 ELSE 0 END), 0) AS BIGINT), (SELECT count(*) FROM s) FROM s WHERE doc_id % 10 <> 1 OR doc_id % 20 = 1 UNION ALL SELECT 3, 0, 0, (SELECT count(*) FROM s)""",
     "np_rolling": sql(NP.format(r4("avg(m ** 4) ** 0.25", "np"), "SELECT workout_id, avg(power) OVER (PARTITION BY workout_id ORDER BY rn ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m FROM known"), POINTS, KNOWN),
-    # a weighted mean of the last n: weights 1 to n, so the sum of k * value from the window's start
-    "np_weighted": sql(NP.format(r4("avg(m ** 4) ** 0.25", "np"), "SELECT workout_id, (sum(CAST(rn AS DOUBLE) * power) OVER w - (min(rn) OVER w - 1) * sum(power) OVER w) / (count(*) OVER w * (count(*) OVER w + 1) / 2) AS m FROM known WINDOW w AS (PARTITION BY workout_id ORDER BY rn ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"), POINTS, KNOWN),
+    # weights 1 to 30, the newest 30: value times 30 less its age
+    "np_weighted": sql(NP.format(r4("avg(m ** 4) ** 0.25", "np"), "SELECT a.workout_id, a.rn, sum((30 - (a.rn - b.rn)) * CAST(b.power AS DOUBLE)) / sum(30 - (a.rn - b.rn)) AS m FROM known a JOIN known b ON b.workout_id = a.workout_id AND b.rn BETWEEN a.rn - 29 AND a.rn GROUP BY 1, 2"), POINTS, KNOWN),
+    "np_ema": sql(NP.format(r4("avg(m ** 4) ** 0.25", "np"), "SELECT workout_id, m FROM ema"), POINTS, KNOWN, "ema(workout_id, rn, m) AS (SELECT workout_id, rn, CAST(power AS DOUBLE) FROM known WHERE rn = 1 UNION ALL SELECT k.workout_id, k.rn, 0.3 * k.power + 0.7 * ema.m FROM ema JOIN known k ON k.workout_id = ema.workout_id AND k.rn = ema.rn + 1)"),
+    "np_user_weights": sql(NP.format(r4("avg(m ** 4) ** 0.25", "np"), "SELECT a.workout_id, a.rn, sum(w * b.power) / sum(w) AS m FROM known a JOIN known b ON b.workout_id = a.workout_id JOIN (VALUES (3, 0::DOUBLE), (2, 2.5), (1, 0.5), (0, 1)) v(age, w) ON b.rn = a.rn - age GROUP BY 1, 2"), POINTS, KNOWN),
     "all_files": sql("SELECT athlete_id, count(*) AS workouts FROM (SELECT * FROM workouts WHERE sport = 'Running' UNION ALL SELECT * FROM workouts WHERE sport <> 'Running') GROUP BY 1", WORKOUTS),
     "training_dates": sql("SELECT DISTINCT athlete_id, date FROM workouts", WORKOUTS),
     "laps_present": sql("SELECT workout_id, array_to_string(list_sort(list_distinct(list(lap_number))), ',') AS laps FROM points GROUP BY 1", POINTS),
