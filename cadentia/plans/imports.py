@@ -16,7 +16,7 @@ from cadentia.operators import features, power, quality, registry, store
 from cadentia.plans.body import TE
 from cadentia.plans.common import i8, points_query, r4, rounded, sql, workouts_query
 from cadentia.plans.power import BEST, FULL, KNOWN
-from cadentia.sources import files, storage, views
+from cadentia.sources import files, storage, views, workout_files
 from cadentia.sources import cache as stored_files
 from cadentia.sources import imports as imported
 from cadentia.sources.views import COPIES, NIGHTS, POINTS, WORKOUTS
@@ -64,6 +64,15 @@ def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(results.select(of, "state", "reason", "points").join(sums, "workout_id", "left"))
 
 
+def xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each workout's samples written as an XML file of its own, read back."""
+    p, folder = views.points(spark, sf_dir), scratch(spark)
+    w = p.groupBy("workout_id").agg(F.count("*").cast("int").alias("duration_seconds")).withColumns({"date": F.lit("2024-05-01").cast("date"), "notes": F.lit("a <b> & c"), "sport": F.lit("Running")})
+    workout_files.write(w, p, folder)
+    sums = (F.sum(x).alias(x) for x in ("seq", "ts_s", "heart_rate", "power", "cadence", "speed", "distance", "elevation"))
+    return rounded(workout_files.read(spark, folder).groupBy("workout_id").agg(F.count("*").alias("n"), *sums))
+
+
 def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workouts with twins inside and across batches, stored in three batches of which one is written twice, read back."""
     rows, folder = views.copies(spark, sf_dir), scratch(spark)
@@ -186,6 +195,7 @@ QUERIES = {
     "csv_import": csv_import,
     "import_results": import_results,
     "store_batches": store_batches,
+    "xml_files": xml_files,
     "upserted_nights": upserted_nights,
     "asked_ranges": workouts_query(lambda w: store.asked_range(w, "1995-03-01", "no date", "1996-06-30").agg(F.lit("from").alias("what"), F.count("*").alias("n")).unionByName(store.asked_range(w, "1995-03-01", None, "1996-06-30", 30).agg(F.lit("last").alias("what"), F.count("*").alias("n")))),
     "series_statistics": lambda spark, d: rounded(store.series_statistics(spark.read.parquet(f"{d}/part.parquet").select((c("p_size") * 100).alias("original_size"), (c("p_size") * 37).alias("stored_size")))),
@@ -234,6 +244,7 @@ ORACLES = {
     "csv_import": sql(f"SELECT workout_id, count(*) AS n, {i8('sum(ts_s)', 'seconds')}, {i8('sum(power)', 'power')}, {i8('sum(heart_rate)', 'heart_rate')}, {r4('sum(CASE WHEN workout_id % 2 = 1 THEN seq / 8.0::DOUBLE END)', 'latitude')} FROM points GROUP BY 1", POINTS),
     "import_results": sql(f"""SELECT workout_id, CASE WHEN workout_id % 5 > 1 THEN 'imported' ELSE 'failed' END AS state, CASE WHEN workout_id % 5 = 0 THEN 'no rows' WHEN workout_id % 5 = 1 THEN 'no known column has a value' END AS reason,
         CASE WHEN workout_id % 5 > 1 THEN count(*) ELSE 0 END AS points, {i8('sum(power) FILTER (workout_id % 5 > 1)', 'power')}, {i8('sum(heart_rate) FILTER (workout_id % 5 > 1)', 'heart_rate')} FROM points GROUP BY workout_id""", POINTS),
+    "xml_files": sql(f"SELECT workout_id, count(*) AS n, {', '.join(i8(f'sum({x})', x) for x in ('seq', 'ts_s', 'heart_rate', 'power', 'cadence'))}, {r4('sum(speed)', 'speed')}, {r4('sum(distance)', 'distance')}, {i8('sum(elevation)', 'elevation')} FROM points GROUP BY 1", POINTS),
     # batches come one after the other, within one the smaller id first
     "store_batches": sql("""SELECT id, athlete_id, date, CAST(duration_seconds AS BIGINT) AS duration_seconds, sport, created_at % 3 AS stored_in FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id, date, duration_seconds, sport ORDER BY created_at % 3, id) AS k FROM twins) WHERE k = 1 OR athlete_id IS NULL""", COPIES, "twins AS (SELECT * FROM copies UNION ALL SELECT * REPLACE (-id AS id) FROM copies WHERE id % 7 = 0)"),
     "upserted_nights": sql(f"SELECT athlete_id, date, night_id, {r4('rmssd', 'rmssd')}, {i8('year(date)', 'year')} FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id, date ORDER BY night_id DESC) AS k FROM nights) WHERE k = 1", NIGHTS),

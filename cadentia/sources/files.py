@@ -298,25 +298,6 @@ def export(rows: DataFrame, kind: str, path: str) -> None:
 CURVE_ENTRIES = 300
 
 
-def pwx(points: DataFrame, curves: DataFrame | None = None) -> DataFrame:
-    """(workout_id, xml): a workout file of downsampled samples in order, and of its power curve (workout_id, duration_s, max_power) every n-th entry and the last."""
-    tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c.cast("string"), F.lit(f"</{name}>")), F.lit(""))
-    sample = F.concat(F.lit("<sample>"), tag("timeoffset", F.col("ts_s")), tag("hr", F.col("heart_rate")), tag("pwr", F.col("power")), tag("cad", F.col("cadence")), tag("dist", F.col("distance")), F.lit("</sample>"))
-    inner = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["x"]), "")
-    body = downsampled(points).select("workout_id", F.struct("seq", sample.alias("x")).alias("s")).groupBy("workout_id").agg(inner("s").alias("body"))
-    if curves is None:
-        curve = F.lit("")
-    else:
-        by = Window.partitionBy("workout_id")
-        step = F.greatest(F.floor(F.col("n") / CURVE_ENTRIES), F.lit(1))
-        placed = curves.withColumn("n", F.count("*").over(by)).withColumn("i", F.row_number().over(by.orderBy("duration_s")) - 1)
-        entry = F.concat(F.lit("<entry>"), tag("duration", F.col("duration_s")), tag("pwr", F.col("max_power")), F.lit("</entry>"))
-        kept = placed.where((F.col("i") % step == 0) | (F.col("i") == F.col("n") - 1)).select("workout_id", F.struct("i", entry.alias("x")).alias("s"))
-        body = body.join(kept.groupBy("workout_id").agg(inner("s").alias("curve")), "workout_id", "left")
-        curve = F.coalesce(F.concat(F.lit("<powercurve>"), F.col("curve"), F.lit("</powercurve>")), F.lit(""))
-    return body.select("workout_id", F.concat(F.lit('<?xml version="1.0"?><pwx><workout>'), F.col("body"), curve, F.lit("</workout></pwx>")).alias("xml"))
-
-
 def export_as(kind: str, what: str, workouts: DataFrame, path: str, points: DataFrame | None = None, curves: DataFrame | None = None) -> None:
     """The five exports there are: csv summaries, csv pmc, json and text reports (by athlete), pwx of exactly one workout; others are an error."""
     if (kind, what) == ("csv", "summaries"):
@@ -330,7 +311,9 @@ def export_as(kind: str, what: str, workouts: DataFrame, path: str, points: Data
     elif (kind, what) == ("pwx", "workout"):
         if len(workouts.limit(2).collect()) != 1:
             raise ValueError("a workout file holds exactly one workout")
-        pwx(points.join(workouts.select("workout_id"), "workout_id", "left_semi"), curves).select("xml").write.mode("overwrite").text(path)
+        from cadentia.sources import workout_files
+
+        workout_files.write(workouts, points.join(workouts.select("workout_id"), "workout_id", "left_semi"), path, curves)
     else:
         raise ValueError(f"no export of {what} as {kind}")
 

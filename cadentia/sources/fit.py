@@ -190,9 +190,10 @@ def messages(data: bytes, told: End | None = None, salvage: bool = False) -> Ite
         yield out
 
 
-def samples(path: str, data: bytes, told: End | None = None, salvage: bool = False) -> dict[str, list]:
-    """Columns of a file's timed records, with lap, session, sport and sport change as sessions.samples has them for messages."""
-    out: dict[str, list] = {c: [] for c in ("workout_id", "seq", "at", "lap_number", "sport_transition", *CHANNELS)}
+def samples(path: str, data: bytes, told: End | None = None, salvage: bool = False, wanted: frozenset[str] | None = None) -> dict[str, list]:
+    """Columns of a file's timed records, with lap, session, sport and sport change as sessions.samples has them for messages; of the channels those that are ``wanted``, or all."""
+    channels = [c for c in CHANNELS if wanted is None or c in wanted]
+    out: dict[str, list] = {c: [] for c in ("workout_id", "seq", "at", "lap_number", "sport_transition", *channels)}
     lap, lap_sport, found = 1, None, []
     for number, values, _, _ in messages(data, told, salvage):
         if number == LAP:
@@ -205,12 +206,13 @@ def samples(path: str, data: bytes, told: End | None = None, salvage: bool = Fal
         elif number == SESSION:
             found.append((int(values[2]) + EPOCH if 2 in values else None, SPORTS.get(int(values[5]), OTHER_SPORT) if 5 in values else OTHER_SPORT))
         elif number == RECORD and 253 in values:
-            row = dict.fromkeys(CHANNELS)
+            row = dict.fromkeys(channels)
             for field, value in values.items():
                 if field in FIELDS:
                     name, scale, offset = FIELDS[field]
-                    row[name] = value / scale - offset
-            for c in CHANNELS:
+                    if name in row:
+                        row[name] = value / scale - offset
+            for c in channels:
                 out[c].append(row[c])
             out["workout_id"].append(path)
             out["seq"].append(len(out["seq"]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cadentia.functions import formula
 from cadentia.operators import effect, features, load, plan, power, quality, recovery, running, store, zones
-from cadentia.sources import files
+from cadentia.sources import files, workout_files
 from cadentia.streaming import daily
 
 POINT = "workout_id int, seq int, ts_s int, power int, heart_rate int, cadence int, elevation int, pace double, speed double, distance double, lap_number int, stroke_count int, stroke_type int"
@@ -305,15 +305,15 @@ def test_export_pairs(spark, tmp_path):
         files.export_as(kind, what, w, str(tmp_path / f"{kind}-{what}"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv-pmc")).count() == 58
     p = points(spark, power=[1, 2, 3])
-    one_workout = p.select("workout_id").distinct()
+    one_workout = p.select("workout_id").distinct().selectExpr("workout_id", "DATE '2024-05-01' AS date", "3 AS duration_seconds", "'a & b' AS notes")
     files.export_as("pwx", "workout", one_workout, str(tmp_path / "pwx"), p, power.mean_max_full(p))
-    assert spark.read.text(str(tmp_path / "pwx")).first()[0].count("<entry>") == 3
+    assert spark.read.text(f"{tmp_path}/pwx/*", wholetext=True).first()[0].count("<peak>") == 3
     with pytest.raises(ValueError):
         files.export_as("pwx", "workout", w, str(tmp_path / "two"), p)
     with pytest.raises(ValueError):
         files.export_as("json", "pmc", w, str(tmp_path / "none"))
     long = spark.range(1, 1001).select(F.lit(1).alias("workout_id"), F.col("id").cast("int").alias("duration_s"), F.lit(5).alias("max_power"))
-    assert one(files.pwx(p, long)).xml.count("<entry>") == 334
+    assert len(one(workout_files.documents(one_workout, p, long)).metrics.powerCurve.peak) == 334
 
 
 def test_import_bookkeeping(spark):
@@ -348,7 +348,8 @@ def test_exports(spark, tmp_path):
         assert getattr(reader, kind)(str(tmp_path / kind)).count() == 3
     with pytest.raises(ValueError):
         files.export(p, "pdf", str(tmp_path / "x"))
-    assert one(files.pwx(p)).xml.count("<sample>") == 3
+    workouts = p.select("workout_id").distinct().selectExpr("workout_id", "DATE '2024-05-01' AS date", "3 AS duration_seconds", "CAST(NULL AS STRING) AS sport")
+    assert len(one(workout_files.documents(workouts, p)).sample) == 3
     assert [r.seq for r in files.downsampled(p, 2).orderBy("seq").collect()] == [0, 1, 2]
 
 
