@@ -65,17 +65,26 @@ def estimated_tss(workouts: DataFrame) -> DataFrame:
 
 
 def tss(points: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The first method that gives a value: power for cycling, pace for running and swimming, then heart rate, then the estimate."""
-    named = lambda df, n: df.select("workout_id", F.col("tss").alias(n))
-    parts = [(power_tss(points, sessions), "p"), (pace_tss(points, sessions, True), "r"), (pace_tss(points, sessions, False), "s"), (hr_tss(points, sessions), "h"), (estimated_tss(sessions), "e")]
-    out = sessions.select("workout_id", "sport", "duration_seconds")
-    for df, name in parts:
-        out = out.join(named(df, name), "workout_id", "left")
-    first = F.when(F.col("sport") == "Cycling", F.col("p")).when(F.col("sport") == "Running", F.col("r")).when(F.col("sport") == "Swimming", F.col("s"))
+    """The first method that gives a value: power for cycling, pace for running and swimming, then heart rate, then the estimate.
+
+    All methods come from one window over a workout's samples, one aggregation and one join with the sessions.
+    """
+    order = Window.partitionBy("workout_id").orderBy("seq")
+    climbed = F.col("elevation") - F.last("elevation", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = points.select("workout_id", "heart_rate", "pace", F.avg("power").over(order.rowsBetween(0, 29)).alias("m"), climbed.alias("up"))
+    g = rows.groupBy("workout_id").agg(
+        F.floor(F.sqrt(F.sqrt(F.avg(F.pow("m", F.lit(4)))))).cast("int").alias("np"), F.avg("heart_rate").alias("hr"), F.avg(F.when(F.col("pace") > 0, 1 / F.col("pace"))).alias("inverse"), F.coalesce(F.sum(F.when(F.col("up") > 0, F.col("up"))), F.lit(0)).alias("gain"),
+    )
+    x = sessions.select("workout_id", "sport", "duration_seconds", "ftp", "lthr", "threshold_pace").join(g, "workout_id", "left")
+    squared = lambda factor: F.col("duration_seconds") / 3600 * factor * factor * 100
+    pace = squared(F.col("threshold_pace") * F.col("inverse"))
+    climbing = 1 + F.when(F.coalesce("gain", F.lit(0)) > 0, 0.02 * F.col("gain") / F.col("duration_seconds")).otherwise(0.0)
+    first = F.when(F.col("sport") == "Cycling", squared(F.col("np") / F.col("ftp"))).when(F.col("sport") == "Running", pace * climbing).when(F.col("sport") == "Swimming", pace)
+    x = x.select("workout_id", "sport", "duration_seconds", first.alias("first"), squared(F.col("hr") / F.col("lthr")).alias("beats"), (F.col("duration_seconds") / 3600 * lookup(F.col("sport"), HOURLY)).alias("estimate"))
     name = F.when(F.col("sport") == "Cycling", "power").otherwise("pace")
-    return out.select(
-        "workout_id", "sport", "duration_seconds", F.coalesce(first, "h", "e").alias("tss"),
-        F.when(first.isNotNull(), name).when(F.col("h").isNotNull(), "heart_rate").otherwise("estimated").alias("method"),
+    return x.select(
+        "workout_id", "sport", "duration_seconds", F.coalesce("first", "beats", "estimate").alias("tss"),
+        F.when(F.col("first").isNotNull(), name).when(F.col("beats").isNotNull(), "heart_rate").otherwise("estimated").alias("method"),
     )
 
 

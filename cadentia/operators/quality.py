@@ -159,13 +159,19 @@ def sequence_checks(points: DataFrame, transitions: int = 5, laps: int = 500, ba
     return g.select("workout_id", "transitions", "lap_span", "largest_back", ok.alias("ok"))
 
 
+#: Just above a half: the upper median of an even number of values.
+UPPER_HALF = 0.5 + 1e-9
+
+
 def elevation_outliers(points: DataFrame) -> DataFrame:
     """Elevations further from the upper median than five mean absolute deviations become null."""
-    known = points.where("elevation is not null").groupBy("workout_id").agg(F.array_sort(F.collect_list("elevation")).alias("xs"))
-    med = known.select("workout_id", "xs", F.element_at("xs", F.floor(F.size("xs") / 2).cast("int") + 1).alias("med"))
-    dev = med.select("workout_id", "med", (F.aggregate("xs", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("med"))) / F.size("xs")).alias("mad"))
-    joined = points.join(dev, "workout_id", "left")
-    return joined.withColumn("elevation", F.when(F.abs(F.col("elevation") - F.col("med")) <= 5 * F.col("mad"), F.col("elevation"))).drop("med", "mad")
+    e = of("elevation")
+    by = Window.partitionBy(of("workout_id"))
+    upper = F.expr(f"percentile_disc({UPPER_HALF}) WITHIN GROUP (ORDER BY elevation)")  # keeps a count for each height, not each sample
+    median = points.groupBy(F.col("workout_id").alias("of_workout")).agg(upper.alias("median"))
+    x = whole(points).join(median, of("workout_id") == F.col("of_workout"), "left").withColumn("away", F.abs(e - F.col("median")))
+    x = x.withColumn("spread", F.avg("away").over(by))
+    return _numbered(x, points.columns, "elevation", F.when(F.col("away") <= 5 * F.col("spread"), e))
 
 
 def store_issues(workouts: DataFrame, today: str) -> DataFrame:

@@ -20,10 +20,11 @@ def hrv_score(rmssd: Column, baseline: Column) -> Column:
 
 
 def ema_baseline(rows: DataFrame, key: str, alpha: float) -> DataFrame:
-    """Exponential mean of a key's readings in time order, from the first: a fold over its array."""
-    xs = rows.where("rmssd is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", "night_id", "rmssd"))).alias("xs"))
-    fold = F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), F.element_at("xs", 1)["rmssd"], lambda a, x: x["rmssd"] * alpha + a * (1 - alpha))
-    return xs.select(key, fold.alias("baseline"), F.size("xs").alias("n"))
+    """Exponential mean of a key's readings in time order, from the first: each reading's weight follows from its place, so it is a plain sum."""
+    order = Window.partitionBy(key).orderBy(F.desc("date"), F.desc("night_id"))
+    x = rows.where("rmssd is not null").select(key, "rmssd", (F.row_number().over(order) - 1).alias("later"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("later")) * F.when(F.col("later") == F.col("n") - 1, 1.0).otherwise(alpha)
+    return x.groupBy(key).agg(F.sum(F.col("rmssd") * weight).alias("baseline"), F.count("*").alias("n"))
 
 
 def hrv_baseline(rows: DataFrame, key: str, readings: int = 7, least: int = 3, cutoff: float = 3.5) -> DataFrame:
