@@ -55,21 +55,21 @@ TEMPLATES = [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
         " either version 3 of the license or at your option any later version",
         "gnu general public",
-        "lesser library affero",
+        "lesser affero",
     ),
     (
         "lgpl",
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software"
         " foundation either version 2 1 of the license or at your option any later version",
-        "gnu",
-        "affero",
+        "gnu lesser",
+        "",
     ),
     (
         "agpl",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software"
         " foundation either version 3 of the license or at your option any later version",
         "affero",
-        "lesser",
+        "",
     ),
     (
         "bsd",
@@ -84,7 +84,7 @@ TEMPLATES = [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this"
         " permission notice appear in all copies",
         "fee purpose",
-        "sublicense",
+        "",
     ),
     (
         "mpl",
@@ -92,12 +92,24 @@ TEMPLATES = [
         "mozilla",
         "",
     ),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution", "noncommercial noderivatives sharealike nc nd sa"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons noncommercial", "noderivatives sharealike nd sa"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons sharealike", "noncommercial nc"),
+    # notices that differ from their neighbours by a word inside stand word for word
+    ("lgpl", "gnu lesser general public license", "", ""),
+    ("lgpl", "gnu library general public license", "", ""),
+    ("agpl", "gnu affero general public license", "", ""),
+    ("cc-by", "creative commons attribution 4 0 international", "", ""),
+    ("cc-by", "creative commons attribution 3 0 unported", "", ""),
+    ("cc-by", "creative commons attribution license", "", ""),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international", "", ""),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international", "", ""),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international", "", ""),
+    ("cc-by-sa", "creative commons attribution sharealike 3 0 unported", "", ""),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international", "", ""),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international", "", ""),
     ("cc-by", "licensed under cc by 4 0", "", ""),
     ("cc-by-nc", "licensed under cc by nc 4 0", "", ""),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "", ""),
     ("cc-by-sa", "licensed under cc by sa 4 0", "", ""),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "", ""),
     ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "", ""),
     ("bsd", "under the bsd license", "", ""),
     ("bsd", "2 clause bsd license", "", ""),

@@ -59,10 +59,11 @@ likely AS (SELECT id, ws FROM w WHERE list_has_any(ws, (SELECT list_distinct(fla
 places AS (SELECT id, label, i FROM (SELECT id, ws, p, label, unnest(range(1, len(ws) + 1)) AS i FROM likely, phrases) WHERE ws[i] = p[1] AND ws[i : i + len(p) - 1] = p),
 base AS (SELECT id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY 1),
 windows AS (SELECT id, ws, label, t, apart, never, phrase, list_distinct(ws[first + 1 : first + width]) AS seen
-  FROM (SELECT id, ws, label, t, apart, never, width, phrase, unnest(range(0, greatest(1, len(ws) - width // 2), width // 2)) AS first FROM likely, templates)),
+  FROM (SELECT id, ws, label, t, apart, never, width, phrase, unnest(range(0, greatest(1, len(ws) - width // 2), width // 2)) AS first FROM likely, templates WHERE phrase IS NULL)),
 blocks AS (SELECT id, label, len(list_intersect(seen, t)) / len(t)::DOUBLE AS share FROM windows
-  WHERE len(list_intersect(seen, t)) >= (CASE WHEN phrase IS NULL THEN 0.8 ELSE 1 END) * len(t) AND list_has_all(seen, apart) AND NOT list_has_any(seen, never)
-    AND (phrase IS NULL OR contains(' ' || array_to_string(ws, ' ') || ' ', phrase))),
+  WHERE len(list_intersect(seen, t)) >= 0.8 * len(t) AND list_has_all(seen, apart) AND NOT list_has_any(seen, never)
+  -- a notice that stands word for word lies in one window as a whole
+  UNION ALL SELECT id, label, 1 FROM (SELECT id, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM likely), templates WHERE phrase IS NOT NULL AND contains(line, phrase)),
 found AS (SELECT id, list_distinct(list(label)) AS labels, max(share) AS best FROM blocks GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,

@@ -112,6 +112,21 @@ SAID = [
         " list of conditions and the following disclaimer in the documentation provided with the distribution.",
         "bsd",
     ),
+    *[
+        (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+            labels,
+        )
+        for kind, version, labels in (("", "3", "gpl"), ("", "2", "gpl"), ("Affero ", "3", "agpl,gpl"), ("Lesser ", "3", "gpl,lgpl"))
+    ],
+    ("Elle a pris sa valise. This work is licensed under a Creative Commons Attribution 4.0 International License. Elle a pris sa valise.", "cc-by"),
+    ("Und nd und nc: licensed under CC BY 4.0, sa maison", "cc-by"),
+    ("the work is licensed under a creative commons license with attribution and is an international 4 0 thing", ""),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+    ("This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.", "cc-by-sa"),
+    ("under the terms of the GNU Library General Public License, version 2", "gpl,lgpl"),
+    ("a library of lesser known works by the general public", ""),
 ]
 
 
@@ -121,6 +136,17 @@ def test_license_labels_by_hand(spark):
     assert [(text, out[i]) for i, (text, _) in enumerate(SAID)] == SAID
 
 
+def test_no_license_is_taken_for_its_neighbour(spark):
+    """Each template alone, and between foreign words, has its own label and, but for base phrases, no other."""
+    base = lambda text: {label for phrase, label in licenses.PHRASES if phrase in text}
+    rows = [(2 * i + j, around + text + around) for i, (_, text, _, _) in enumerate(licenses.TEMPLATES) for j, around in enumerate(("", " sa nc nd maison haus "))]
+    out = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        label = licenses.TEMPLATES[i // 2][0]
+        longer = {other for other, t, _, _ in licenses.TEMPLATES if f" {t} " in f" {text} "}
+        assert out[i] == {label} | longer | base(text), text
+
+
 def plain_spans(text):
     text = text or ""
     digits = lambda x: re.sub("[^0-9]", "", x)
