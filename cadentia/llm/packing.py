@@ -31,6 +31,8 @@ MEMO_WORDS = 250_000
 SIGNS = ".,;:!?)]}%$#&*|\""
 #: Bands of lengths end at these parts of the capacity; supersteps in a band at most (what is left then opens sequences).
 BANDS, SWEEPS = (2, 4, 8, 32), 4
+#: Largest capacity: a sequence's number is its step, the pieces in it, a group and a place there, in 6, 17, 24 and 16 bits.
+MOST_CAPACITY = (1 << 17) - 1
 #: Pieces of one class that are ranked together, about.
 GROUP_ROWS = 1000
 
@@ -247,7 +249,7 @@ def _opened(pieces: DataFrame, capacity: int, step: int) -> tuple[DataFrame, Dat
     group = Window.partitionBy("k", "salt")
     ranked = dealt.withColumn("place", F.row_number().over(group.orderBy(F.desc("length"), "row")) - 1).withColumn("whole", F.floor(F.count("*").over(group) / F.col("k")) * F.col("k"))
     number = F.floor(F.col("place") / F.col("k")).cast("long")
-    sequence = F.when(F.col("place") < F.col("whole"), ((F.lit(step).cast("long") * 8192 + F.col("k")) * (1 << 24) + F.col("salt")) * (1 << 20) + number)
+    sequence = F.when(F.col("place") < F.col("whole"), ((F.lit(step).cast("long") * (MOST_CAPACITY + 1) + F.col("k")) * (1 << 24) + F.col("salt")) * (1 << 16) + number)
     done = settle(ranked.select("item", "row", "length", sequence.alias("sequence_id")))
     return done.where("sequence_id is not null"), done.where("sequence_id is null").drop("sequence_id"), max(salts.values()) <= 1
 
@@ -279,11 +281,15 @@ def _fitted(pieces: DataFrame, capacity: int, step: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Give each row its sequence_id and offset; column ``length`` tells its size, from 1 to ``capacity``.
 
-    All columns are kept as they are (they travel as one struct); rows without a length
-    or beyond the capacity are an error. Equal rows are packed as often as they come; an empty table gives none.
+    All columns are kept as they are (they travel as one struct); rows without a length, of none
+    or beyond the capacity are an error, as is a capacity above MOST_CAPACITY. Equal rows are packed as often as they come; an empty table gives none.
     Within a sequence the longest comes first. Work on the driver: a row for each range and for each class.
     """
-    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("item"))
+    if not 1 <= capacity <= MOST_CAPACITY:
+        raise ValueError(f"a sequence holds 1 to {MOST_CAPACITY} tokens")
+    wrong = F.raise_error(F.format_string(f"a piece's length must be from 1 to {capacity}, not %s", F.coalesce(F.col("`length`").cast("string"), F.lit("null")))).cast(pieces.schema["length"].dataType)
+    checked = {"length": F.when(F.col("`length`").between(1, capacity), F.col("`length`")).otherwise(wrong).alias("length")}
+    rows = pieces.select(F.struct(*(checked.get(c, F.col(f"`{c}`")) for c in pieces.columns)).alias("item"))
     rows = settle(rows).withColumn("row", F.monotonically_increasing_id()).withColumn("length", F.col("item.length").cast("long"))
     free = F.lit(capacity) - F.col("used")
     placed, gaps, tails, high, step = [], None, None, capacity, 0

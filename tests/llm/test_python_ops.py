@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadentia.llm import entry, langid, mixing, packing, quality
@@ -81,6 +82,20 @@ def test_supersteps_pack_as_best_fit_does(spark, draw, monkeypatch):
     assert len(places) <= 1.02 * plain_best_fit(sizes, cap) + 2, (len(places), plain_best_fit(sizes, cap))
 
 
+def test_large_capacities_and_wrong_lengths(spark):
+    frame = lambda sizes: spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id long, length long")
+    for cap in (32_768, packing.MOST_CAPACITY):
+        out = packing.pack(frame([1, 2] * 30_000 + [cap]), cap).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert max(r.n for r in out) <= cap and sum(r.n for r in out) == 90_000 + cap
+    for wrong in (0, None, 11):
+        with pytest.raises(Exception, match="length must be from 1 to 10"):
+            packing.pack(frame([5, wrong]), 10).collect()
+    for cap in (0, packing.MOST_CAPACITY + 1):
+        with pytest.raises(ValueError, match="a sequence holds"):
+            packing.pack(frame([5]), cap)
+    assert packing.pack(frame([]), 10).count() == 0
+
+
 def test_ids_of_odd_strings():
     """The word memo gives the plain tokenizer's ids, special-token strings and odd letters included."""
     tokenizer = Tokenizer.from_file(entry.tokenizer_path())
