@@ -12,9 +12,10 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.operators import features, power, quality, registry, store
+from cadentia.operators import features, load, power, quality, registry, store
 from cadentia.plans.body import TE
 from cadentia.plans.common import i8, points_query, r4, rounded, sql, workouts_query
+from cadentia.plans.load import S
 from cadentia.plans.power import BEST, FULL, KNOWN
 from cadentia.sources import files, storage, views, workout_files
 from cadentia.sources import cache as stored_files
@@ -48,8 +49,8 @@ def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(read.groupBy(c("distance").cast("long").alias("workout_id")).agg(*sums))
 
 
-def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of a file for each user; some have no known column, some only a header. What became of each, by user."""
+def imports_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A folder of a file for each user, imported; some have no known column, some only a header."""
     p, folder = views.points(spark, sf_dir).select("workout_id", "seq", "heart_rate", "power"), scratch(spark)
     user = c("workout_id").alias("of")
     rows = p.where("workout_id % 5 > 1").select(user, c("seq").alias("elapsed"), F.lit("a, b").alias("note, free"), c("power").alias("watts"), c("heart_rate").alias("BPM"))
@@ -58,12 +59,31 @@ def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition("of").write.partitionBy("of").option("header", True).csv(folder, mode="append")
     odd.repartition("of").write.partitionBy("of").option("header", True).csv(folder, mode="append")
     bare.repartition("of").write.partitionBy("of").option("header", False).option("quote", "").csv(folder, mode="append")
-    points, results = imported.import_csv(spark, f"{folder}/of=*")
+    return imported.import_csv(spark, f"{folder}/of=*")
+
+
+def import_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each file, by user."""
+    points, results = imports_of(spark, sf_dir)
     of = F.regexp_extract("path", "/of=([0-9]+)/", 1).cast("long").alias("workout_id")
     sums = points.groupBy(F.regexp_extract("workout_id", "/of=([0-9]+)/", 1).cast("long").alias("workout_id")).agg(F.sum("power").alias("power"), F.sum("heart_rate").alias("heart_rate"))
     return rounded(results.select(of, "state", "reason", "points").join(sums, "workout_id", "left"))
 
 
+def written_back(spark: SparkSession, rows: DataFrame, kind: str) -> DataFrame:
+    """Rows exported as a kind of file and read again."""
+    folder = scratch(spark)
+    files.export(rows, kind, folder)
+    return getattr(spark.read.option("header", True), kind)(folder)
+
+
+def exported_pmc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of fitness and fatigue as CSV, read again."""
+    folder = scratch(spark)
+    files.export_as("csv", "pmc", views.workouts(spark, sf_dir), folder)
+    return rounded(spark.read.option("header", True).csv(folder).select("date", c("ctl").cast("double").alias("ctl"), c("atl").cast("double").alias("atl")))
+
+
 def xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each workout's samples written as an XML file of its own, read back."""
     p, folder = views.points(spark, sf_dir), scratch(spark)
@@ -202,7 +222,10 @@ QUERIES = {
     "sensor_channels": sensors,
     "csv_times": csv_times,
     "scaled_fields": lambda spark, d: rounded(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", files.converted(c("p_size").cast("double"), F.when(c("p_partkey") % 3 > 0, (c("p_partkey") % 10 + 1).cast("double")), F.when(c("p_partkey") % 4 > 0, F.lit(2.5))).alias("value"))),
-    "import_report": lambda spark, d: rounded(files.import_report(spark.read.parquet(f"{d}/events.parquet").select((c("event_id") % 9 > 0).alias("ok"), c("user_id").alias("points"), (c("event_id") % 50).alias("millis")))),
+    "import_report": lambda spark, d: rounded(imported.report(imports_of(spark, d)[1]).drop("mean_millis")),
+    "import_failures": lambda spark, d: rounded(imported.failures_by_reason(imports_of(spark, d)[1])),
+    "export_json": lambda spark, d: rounded(written_back(spark, load.report_totals(views.workouts(spark, d), "athlete_id"), "json").select("athlete_id", "n", "total_tss", "main_sport"), 6),
+    "export_pmc": exported_pmc,
     "cache_kept": lambda spark, d: rounded(store.evict(cache(spark, d), "2023-12-24 22:13:20", 30, KEPT).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("fingerprint").alias("first"))),
     "cache_metrics": lambda spark, d: rounded(files.cache_metrics(spark.read.parquet(f"{d}/events.parquet").select((c("event_id") % 3 > 0).alias("hit")), cache(spark, d))),
     "device_matches": device_matches,
@@ -225,6 +248,7 @@ QUERIES = {
 }
 
 Z = "coalesce(tss, 0)"
+ALL_DAYS = tuple(x.replace("SELECT sport AS k", "SELECT 'all' AS k") for x in S)
 WORN = """split AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN power + 1600 ELSE power END AS w, CAST(trunc(power * balance / 200.0::DOUBLE) AS BIGINT) AS l FROM points),
 fixed AS (SELECT *, CASE WHEN spike THEN NULL WHEN workout_id % 4 = 2 AND l IS NOT NULL AND r IS NULL THEN l ELSE w END AS p FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN power - l END AS r, workout_id % 4 = 0 AS garmin,
   workout_id % 4 = 0 AND workout_id % 8 > 0 AND workout_id % 1500 <= 1000 AS old, coalesce(workout_id % 4 = 1 AND ts_s <= 5 AND w > 1500, false) AS spike FROM split))"""
@@ -253,7 +277,10 @@ ORACLES = {
     "series_statistics": f"SELECT count(*) AS series, {i8('sum(p_size * 100)', 'original_bytes')}, {i8('sum(p_size * 37)', 'stored_bytes')}, {r4('sum(p_size * 100) / sum(p_size * 37)::DOUBLE', 'ratio')} FROM part",
     "sensor_channels": "SELECT channels, location, sensor, n FROM (SELECT p_partkey % 9 AS k, count(*) AS n FROM part GROUP BY 1) JOIN (VALUES (0, 'smo2', 'left_quadriceps', NULL), (1, 'thb', NULL, NULL), (2, 'core_temp', NULL, 'core_sensor'), (3, 'skin_temp', NULL, 'skin_sensor'), (4, 'right_torque_effectiveness', NULL, NULL), (5, 'gradient,gradient_adjusted_power', NULL, NULL), (6, 'wind_speed', NULL, NULL), (7, 'left_power_phase_end', NULL, NULL), (8, '', NULL, NULL)) v(k, channels, location, sensor) USING (k)",
     "scaled_fields": f"SELECT {i8('p_partkey', 'p_partkey')}, {r4('p_size / CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey % 10 + 1 AS DOUBLE) ELSE 1 END - CASE WHEN p_partkey % 4 > 0 THEN 2.5 ELSE 0 END', 'value')} FROM part",
-    "import_report": f"SELECT count(*) AS files, count(*) FILTER (event_id % 9 > 0) AS succeeded, {r4('100.0 * count(*) FILTER (event_id % 9 > 0) / count(*)', 'success_pct')}, {i8('sum(user_id)', 'points')}, {r4('avg(event_id % 50)', 'mean_millis')} FROM events",
+    "import_report": sql(f"SELECT count(*) AS files, count(*) FILTER (u % 5 > 1) AS imported, count(*) FILTER (u % 5 <= 1) AS failed, 0::BIGINT AS skipped, {r4('100.0 * count(*) FILTER (u % 5 > 1) / count(*)', 'success_pct')}, {i8('sum(n) FILTER (u % 5 > 1)', 'points')} FROM (SELECT workout_id AS u, count(*) AS n FROM points GROUP BY 1)", POINTS),
+    "import_failures": sql("SELECT 'failed' AS state, CASE WHEN u % 5 = 0 THEN 'no rows' ELSE 'no known column has a value' END AS reason, count(*) AS files FROM (SELECT DISTINCT workout_id AS u FROM points) WHERE u % 5 <= 1 GROUP BY 2", POINTS),
+    "export_json": sql("SELECT athlete_id, count(*) AS n, round(sum(coalesce(tss, 0)), 6) + 0.0 AS total_tss, (SELECT max(sport) FROM (SELECT sport, count(*) AS k FROM workouts x WHERE x.athlete_id = w.athlete_id GROUP BY 1) y WHERE k = (SELECT max(k) FROM (SELECT count(*) AS k FROM workouts x WHERE x.athlete_id = w.athlete_id GROUP BY sport) z)) AS main_sport FROM workouts w GROUP BY athlete_id", WORKOUTS),
+    "export_pmc": sql(f"SELECT strftime(date, '%Y-%m-%d') AS date, {r4('ctl', 'ctl')}, {r4('atl', 'atl')} FROM pmc", *ALL_DAYS),
     "cache_kept": sql(f"SELECT count(*) AS n, {i8('sum(size)', 'bytes')}, min(fingerprint) AS first FROM (SELECT *, sum(size) OVER (ORDER BY seen_at DESC, fingerprint) AS s FROM cache WHERE seen_at >= {NOW} - 30 * 86400) WHERE s <= {KEPT}", CACHE),
     "cache_metrics": sql(f"SELECT h AS hits, n - h AS misses, {r4('h / n::DOUBLE', 'hit_rate')}, entries, {i8('bytes', 'bytes')}, {r4('mean_bytes', 'mean_bytes')} FROM (SELECT count(*) FILTER (event_id % 3 > 0) AS h, count(*) AS n FROM events), (SELECT count(*) AS entries, sum(size) AS bytes, avg(size) AS mean_bytes FROM cache)", CACHE),
     "device_matches": """SELECT device, manufacturer, product, firmware, quirk, maker_name, CASE WHEN maker_name IS NOT NULL THEN product_name END AS product_name FROM (SELECT CAST(s_suppkey AS BIGINT) AS device, CAST([1, 32, 69, 263, 7][s_suppkey % 5 + 1] AS BIGINT) AS manufacturer, CAST([2697, 16, 0][s_suppkey % 3 + 1] AS BIGINT) AS product, CASE WHEN s_suppkey % 7 <> 0 THEN CAST(s_suppkey % 60 * 40 AS BIGINT) END AS firmware FROM supplier) d

@@ -203,11 +203,6 @@ def fit_heads(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("fingerprint"), state.alias("state"))
 
 
-def import_report(results: DataFrame) -> DataFrame:
-    """One row from (path, ok, points, millis): files, successes, rate, points, mean time."""
-    return results.agg(F.count("*").alias("files"), F.count_if("ok").alias("succeeded"), (F.count_if("ok") * 100.0 / F.count("*")).alias("success_pct"), F.sum("points").alias("points"), F.avg("millis").alias("mean_millis"))
-
-
 # -- exports --------------------------------------------------------------------------------------
 
 
