@@ -28,7 +28,7 @@ LONGEST = 5
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _MARKS = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ")
 #: Counters of one partition's summary that P is chosen for; counters that a task holds before it hands them on.
-COUNTERS, HELD = 1 << 20, 1 << 22
+COUNTERS, HELD = 1 << 20, 1 << 21
 #: The bitmap of survivors has so many bits at most; with more fingerprints it is folded, lets more through, and loses none.
 BITMAP_BITS = 1 << 30
 #: Phrases that a task counts before it hands their counts on.
