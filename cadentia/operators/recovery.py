@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadentia.operators.rows import of, whole
+
 
 def hrv_status(rmssd: Column, baseline: Column) -> Column:
     pct = F.try_divide((rmssd - baseline) * 100, baseline)
@@ -56,22 +58,23 @@ def overreaching(rows: DataFrame, key: str, value: str = "rmssd") -> DataFrame:
 
 def sleep_metrics(nights: DataFrame) -> DataFrame:
     """Total, efficiency and score of each night; a night without sleep has nulls."""
-    total = F.col("deep") + F.col("light") + F.col("rem")
-    n = nights.withColumn("total_sleep", F.when(total > 0, total))
-    n = n.withColumn("efficiency", F.col("total_sleep") * 100.0 / (F.col("total_sleep") + F.col("awake")))
-    return n.withColumn("sleep_score", sleep_score(F.col("deep"), F.col("light"), F.col("rem"), F.col("total_sleep"), F.col("efficiency"), F.coalesce("interruptions", F.lit(0))))
+    made = ("total_sleep", "efficiency", "sleep_score")
+    total = of("deep") + of("light") + of("rem")
+    n = whole(nights).withColumn("total", F.when(total > 0, total))
+    # shares and hours stand in columns of their own, so that the score's code stays small enough to be compiled
+    n = n.withColumns({"efficiency": F.col("total") * 100.0 / (F.col("total") + of("awake")), "hours": F.col("total") / 60, **{f"{x}_share": of(x) / F.col("total") * 100 for x in ("deep", "light", "rem")}})
+    score = sleep_score(F.col("deep_share"), F.col("light_share"), F.col("rem_share"), F.col("hours"), F.col("efficiency"), F.coalesce(of("interruptions"), F.lit(0)))
+    return n.select(*(of(c).alias(c) for c in nights.columns if c not in made), F.col("total").alias("total_sleep"), "efficiency", score.alias("sleep_score"))
 
 
 def _in_band(pct: Column, low: float, high: float, points: float, drop: float, most: float) -> Column:
     return F.when(pct.between(low, high), F.lit(points)).when(pct < low, pct / low * points).otherwise(points - F.least((pct - high) / 10.0 * drop, F.lit(most)))
 
 
-def sleep_score(deep: Column, light: Column, rem: Column, total: Column, efficiency: Column, interruptions: Column) -> Column:
-    """Stages 40 points, efficiency 30, duration 20, interruptions 10; truncated."""
-    share = lambda x: x / total * 100
-    hours = total / 60
+def sleep_score(deep: Column, light: Column, rem: Column, hours: Column, efficiency: Column, interruptions: Column) -> Column:
+    """Stages (in per cent of the sleep) 40 points, efficiency 30, duration 20, interruptions 10; truncated."""
     score = (
-        _in_band(share(deep), 13.0, 23.0, 15.0, 5.0, 10.0) + _in_band(share(light), 45.0, 55.0, 10.0, 3.0, 7.0) + _in_band(share(rem), 20.0, 25.0, 15.0, 5.0, 10.0)
+        _in_band(deep, 13.0, 23.0, 15.0, 5.0, 10.0) + _in_band(light, 45.0, 55.0, 10.0, 3.0, 7.0) + _in_band(rem, 20.0, 25.0, 15.0, 5.0, 10.0)
         + F.when(efficiency >= 85, F.lit(30.0)).otherwise(efficiency / 85.0 * 30.0)
         + F.when(hours.between(7, 9), F.lit(20.0)).when(hours < 7, hours / 7.0 * 20.0).otherwise(20.0 - F.least((hours - 9) * 2.0, F.lit(10.0)))
         + F.when(interruptions <= 2, F.lit(10.0)).otherwise(F.greatest(10.0 - (interruptions - 2) * 2.0, F.lit(0.0)))
@@ -124,10 +127,11 @@ def readiness_simple(deviation: Column, sleep: Column, tsb: Column) -> Column:
 def readiness(status: Column, score: Column, sleep: Column, battery_end: Column, stress: Column, has_physiology: Column) -> Column:
     """HRV 30, sleep 25, battery 25, stress 20, weighed by what is present, truncated."""
     hrv = F.when(status == "Balanced", 100.0).when(status == "Unbalanced", 65.0).when(status == "Poor", 30.0).otherwise(F.coalesce(score.cast("double"), F.lit(50.0)))
-    parts = [(hrv, 0.30), (sleep.cast("double"), 0.25), (battery_end.cast("double"), 0.25), (F.when(has_physiology, F.coalesce(100.0 - stress, F.lit(70.0))), 0.20)]
-    total = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in parts), F.lit(0.0))
-    weight = sum((F.when(x.isNotNull(), F.lit(w)).otherwise(0.0) for x, w in parts), F.lit(0.0))
-    return F.floor(F.round(F.try_divide(total, weight), 9)).cast("int")
+    # the first part is never missing, so the weights never come to nothing
+    parts = [(sleep.cast("double"), 0.25), (battery_end.cast("double"), 0.25), (F.when(has_physiology, F.coalesce(100.0 - stress, F.lit(70.0))), 0.20)]
+    total = sum((F.coalesce(x * w, F.lit(0.0)) for x, w in parts), hrv * 0.30)
+    weight = sum((F.when(x.isNotNull(), F.lit(w)).otherwise(0.0) for x, w in parts), F.lit(0.30))
+    return F.floor(F.round(total / weight, 9)).cast("int")
 
 
 def quality(readiness_: Column) -> Column:
