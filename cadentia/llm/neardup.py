@@ -213,7 +213,8 @@ def _across_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     """Close pairs (a, b) of different components in large buckets.
 
     A bucket is cut into blocks of about BLOCK nodes and every two blocks meet in a task, which
-    compares sketches in place and returns only pairs that may be linked; its memory is bounded by BLOCK.
+    compares sketches in place and returns only pairs that may be linked. Its memory is two blocks with their parity
+    bitmaps (4 to 8 bits a shingle); a block's nodes travel as often as the bucket has blocks.
     """
     far = most_odd_bits(percent / 100)
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
