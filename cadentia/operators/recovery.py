@@ -178,9 +178,10 @@ def decision(rows: DataFrame, readiness_: str, planned: str, acwr: str) -> DataF
 def half_split_trend(rows: DataFrame, key: str, value: str, margin: float, relative: bool) -> DataFrame:
     """Second half against first half of a key's readings in order; Stable below three."""
     w = Window.partitionBy(key).orderBy("date", "night_id")
-    x = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    # known values are counted, not filtered: a filter would be pushed below what makes the value and compute it twice
+    x = rows.select(key, F.col(value).alias("v"), F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("i"), F.count(value).over(Window.partitionBy(key)).alias("n"))
     first = F.col("i") <= F.floor(F.col("n") / 2)
-    g = x.groupBy(key).agg(F.count("*").alias("n"), F.avg(F.when(first, F.col("v"))).alias("a"), F.avg(F.when(~first, F.col("v"))).alias("b"))
+    g = x.groupBy(key).agg(F.count("v").alias("n"), F.avg(F.when(first, F.col("v"))).alias("a"), F.avg(F.when(~first, F.col("v"))).alias("b")).where("n > 0")
     d = (F.col("b") - F.col("a")) / F.col("a") * 100 if relative else F.col("b") - F.col("a")
     return g.select(key, F.when(F.col("n") < 3, "Stable").when(d > margin, "Improving").when(d < -margin, "Declining").otherwise("Stable").alias("trend"))
 
