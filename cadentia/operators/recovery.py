@@ -233,8 +233,12 @@ def best_bedtime(rows: DataFrame, key: str) -> DataFrame:
 
 def correlation(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Pearson's r (0 without spread) with a pseudo p of 5 / (|t| + 5) and its reading."""
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.corr(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")).where("n >= 2")
-    r = F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.least(F.greatest("c", F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
+    # as in half_split_trend, what lacks its partner is nulled, not filtered
+    known = rows.select(key, F.when(F.col(y).isNotNull(), F.col(x)).alias("x"), F.when(F.col(x).isNotNull(), F.col(y)).alias("y"))
+    pairs = known.groupBy(key).agg(F.count("x").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")).where("n >= 2")
+    # not F.corr: in ANSI mode it divides by zero where a key's values are all equal
+    c = F.try_divide("c", F.col("sx") * F.col("sy"))
+    r = F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
     p = pairs.select(key, "n", r.alias("r"))
     t = F.abs(F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.least(F.col("r") * F.col("r"), F.lit(0.9999)))))
     strength = F.when(F.abs("r") < 0.3, "weak").when(F.abs("r") < 0.6, "moderate").otherwise("strong")

@@ -9,6 +9,12 @@ from cadentia.plans import files as plans_files
 from cadentia.sources import cache
 
 
+def test_correlation_without_spread(spark):
+    rows = spark.createDataFrame([(1, 80, 50), (1, 80, 60), (2, 70, 50), (2, 80, 60), (2, 90, 70), (2, None, 1), (2, 1, None), (3, 80, 50), (4, None, 50), (4, None, 51)], "k int, x int, y int")
+    got = {r.k: (r.n, r.r) for r in recovery.correlation(rows, "k", "x", "y").collect()}
+    assert got == {1: (2, 0.0), 2: (3, 1.0)}
+
+
 def test_counters_leave_nothing_in_the_driver(spark, sf_dir):
     before = {t.name for t in spark.catalog.listTables()}
     out = plans_files.stream_counters(spark, sf_dir)
