@@ -58,21 +58,21 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_counts(rows: DataFrame) -> DataFrame:
-    """(id, athlete_id, n_later): rows of the same natural key with a larger id; null athletes never match.
+    """(id, athlete_id, n_later): rows of the same natural key with a larger id; null athletes never match. Rows that share id and athlete are one, their counts summed.
 
     One window over the key instead of a self-join: a key that many rows share stays linear.
     """
     w = Window.partitionBy(*NATURAL_KEY).orderBy(F.desc("id"))
     # rows with an equal id see the same count
     later = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(Window.partitionBy(*NATURAL_KEY, "id"))
-    return _keyed(rows).select("id", "athlete_id", later.alias("n_later")).where("n_later > 0")
+    return _keyed(rows).select("id", "athlete_id", later.alias("n_later")).where("n_later > 0").groupBy("id", "athlete_id").agg(F.sum("n_later").alias("n_later"))
 
 
 def duplicates_to_remove(rows: DataFrame) -> DataFrame:
-    """(id, n_earlier) of rows with an earlier twin by creation; ties of creation survive."""
+    """(id, n_earlier) of rows with an earlier twin by creation; ties of creation survive. Rows that share an id are one, their twins summed."""
     w = Window.partitionBy(*NATURAL_KEY).orderBy("created_at")
     earlier = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(Window.partitionBy(*NATURAL_KEY, "created_at"))
-    return _keyed(rows).select("id", earlier.alias("n_earlier")).where("n_earlier > 0")
+    return _keyed(rows).select("id", earlier.alias("n_earlier")).where("n_earlier > 0").groupBy("id").agg(F.sum("n_earlier").alias("n_earlier"))
 
 
 def without_duplicates(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,14 @@ def test_correlation_without_spread(spark):
     assert got == {1: (2, 0.0), 2: (3, 1.0)}
 
 
+def test_rows_of_one_id_are_counted_together(spark):
+    key = (1, "2024-01-01", 60, "Running")
+    rows = spark.createDataFrame([(1, *key, 1), (5, *key, 2), (5, *key, 3), (5, 2, "2024-01-01", 60, "Running", 9)], "id long, athlete_id long, date string, duration_seconds int, sport string, created_at long")
+    assert sorted(map(tuple, store.duplicates_to_remove(rows).collect())) == [(5, 3)]
+    twice = rows.where("id = 1").unionByName(rows)
+    assert sorted(map(tuple, store.duplicate_counts(twice).collect())) == [(1, 1, 4)]
+
+
 def test_counters_leave_nothing_in_the_driver(spark, sf_dir):
     before = {t.name for t in spark.catalog.listTables()}
     out = plans_files.stream_counters(spark, sf_dir)
