@@ -45,14 +45,16 @@ def look_up(cache: DataFrame, asked: DataFrame, now: str | Column, days: int = D
     return answers, after.select(*COLUMNS)
 
 
-def put(cache: DataFrame, entries: DataFrame, now: str | Column, most: int = BYTES) -> DataFrame:
+def put(cache: DataFrame, entries: DataFrame, now: str | Column, most: int | None = BYTES) -> DataFrame:
     """The cache with entries (path, fingerprint, size) put in; of several for a path the largest fingerprint counts.
 
     If old and new sizes together pass ``most``, entries go by their access time, the oldest first (equal times by path), until the surplus is freed; then the
-    new ones replace those of their paths. New entries stay even where they alone are too large.
+    new ones replace those of their paths. New entries stay even where they alone are too large. Without ``most`` nothing goes.
     """
     new = entries.groupBy("path").agg(F.max_by("size", "fingerprint").alias("size"), F.max("fingerprint").alias("fingerprint"))
     new = new.select("path", "fingerprint", "size", _moment(now).alias("cached_at"), _moment(now).alias("accessed_at"))
+    if most is None:
+        return cache.select(*COLUMNS).join(new.select("path"), "path", "left_anti").unionByName(new)
     surplus = cache.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("held")).join(new.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("more")), F.lit(True)).select((F.col("held") + F.col("more") - most).alias("surplus"))  # one row
     # sizes are summed within a day of access, days in order: a cache of any size has few of them
     day = F.to_date("accessed_at").alias("day")
@@ -85,7 +87,7 @@ class Manifest:
         """The state as a version; it is read from versions before it."""
         cache.write.mode("overwrite").parquet(f"{self.path}/version={version}")
 
-    def incremental(self, files: DataFrame, now: str, days: int = DAYS, most: int = BYTES) -> DataFrame:
+    def incremental(self, files: DataFrame, now: str, days: int = DAYS, most: int | None = BYTES) -> DataFrame:
         """Files (path, content) that must be decoded anew, as rows with their fingerprint; they are in the cache from then on.
 
         One version a call: the look-up's outcome and what was put. If the job fails before the version is written, the next call starts from the version before.

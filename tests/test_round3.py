@@ -23,6 +23,16 @@ def test_rows_of_one_id_are_counted_together(spark):
     assert sorted(map(tuple, store.duplicate_counts(twice).collect())) == [(1, 1, 4)]
 
 
+def test_a_manifest_without_a_limit_keeps_every_file(spark, tmp_path):
+    files = spark.createDataFrame([(f"/in/{i}", bytes([i]) * 100) for i in range(10)], "path string, content binary")
+    old, new = files.where("path < '/in/5'"), files.where("path >= '/in/5'")
+    for most, left in ((600, 6), (None, 10)):
+        keeper = cache.Manifest(spark, f"{tmp_path}/{most}")
+        for day, rows in ((1, old), (2, new)):
+            assert keeper.incremental(rows, f"2024-01-0{day} 00:00:00", most=most).count() == 5
+        assert keeper.read(2).count() == left
+
+
 def test_counters_leave_nothing_in_the_driver(spark, sf_dir):
     before = {t.name for t in spark.catalog.listTables()}
     out = plans_files.stream_counters(spark, sf_dir)
