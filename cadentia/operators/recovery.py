@@ -50,7 +50,8 @@ def overreaching(rows: DataFrame, key: str, value: str = "rmssd") -> DataFrame:
     x = x.withColumn("falls", F.coalesce(falls, F.lit(False))).withColumn("island", F.sum(F.when(falls, 0).otherwise(1)).over(w))
     runs = x.where("falls").groupBy(key, "island").agg(F.count("*").alias("days"), F.avg("v").alias("mean"), F.min_by("before", "i").alias("start"), F.min("i").alias("i"))
     best = runs.groupBy(key).agg(F.max_by(F.struct("days", "mean", "start"), F.struct("days", -F.col("i"))).alias("r")).select(key, "r.*").where("days >= 3")
-    pct = (F.col("mean") - F.col("start")) / F.col("start") * 100
+    # per cent before the division: a third of 100 times 1.5 must not fall below 50
+    pct = (F.col("mean") - F.col("start")) * 100 / F.col("start")
     out = best.withColumn("deviation_pct", pct).where("deviation_pct <= -10")
     severity = F.floor(F.least(F.abs("deviation_pct") * 1.5, F.lit(70.0))).cast("int") + F.least(F.col("days") * 5, F.lit(20))
     return out.select(key, F.col("days").alias("consecutive_days"), "deviation_pct", F.least(severity, F.lit(100)).cast("int").alias("severity"))

@@ -23,6 +23,11 @@ def test_rows_of_one_id_are_counted_together(spark):
     assert sorted(map(tuple, store.duplicate_counts(twice).collect())) == [(1, 1, 4)]
 
 
+def test_a_third_of_fall_is_fifty_of_severity(spark):
+    rows = spark.createDataFrame([(1, i, i, v) for i, v in enumerate((90.0, 70.0, 60.0, 50.0))], "k int, night_id int, date int, rmssd double")
+    assert [(r.consecutive_days, r.severity) for r in recovery.overreaching(rows, "k").collect()] == [(3, 65)]
+
+
 def test_a_manifest_without_a_limit_keeps_every_file(spark, tmp_path):
     files = spark.createDataFrame([(f"/in/{i}", bytes([i]) * 100) for i in range(10)], "path string, content binary")
     old, new = files.where("path < '/in/5'"), files.where("path >= '/in/5'")
