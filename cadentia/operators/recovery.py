@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cadentia.operators.rows import of, whole
@@ -219,8 +220,14 @@ def sleep_pattern(rows: DataFrame, key: str) -> DataFrame:
     """Mean and spread of duration, consistency, and the trend of the last three scores against rows four to six from the start."""
     w = Window.partitionBy(key).orderBy("date", "night_id")
     x = rows.select(key, "total_sleep", "sleep_score", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    # whole minutes have exact sums, so a spread on a border of the advice (60) is that border, however the rows were dealt
+    total = lambda c: F.sum(c.cast("decimal(18,0)")).cast("decimal(19,0)")
+    m, known = F.col("total_sleep"), F.count("total_sleep")
+    spread = F.stddev_pop(m)
+    if isinstance(rows.schema["total_sleep"].dataType, (T.IntegerType, T.LongType)):
+        spread = F.try_divide(F.sqrt((known.cast("decimal(19,0)") * total(m * m) - total(m) * total(m)).cast("double")), known)
     g = x.groupBy(key).agg(
-        F.avg("total_sleep").alias("mean_minutes"), F.stddev_pop("total_sleep").alias("sd_minutes"), F.avg("sleep_score").alias("mean_score"), F.max("n").alias("n"),
+        F.avg("total_sleep").alias("mean_minutes"), spread.alias("sd_minutes"), F.avg("sleep_score").alias("mean_score"), F.max("n").alias("n"),
         F.avg(F.when(F.col("i") > F.col("n") - 3, F.col("sleep_score"))).alias("recent"), F.avg(F.when(F.col("i").between(4, 6), F.col("sleep_score"))).alias("older"),
     )
     trend = F.when((F.col("n") < 3) | F.col("older").isNull(), "Stable").when(F.col("recent") > F.col("older") + 2, "Improving").when(F.col("recent") < F.col("older") - 2, "Declining").otherwise("Stable")

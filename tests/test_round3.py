@@ -28,6 +28,14 @@ def test_a_third_of_fall_is_fifty_of_severity(spark):
     assert [(r.consecutive_days, r.severity) for r in recovery.overreaching(rows, "k").collect()] == [(3, 65)]
 
 
+def test_a_spread_of_exactly_an_hour(spark):
+    # both halves an hour from the mean, dealt over many tasks
+    rows = spark.createDataFrame([(k, i, i, 300 + k + 120 * (i * 7 % 11 % 2 if i < 10 else i % 2), 70) for k in range(40) for i in range(10 + 2 * k)], "k int, night_id int, date int, total_sleep int, sleep_score int")
+    even = rows.groupBy("k").agg({"total_sleep": "avg"}).where("`avg(total_sleep)` = 360 + k").select("k")
+    got = recovery.sleep_pattern(rows.join(even, "k").repartition(64), "k").collect()
+    assert len(got) > 10 and {(r.sd_minutes, r.consistency) for r in got} == {(60.0, 50.0)}
+
+
 def test_a_manifest_without_a_limit_keeps_every_file(spark, tmp_path):
     files = spark.createDataFrame([(f"/in/{i}", bytes([i]) * 100) for i in range(10)], "path string, content binary")
     old, new = files.where("path < '/in/5'"), files.where("path >= '/in/5'")
