@@ -150,7 +150,9 @@ def pmc(daily: DataFrame, key: str, ctl_days: int = 42, atl_days: int = 7, ramp_
     gaps = gaps.withColumns({f"{c}_on": F.col(f"{c}_in") + F.pow(F.lit(d), F.col("j") + 1) * F.col(f"{c}_carry") for c, d in keep.items()})
     by_day = Window.partitionBy(key).orderBy("on")
     eve = F.coalesce(F.lag("ctl_on").over(by_day) * F.pow(F.lit(keep["ctl"]), F.datediff("on", "last_on") - 1), F.lit(0.0))
-    gaps = gaps.select(key, "first", "on", "tss", "ctl_on", "atl_on", eve.alias("eve"), F.explode(F.sequence(F.when(F.col("last_on").isNull(), F.col("origin")).otherwise(F.col("on")), F.col("to"))).alias("date"))
+    # in a select of its own: beside the explode the window would sort the dense days
+    gaps = gaps.withColumn("eve", eve)
+    gaps = gaps.select(key, "first", "on", "tss", "ctl_on", "atl_on", "eve", F.explode(F.sequence(F.when(F.col("last_on").isNull(), F.col("origin")).otherwise(F.col("on")), F.col("to"))).alias("date"))
     gone = F.datediff("date", "on")
     mean = lambda c, after: F.col(f"{c}_on") * F.pow(F.lit(keep[c]), after)
     days = gaps.select(

@@ -6,6 +6,7 @@ import math
 
 from cadentia.operators import effect, recovery, store
 from cadentia.plans import files as plans_files
+from cadentia.plans import load as plans_load
 from cadentia.sources import cache
 
 
@@ -56,3 +57,9 @@ def test_counters_leave_nothing_in_the_driver(spark, sf_dir):
     before = {t.name for t in spark.catalog.listTables()}
     out = plans_files.stream_counters(spark, sf_dir)
     assert out.inputFiles() and {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_dense_days_are_not_sorted(spark, sf_dir):
+    plan = plans_load.QUERIES["pmc_by_athlete"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert not any("Window" in line for line in plan[:made])
