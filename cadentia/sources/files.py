@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,32 +72,47 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(*tried, F.timestamp_seconds(text.try_cast("bigint")))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+#: A cell with the comma before it: quoted (a backslash takes the next character as it is) and what follows up to the next comma, or plain.
+CELL = r',("[^"\\]*+(?:\\.[^"\\]*+)*+(?:"[^,]*+|$)|[^,]*+)'
+
+
+def cells(line: Column) -> Column:
+    """The cells of a CSV line, however many, quotes as they stand."""
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+
+
+def unquoted(cell: Column) -> Column:
+    """What a quoted cell holds, also one that the line's end closes; other cells as they stand."""
+    inner = r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"?$'
+    quoted = F.startswith(cell, F.lit('"')) & cell.rlike(inner)
+    return F.when(quoted, F.regexp_replace(F.regexp_extract(cell, inner, 1), r'\\(["\\])', "$1")).otherwise(cell)
+
+
+def read_csv(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Samples of every CSV at a path, one workout a file: workout_id (the file), seq, ts_s, started and channels.
 
     Each file goes by its own header: names by their aliases, in any order; unknown columns are ignored, the first of two equal
     ones counts, cells that don't parse or are missing are null. Times are seconds since the file's first time, 0 at least;
     decimal numbers are elapsed seconds as they stand; without a time the row's place counts.
     Quoted cells, of the header too, may hold commas, not line breaks. A file without rows gives none.
+    Files are read in one pass: a file's lines meet in one shuffle, where its first one tells the places of the channels.
     """
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("workout_id"), at.alias("line"), "value").where(F.trim("value") != "")
-    heads = lines.where("line.block = 0").groupBy("workout_id").agg(F.min("line").alias("first_line"), F.min_by("value", "line").alias("head")).persist()  # a row a file
-    width = heads.agg(F.coalesce(F.max(F.size(F.split("head", ","))), F.lit(1))).first()[0]  # no header has more cells
-    fields = [f"c{i}" for i in range(width)]
-    cells = lambda text: F.from_csv(text, ", ".join(f"{f} string" for f in fields), {"mode": "PERMISSIVE"})
-    names = F.transform(F.array(*(F.col(f"x.{f}") for f in fields)), normalised)
-    place = lambda aliases: F.array_position(F.transform("names", lambda x: F.coalesce(x.isin(*aliases), F.lit(False))), True).cast("int")
-    heads = heads.withColumn("x", cells("head")).select("workout_id", "first_line", names.alias("names")).select("workout_id", "first_line", *(place(aliases).alias(f"at_{c}") for c, aliases in ALIASES.items()))
-    rows = lines.join(heads, "workout_id").where("line > first_line").withColumn("x", cells("value")).withColumn("cells", F.array(*(F.col(f"x.{f}") for f in fields)))
-    cell = lambda c: F.when(F.col(f"at_{c}") > 0, F.get("cells", F.col(f"at_{c}") - 1))
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("workout_id"), at.alias("line"), "value").where(F.trim("value") != "")
+    w = Window.partitionBy("workout_id").orderBy("line")
+    numbered = lines.withColumn("number", F.row_number().over(w) - 1).withColumn("cells", cells(F.col("value")))
+    head = F.col("number") == 0
+    numbered = numbered.withColumn("names", F.when(head, F.transform("cells", normalised)))
+    place = lambda aliases: F.array_position(F.transform("names", lambda x: x.isin(*aliases)), True).cast("int")
+    numbered = numbered.withColumn("places", F.when(head, F.struct(*(place(aliases).alias(c) for c, aliases in ALIASES.items()))))
+    numbered = numbered.withColumn("places", F.first("places").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cell = lambda c: F.when(F.col("places")[c] > 0, unquoted(F.get("cells", F.col("places")[c] - 1)))
     number = lambda c: F.trim(cell(c)).try_cast("double").try_cast("int" if c in WHOLE else "double").alias(c)
     channels = [c for c in ALIASES if c != "timestamp"]
-    rows = rows.select("workout_id", "line", F.trim(cell("timestamp")).alias("text"), *map(number, channels))
+    rows = numbered.where(~head).select("workout_id", "line", (F.col("number") - 1).alias("seq"), F.trim(cell("timestamp")).alias("text"), *map(number, channels))
     rows = rows.withColumn("at", parse_time(F.col("text"))).withColumn("plain", F.col("text").try_cast("double"))
-    w = Window.partitionBy("workout_id").orderBy("line")
     started = F.first("at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("seq", F.row_number().over(w) - 1).withColumn("started", started)
+    rows = rows.withColumn("started", started)
     since = F.unix_timestamp("at") - F.unix_timestamp("started")
     return rows.select("workout_id", "seq", F.coalesce(F.when(since < 0, 0).otherwise(since), F.floor("plain"), F.col("seq")).cast("int").alias("ts_s"), "started", *channels)
 
@@ -289,6 +310,58 @@ def export(rows: DataFrame, kind: str, path: str) -> None:
     writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def write_each(rows: DataFrame, path: str) -> int:
+    """Write rows (file, at, text) below a folder, which is emptied before: a file for each ``file`` (its path there), its texts in the order of ``at``, each with a line feed; the number of files.
+
+    Spark's writers take a folder, a check sum, a committed copy and three changes of mode for each value of a partition column, which
+    many small files can't pay. Here the task that has a file's rows streams it into place; it has its name only when it is whole, so a
+    task that is run again leaves the same file. Rows without a file are left out.
+    """
+    system, root = opened(path)
+    system.create_dir(root)
+    system.delete_dir_contents(root)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(path)
+        folders, name, draft, out, n = set(), None, None, None, 0
+
+        def close() -> int:
+            if out is None:
+                return 0
+            out.close()
+            system.move(draft, f"{root}/{name}")
+            return 1
+
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1).to_pylist()
+            codes = names.dictionary_encode()
+            known, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            edges = np.flatnonzero(np.diff(codes, prepend=-1)).tolist()
+            for start, end in zip(edges, [*edges[1:], len(codes)], strict=True):
+                if known[codes[start]] != name:
+                    n += close()
+                    name = known[codes[start]]
+                    folder, _, own = f"{root}/{name}".rpartition("/")
+                    if folder not in folders:
+                        system.create_dir(folder)
+                        folders.add(folder)
+                    draft = f"{folder}/.{own}.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(draft)
+                out.write("".join(f"{text}\n" for text in texts[start:end]).encode())
+        n += close()
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    dealt = rows.where("file IS NOT NULL").repartition("file").sortWithinPartitions("file", "at").select("file", "text")
+    n = dealt.mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    system.open_output_stream(f"{root}/_SUCCESS").close()
+    return n
+
+
 #: Entries of a power curve that a workout file holds, about.
 CURVE_ENTRIES = 300
 

@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from cadentia.sources import fit
+from cadentia.sources.files import opened
 
 #: Columns of the source, whole numbers where the files have them.
 WHOLE = ("elevation", "heart_rate", "cadence", "power", "balance", "ground_contact_time", "vertical_oscillation")
@@ -46,10 +47,6 @@ def planned(sizes: list[tuple[str, int]], most: int = PARTITION_BYTES, opening:
     return [tuple(p[1]) for p in parts]
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 class FitReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.columns = [f.name for f in schema.fields]
@@ -70,7 +67,7 @@ class FitReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Files]:
-        system, path = _opened(self.path)
+        system, path = opened(self.path)
         info = system.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -82,7 +79,7 @@ class FitReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         kinds = {c: KINDS[c][1] for c in self.columns}
         for path in partition.paths:
-            system, inner = _opened(path)
+            system, inner = opened(path)
             with system.open_input_stream(inner) as stream:
                 data = stream.read()
             found = fit.samples(path, data, salvage=self.salvage, wanted=frozenset(self.columns))

@@ -11,6 +11,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadentia.sources import files, fit
 
@@ -41,8 +42,12 @@ class Import(NamedTuple):
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path) of a folder's files, also empty ones, which Spark's readers pass over; the driver has the listing as for any read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).inputFiles()
-    return spark.createDataFrame([(unquote(re.sub("^file:///", "file:/", p)),) for p in found], "path string")
+    return named(spark, spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+
+
+def named(spark: SparkSession, read: DataFrame) -> DataFrame:
+    """(path) of the files that a table is read from, by the listing that its reader made."""
+    return spark.createDataFrame([(unquote(re.sub("^file:///", "file:/", p)),) for p in read.inputFiles()], "path string")
 
 
 def _decoded(salvage: bool) -> Callable:
@@ -85,16 +90,16 @@ def import_fit(spark: SparkSession, path: str, folder: str, salvage: bool = Fals
 
 
 def import_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Samples of a folder's CSV files, and their results; a file without a row below its header fails."""
-    points = files.read_csv(spark, f"{path}/*.csv")
-    listed = listing(spark, path, "*.csv")
-    found = points.groupBy(F.col("workout_id").alias("path")).agg(F.count("*").alias("points"), F.count_if(F.coalesce(*(c for c in files.ALIASES if c != "timestamp")).isNotNull()).alias("known"))
+    """Samples of a folder's CSV files, and their results; a file without a row below its header fails. Both come from one pass over the files."""
+    read = files.read_csv(spark, path, "*.csv")
+    known = F.count_if(F.coalesce(*(c for c in files.ALIASES if c != "timestamp")).isNotNull())
+    found = read.groupBy(F.col("workout_id").alias("path")).agg(F.count("*").alias("points"), known.alias("known"))
     reason = F.when(F.col("points").isNull(), "no rows").when(F.col("known") == 0, "no known column has a value")
-    told = listed.join(found, "path", "left").withColumn("reason", reason)
-    bad = told.where("reason IS NOT NULL").select(F.col("path").alias("workout_id"))
+    told = named(spark, read).join(found, "path", "left").withColumn("reason", reason)
     state = F.when(F.col("reason").isNull(), IMPORTED).otherwise(FAILED)
     results = told.select("path", state.alias("state"), "reason", F.when(F.col("reason").isNull(), F.col("points")).otherwise(0).alias("points"), F.lit(None).cast("double").alias("millis"), F.lit(0).cast("long").alias("bytes_lost"))
-    return points.join(bad, "workout_id", "left_anti"), results
+    good = read.withColumn("_known", known.over(Window.partitionBy("workout_id"))).where("_known > 0").drop("_known")
+    return good, results
 
 
 def skipped(spark: SparkSession, path: str) -> DataFrame:

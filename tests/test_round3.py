@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from cadentia.operators import effect, recovery, store
 from cadentia.plans import files as plans_files
+from cadentia.plans import imports as plans_imports
 from cadentia.plans import load as plans_load
-from cadentia.sources import cache
+from cadentia.sources import cache, files
 
 
 def test_correlation_without_spread(spark):
@@ -63,3 +66,30 @@ def test_dense_days_are_not_sorted(spark, sf_dir):
     plan = plans_load.QUERIES["pmc_by_athlete"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     made = next(i for i, line in enumerate(plan) if "Generate explode" in line)
     assert not any("Window" in line for line in plan[:made])
+
+
+def test_a_file_for_each_name(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "old.csv").write_text("old")
+    rows = spark.range(3000).selectExpr("if(id < 2999, concat(id % 7, '/a=', id % 30, '.csv'), null) AS file", "-id AS at", "concat('é', id) AS text")
+    assert files.write_each(rows, str(tmp_path / "out")) == 210
+    there = {str(f.relative_to(tmp_path / "out")): f.read_text() for f in (tmp_path / "out").rglob("*") if f.is_file()}
+    assert there.pop("_SUCCESS") == "" and len(there) == 210
+    assert there["3/a=10.csv"] == "".join(f"é{i}\n" for i in range(2998, -1, -1) if i % 7 == 3 and i % 30 == 10)
+
+
+def test_files_are_read_once(spark, sf_dir):
+    points, results = plans_imports.imports_of(spark, sf_dir)
+    both = results.join(points.groupBy(points.workout_id.alias("path")).count(), "path", "left")
+    assert both.count() == results.count()
+    both.collect()
+    final = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan text") == 1
+
+
+def test_cells_of_lines_as_csv(spark):
+    lines = ["a,b", "", ",", '"a, b",c', 'x,"a, b"', '"",1', '"a \\"b\\", c",2', '"open, to the end', ' "a, b",c', 'a"b,c"d', '"a, b"c,d', "x," * 40 + "y", '"a"b",c', '"a\\\\",b']
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    known = {r.i: [v for v in r.c] for r in rows.selectExpr("i", f"from_csv(x, '{', '.join(f'c{k} string' for k in range(41))}') AS c").collect()}
+    for r in rows.select("i", F.transform(files.cells(F.col("x")), files.unquoted).alias("c")).collect():
+        assert [x or None for x in r.c] == [x or None for x in known[r.i][: len(r.c)]] and not any(known[r.i][len(r.c) :]), lines[r.i]
