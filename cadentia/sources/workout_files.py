@@ -1,4 +1,4 @@
-"""Workout files in XML, one a workout, by Spark's XML writer."""
+"""Workout files in XML, one a workout, as Spark's ``to_xml`` forms them."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cadentia.sources.files import CURVE_ENTRIES, downsampled
+from cadentia.sources.files import CURVE_ENTRIES, downsampled, write_each
 
 #: The format's root, sports, and a sample's tags with the column that each is from.
+DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 ROOT = 'pwx version="1.0" xmlns="http://www.peaksware.com/PWX/1/0"'
 SPORTS, OTHER_SPORT = {"Running": "Run", "Cycling": "Bike", "Swimming": "Swim", "Triathlon": "Tri", "Rowing": "Row"}, "Cross"
 SAMPLE = {"timeoffset": "ts_s", "hr": "heart_rate", "pwr": "power", "cad": "cadence", "spd": "speed", "dist": "distance", "alt": "elevation", "leftBalance": "left_power", "rightBalance": "right_power"}
@@ -65,12 +66,16 @@ def documents(workouts: DataFrame, points: DataFrame, curves: DataFrame | None =
 def write(workouts: DataFrame, points: DataFrame, path: str, curves: DataFrame | None = None) -> None:
     """A file for each workout, in a folder named ``workout_id=...``."""
     rows = documents(workouts, points, curves)
-    rows.repartition("workout_id").write.mode("overwrite").partitionBy("workout_id").format("xml").option("rootTag", ROOT).option("rowTag", "workout").save(path)
+    document = F.to_xml(F.struct(*(c for c in rows.columns if c != "workout_id")), {"rowTag": "workout"})
+    text = F.concat(F.lit(f"{DECLARATION}\n<{ROOT}>\n"), document, F.lit(f"\n</{ROOT.split()[0]}>"))
+    write_each(rows.select(F.concat(F.lit("workout_id="), "workout_id", F.lit("/workout.xml")).alias("file"), F.lit(0).alias("at"), text.alias("text")), path)
 
 
 def read(spark, path: str) -> DataFrame:
-    """The samples of such files: workout_id, seq and the columns that samples are written from; a file without samples gives none."""
+    """The samples of such files: workout_id (by the folder), seq and the columns that samples are written from; a file without samples gives none."""
     kinds = {"speed": T.DoubleType(), "distance": T.DoubleType()}
     sample = T.StructType([T.StructField(tag, kinds.get(c, T.IntegerType())) for tag, c in SAMPLE.items()])
-    rows = spark.read.schema(T.StructType([T.StructField("sample", T.ArrayType(sample)), T.StructField("workout_id", T.LongType())])).format("xml").option("rowTag", "workout").load(path)
-    return rows.select("workout_id", F.posexplode("sample").alias("seq", "s")).select("workout_id", "seq", *(F.col(f"s.{tag}").alias(c) for tag, c in SAMPLE.items()))
+    # folders are no partitions of a table, so the driver parses and keeps no value for each
+    rows = spark.read.schema(T.StructType([T.StructField("sample", T.ArrayType(sample))])).format("xml").option("rowTag", "workout").option("recursiveFileLookup", True).load(path)
+    of = F.regexp_extract(F.col("_metadata.file_path"), ".*/workout_id=([^/]+)/", 1).try_cast("long")
+    return rows.select(of.alias("workout_id"), F.posexplode("sample").alias("seq", "s")).select("workout_id", "seq", *(F.col(f"s.{tag}").alias(c) for tag, c in SAMPLE.items()))

@@ -10,7 +10,7 @@ from cadentia.operators import effect, recovery, store
 from cadentia.plans import files as plans_files
 from cadentia.plans import imports as plans_imports
 from cadentia.plans import load as plans_load
-from cadentia.sources import cache, files
+from cadentia.sources import cache, files, workout_files
 
 
 def test_correlation_without_spread(spark):
@@ -93,3 +93,13 @@ def test_cells_of_lines_as_csv(spark):
     known = {r.i: [v for v in r.c] for r in rows.selectExpr("i", f"from_csv(x, '{', '.join(f'c{k} string' for k in range(41))}') AS c").collect()}
     for r in rows.select("i", F.transform(files.cells(F.col("x")), files.unquoted).alias("c")).collect():
         assert [x or None for x in r.c] == [x or None for x in known[r.i][: len(r.c)]] and not any(known[r.i][len(r.c) :]), lines[r.i]
+
+
+def test_a_workout_file_is_written_once(spark, tmp_path):
+    workouts = spark.range(40).selectExpr("id AS workout_id", "date'2024-05-01' AS date", "60 AS duration_seconds")
+    points = spark.range(120).selectExpr("id % 40 AS workout_id", "CAST(id DIV 40 AS INT) AS seq", "CAST(id DIV 40 AS INT) AS ts_s", "CAST(id AS INT) AS power")
+    workout_files.write(workouts, points, str(tmp_path / "out"))
+    # a file for each workout and nothing beside it, no check sums either
+    assert sorted(str(f.relative_to(tmp_path / "out")) for f in (tmp_path / "out").rglob("*") if f.is_file()) == sorted(["_SUCCESS", *(f"workout_id={i}/workout.xml" for i in range(40))])
+    got = workout_files.read(spark, str(tmp_path / "out"))
+    assert {(r.workout_id, r.seq, r.power) for r in got.collect()} == {(i % 40, i // 40, i) for i in range(120)}
