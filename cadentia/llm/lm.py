@@ -150,10 +150,15 @@ class Model:
         return Model(self.bits, self.bias.copy(), self.weights.copy(), self.cell_bias, self.cell_weights.copy())
 
 
+def rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at] for places that are all there, without what indexing with an array costs beside the copy."""
+    return np.take(table, at, axis=0, mode="clip")
+
+
 def margins(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    margin = weights[features[:, 0]]
+    margin = rows_of(weights, features[:, 0])
     for k in range(1, features.shape[1]):
-        margin += weights[features[:, k]]
+        margin += rows_of(weights, features[:, k])
     margin += bias
     return np.clip(margin, -60, 60, out=margin)
 
@@ -184,16 +189,20 @@ def step(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, wanted: np
         order, rows = (keys & np.uint64((1 << 20) - 1)).astype(np.int64), (keys >> np.uint64(20)).astype(np.int64)
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
         n = np.diff(starts, append=len(rows))
-        weights[rows[starts]] += (rate / (n + 4)).astype(np.float32)[:, None] * sums_of(slope[order], starts, n)  # rare features move less
+        sums = sums_of(rows_of(slope, order), starts, n)
+        sums *= (rate / (n + 4)).astype(np.float32)[:, None]  # rare features move less
+        at = rows[starts]
+        sums += rows_of(weights, at)
+        weights[at] = sums
     return np.ones(len(slope), np.float32) @ slope / len(slope)
 
 
 def sums_of(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of stretches of rows; most are short, so they are added up side by side, and long ones by themselves."""
-    out = rows[starts]
+    out = rows_of(rows, starts)
     longer = np.flatnonzero(sizes > 1)
     for k in range(1, 8):
-        out[longer] += rows[starts[longer] + k]
+        out[longer] += rows_of(rows, starts[longer] + k)
         longer = longer[sizes[longer] > k + 1]
     for i in longer:
         out[i] += rows[starts[i] + 8 : starts[i] + sizes[i]].sum(axis=0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadentia.operators import effect, recovery, store
@@ -103,3 +105,21 @@ def test_a_workout_file_is_written_once(spark, tmp_path):
     assert sorted(str(f.relative_to(tmp_path / "out")) for f in (tmp_path / "out").rglob("*") if f.is_file()) == sorted(["_SUCCESS", *(f"workout_id={i}/workout.xml" for i in range(40))])
     got = workout_files.read(spark, str(tmp_path / "out"))
     assert {(r.workout_id, r.seq, r.power) for r in got.collect()} == {(i % 40, i // 40, i) for i in range(120)}
+
+
+def test_a_training_step_to_the_bit():
+    lm = pytest.importorskip("cadentia.llm.lm")
+    rng = np.random.default_rng(5)
+    weights, bias = rng.normal(size=(64, 8)).astype(np.float32), rng.normal(size=8).astype(np.float32)
+    features, wanted, rate = rng.integers(0, 64, (500, 3)).astype(np.int32), rng.integers(0, 8, 500), 0.7
+    assert np.array_equal(lm.rows_of(weights, features[:, 1]), weights[features[:, 1]])
+    plain = weights.copy()
+    slope = np.exp(np.clip(plain[features[:, 0]] + plain[features[:, 1]] + plain[features[:, 2]] + bias, -60, 60))
+    slope *= (-1 / (slope @ np.ones(8, np.float32)))[:, None]
+    slope[np.arange(500), wanted] += 1
+    for k in range(3):
+        order = np.argsort(features[:, k], kind="stable")
+        rows, starts, n = np.unique(features[order, k], return_index=True, return_counts=True)
+        plain[rows] += (rate / (n + 4)).astype(np.float32)[:, None] * lm.sums_of(slope[order], starts, n)
+    lm.step(weights, bias, features, wanted, rate)
+    assert np.array_equal(weights, plain)
