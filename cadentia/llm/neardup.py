@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import HOT_KEYS, HOT_ROWS, WordHashes, hot_keys, join_hot, join_uneven, mix64, one_for_each, settle, slices, texts, tidied, whole_rows
+from cadentia.llm.common import HEAVY_KEYS, HOT_KEYS, HOT_ROWS, WordHashes, compact, counted, hot_keys, join_hot, join_uneven, mix64, one_for_each, settle, slices, texts, tidied, whole_rows
 
 #: 25 bands of 5: a pair at 0.85 shares none with probability (1 - 0.85 ** 5) ** 25, below 1e-6; at 0.8, 5e-5.
 BANDS, ROWS = 25, 5
@@ -37,6 +37,8 @@ SLACK = 5.0
 SMALL, BLOCK = 64, 512
 #: Nodes whose sets are looked up by a broadcast of their keys (about 16 bytes each); more go by shuffle.
 BROADCAST_NODES = 400_000
+#: Full sets that are worth a task.
+SETS_ROWS = 1000
 
 _rng = np.random.default_rng(0x0DD5)
 _XOR = _rng.integers(0, 1 << 32, (SAMPLES, 1), dtype=np.uint32)
@@ -141,27 +143,29 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the smallest node it reaches.
 
     Each round hooks a vertex to its smallest neighbour, follows hooks twice and
-    contracts; vertices at least halve. State is settled each round.
+    contracts; vertices at least halve. State is settled each round; once the hooks
+    are few, they are broadcast.
     """
-    edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = settle(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("label")))
-    while not edges.isEmpty():
+    edges, left = counted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, n_nodes = counted(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("label")))
+    while left:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = settle(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"), "n"))
+        hook, n = counted(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"), "n"))
         # a vertex that many hook to, or that has many edges, has as many neighbours
-        hubs = [r[0] for r in hook.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).select("v").collect()]
+        hubs = [r[0] for r in hook.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).select("v").collect()] if n > HEAVY_KEYS else []
         hook = hook.drop("n")
         for hot in (hubs, None):
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            hook = settle(join_hot(hook, up, "p", "left", hot).select("v", F.coalesce("pp", "p").alias("p")))
-        labels = settle(join_hot(labels, hook.withColumnRenamed("v", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")))
+            hook = compact(settle(join_hot(hook, up, "p", "left", hot, n).select("v", F.coalesce("pp", "p").alias("p"))), n)
+        labels = compact(settle(join_hot(labels, hook.withColumnRenamed("v", "label"), "label", "left", n_keys=n).select("node", F.coalesce("p", "label").alias("label"))), n_nodes)
         to = lambda side: hook.select(F.col("v").alias(side), F.col("p").alias(f"{side}p"))
-        edges = settle(join_hot(join_hot(edges, to("a"), "a", hot=hubs), to("b"), "b", hot=hubs).select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct())
+        met = join_hot(join_hot(edges, to("a"), "a", hot=hubs, n_keys=n), to("b"), "b", hot=hubs, n_keys=n)
+        edges, left = counted(met.select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct())
     return labels
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are linked."""
+def _linked(pairs: DataFrame, n_pairs: int, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
+    """Of so many settled pairs (a, b) of nodes those whose full sets are linked, and their number."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("parity").alias(f"p_{x}"))
     far = most_odd_bits(percent / 100)
 
@@ -178,13 +182,12 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
                 keep[i] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum() <= apart[i]
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    pairs = settle(pairs)
-    hot = {x: hot_keys(pairs, x) for x in "ab"}
+    hot = {x: hot_keys(pairs, x, n_pairs) for x in "ab"}
     sized = join_hot(join_hot(pairs, side("a"), "a", hot=hot["a"]), side("b"), "b", hot=hot["b"]).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = settle(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b", "p_a", "p_b").mapInArrow(tidied(close), "a long, b long"))
+    pairs, _ = counted(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b", "p_a", "p_b").mapInArrow(tidied(close), "a long, b long"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = settle(nodes.join(ends, "node", "left_semi").select("key", "node"))
-    if wanted.count() <= BROADCAST_NODES:
+    wanted, n_wanted = counted(nodes.join(ends, "node", "left_semi").select("key", "node"))
+    if n_wanted <= BROADCAST_NODES:
         wanted = F.broadcast(wanted)
 
     def sets(batches):
@@ -194,7 +197,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["node", "items"])
 
     held = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted, "key").select("node", "text")
-    held = settle(held.mapInArrow(tidied(sets), "node long, items binary").dropDuplicates(["node"]))  # both sides read it
+    held = compact(settle(held.mapInArrow(tidied(sets), "node long, items binary").dropDuplicates(["node"])), n_wanted, SETS_ROWS)  # both sides read it
 
     def confirm(batches):
         for batch in batches:
@@ -206,7 +209,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, per
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda x: held.select(F.col("node").alias(x), F.col("items").alias(f"i_{x}"))
-    return settle(join_hot(join_hot(pairs, of("a"), "a", hot=hot["a"]), of("b"), "b", hot=hot["b"]).select("a", "b", "i_a", "i_b").mapInArrow(tidied(confirm), "a long, b long"))
+    return counted(join_hot(join_hot(pairs, of("a"), "a", hot=hot["a"]), of("b"), "b", hot=hot["b"]).select("a", "b", "i_a", "i_b").mapInArrow(tidied(confirm), "a long, b long"))
 
 
 def _across_blocks(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -260,40 +263,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     signed = settle(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()))
     classes = signed.where("n > 0").groupBy("n", "digest").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
-    nodes = settle(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node").select("node", "key", "n", "bands", "sketch", "parity"))
+    nodes, n_nodes = counted(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node").select("node", "key", "n", "bands", "sketch", "parity"))
 
     masks = F.array(*map(F.lit, _MASKS))
     entries = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node", F.element_at(masks, F.col("band") + 1).alias("mask"))
     # a bucket's leader is its smallest node under the band's mask: another order in each band
-    buckets = settle(entries.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.col("mask"))).alias("code"), F.count("*").alias("size")).where("size > 1"))
-    n_entries = nodes.count() * BANDS
-    held = join_uneven(entries, buckets, ["bucket"], "size", n_entries).withColumn("leader", F.col("code").bitwiseXOR(F.col("mask")))
+    buckets, _ = counted(entries.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.col("mask"))).alias("code"), F.count("*").alias("size")).where("size > 1"))
+    held = join_uneven(entries, buckets, ["bucket"], "size", n_nodes * BANDS).withColumn("leader", F.col("code").bitwiseXOR(F.col("mask")))
     pair = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    stars = settle(pair(held, "node", "leader"))
-    edges = _linked(stars, nodes, docs, words, percent)
+    stars, n_stars = counted(pair(held, "node", "leader"))
+    edges, _ = _linked(stars, n_stars, nodes, docs, words, percent)
     labels = components(edges)
 
     # buckets that still hold several components: pairs across them that weren't tested
-    placed = settle(held.select("bucket", "node", "size").join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")))
-    mixed = settle(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"))
-    across = settle(join_hot(placed, mixed, "bucket"))
-    few = across.where(F.col("size") <= SMALL)
-    other = few.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    few = pair(few.join(other, "bucket").where("label <> other_label and node < other"), "node", "other")
-    more = few.union(_across_blocks(across.where(F.col("size") > SMALL), nodes, percent)).distinct().join(stars, ["a", "b"], "left_anti")
-    found = _linked(more, nodes, docs, words, percent)
-    if not found.isEmpty():
-        labels = components(edges.union(found))
+    placed, _ = counted(held.select("bucket", "node", "size").join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")))
+    mixed, n_mixed = counted(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"))
+    if n_mixed:
+        across, _ = counted(join_hot(placed, mixed, "bucket", n_keys=n_mixed))
+        few = across.where(F.col("size") <= SMALL)
+        other = few.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
+        few = pair(few.join(other, "bucket").where("label <> other_label and node < other"), "node", "other")
+        large = _across_blocks(across.where(F.col("size") > SMALL), nodes, percent)
+        more, n_more = counted(few.union(large).distinct().join(stars, ["a", "b"], "left_anti"))
+        found, n_found = _linked(more, n_more, nodes, docs, words, percent)
+        if n_found:
+            labels = components(edges.union(found))
 
     # labels meet classes before classes meet rows: a row for each distinct set, then one join for all rows
-    named = settle(classes.join(labels, "node", "left").select("n", "digest", "copies", F.coalesce("label", "node").alias("label")))
+    named, _ = counted(classes.join(labels, "node", "left").select("n", "digest", "copies", F.coalesce("label", "node").alias("label")))
     total = signed.count()
     full = signed.where("n > 0").select("row", "doc_id", "key", "n", "digest")
     whole = join_uneven(full, named, ["n", "digest"], "copies", total).select("row", "doc_id", "key", "n", "label")
-    whole = settle(whole.unionByName(signed.where("n = 0").select("row", "doc_id", "key", "n", F.col("row").alias("label"))))
+    whole = compact(settle(whole.unionByName(signed.where("n = 0").select("row", "doc_id", "key", "n", F.col("row").alias("label")))), total)
     # ids in order, null last, then rows: the first names the component and is its chosen row
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    first = settle(whole.groupBy("label").agg(order.alias("first"), F.count("*").alias("rows")).select("label", "rows", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("lead")))
+    first, _ = counted(whole.groupBy("label").agg(order.alias("first"), F.count("*").alias("rows")).select("label", "rows", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("lead")))
     return join_uneven(whole, first, ["label"], "rows", total).select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("lead")).alias("chosen")
     )

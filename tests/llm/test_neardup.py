@@ -84,6 +84,34 @@ def test_chains_and_groups_of_near_copies(spark):
     same(cases.frame(spark, rows))
 
 
+def test_many_partitions_take_few_tasks(spark):
+    """With many shuffle partitions that nothing joins, later passes don't take a task and its files for each, let alone for each side of their unions."""
+    rng = random.Random(6)
+    rows = []
+    for group in range(3):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+        for _ in range(40):
+            words = list(words)
+            words[rng.randrange(150)] = words[rng.randrange(150)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words), *[None] * 8))
+    docs, context = cases.frame(spark, rows), spark.sparkContext
+    conf = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("near", "near-duplicates")
+        same(docs)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    told = context.statusTracker()
+    stages = {x for job in told.getJobIdsForGroup("near") for x in told.getJobInfo(job).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(told.getStageInfo, stages) if x)
+    assert tasks < 31 * 125  # 2571 of 6333 before, on 8 cores
+
+
 def test_odd_sketch_tells_similarity():
     rng = np.random.default_rng(2)
     far = neardup.most_odd_bits(0.85)
