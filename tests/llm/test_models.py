@@ -88,6 +88,43 @@ def test_blocks_with_bounds_miss_nothing(monkeypatch):
     assert scored < 0.9 * cells, (scored, cells)
 
 
+def test_long_queries_share_matrices(monkeypatch):
+    """Random shards of two languages: what many queries share with many documents is no posting's visit, and scores are those of full scoring."""
+    rng, count, looked, shared = np.random.default_rng(5), np.bincount, 0, 0
+    mean, k = 60.0, 7
+    for at_least in (0.0, 0.9):
+        held = []
+        for i in range(1000):
+            terms, tf = np.unique(rng.zipf(1.2, rng.integers(1, 300)).astype(np.uint64) % np.uint64(3000) + np.uint64(i % 2 * 2900), return_counts=True)
+            held.append((3 * i, int(tf.sum()), terms, tf))
+        kind = search.kinds(held)
+        held = [held[i] for i in np.argsort(kind, kind="stable")]
+        stored, cuts = search.postings(held), np.append(0, np.cumsum(count(kind, minlength=search.KINDS)))
+        vocabulary = np.unique(np.concatenate([x[2] for x in held[::2]]))
+        idf = rng.random(len(vocabulary)) + 0.1
+        queries = [np.searchsorted(vocabulary, x[2]) for x in held[::2]]
+        full = np.zeros((len(queries), len(held)))
+        for d, (_, n, terms, tf) in enumerate(held):
+            at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+            weight = np.zeros(len(vocabulary))
+            weight[at] = np.where(vocabulary[at] == terms, idf[at] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 0)
+            for q, terms in enumerate(queries):
+                full[q, d] = weight[terms].sum()
+                shared += np.count_nonzero(weight[terms])
+        wanted = [sorted((x for x in row if x > 0), reverse=True)[:k] for row in full]
+        least = [at_least * x[-1] for x in wanted]
+        visits = []
+        monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0: (visits.append(len(x) if weights is not None else 0), count(x, weights, minlength))[1])
+        out = search.together(stored, cuts, mean, 1.2, 0.75, vocabulary, idf, queries, k, least)
+        monkeypatch.setattr(np, "bincount", count)
+        looked += sum(visits)
+        for q, (places, scores) in enumerate(out):
+            assert np.allclose(scores, full[q, places], rtol=1e-12)
+            assert np.allclose(sorted(scores, reverse=True), wanted[q], rtol=1e-12)
+        assert all(not len(x) for x, _ in search.together(stored, cuts, mean, 1.2, 0.75, vocabulary, idf, queries, k, [2 * x[0] for x in wanted]))
+    assert looked < 0.5 * shared, (looked, shared)
+
+
 def plain_base(rows, training):
     counts = Counter()
     for (i, t), teach in zip(rows, training, strict=True):
