@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cadentia.sources.files import CURVE_ENTRIES, downsampled, write_each
+from cadentia.sources.files import CURVE_ENTRIES, write_each
 
 #: The format's root, sports, and a sample's tags with the column that each is from.
 DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -18,14 +18,14 @@ SUMMARY = {"duration": "duration_seconds", "distance": "total_distance", "tss":
 
 
 def _ordered(column: str) -> Column:
-    """A collected list in its order; no longer than what downsampling leaves."""
+    """A collected list in its order, of a single workout."""
     return F.transform(F.array_sort(F.collect_list(column)), lambda x: x["x"])
 
 
 def _samples(points: DataFrame) -> DataFrame:
     there = {tag: c for tag, c in SAMPLE.items() if c in points.columns}
     item = F.struct(*(F.col(c).alias(tag) for tag, c in there.items()))
-    return downsampled(points).select("workout_id", F.struct("seq", item.alias("x")).alias("s")).groupBy("workout_id").agg(_ordered("s").alias("sample"))
+    return points.select("workout_id", F.struct("seq", item.alias("x")).alias("s")).groupBy("workout_id").agg(_ordered("s").alias("sample"))
 
 
 def _laps(points: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _curves(curves: DataFrame) -> DataFrame:
 def documents(workouts: DataFrame, points: DataFrame, curves: DataFrame | None = None) -> DataFrame:
     """A row for each workout (workout_id, date, duration_seconds and what else its table has), nested as the file is; workout_id stays beside it.
 
-    Every n-th sample and the last, n so that about 10,000 stay; every n-th entry of the power curve (workout_id, duration_s, max_power) and the last, about 300.
+    All samples; every n-th entry of the power curve (workout_id, duration_s, max_power) and the last, about 300.
     What is null has no tag; a workout without samples has none. The title is the notes, else the source, else the id.
     """
     has = lambda c: F.col(c) if c in workouts.columns else F.lit(None)
