@@ -234,6 +234,19 @@ def sleep_pattern(rows: DataFrame, key: str) -> DataFrame:
     return g.select(key, "mean_minutes", "sd_minutes", "mean_score", F.greatest(100 - F.least(F.col("sd_minutes") / 120 * 100, F.lit(100.0)), F.lit(0.0)).alias("consistency"), trend.alias("trend"))
 
 
+def running_spread(rows: DataFrame, key: str) -> DataFrame:
+    """The spread of duration by running means over a key's nights in the order of their ids, with what rounding leaves of it on that way; all nights of a key are one row."""
+    nights = F.transform(F.array_sort(F.collect_list(F.when(F.col("total_sleep").isNotNull(), F.struct("night_id", "total_sleep")))), lambda x: x["total_sleep"].cast("double"))
+
+    def step(s, x):
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    spread = F.aggregate("nights", F.struct(*(F.lit(0.0).alias(x) for x in ("n", "mean", "squares"))), step, lambda s: F.try_divide(s["squares"], s["n"]))
+    return rows.groupBy(key).agg(nights.alias("nights")).select(key, F.sqrt(spread).alias("running_sd"))
+
+
 def best_bedtime(rows: DataFrame, key: str) -> DataFrame:
     """The night of the best score, the last on ties."""
     return rows.groupBy(key).agg(F.max_by("night_id", F.struct(F.coalesce("sleep_score", F.lit(0)), "date", "night_id")).alias("night_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from cadentia import plans
+from cadentia.operators import recovery
 from cadentia.sources import workout_files
 
 
@@ -22,3 +24,34 @@ def test_xml_files_of_a_long_workout(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     (row,) = plans.QUERIES["xml_files"](spark, str(tmp_path)).collect()
     assert (row.workout_id, row.n, row.seq, row.power) == (7, 20_500, 20_500 * 20_499 // 2, sum(i % 90 for i in range(20_500) if i % 11))
+
+
+#: Athletes whose spread is 60 minutes exactly: running means leave a little more of it in the second, and 60 in the first.
+BORDER = {368566: [3609140, 3614570, 3622919, 3628141, 3636042, 3648999, 3656921, 3675443, 3682572, 3683539, 3728963], 815555: [8114202, 8137886, 8138799, 8158592, 8180212, 8195283, 8217896, 8227259, 8230697]}
+
+
+def test_sleep_advice_on_the_border_is_its_sql(spark, tmp_path):
+    rows = [(k, a) for a, keys in BORDER.items() for k in keys] + [(k, k % 5) for k in range(50)]
+    spark.createDataFrame(sorted(rows), "o_orderkey long, o_custkey long").withColumn("o_orderdate", F.lit("1995-01-01").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    ran = con.execute(plans.ORACLES["sleep_advice"])
+    columns = [d[0] for d in ran.description]
+    wanted = sorted(ran.fetchall())
+    assert [r[columns.index("areas")].count("consistency") for r in wanted if r[0] in BORDER] == [0, 1]
+    assert sorted(map(tuple, plans.QUERIES["sleep_advice"](spark, str(tmp_path)).select(*columns).collect())) == wanted
+
+
+def test_running_spread(spark):
+    def plain(xs):
+        n, mean, squares = 0.0, 0.0, 0.0
+        for x in xs:
+            n += 1
+            before, mean = mean, mean + (x - mean) / n
+            squares += (x - mean) * (x - before)
+        return (squares / n) ** 0.5 if n else None
+
+    lists = {k: [None if (i + k) % 7 == 0 else (i * i * 31 + k * 17) % 601 for i in range(k)] for k in range(1, 40)}
+    rows = spark.createDataFrame([(k, i, x) for k, xs in lists.items() for i, x in enumerate(xs)], "k int, night_id long, total_sleep int")
+    got = {r.k: r.running_sd for r in recovery.running_spread(rows.repartition(16), "k").collect()}
+    assert got == {k: plain([x for x in xs if x is not None]) for k, xs in lists.items()}
