@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cadentia.llm.common import settle, slices, texts, tidied
 
 #: Documents in a block; postings in a shard, about; queries sent out at once, and their terms, about.
-BLOCK, SHARD_POSTINGS, QUERIES, QUERY_TERMS = 32, 4_000_000, 8_000, 3_000_000
+BLOCK, SHARD_POSTINGS, QUERIES, QUERY_TERMS = 32, 1_500_000, 8_000, 3_000_000
 #: Of so many tasks' shards those of one are asked first.
 FIRST = 8
 #: How much more blocks are scored between two looks at the bounds; partial results of a query that meet first.
